@@ -1,0 +1 @@
+"""Relational operators: they take and return DataFrames."""

@@ -1,8 +1,6 @@
 """All queries by name, with the equivalent SQL."""
 
-QUERIES = {}
-SQL = {}
+from dialogmill.plans import dataset_queries, event_queries, relational_queries, stream_queries, text_queries, web_queries  # noqa: F401  they register themselves
+from dialogmill.plans.base import QUERIES, SQL  # noqa: F401
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = dataset_queries.qa_flagship

@@ -8,39 +8,39 @@ from pyspark.sql import functions as F
 
 def nearest_rank(c: Column, ratio: float) -> Column:
     """The value at place ceil(n * ratio)."""
-    return F.element_at(F.sort_array(F.collect_list(c)), F.greatest(F.lit(1), F.ceil(F.count(c) * F.lit(float(ratio))).cast("int")))
+    return F.try_element_at(F.sort_array(F.collect_list(c)), F.greatest(F.lit(1), F.ceil(F.count(c) * F.lit(float(ratio))).cast("int")))
 
 
 def floor_rank(c: Column, ratio: float) -> Column:
     """The value at place int(n * ratio - 1), counted from 0, at least 0."""
-    return F.element_at(F.sort_array(F.collect_list(c)), F.greatest(F.lit(0), (F.count(c) * F.lit(float(ratio)) - 1).cast("int")) + 1)
+    return F.try_element_at(F.sort_array(F.collect_list(c)), (F.greatest(F.lit(0), (F.count(c) * F.lit(float(ratio)) - 1).cast("int")) + 1).cast("int"))
 
 
 def upper_median(c: Column) -> Column:
     """The value at place n // 2, counted from 0."""
-    return F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
+    return F.try_element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
-    """keys and a column for each named place (counted from 0, over the column n): values at places of the sorted group.
+    """keys and a column for each named place (counted from 0, over the column __n): values at places of the sorted group.
 
     Values are counted first, so the group that is sorted has a row for each distinct value only.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__k"))
     w = Window.partitionBy(*keys)
-    upto = F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = counts.withColumn("upto", upto).withColumn("n", F.sum("k").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > p, F.col(value)))
-    return rows.groupBy(*keys).agg(*[at(p).alias(name) for name, p in places.items()], F.max("n").alias("count"))
+    upto = F.sum("__k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = counts.withColumn("__upto", upto).withColumn("__n", F.sum("__k").over(w))
+    at = lambda p: F.min(F.when(F.col("__upto") > p, F.col(value)))
+    return rows.groupBy(*keys).agg(*[at(p).alias(name) for name, p in places.items()], F.max("__n").alias("count"))
 
 
 def nearest_place(ratio: float) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.col("n") * F.lit(float(ratio))) - 1)
+    return F.greatest(F.lit(0), F.ceil(F.col("__n") * F.lit(float(ratio))) - 1)
 
 
 def floor_place(ratio: float) -> Column:
-    return F.greatest(F.lit(0), (F.col("n") * F.lit(float(ratio)) - 1).cast("long"))
+    return F.greatest(F.lit(0), (F.col("__n") * F.lit(float(ratio)) - 1).cast("long"))
 
 
 def upper_place() -> Column:
-    return F.floor(F.col("n") / 2)
+    return F.floor(F.col("__n") / 2)

@@ -1,0 +1,37 @@
+"""The pipeline's stages, each against a plain version on the rows it was given."""
+
+import hashlib
+
+import numpy as np
+from test_operators import naive_components, naive_fingerprint, naive_lines
+
+import corpus_pipeline
+from dialogmill.llm import common
+from dialogmill.llm.bpe import TOKENIZER, tokenizer_path
+
+
+def test_stages(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    docs = common.table(spark, sf_dir, "documents")
+    columns, seen = docs.columns, [docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), "test-" + name.replace(" ", "-"))
+        seen.append(docs.collect())
+        if name != "bpe":
+            assert docs.columns == columns
+    start, good, lines, near, mixed, encoded = seen
+    labels = {r["doc_id"]: r["quality"] for r in common.table(spark, sf_dir, "labels").collect()}
+    kept = {r["doc_id"] for r in good}
+    assert np.mean([(r["doc_id"] in kept) == bool(labels[r["doc_id"]]) for r in start if r["doc_id"] in labels]) >= 0.95
+    want = naive_lines([(r["doc_id"], r["text"]) for r in good], 20)
+    assert {r["doc_id"]: r["text"] for r in lines} == {i: t for i, t in want.items() if t.split()}
+    assert all(r["n_chars"] == len(r["text"]) for r in lines)
+    prints = [(r["doc_id"], naive_fingerprint(r["text"])) for r in lines]
+    assert {r["doc_id"] for r in near} == set(naive_components(prints).values())
+    assert {r["doc_id"] for r in mixed} == {r["doc_id"] for r in near} and len(mixed) >= len(near)
+    library, texts = Tokenizer.from_file(tokenizer_path(TOKENIZER)), {r["doc_id"]: r["text"] for r in near}
+    assert len(encoded) == len(mixed)
+    for r in encoded:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()

@@ -3,7 +3,7 @@
 import hashlib
 
 import numpy as np
-from test_operators import naive_components, naive_fingerprint, naive_lines
+from test_llm_operators import naive_components, naive_fingerprint, naive_lines
 
 import corpus_pipeline
 from dialogmill.llm import common

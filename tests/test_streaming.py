@@ -26,3 +26,28 @@ def test_utterances_equal_the_replay(spark, sf_dir):
             want.add((user, *held))
     got = {tuple(r) for r in stream_utterances(spark, sf_dir).select("user_id", "started_ms", "ended_ms", "n", "dropped").collect()}
     assert got == want
+
+
+def test_live_folds():
+    from dialogmill.streaming import live
+
+    e = lambda i, ms, kind, text="hello there you", **k: {"event_id": i, "ms": ms, "kind": kind, "text": text, "self_rms": 120.0, "remote_rms": 640.0} | k
+    what = lambda fold, rows: [(r[1], r[2]) for r in fold.run({}, rows)]
+    hold = [e(0, 0, "diag"), e(1, 100, "remote"), e(2, 700, "self"), e(3, 2000, "self", "other words here"), e(4, 2900, "self", "more words now"), e(5, 3100, "remote", "more words now"), e(6, 9000, "diag")]
+    assert what(live.EchoHold(), hold) == [("remote", 1), ("dropped", 2), ("self", 3), ("self", 4), ("remote", 5)]  # the level is too old for the last echo
+    twice = [e(1, 0, "self", "first one now"), e(2, 100, "self", "second one now"), e(3, 5000, "diag")]
+    assert what(live.EchoHold(), twice) == [("self", 1), ("self", 2)] and what(live.EchoHold(lossy=True), twice) == [("lost", 1), ("self", 2)]
+    seg = [e(1, 0, "remote", "hello wor"), e(2, 300, "remote", "hello world"), e(3, 800, "remote", "ends."), e(4, 1200, "remote", "next"), e(5, 9000, "remote", "last")]
+    assert [(r[2], r[3]) for r in live.Segments().run({}, seg)] == [(3, "hello world ends."), (4, "next")]
+    q = [e(i, i, "remote", work=100) for i in range(5)] + [e(9, 1000, "remote", work=1)]
+    assert what(live.Queue(), q) == [("served", 0), ("dropped", 1), ("dropped", 2), ("served", 3), ("served", 4), ("served", 9)]
+    assert what(live.Phases(), [e(0, 0, "running"), e(1, 1, "degraded"), e(2, 2, "running"), e(3, 3, "error"), e(4, 4, "running")]) == [("degraded", 1), ("running", 2), ("error", 3)]
+    level = [e(i, i * 1000, "", level=10.0, other=200.0) for i in range(15)]
+    assert what(live.SourceHealth(), level) == [("switch", 4), ("suspect", 8), ("switch", 12)]
+
+
+def test_segments_of_a_stream_equal_the_replay(spark, sf_dir):
+    from dialogmill.plans.live_queries import live_segments, stream_segments
+
+    done, all_of = ({tuple(r) for r in f(spark, sf_dir).collect()} for f in (stream_segments, live_segments))
+    assert all_of <= done  # timers of the stream also fire at the watermark

@@ -38,7 +38,8 @@ def propagate(units: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     for _ in range(rounds):
         load = units.groupBy("shard").agg(F.sum("n").alias("n"))
         used = {r["shard"]: r["n"] for r in load.collect()}  # a row for each shard
-        room = spark.createDataFrame([(s, int(q - used.get(s, 0))) for s, q in enumerate(quotas)], "shard int, room long")
+        free = F.array(*[F.lit(q - used.get(s, 0)).cast("long") for s, q in enumerate(quotas)])
+        room = spark.range(len(quotas)).select(F.col("id").cast("int").alias("shard"), F.element_at(free, F.col("id").cast("int") + 1).alias("room"))
         held = units.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("held"))
         held = held.join(F.broadcast(room), "shard")
         # the leading shard: the most members among the shards that can take more, ties by a hash

@@ -29,9 +29,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
-    found = near_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__keep"), "left_semi")
+    """The document with the smallest id of each component stays, with its repeated rows; rows without an id can't be named and stay."""
+    found = near_components(docs.select("doc_id", "text")).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

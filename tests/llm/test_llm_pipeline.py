@@ -35,3 +35,20 @@ def test_stages(spark, sf_dir):
     for r in encoded:
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_edges_of_stages(spark):
+    from test_llm_operators import EDGES
+
+    rows = spark.createDataFrame([(i, t, "en", s, len(t) if t else None, "x") for i, t, s in EDGES], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    for docs in (rows, rows.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, None)
+            if name != "bpe":
+                assert out.columns == docs.columns
+            got = [r["doc_id"] for r in out.collect()]
+            assert set(got) <= {i for i, _, _ in EDGES}
+            if name in ("mixing", "bpe") and docs is rows:
+                assert set(got) == {i for i, _, _ in EDGES}
+            if name == "simhash near-dedup" and docs is rows:
+                assert None in got and 5 not in got and 0 in got

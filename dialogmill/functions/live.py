@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from dialogmill.functions import text as t
 
 
+# fixed values: the answers and definitions of glossary terms, around the term and its definition
+ANSWER = ("I would describe ", " as ", " I would then connect it to a concrete production example, explain the tradeoffs, and mention how I would validate the decision in practice.")
+UNDEFINED = " is an important concept in software engineering interviews."
+DEFINITION = " is a software engineering concept frequently discussed in technical interviews. It should be explained with practical usage, tradeoffs, and production impact."
+
+
 def source_score(ident: Column, name: Column) -> Column:
     """How likely an audio source is a whole screen, by its id and name."""
     low = F.lower(name)
@@ -26,10 +32,10 @@ def one_of(c: Column, values: list[str], default: str) -> Column:
 
 def glossary_answer(term: Column, definition: Column) -> Column:
     known = t.normalize(definition)
-    known = F.when(known == "", F.concat(term, F.lit(" is an important concept in software engineering interviews."))).otherwise(known)
-    return F.concat(F.lit("I would describe "), term, F.lit(" as "), known, F.lit(" I would then connect it to a concrete production example, explain the tradeoffs, and mention how I would validate the decision in practice."))
+    known = F.when(known == "", F.concat(term, F.lit(UNDEFINED))).otherwise(known)
+    return F.concat(F.lit(ANSWER[0]), term, F.lit(ANSWER[1]), known, F.lit(ANSWER[2]))
 
 
 def definition(term: Column) -> Column:
     """A definition of a term that no seed defines."""
-    return F.concat(term, F.lit(" is a software engineering concept frequently discussed in technical interviews. It should be explained with practical usage, tradeoffs, and production impact."))
+    return F.concat(term, F.lit(DEFINITION))

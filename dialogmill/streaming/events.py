@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from dialogmill.streaming.run import send_package
+
 SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 LATE = "10 minutes"
 UTTERANCE = "user_id long, started_ms long, ended_ms long, n long, dropped long"
@@ -78,5 +80,6 @@ def utterances(stream: DataFrame, threshold: float = 100.0, silence_ms: int = 7_
         if closed:
             yield pd.DataFrame([(key[0], *c) for c in closed], columns=["user_id", "started_ms", "ended_ms", "n", "dropped"])
 
+    send_package(stream.sparkSession)
     rows = stream.withWatermark("ts", LATE).withColumn("ms", F.unix_millis("ts"))
     return rows.groupBy("user_id").applyInPandasWithState(run, UTTERANCE, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from dialogmill.streaming.run import send_package
+
 LATE = "10 minutes"
 OUT = "user_id long, ms long, what string, event_id long, text string"
 COLUMNS = ["user_id", "ms", "what", "event_id", "text"]
@@ -206,6 +208,7 @@ def stream(events: DataFrame, fold: Live) -> DataFrame:
         if out:
             yield pd.DataFrame([(key[0], *r) for r in out], columns=COLUMNS)
 
+    send_package(events.sparkSession)
     return events.withWatermark("ts", LATE).groupBy("user_id").applyInPandasWithState(run, OUT, "s string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -218,6 +221,7 @@ def replay(events: DataFrame, fold: Live, flush: bool = False) -> DataFrame:
             out += fold.until(s, 1 << 62)
         return pd.DataFrame([(int(rows.user_id.iloc[0]), *r) for r in out], columns=COLUMNS)
 
+    send_package(events.sparkSession)
     return events.groupBy("user_id").applyInPandas(run, OUT)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def send_package(spark: SparkSession) -> None:
+    """This package to the executors, once, for functions that run in Python there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_dialogmill_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="dialogmill-"), "dialogmill.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(archive)
+    sc._dialogmill_sent = True
+
+
 def available_now(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Append-mode rows go to a Parquet sink with exactly-once commits; complete-mode results replace a table each batch."""
     spark = stream.sparkSession

@@ -55,44 +55,55 @@ def half_keys(line: Column, chars: Column) -> Column:
 
 
 def first_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """h1, h2 (the line), first (id, th, at) and keys of each distinct line; keys is null for short lines."""
+    """first (id, th, at) and keys of each distinct line; keys is null for short lines."""
     lines = exploded(docs).withColumn("chars", F.length("line"))
     keys = F.when(F.col("chars") >= min_chars, half_keys(F.col("line"), F.col("chars")))
     lines = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.struct("id", "th", "at").alias("o"), keys.alias("keys"))
-    return lines.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.min("keys").alias("keys"))
+    return lines.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.min("keys").alias("keys")).select("first", "keys")
 
 
 def candidates(firsts: DataFrame) -> DataFrame:
-    """id, th, at of the distinct lines that share a half with another one."""
-    keyed = firsts.where("keys IS NOT NULL").select("first", F.explode("keys").alias("k"))
-    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi").select("k")
-    found = keyed.join(shared, "k", "left_semi").select("first").distinct()
-    return found.select("first.id", "first.th", "first.at")
+    """id, th, at of the distinct lines that share a half with another one, and which: head, tail.
+
+    A line's own keys differ, so a key that occurs twice is shared.
+    """
+    keyed = firsts.where("keys IS NOT NULL").select("first", F.posexplode("keys").alias("p", "k"))
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    found = keyed.join(shared, "k", "left_semi").groupBy("first").agg(F.bool_or(F.col("p") % 2 == 0).alias("head"), F.bool_or(F.col("p") % 2 == 1).alias("tail"))
+    return found.select("first.id", "first.th", "first.at", "head", "tail")
 
 
 def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, th, at, line of the wanted places."""
-    per = wanted.groupBy("id", "th").agg(F.collect_set("at").alias("ats")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "ats")
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text").dropDuplicates(["id", "th"])
+    """id, th, at, head, tail, line of the wanted places."""
+    per = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "head", "tail")).alias("ats")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "ats")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
     rows = rows.join(per, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
-    rows = rows.select("id", "th", "ats", F.split("text", "\n", -1).alias("lines"))
-    return rows.select("id", "th", F.explode("ats").alias("at"), "lines").select("id", "th", "at", F.element_at("lines", F.col("at") + 1).alias("line"))
+    rows = rows.select("id", "th", "ats", F.split("text", "\n", -1).alias("lines")).select("id", "th", F.explode("ats").alias("p"), "lines")
+    # repeated rows have the same lines
+    return rows.select("id", "th", "p.at", "p.head", "p.tail", F.element_at("lines", F.col("p.at") + 1).alias("line")).dropDuplicates(["id", "th", "at"])
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """first, v (key), i: the line itself with i = -1, and each variant with its deleted place."""
-    start = lines.select(F.struct("id", "th", "at").alias("first"), "line", F.length("line").alias("chars"))
+    """first, v (key), i: the line itself with i = -1, and each variant with its deleted place.
+
+    The edit between lines that share their heads is behind these, and the other way round, so a line
+    deletes there only.
+    """
+    chars = F.length("line")
+    low = F.when(F.col("tail"), 0).otherwise(F.floor((chars - 1) / 2).cast("int"))
+    high = F.when(F.col("head"), chars).otherwise(chars - F.ceil((chars - 1) / 2).cast("int"))
+    start = lines.select(F.struct("id", "th", "at").alias("first"), "line", chars.alias("chars"), low.alias("low"), high.alias("high"))
     blocks = F.expr(f"transform(sequence(0, (chars - 1) div {BLOCK}), j -> struct(j AS j, substring(line, j * {BLOCK} + 1, {BLOCK + 1}) AS b))")
-    start = start.select("first", blocks.alias("blocks"))
+    start = start.select("first", "low", "high", blocks.alias("blocks"))
     # the hash of block j as it stands, and of the block one character further on
     own = F.expr(f"transform(blocks, x -> xxhash64(substring(x.b, 1, {BLOCK}), x.j))")
     moved = F.expr("transform(blocks, x -> if(length(x.b) > 1, xxhash64(substring(x.b, 2), x.j), 0L))")
-    start = start.select("first", "blocks", own.alias("own"), moved.alias("moved"))
+    start = start.select("first", "low", "high", "blocks", own.alias("own"), moved.alias("moved"))
     xor = lambda a: f"aggregate({a}, 0L, (x, y) -> x ^ y)"
     whole = start.select("first", F.expr(xor("own")).alias("v"), F.lit(-1).alias("i"))
-    each = start.select("first", "own", "moved", F.explode("blocks").alias("x"))
-    each = each.select("first", "x", F.expr(f"{xor('slice(own, 1, x.j)')} ^ {xor('slice(moved, x.j + 2, size(moved))')}").alias("rest"))
-    cut = F.expr(f"transform(sequence(1, least({BLOCK}, length(x.b))), p -> struct(x.j * {BLOCK} + p - 1 AS i, concat(substring(x.b, 1, p - 1), substring(x.b, p + 1)) AS b))")
+    each = start.select("first", "low", "high", "own", "moved", F.explode("blocks").alias("x"))
+    each = each.select("first", "low", "high", "x", F.expr(f"{xor('slice(own, 1, x.j)')} ^ {xor('slice(moved, x.j + 2, size(moved))')}").alias("rest"))
+    cut = F.expr(f"transform(filter(sequence(1, least({BLOCK}, length(x.b))), p -> x.j * {BLOCK} + p - 1 BETWEEN low AND high), p -> struct(x.j * {BLOCK} + p - 1 AS i, concat(substring(x.b, 1, p - 1), substring(x.b, p + 1)) AS b))")
     each = each.select("first", "rest", F.col("x.j").alias("j"), F.explode(cut).alias("d"))
     key = F.expr("if(d.b = '', 0L, xxhash64(d.b, j)) ^ rest")
     return whole.unionByName(each.select("first", key.alias("v"), F.col("d.i").alias("i")))

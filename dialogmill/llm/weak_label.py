@@ -36,52 +36,64 @@ COMMON = "the of and to in is that it for on with as was are be this by at an de
 INSULTS = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
 
 
+def measures() -> dict[str, Column]:
+    """What the labellers look at, over text and words. Each is computed once, as a column of its own."""
+    among = lambda terms, ends: ", ".join(repr(t + e) for t in dict.fromkeys(terms) for e in ends)
+    listed = lambda terms, ends=("", ".", ",", "!", "?"): F.expr(f"size(filter(words, w -> lower(w) IN ({among(terms, ends)})))")
+    return {
+        "n": F.greatest(F.size("words"), F.lit(1)),
+        "chars": F.length(F.array_join("words", "")),
+        "symbols": F.length("text") - F.length(F.translate("text", "#*$%&|<>{}[]=_~^\\", "")),
+        "bangs": F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit(""))),
+        "upper": F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", "")),
+        "letters": F.length("text") - F.length(F.regexp_replace("text", r"\p{L}+", "")),
+        "distinct": F.size(F.array_distinct("words")),
+        "stutters": F.expr("size(filter(words, (w, i) -> i > 0 AND words[greatest(i - 1, 0)] = w))"),
+        "common": listed(COMMON, ("", ",")),
+        "insults": listed(INSULTS),
+    }
+
+
 def labellers() -> list[tuple[str, Column]]:
-    """(name, vote): 1 good, 2 bad, 0 nothing; over text, words and n."""
-    n = F.greatest(F.col("n"), F.lit(1))
-    symbols = F.length("text") - F.length(F.translate("text", "#*$%&|<>{}[]=_~^\\", ""))
-    bangs = F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))
-    upper, letters = F.regexp_count("text", F.lit(r"\p{Lu}")), F.greatest(F.regexp_count("text", F.lit(r"\p{L}")), F.lit(1))
-    chars = F.length(F.translate("text", " \t\n\x0b\f\r", ""))
-    distinct = F.size(F.array_distinct("words"))
-    plain = F.expr(r"size(filter(words, w -> w rlike '^[\"(]?\\p{L}+[-\']?\\p{L}*[.,;:!?)\"]{0,2}$'))")
-    listed = lambda terms: F.expr(f"size(filter(words, w -> translate(lower(w), '.,;:!?()', '') IN ({', '.join(repr(t) for t in dict.fromkeys(terms))})))")
-    common, insults = listed(COMMON), listed(INSULTS)
-    vote = lambda good, bad: F.when(bad, 2).when(good, 1).otherwise(0)
+    """(name, vote): 1 good, 2 bad, 0 nothing; over the measures. Most only know what is bad, so that what they
+    don't see isn't counted as many times good; insults come last, as they say little about quality."""
+    m = {k: F.col(k) for k in measures()}
+    n, chars, letters, distinct = m["n"], m["chars"], F.greatest(m["letters"], F.lit(1)), m["distinct"]
+    vote = lambda bad, good=F.lit(False): F.when(bad, 2).when(good, 1).otherwise(0)
     return [
-        ("symbols", vote(symbols * 50 < n, symbols * 10 > n)),
-        ("exclamations", vote(bangs * 20 < n, bangs * 5 > n)),
-        ("capitals", vote(upper * 4 < letters, upper * 3 > letters)),
-        ("word_length", vote((chars >= 3 * n) & (chars <= 9 * n), (chars < F.lit(2.2) * n) | (chars > 14 * n))),
-        ("repetition", vote(distinct * 10 >= 4 * n, (n >= 12) & (distinct * 4 < n))),
-        ("stutter", vote(F.lit(False), F.expr("5 * size(filter(words, (w, i) -> i > 0 AND words[greatest(i - 1, 0)] = w)) > n"))),
-        ("plain_words", vote(plain * 10 >= 9 * n, plain * 10 < 7 * n)),
-        ("common_words", vote(common * 20 >= n, F.lit(False))),
-        ("insults", vote(F.lit(False), insults >= 3)),
+        ("symbols", vote(m["symbols"] * 10 > n)),
+        ("exclamations", vote(m["bangs"] * 5 > n)),
+        ("capitals", vote((n >= 8) & (m["upper"] * 3 > letters))),
+        ("word_length", vote((chars < F.lit(2.2) * n) | (chars > 14 * n))),
+        ("repetition", vote((n >= 12) & (distinct * 4 < n), distinct * 10 >= 4 * n)),
+        ("stutter", vote(m["stutters"] * 5 > n)),
+        ("letters", vote(letters * 10 < 8 * chars)),
+        ("common_words", vote(F.lit(False), m["common"] * 20 >= n)),
+        ("insults", vote(m["insults"] >= 3)),
     ]
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """doc_id, text, pattern: the votes as digits of base 3."""
+    """doc_id, text, pattern: the votes as digits of base 3; -1 without words."""
     rows = docs.select("doc_id", text_of().alias("text"))
     rows = rows.select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
-    rows = rows.select("doc_id", "text", "words", F.size("words").alias("n"))
+    rows = rows.select("doc_id", "text", (F.size("words") > 0).alias("some"), *[c.alias(k) for k, c in measures().items()])
     digits = [v * 3**i for i, (_, v) in enumerate(labellers())]
     pattern = digits[0]
     for d in digits[1:]:
         pattern = pattern + d
-    return rows.select("doc_id", "text", F.when(F.col("n") > 0, pattern).otherwise(F.lit(-1)).alias("pattern"))
+    return rows.select("doc_id", "text", F.when(F.col("some"), pattern).otherwise(F.lit(-1)).alias("pattern"))
 
 
 def expectation_maximisation(counts: dict[int, int], n_labellers: int, rounds: int = 50) -> tuple[dict[int, float], np.ndarray]:
-    """(pattern -> probability that it is good, accuracy[class, labeller, vote]). Starts at the majority of the votes."""
+    """(pattern -> probability that it is good, accuracy[class, labeller, vote]). Starts at the bad votes."""
     patterns = sorted(p for p in counts if p >= 0)
     if not patterns:
         return {}, np.full((2, n_labellers, 3), 1 / 3)
     v = np.array([[(p // 3**j) % 3 for j in range(n_labellers)] for p in patterns])
     w = np.array([counts[p] for p in patterns], float)
-    good, bad = (v == 1).sum(1), (v == 2).sum(1)
-    post = (good + 1) / (good + 3 * bad + 2)
+    good, bad = (v == 1).sum(1), (v[:, : max(1, n_labellers - 1)] == 2).sum(1)
+    post = np.where(bad >= np.maximum(1, good - 1), 0.1, 0.9)
     theta = np.empty((2, n_labellers, 3))
     for _ in range(rounds):
         for c, share in ((0, w * (1 - post)), (1, w * post)):

@@ -43,7 +43,7 @@ def test_live_folds():
     assert what(live.Queue(), q) == [("served", 0), ("dropped", 1), ("dropped", 2), ("served", 3), ("served", 4), ("served", 9)]
     assert what(live.Phases(), [e(0, 0, "running"), e(1, 1, "degraded"), e(2, 2, "running"), e(3, 3, "error"), e(4, 4, "running")]) == [("degraded", 1), ("running", 2), ("error", 3)]
     level = [e(i, i * 1000, "", level=10.0, other=200.0) for i in range(15)]
-    assert what(live.SourceHealth(), level) == [("switch", 4), ("suspect", 8), ("switch", 12)]
+    assert what(live.SourceHealth(), level) == [("switch", 4), ("suspect", 8), ("switch", 12), ("healthy", 13)]
 
 
 def test_segments_of_a_stream_equal_the_replay(spark, sf_dir):

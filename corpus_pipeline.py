@@ -13,6 +13,7 @@ from dialogmill.llm.bpe import encode_digests
 from dialogmill.llm.common import materialize, table
 from dialogmill.llm.line_dedup import line_dedup
 from dialogmill.llm.mixing import mix
+from dialogmill.llm.shingles import SIMILAR
 from dialogmill.llm.simhash import near_components
 from dialogmill.llm.weak_label import classify
 
@@ -29,8 +30,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays, with its repeated rows; rows without an id can't be named and stay."""
-    found = near_components(docs.select("doc_id", "text")).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__keep")).distinct()
+    """The document with the smallest id of each component stays, with its repeated rows; rows without an id can't be named and stay.
+
+    Links are those of op10_simhash and all pairs whose five-word shingles have a Jaccard similarity of SIMILAR or more.
+    """
+    found = near_components(docs.select("doc_id", "text"), similar=SIMILAR).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.llm.common import materialize, prepare_python, table
+from dialogmill.llm.shingles import shingle_sets, similar_links
 
 RADIUS = 3
 SEED = 42
@@ -178,11 +179,16 @@ def components(edges: DataFrame, label: str = "simhash") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_components(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs`` (doc_id, text)."""
-    prints = materialize(fingerprints(docs), "simhash-prints")
+def near_components(docs: DataFrame, most: int = MOST, similar: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row of ``docs`` (doc_id, text).
+
+    With ``similar``, texts whose five-word shingles have at least this Jaccard similarity are linked as well.
+    """
+    sets = materialize(fingerprints(docs) if similar is None else shingle_sets(docs, similar), "simhash-prints")
+    prints = sets.select("doc_id", "fp")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    star = components(links(classes.select("fp"), most))
+    found = links(classes.select("fp"), most)
+    star = components(found if similar is None else found.unionByName(similar_links(sets, docs, similar)))
     rooted = classes.join(star, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_class = materialize(rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-components")

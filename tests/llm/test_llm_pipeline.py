@@ -3,10 +3,11 @@
 import hashlib
 
 import numpy as np
+import pytest
 from test_llm_operators import naive_components, naive_fingerprint, naive_lines
 
 import corpus_pipeline
-from dialogmill.llm import common
+from dialogmill.llm import common, shingles
 from dialogmill.llm.bpe import TOKENIZER, tokenizer_path
 
 
@@ -52,3 +53,55 @@ def test_edges_of_stages(spark):
                 assert set(got) == {i for i, _, _ in EDGES}
             if name == "simhash near-dedup" and docs is rows:
                 assert None in got and 5 not in got and 0 in got
+
+
+@pytest.mark.parametrize("few", [2, 32])
+def test_near_copies_of_five_word_shingles(spark, few):
+    """Against all pairs: copies at 0.8 or more go, whatever bits of their fingerprints differ."""
+    import random
+
+    rng = random.Random(7)
+    rows, at = [], 0
+    for words, changes, copies in [(60, 1, 8), (120, 1, 40), (200, 4, 12), (500, 10, 6), (100, 12, 6), (4, 0, 3), (90, 0, 1)]:
+        base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+        for k in range(copies):
+            text = base.copy()
+            for i in rng.sample(range(words), changes if k else 0):
+                text[i] = f"x{rng.randrange(10**6)}"
+            rows.append((at, " ".join(text), "en", "s", 1))
+            at += 1
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) or {t} for i, t, *_ in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    prints = {i: naive_fingerprint(t) for i, t, *_ in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert len(set(pairs) - set(near)) > 20
+    for a, b in pairs + near:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, None)
+    assert {r["doc_id"] for r in kept.collect()} == {top(i) for i in sets}
+    found = shingles.similar_links(common.materialize(shingles.shingle_sets(docs), "test-sets"), docs, few=few).collect()
+    ids = {}
+    for i, p in prints.items():
+        ids.setdefault(p, i)
+    linked = [(ids[r["a"] % 2**64], ids[r["b"] % 2**64]) for r in found]
+    groups = naive_groups(ids.values(), linked)
+    assert groups == naive_groups(ids.values(), [(a, b) for a, b in pairs if a in ids.values() and b in ids.values()])
+
+
+def naive_groups(nodes, links):
+    group = {i: {i} for i in nodes}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    return {frozenset(g) for g in group.values()}

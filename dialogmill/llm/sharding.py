@@ -1,13 +1,13 @@
 """Sharding by balanced label propagation, in built-in functions only.
 
 Documents of a group (here: equal texts) are linked to one another. Every linked document starts in
-the shard that its id's hash names. In each round the members of a group that are outside the
-group's leading shard ask to move there; a shard admits movers, those that gain most first, up to
-its free places. Documents without links have nothing to lose and fill what is left, so that the
+the shard that its id's hash names. In each round the members of a group ask to move to the group's
+leading shard among those with room for them; a shard admits movers, those that gain most first, up
+to its free places, until nothing moves. Documents without links have nothing to lose and fill what is left, so that the
 row counts of any two shards differ by one at most, whatever the groups.
 
-Members that start in one shard move together, so a round handles (group, start) units, at most one
-for each shard of a group: a group with a third of all rows is a few units.
+Members that start in one shard move together, so a round handles (group, start) units; of a large
+group PIECES for each shard: a group with a third of all rows is a few hundred units.
 
 Nulls: a null text counts as the empty text, so null and empty texts are one group; null ids hash
 like -1. Repeated rows are linked and are placed one by one. An empty table gives an empty result.
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from dialogmill.llm.common import bucket_bits, materialize, ranked, table, text_of
 
 SHARDS = 24
-ROUNDS = 3
+#: Units of a group that could take a PIECES-th of a shard are dealt into so many, so that they fill a shard's room.
+PIECES = 32
 
 
 def quota(n_rows: int, n_shards: int) -> list[int]:
@@ -30,36 +31,38 @@ def quota(n_rows: int, n_shards: int) -> list[int]:
     return [n_rows // n_shards + (s < n_rows % n_shards) for s in range(n_shards)]
 
 
-def propagate(units: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """units: g1, g2 (group), start, n, with a ``shard`` that begins as ``start`` -> the same with the shard after ``rounds``."""
-    spark = units.sparkSession
-    n_units = units.count()
-    bits = bucket_bits(n_units)
-    for _ in range(rounds):
+def propagate(units: DataFrame, quotas: list[int]) -> DataFrame:
+    """units: g1, g2 (group), start, piece, n, with a ``shard`` that begins as ``start`` -> the same with the shard where nothing moves any more.
+
+    A unit asks for the leading one among the group's shards that have room for it. Members only move to shards
+    ahead of theirs, and the first unit of each target's queue always fits, so the rounds end.
+    """
+    keys = ["g1", "g2", "start", "piece"]
+    bits = bucket_bits(units.count())
+    while True:
         load = units.groupBy("shard").agg(F.sum("n").alias("n"))
         used = {r["shard"]: r["n"] for r in load.collect()}  # a row for each shard
         free = F.array(*[F.lit(q - used.get(s, 0)).cast("long") for s, q in enumerate(quotas)])
-        room = spark.range(len(quotas)).select(F.col("id").cast("int").alias("shard"), F.element_at(free, F.col("id").cast("int") + 1).alias("room"))
         held = units.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("held"))
-        held = held.join(F.broadcast(room), "shard")
-        # the leading shard: the most members among the shards that can take more, ties by a hash
-        rank = F.struct(F.when(F.col("room") > 0, F.col("held")).otherwise(0), F.xxhash64("g1", "g2", "shard"))
-        lead = held.groupBy("g1", "g2").agg(F.max_by("shard", rank).alias("target"), F.max_by("held", rank).alias("there"), F.max_by("room", rank).alias("room"))
-        asked = units.join(held.select("g1", "g2", "shard", "held"), ["g1", "g2", "shard"]).join(lead, ["g1", "g2"])
-        asked = asked.where("target <> shard AND there >= held AND room > 0").withColumn("gain", F.col("there") - F.col("held") + 1)
+        # most members first, ties by a hash
+        choice = F.struct("held", F.xxhash64("g1", "g2", "shard").alias("tie"), F.col("shard").alias("to"))
+        led = held.groupBy("g1", "g2").agg(F.collect_list(choice).alias("choices"))
+        asked = units.join(led, ["g1", "g2"]).withColumn("own", F.filter("choices", lambda x: x["to"] == F.col("shard"))[0])
+        fit = F.filter("choices", lambda x: (x > F.col("own")) & (F.element_at(free, x["to"] + 1) >= F.col("n")))
+        asked = asked.withColumn("best", F.array_max(fit)).where("best IS NOT NULL")
+        asked = asked.select(*keys, "n", F.col("best.to").alias("target"), (F.col("best.held") - F.col("own.held") + 1).alias("gain")).withColumn("room", F.element_at(free, F.col("target") + 1))
         # larger gains first by powers of two, then whole groups in the order of a hash
         step = F.lit(63) - F.floor(F.log2(F.col("gain").cast("double")))
         asked = asked.withColumn("h", F.xxhash64("g1", "g2")).withColumn("bucket", step * (1 << bits) + F.shiftrightunsigned("h", 64 - bits) if bits else step)
         asked = asked.withColumn("u", F.expr("shiftrightunsigned(h, 1)"))
-        admitted = ranked(asked, ["target"], ["bucket", "u", "h", "start"], "bucket", "r", "n", "taken").where("taken <= room")
-        moves = materialize(admitted.select("g1", "g2", "start", F.col("target").alias("to")), "shard-moves")
-        units = materialize(units.join(moves, ["g1", "g2", "start"], "left").select("g1", "g2", "start", "n", F.coalesce("to", "shard").alias("shard")), "shard-units")
+        admitted = ranked(asked, ["target"], ["bucket", "u", "h", "start", "piece"], "bucket", "r", "n", "taken").where("taken <= room")
+        moves = materialize(admitted.select(*keys, F.col("target").alias("to")), "shard-moves")
         if moves.isEmpty():
-            break
-    return units
+            return units
+        units = materialize(units.join(moves, keys, "left").select(*keys, "n", F.coalesce("to", "shard").alias("shard")), "shard-units")
 
 
-def shard_rows(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_rows(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     text = text_of()
@@ -68,13 +71,17 @@ def shard_rows(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) ->
     rows = materialize(rows.withColumn("start", F.pmod("u", F.lit(n_shards)).cast("int")), "shard-rows")
     n_rows = rows.count()
     quotas, bits = quota(n_rows, n_shards), bucket_bits(n_rows)
-    groups = rows.groupBy("g1", "g2", "start").agg(F.count(F.lit(1)).alias("n"))
+    # at most n_shards * PIECES groups are this large
+    large = rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > max(PIECES, n_rows // (n_shards * PIECES))).select("g1", "g2", F.lit(True).alias("large"))
+    piece = F.when(F.col("large"), F.pmod(F.shiftrightunsigned("u", 20), F.lit(PIECES)).cast("int")).otherwise(0)
+    rows = materialize(rows.join(F.broadcast(large), ["g1", "g2"], "left").withColumn("piece", piece).drop("large"), "shard-rows")
+    groups = rows.groupBy("g1", "g2", "start", "piece").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.join(groups.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all > 1").select("g1", "g2"), ["g1", "g2"])
     units = materialize(groups.withColumn("shard", F.col("start")), "shard-units")
-    units = propagate(units, quotas, rounds)
+    units = propagate(units, quotas)
 
-    labels = units.select(F.col("g1").alias("a"), F.col("g2").alias("b"), F.col("start").alias("c"), F.col("shard").alias("label"))
-    rows = rows.join(labels, (F.col("g1") == F.col("a")) & (F.col("g2") == F.col("b")) & (F.col("start") == F.col("c")), "left").drop("a", "b", "c")
+    labels = units.select(F.col("g1").alias("a"), F.col("g2").alias("b"), F.col("start").alias("c"), F.col("piece").alias("d"), F.col("shard").alias("label"))
+    rows = rows.join(labels, (F.col("g1") == F.col("a")) & (F.col("g2") == F.col("b")) & (F.col("start") == F.col("c")) & (F.col("piece") == F.col("d")), "left").drop("a", "b", "c", "d")
     rows = materialize(rows.withColumn("label", F.coalesce("label", F.lit(-1))), "shard-labels")
     # linked rows keep whole groups side by side: numbered by the group's hash; a hot group is dealt by the rows' own hash
     spread = lambda c: F.shiftrightunsigned(c, 64 - bits) if bits else F.lit(0).cast("long")

@@ -190,6 +190,20 @@ def test_sharding_when_all_are_linked_or_one_group_is_larger_than_a_shard(spark)
         law_holds(sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect(), len(rows), 7)
 
 
+def test_sharding_gathers_a_hot_group(spark):
+    """A third of the rows in one group and many pairs: no refused unit holds up what fits."""
+    n = 12000
+    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 and i < n // 2 else f"own {i}") for i in range(n)]
+    rows = [(i, f"pair {i // 6 % 500}" if i % 3 == 1 and i < n // 2 else t) for i, t in rows]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    law_holds(got, n, 24)
+    hot = [r["shard"] for r in got if r["doc_id"] % 3 == 0]
+    assert len(hot) == n // 3
+    share = sum((hot.count(s) / len(hot)) ** 2 for s in set(hot))
+    print("same-shard share", share, "shards", len(set(hot)))
+    assert share > 0.1 and sorted(map(hot.count, set(hot)))[-8:][0] > 300
+
+
 def test_sharding_edges(edges, nothing):
     law_holds(sharding.shard_rows(edges).collect(), len(EDGES), 24)
     assert sharding.shard_rows(nothing).count() == 0

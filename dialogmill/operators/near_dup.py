@@ -40,21 +40,24 @@ def resolve_any(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("b").alias("doc_id")).distinct()
 
 
-def resolve_greedy(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed; without a checkpoint folder on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def resolve_greedy(pairs: DataFrame) -> DataFrame:
     """doc_id of each class with an earlier similar one that is itself kept.
 
-    Rounds over the links: who has no undecided earlier neighbour is kept, and its later neighbours drop.
-    The links are checkpointed each round.
+    Rounds over the links: who has no undecided earlier neighbour is kept, and its later neighbours drop,
+    until no links are left. The links are checkpointed each round.
     """
-    left = pairs.select("a", "b").distinct().checkpoint()
+    left = cut(pairs.select("a", "b").distinct())
     dropped = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         later = left.select(F.col("b").alias("a")).distinct()
-        out = left.join(later, "a", "left_anti").select(F.col("b").alias("doc_id")).distinct().checkpoint()
+        out = cut(left.join(later, "a", "left_anti").select(F.col("b").alias("doc_id")).distinct())
         dropped = out if dropped is None else dropped.unionByName(out)
         gone = out.select(F.col("doc_id").alias("x"))
         kept = left.join(later, "a", "left_anti").select(F.col("a").alias("x")).distinct()
-        left = left.join(gone, left.b == gone.x, "left_anti").join(gone, left.a == gone.x, "left_anti").join(kept, left.a == kept.x, "left_anti").checkpoint()
+        left = cut(left.join(gone, left.b == gone.x, "left_anti").join(gone, left.a == gone.x, "left_anti").join(kept, left.a == kept.x, "left_anti"))
     return dropped if dropped is not None else pairs.select(F.col("b").alias("doc_id")).limit(0)

@@ -58,6 +58,12 @@ def dedup_near(spark, sf_dir):
     return near_dup.resolve_any(near_dup.similar_pairs(_classes(spark, sf_dir), NEAR))
 
 
+@query()
+def dedup_near_greedy(spark, sf_dir):
+    """The rule that compares with accepted documents only."""
+    return near_dup.resolve_greedy(near_dup.similar_pairs(_classes(spark, sf_dir), NEAR))
+
+
 @query(f"WITH {q.PAIRS}, l AS (SELECT *, 'Q: ' || {q.normalize('question')} || ' A: ' || {q.normalize('answer')} AS line FROM pairs), g AS (SELECT conv_id, turn, lag(line, 2) OVER w AS l2, lag(line, 1) OVER w AS l1 FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, {q.strip(f'''substr({q.strip(f"concat_ws(' ', {q.normalize('l2')}, {q.normalize('l1')})")}, 1, 420)''')} AS prior FROM g")
 def prior_turns(spark, sf_dir):
     return op.prior_turns(pairs(spark, sf_dir)).select("conv_id", "turn", "prior")

@@ -9,6 +9,7 @@ from dialogmill.functions import constants as K
 from dialogmill.functions import scoring as sc
 from dialogmill.functions import text as t
 from dialogmill.functions import web
+from dialogmill.operators import near_dup
 from dialogmill.operators.quota import category_quotas
 from dialogmill.plans import sql as q
 from dialogmill.plans.base import pages, query
@@ -18,7 +19,7 @@ C = F.col
 BLOCKED = ["spam-farm.example.org", "spam-farm.example.com", "casino-win.example.com", "ads-track.example.org"]
 ALLOWED = ["example.com", "example.org"]
 EXCLUDED = [r"\?utm_", r"/(login|signup)", r"/9\d\d$"]
-MIN_CHARS, MIN_QUALITY, MAX_PER_DOMAIN = 400, 0.2, 6
+MIN_CHARS, MIN_QUALITY, MAX_PER_DOMAIN, NEAR = 400, 0.2, 6, 0.84
 
 
 @query(f"WITH h AS (SELECT page_id, {q.html_text('html')} AS body FROM pages) SELECT page_id, md5(body) AS body_md5, length(body)::INT AS n_chars, 'simple' AS extract_method FROM h")
@@ -102,6 +103,31 @@ def rejected(spark, sf_dir):
     return rows.withColumn("reason", reason).drop("rn", "noise")
 
 
+def rejected_whole(spark, sf_dir):
+    """rejected() and the rules that look at other rows, each on what the ones before accept, in the order of page_id:
+    duplicates of a url, equal token sets, near duplicates of kept pages, pages over the cap of their domain.
+    """
+    rows = pages(spark, sf_dir).select("page_id", web.canonical(C("url")).alias("canonical"), web.host(C("url")).alias("host"), web.title(C("html"), C("url")).alias("title"), web.html_text(C("html")).alias("body"))
+    reason = (
+        F.when(C("canonical") == "", "invalid_scheme_or_url").when(web.matches_domain(C("host"), BLOCKED), "blocked_domain")
+        .when(~web.matches_domain(C("host"), ALLOWED), "allow_domain_filtered").when(web.excluded(C("canonical"), EXCLUDED), "excluded_pattern")
+        .when(F.length("body") < MIN_CHARS, "min_text_chars").when(sc.noise(C("body")), "noise").when(C("quality") < MIN_QUALITY, "quality_threshold")
+    )
+    rows = rows.withColumn("quality", sc.web_quality(C("body"), C("title"))).withColumn("reason", reason).withColumn("tokens", t.token_set(C("body")))
+    rows = near_dup.cut(rows.withColumn("print", t.fingerprint(C("tokens"))))
+    turn = lambda name: F.row_number().over(Window.partitionBy(name).orderBy("page_id"))
+    left = rows.where("reason IS NULL").select("page_id", "canonical", "host", "print", "tokens")
+    left = left.withColumn("late", F.when(turn("canonical") > 1, "duplicate_url"))
+    urls, left = left.where("late IS NOT NULL"), left.where("late IS NULL")
+    left = left.withColumn("late", F.when(turn("print") > 1, "fingerprint_duplicate"))
+    prints, left = left.where("late IS NOT NULL"), near_dup.cut(left.where("late IS NULL"))
+    gone = near_dup.resolve_greedy(near_dup.similar_pairs(near_dup.set_classes(left.select(C("page_id").alias("doc_id"), "tokens")), NEAR)).select(C("doc_id").alias("page_id"), F.lit("near_duplicate").alias("late"))
+    capped = left.join(gone, "page_id", "left_anti").withColumn("late", F.when(turn("host") > MAX_PER_DOMAIN, "per_domain_cap")).where("late IS NOT NULL")
+    late = [x.select("page_id", "late") for x in (urls, prints, gone, capped)]
+    late = late[0].unionByName(late[1]).unionByName(late[2]).unionByName(late[3])
+    return rows.join(late, "page_id", "left").withColumn("reason", F.coalesce("reason", "late")).drop("late", "tokens", "print")
+
+
 _REJECTED = f"""
 b AS MATERIALIZED (SELECT page_id, {q.canonical('url')} AS canonical, {q.host('url')} AS host, {_TITLE} AS title, {q.html_text('html')} AS body FROM pages),
 l AS MATERIALIZED (SELECT *, {_noise_sql('body')[0]} AS lines, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS rn, {web_quality_sql('body', 'title')} AS quality FROM b),
@@ -119,7 +145,20 @@ WITH {_REJECTED} SELECT substr(md5(canonical || '|' || title), 1, 16) AS id, can
   substr(sha1(array_to_string(list_sort({q.token_set('body')}), ' ')), 1, 16) AS text_hash, md5(substr(body, 1, 22000)) AS text_md5 FROM rej WHERE reason IS NULL
 """)
 def web_corpus(spark, sf_dir):
-    rows = rejected(spark, sf_dir).where("reason IS NULL")
+    return _records(rejected(spark, sf_dir).where("reason IS NULL"))
+
+
+@query()
+def reject_reasons_whole(spark, sf_dir):
+    return rejected_whole(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def web_corpus_whole(spark, sf_dir):
+    return _records(rejected_whole(spark, sf_dir).where("reason IS NULL"))
+
+
+def _records(rows):
     return rows.select(F.substring(F.md5(F.concat_ws("|", "canonical", "title").cast("binary")), 1, 16).alias("id"), C("canonical").alias("url"), "title", C("host").alias("source_domain"), sc.detect_language(C("body")).alias("language"), F.round("quality", 4).alias("quality_score"), F.lit("simple").alias("extract_method"), F.substring(t.fingerprint(t.token_set(C("body"))), 1, 16).alias("text_hash"), F.md5(F.substring("body", 1, 22000).cast("binary")).alias("text_md5"))
 
 

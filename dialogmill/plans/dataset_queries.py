@@ -172,6 +172,27 @@ def dpo_session(spark, sf_dir):
     return out.select("key", "pos", F.md5(C("chosen").cast("binary")).alias("chosen_md5"), F.md5(C("rejected").cast("binary")).alias("rejected_md5"), "source", "confidence")
 
 
+def _whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(C("lang"), F.lit("-"), (C("doc_id") % 40).cast("string")).alias("key"), C("text").alias("answer"), C("doc_id").alias("pos"))
+
+
+@query()
+def dpo_legacy_whole(spark, sf_dir):
+    """dpo_legacy with whole answers."""
+    rows = _whole(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    out = dpo.legacy_pairs(rows.where("quality = 1"), rows.where("quality = 0"))
+    return out.select("key", "pos", F.md5(C("chosen").cast("binary")).alias("chosen_md5"), F.md5(C("rejected").cast("binary")).alias("rejected_md5"), "confidence")
+
+
+@query()
+def dpo_session_whole(spark, sf_dir):
+    """dpo_session with whole answers: every bad label is a rejected answer, every document a sample."""
+    rows = _whole(spark, sf_dir)
+    reviewed = rows.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("label", F.when(C("quality") == 1, "chosen").when(C("quality") == 0, "rejected"))
+    out = dpo.session_pairs(reviewed.select("key", "answer", "label", "pos"), rows.select("key", C("answer").alias("completion"), "pos"))
+    return out.select("key", "pos", F.md5(C("chosen").cast("binary")).alias("chosen_md5"), F.md5(C("rejected").cast("binary")).alias("rejected_md5"), "source", "confidence")
+
+
 def _metrics(spark, sf_dir):
     rows = pairs(spark, sf_dir).select(C("answer"), sc.classify(C("question"), C("answer")).alias("category"), (sc.answer_hundredths(C("answer"), C("question"))).alias("h"), (C("turn") % 3 == 0).alias("specific"), t.failure_tags(C("answer")).alias("tags"), t.word_count(C("answer")).alias("w"))
     one = lambda c: F.avg(c.cast("int"))

@@ -289,7 +289,7 @@ AS_OF = 1_707_000_000_000
 @query()
 def retrieve_topk(spark, sf_dir):
     """The benchmark's passages as queries; tests hold this against scoring every chunk."""
-    asked = table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query"), F.element_at(F.array(*map(F.lit, K.INTENT_MULTIPLIER)), (C("item_id") % 3 + 1).cast("int")).alias("intent"))
+    asked = table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"), F.element_at(F.array(*map(F.lit, K.INTENT_MULTIPLIER)), (C("item_id") % 3 + 1).cast("int")).alias("intent"))
     return ch.retrieve(ch.chunks(_sources(spark, sf_dir)), asked, limit=5, as_of_ms=AS_OF)
 
 

@@ -109,7 +109,7 @@ def reviewed_list(spark, sf_dir):
 def retrieval_mix(spark, sf_dir):
     """Context of each benchmark passage: the best of the candidate's own sources and of the knowledge sources, without repeats, seven at most."""
     chunked = ch.chunks(dq._sources(spark, sf_dir))
-    asked = table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query"), F.lit("mixed").alias("intent"))
+    asked = table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"), F.lit("mixed").alias("intent"))
     own = ch.retrieve(chunked, asked, 4, dq.AS_OF, ["job_desc", "cv", "github", "linkedin", "note"]).withColumn("part", F.lit(0))
     known = ch.retrieve(chunked, asked, 3, dq.AS_OF, ["knowledge_base", "web_corpus", "glossary"]).withColumn("part", F.lit(1))
     both = own.unionByName(known).join(chunked.select("source_id", "chunk_no", "chunk"), ["source_id", "chunk_no"])

@@ -1,5 +1,6 @@
 """Relational operators against plain loops."""
 
+import hashlib
 import random
 
 import pytest
@@ -124,3 +125,60 @@ def test_interval_join_at_edges(spark):
 def test_replace_sources(spark):
     rows = spark.createDataFrame([("note", "A", 1, "x"), ("note", "a", 2, "y")], "type string, name string, importedAtMs long, content string")
     assert [r["content"] for r in replace_sources(rows).collect()] == ["y"]
+
+
+def test_greedy_resolution_decides_long_chains(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(104)], "a long, b long")
+    assert {r[0] for r in near_dup.resolve_greedy(pairs).collect()} == set(range(1, 105, 2))
+
+
+def test_dpo_answers_are_whole(spark, tmp_path):
+    docs = [(0, "en", "a" * 400 + "good"), (40, "en", "a" * 400 + "bad"), (80, "en", "x" * 500), (1, "en", "y" * 250), (41, "en", "z" * 250)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1), (40, 0), (1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    md5 = {hashlib.md5(t.encode()).hexdigest(): i for i, _, t in docs}
+    found = lambda f: {(r["pos"], md5[r["chosen_md5"]], md5[r["rejected_md5"]]) for r in f(spark, str(tmp_path)).collect()}
+    assert found(dq.dpo_legacy_whole) == {(0, 0, 40)} and found(dq.dpo_session_whole) == {(0, 0, 40), (1, 1, 41)}
+
+
+def test_retrieval_uses_whole_passages(spark, tmp_path):
+    text = " ".join(f"early{i}" for i in range(40))
+    spark.createDataFrame([(0, 0, text + " quokka wombat numbat")], "item_id long, x long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["other words fill this chunk of text until it is long enough to be kept " * 2] * 90
+    texts[81] = "quokka wombat numbat are the words at the end of this passage and nothing else is shared with it at all"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source_id"]: r["score"] for r in dq.retrieve_topk(spark, str(tmp_path)).collect()}
+    base = {r["source_id"]: r["score"] for r in got_without(spark, tmp_path)}
+    assert got[81] > base.get(81, 0)
+
+
+def got_without(spark, tmp_path):
+    asked = spark.createDataFrame([(0, "early0", next(iter(K.INTENT_MULTIPLIER)))], "query_id long, query string, intent string")
+    return chunks.retrieve(chunks.chunks(dq._sources(spark, str(tmp_path))), asked, limit=90, as_of_ms=dq.AS_OF).collect()
+
+
+def test_web_rules_that_look_at_other_pages(spark, sf_dir):
+    from dialogmill.functions import text as t
+    from dialogmill.plans import web_queries as wq
+
+    rows = sorted(wq.rejected_whole(spark, sf_dir).withColumn("s", t.token_set(F.col("body"))).collect(), key=lambda r: r["page_id"])
+    late = ["duplicate_url", "fingerprint_duplicate", "near_duplicate", "per_domain_cap"]
+    want, left = {}, [r for r in rows if r["reason"] is None or r["reason"] in late]
+    urls, prints, kept, hosts = set(), set(), [], {}
+    for r in left:
+        s = frozenset(r["s"])
+        if r["canonical"] in urls:
+            want[r["page_id"]] = late[0]
+            continue
+        urls.add(r["canonical"])
+        if s in prints:
+            want[r["page_id"]] = late[1]
+            continue
+        prints.add(s)
+        if any(len(s & k) >= 0.84 * len(s | k) for k in kept if s):
+            want[r["page_id"]] = late[2]
+            continue
+        kept.append(s)
+        hosts[r["host"]] = hosts.get(r["host"], 0) + 1
+        want[r["page_id"]] = late[3] if hosts[r["host"]] > wq.MAX_PER_DOMAIN else None
+    assert {r["page_id"]: r["reason"] for r in left} == want and set(want.values()) & {*late[1:]}

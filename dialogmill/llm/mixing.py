@@ -74,6 +74,10 @@ def bisect_exponent(sources: DataFrame, max_repeats: float | None, min_entropy:
     return exponent, most * z / top
 
 
+def most_tokens(sources: DataFrame) -> int:
+    return sources.agg(F.max("tokens")).first()[0] or 0
+
+
 def source_budgets(sources: DataFrame, max_repeats: float | None = 2.0, min_entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
     """source, n_docs, tokens, weight, budget (tokens), full (whole blocks), rest (tokens of the last block)."""
     exponent, budget = bisect_exponent(sources, max_repeats, min_entropy)
@@ -83,7 +87,8 @@ def source_budgets(sources: DataFrame, max_repeats: float | None = 2.0, min_entr
     out = sources.withColumn("weight", power / F.lit(float(z)))
     # a hair is added, so that the source that makes one whole pass isn't rounded below it
     budget_of = F.floor(F.col("weight") * F.lit(float(budget_tokens or budget)) + F.lit(1e-6)).cast("long")
-    out = out.withColumn("budget", budget_of)
+    # of the largest source at scale the hair is less than the rounding: by default no source is cut below a whole pass
+    out = out.withColumn("budget", budget_of if budget_tokens else F.when(F.col("tokens") == F.lit(most_tokens(sources)), F.greatest(budget_of, F.col("tokens"))).otherwise(budget_of))
     full = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(1).cast("long")
     return out.withColumn("full", full).withColumn("rest", F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(0).cast("long"))
 

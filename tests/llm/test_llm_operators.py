@@ -88,6 +88,14 @@ def test_mixing_entropy(spark):
     assert -sum(x * np.log(x) for x in w) == pytest.approx(0.6, abs=1e-4)
 
 
+def test_largest_source_makes_a_whole_pass_at_any_size(spark):
+    """Rounding of weight * budget grows with the tokens; the largest source must not lose its last document."""
+    for most in range(20_000_000_003, 20_000_000_011):
+        rows = [("big", 10, most)] + [(f"s{i}", 10, most // (3 * i + 2) + 7 * i) for i in range(12)]
+        got = {r["source"]: r for r in mixing.source_budgets(spark.createDataFrame(rows, "source string, n_docs long, tokens long")).collect()}
+        assert got["big"]["full"] == 1 and got["big"]["budget"] >= most
+
+
 def test_mixing_edges(edges, nothing):
     out = mixing.mix(edges)
     assert out.columns[: len(edges.columns) - 1] == [c for c in edges.columns if c != "block"]

@@ -1,13 +1,15 @@
 """Exact near-duplicate links: Jaccard similarity of the sets of five-word shingles.
 
 Candidates by prefix filtering: under any fixed order of shingles, two sets with similarity t or more share one of
-their first n - ceil(t * n) + 1 ones. Here shingles that are frequent in a sample come last; the sample
-sets the order only, so it bears on speed, not on the result.
+their first n - ceil(t * n) + 1 ones, and at the first shared place enough of both sets is left for the overlap that t
+asks for (Bayardo et al. 2007; Xiao et al. 2008). Shingles that are frequent in a sample come last; the sample sets the order only, so it
+bears on speed, not on the result.
 
-Equal sets are one class. Buckets (classes that share a prefix shingle) with over ``few`` members are first
-linked to one member each, in PIVOTS rounds, which makes a row for each member, not for each pair. Then all pairs of
-buckets that still hold several components are compared by signatures, whose distance is at most that of the sets, and
-what these leave by the sets. So every pair at the threshold ends in one component.
+Equal sets are one class. Buckets (classes that share a prefix shingle) with over ``LARGE`` members are first compared with
+PIVOTS members each, which makes rows in proportion to the members. Then the pairs of a bucket that still lie in different
+components are compared by sizes, places and signatures, whose distance is at most that of the sets: small buckets by a
+join, others in blocks of ``BLOCK`` by ``BLOCK`` members, so that no task holds a whole bucket; only what these leave is emitted and
+compared by the sets. So every pair at the threshold ends in one component.
 
 A text of one to four words is one shingle; a text without words has no similar one here.
 """
@@ -26,45 +28,72 @@ from dialogmill.llm.common import materialize, prepare_python
 
 WIDTH = 5
 SIMILAR = 0.8
-FEW = 512
-PIVOTS = 2
+#: Buckets up to SMALL are joined; from LARGE on they are compared with PIVOTS members first.
+SMALL, LARGE, PIVOTS, BLOCK = 16, 512, 8, 1024
 BITS = 512
-SAMPLE = 2000
+#: Documents of the sample, about; frequent shingles that are kept of it, at most.
+SAMPLE, OFTEN = 8192, 65_536
 STEP = 100
-BROADCAST_PAIRS = 500_000
+BROADCAST_ROWS = 200_000
 SEED = 43
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z in lower case, split at ASCII blanks."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles: the words' XXH64 are mixed in order."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    h = np.array([digest(w, SEED) for w in words], np.uint64)
+    n = max(1, len(h) - width + 1)
+    out = np.full(n, min(len(h), width), np.uint64)
+    for k in range(min(width, len(h))):
+        out = (out ^ (out >> np.uint64(29)) ^ h[k : k + n]) * _MIX
+    return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def prefix(found: np.ndarray, often: np.ndarray, threshold: float) -> np.ndarray:
-    """The first shingles of the order: those not in ``often`` (sorted) by hash, then the others."""
+def prefix(found: np.ndarray, often: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles of the order: those not in ``often`` (sorted) by hash, then the others by their ``place``."""
     n = len(found)
     size = n - ceil(n * threshold - 1e-9) + 1 if n else 0
-    late = np.isin(found, often, assume_unique=True)
-    return np.concatenate([found[~late], found[late]])[:size]
+    if not len(often):
+        return found[:size]
+    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+    late = often[at] == found
+    if n - late.sum() >= size:
+        return found[~late][:size]
+    return np.concatenate([found[~late], found[late][np.argsort(place[at[late]])]])[:size]
 
 
-def signature(found: np.ndarray) -> bytes:
+def signature(found: np.ndarray) -> np.ndarray:
     """Parities of the numbers of shingles in BITS parts: two sets' signatures differ in no more bits than the sets in shingles."""
     odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
 
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of several texts of a sample, sorted; their places by frequency). Counted on the executors; at most OFTEN come back."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles of several texts of a sample."""
-    found = [shingles(r["text"]) for r in docs.select("text").limit(SAMPLE).toLocalIterator()]
-    hashes, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
-    return hashes[n > 2]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
+            found = [shingles(words_of(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["h"])
+
+    picked = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    top = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.col("n").desc(), "h").limit(OFTEN)
+    rows = sorted((r["h"] % (1 << 64), r["n"]) for r in top.collect())
+    often, n = np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+    place = np.empty(len(rows), np.int64)
+    place[np.lexsort((often, n))] = np.arange(len(rows))
+    return often, place
 
 
 def shingle_digests(docs: DataFrame) -> DataFrame:
@@ -75,7 +104,7 @@ def shingle_digests(docs: DataFrame) -> DataFrame:
         import xxhash
 
         for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
-            sets = [shingles(t) for t in batch.column(0).to_pylist()]
+            sets = [shingles(words_of(t)) for t in batch.column(0).to_pylist()]
             digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["c", "s"])
 
@@ -84,65 +113,84 @@ def shingle_digests(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """doc_id, fp, c (digest of the set), n, p (its prefix), sig (its signature) of every row of ``docs`` (doc_id, text)."""
-    from dialogmill.llm.simhash import fingerprint
+    from dialogmill.llm.simhash import fingerprint_of
 
-    prepare_python(docs.sparkSession)
-    often = frequent(docs)
+    spark = docs.sparkSession
+    prepare_python(spark)
+    sent = spark.sparkContext.broadcast(frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        often, place = sent.value
         for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
-            texts = batch.column(1).to_pylist()
-            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            sets = [shingles(t) for t in texts]
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            fps = np.array([fingerprint_of(w) for w in words], np.uint64).view(np.int64)
+            sets = [shingles(w) for w in words]
             digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            firsts = pa.array([prefix(s, often, threshold).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(digests), pa.array([len(s) for s in sets], pa.int32()), firsts, pa.array([signature(s) for s in sets], pa.binary())], names=["doc_id", "fp", "c", "n", "p", "sig"])
+            firsts = pa.array([prefix(s, often, place, threshold).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            signs = pa.array([signature(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(digests), pa.array([len(s) for s in sets], pa.int32()), firsts, signs], names=["doc_id", "fp", "c", "n", "p", "sig"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long, c long, n int, p array<long>, sig binary")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long, c long, n int, p array<long>, sig array<long>")
 
 
 def _sized(a: Column, b: Column, threshold: float) -> Column:
-    return (F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9)
+    return F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
+
+
+def _reaches(n: Column, i: Column, m: Column, j: Column, threshold: float) -> Column:
+    """What is left from the places i and j on suffices; holds at the first shared shingle of a similar pair."""
+    return F.least(n - i, m - j) >= (n + m) * (threshold / (1 + threshold)) - 1e-6
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The distinct pairs (a, b) of classes whose signatures leave the similarity possible."""
+    side = lambda name, n, sig: classes.select(F.col("c").alias(name), F.col("n").alias(n), F.col("sig").alias(sig))
+    both = pairs.distinct().join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.where(differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("a", "b")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, label: str) -> DataFrame:
     """The pairs (a, b) of classes that are similar, by the sets of one text of each, computed again."""
-    pairs = materialize(pairs.distinct(), f"{label}-candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    few = pairs.count() <= BROADCAST_PAIRS
-    small = F.broadcast if few else lambda df: df
-    ids = materialize(classes.select("c", "id").join(small(asked), "c", "left_semi").select(F.col("id").alias("__id")).distinct(), f"{label}-ids")
-    chosen = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    texts = materialize(shingle_digests(chosen).join(small(asked), "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")), f"{label}-sets")
-    both = pairs.join(texts.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(texts.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+    pairs = materialize(pairs, f"{label}-candidates")
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "id"), "c"), f"{label}-asked")
+    n = asked.count()
+    chosen = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(_small(asked.select(F.col("id").alias("__id")).distinct(), n), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = shingle_digests(chosen).join(_small(asked.select("c"), n), "c", "left_semi").dropDuplicates(["c"])
+    sets = materialize(sets, f"{label}-sets")
+    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return materialize(both.where(shared >= (F.size("x") + F.size("y") - shared) * threshold - 1e-9).select("a", "b"), f"{label}-links")
 
 
-def similar_links(sets: DataFrame, docs: DataFrame, threshold: float = SIMILAR, few: int = FEW) -> DataFrame:
+def similar_links(sets: DataFrame, docs: DataFrame, threshold: float = SIMILAR, small: int = SMALL, large: int = LARGE, block: int = BLOCK) -> DataFrame:
     """a, b (fingerprints): enough links to connect all rows of ``sets`` (those of ``docs``) at ``threshold`` or more."""
     from dialogmill.llm.simhash import components
 
     label = "shingles"
     classes = materialize(sets.where("n > 0").groupBy("c").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"), F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("sig").alias("sig")), f"{label}-classes")
-    keys = classes.select("c", "n", F.explode("p").alias("h"))
-    sizes = keys.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    left = materialize(keys.join(sizes, "h"), f"{label}-buckets")
-    left, links = left.withColumn("root", F.col("c")), None
-    for turn in range(PIVOTS):
-        large = left.where(F.col("members") > few)
-        if large.isEmpty():
-            break
-        one = large.groupBy("h").agg(F.min_by(F.struct("c", "n"), F.xxhash64("c", F.lit(turn))).alias("one"))
-        pairs = large.join(one, "h").where((F.col("c") != F.col("one.c")) & _sized(F.col("n"), F.col("one.n"), threshold))
-        found = _verified(pairs.select(F.least("c", "one.c").alias("a"), F.greatest("c", "one.c").alias("b")), classes, docs, threshold, label)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        left = _unsettled(left.drop("root", "members"), components(links, label), label)
-    found = _verified(_candidates(left.drop("n").join(classes.select("c", "n", "sig"), "c"), threshold), classes, docs, threshold, label)
+    keys = classes.select("c", "n", F.posexplode("p").alias("i", "h"))
+    sizes = classes.select(F.explode("p").alias("h")).groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
+    left = materialize(keys.join(sizes, "h").withColumn("root", F.col("c")), f"{label}-buckets")
+    links = None
+    hot = left.where(F.col("members") > large)
+    if not hot.isEmpty():
+        picks = F.array_distinct(F.array(*[F.min_by(F.struct("c", "n", "i"), F.xxhash64("c", F.lit(k))) for k in range(PIVOTS)]))
+        pairs = hot.join(hot.groupBy("h").agg(picks.alias("picks")), "h").select("c", "n", "i", F.explode("picks").alias("o"))
+        pairs = pairs.where((F.col("c") != F.col("o.c")) & _sized(F.col("n"), F.col("o.n"), threshold) & _reaches(F.col("n"), F.col("i"), F.col("o.n"), F.col("o.i"), threshold))
+        links = _verified(_likely(pairs.select(F.least("c", "o.c").alias("a"), F.greatest("c", "o.c").alias("b")), classes, threshold), classes, docs, threshold, label)
+        left = _unsettled(left, components(links, label), label)
+    found = _joined(left.where(F.col("members") <= small), threshold)
+    many = left.where(F.col("members") > small)
+    if not many.isEmpty():
+        found = found.unionByName(_blocked(many.join(classes.select("c", "sig"), "c"), threshold, block))
+    found = _verified(_likely(found, classes, threshold), classes, docs, threshold, label)
     links = found if links is None else links.unionByName(found)
     print_of = classes.select("c", "fp")
     out = links.join(print_of.select(F.col("c").alias("a"), F.col("fp").alias("fa")), "a").join(print_of.select(F.col("c").alias("b"), F.col("fp").alias("fb")), "b")
@@ -150,41 +198,71 @@ def similar_links(sets: DataFrame, docs: DataFrame, threshold: float = SIMILAR,
     return out.select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionByName(same.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
 
 
-def _candidates(buckets: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the pairs of a bucket (h, c, n, root, sig) that sizes, components and signatures leave possible."""
+def _joined(buckets: DataFrame, threshold: float) -> DataFrame:
+    """a, b of the pairs of small buckets (h, c, n, i, root)."""
+    x = buckets.select("h", "c", "n", "i", "root")
+    y = buckets.select(F.col("h").alias("__h"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
+    on = (F.col("h") == F.col("__h")) & (F.col("c") < F.col("d")) & (F.col("root") != F.col("other")) & _sized(F.col("n"), F.col("m"), threshold) & _reaches(F.col("n"), F.col("i"), F.col("m"), F.col("j"), threshold)
+    return x.join(y, on).select(F.col("c").alias("a"), F.col("d").alias("b"))
+
+
+def _blocked(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a, b of the pairs of buckets (h, members, c, n, i, root, sig) that sizes, places, components and signatures leave possible.
+
+    A bucket is dealt into blocks; each pair of blocks, and each block with itself, is one group of at most about 2 * ``block`` rows.
+    """
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    rows = buckets.withColumn("own", F.pmod(F.xxhash64("c", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    rows = rows.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("k"), side.alias("side"), "c", "n", "i", "root", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            c, n, root, sig = (np.concatenate(x) for x in zip(*parts))
-            for i in range(len(c) - 1):
-                m = n[i + 1 :]
-                rest = np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(m, n[i]) >= np.maximum(m, n[i]) * threshold - 1e-9)) + i + 1
-                differ = np.bitwise_count(sig[rest] ^ sig[i]).sum(axis=1, dtype=np.int64)
-                rest = rest[differ <= (n[rest] + n[i]) * (1 - threshold) / (1 + threshold) + 1e-6]
+        out: list[np.ndarray] = []
+
+        def compare(parts: list[tuple]) -> None:
+            side, c, n, i, root, sig = (np.concatenate(x) for x in zip(*parts))
+            own = np.flatnonzero(side < 2)
+            for x in own:
+                rest = np.flatnonzero(side == 2) if side[x] else np.arange(x + 1, len(c))
+                rest = rest[root[rest] != root[x]]
+                m = n[rest]
+                rest = rest[(np.minimum(m, n[x]) >= np.maximum(m, n[x]) * threshold - 1e-9) & (np.minimum(m - i[rest], n[x] - i[x]) >= (m + n[x]) * (threshold / (1 + threshold)) - 1e-6)]
+                differ = np.bitwise_count(sig[rest] ^ sig[x]).sum(axis=1, dtype=np.int64)
+                rest = rest[differ <= (n[rest] + n[x]) * ((1 - threshold) / (1 + threshold)) + 1e-6]
                 if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[rest], c[i])), pa.array(np.maximum(c[rest], c[i]))], names=["a", "b"])
+                    out.append(np.stack([np.minimum(c[rest], c[x]), np.maximum(c[rest], c[x])]))
+
+        def emit() -> pa.RecordBatch:
+            both = np.unique(np.concatenate(out, axis=1), axis=1)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
         last, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, c, n, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(h), -1)
-            cuts = (np.flatnonzero(h[1:] != h[:-1]) + 1).tolist()
-            for lo, hi in zip([0, *cuts], [*cuts, len(h)], strict=True):
-                if held and last != h[lo]:
-                    yield from closed(held)
+            k, side, c, n, i, root = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(6))
+            sig = batch.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(k), -1)
+            cuts = (np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(k)], strict=True):
+                if held and last != k[lo]:
+                    compare(held)
                     held = []
-                last = h[lo]
-                held.append((c[lo:hi], n[lo:hi].astype(np.int64), root[lo:hi], sig[lo:hi]))
+                last = k[lo]
+                held.append((side[lo:hi], c[lo:hi], n[lo:hi].astype(np.int64), i[lo:hi].astype(np.int64), root[lo:hi], sig[lo:hi]))
+            if len(out) > 10_000:
+                yield emit()
         if held:
-            yield from closed(held)
+            compare(held)
+        if out:
+            yield emit()
 
-    return buckets.select("h", "c", "n", "root", "sig").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long")
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
 def _unsettled(buckets: DataFrame, star: DataFrame, label: str) -> DataFrame:
-    """h, c, n, root, members of the buckets (h, c, n) that hold several components."""
-    rooted = buckets.join(star.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("h", "members")
-    return materialize(rooted.join(open_, "h"), f"{label}-buckets")
+    """The rows (h, c, n, i, members, root) of the buckets that hold several components."""
+    rooted = buckets.drop("root").join(star.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted = materialize(rooted, f"{label}-rooted")
+    several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    return rooted.join(several, "h", "left_semi")

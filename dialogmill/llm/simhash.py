@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.llm.common import materialize, prepare_python, table
-from dialogmill.llm.shingles import shingle_sets, similar_links
+from dialogmill.llm.shingles import shingle_sets, similar_links, words_of
 
 RADIUS = 3
 SEED = 42
@@ -38,9 +38,12 @@ _CHUNK = 1 << 15
 
 
 def fingerprint(text: str | None) -> int:
+    return fingerprint_of(words_of(text))
+
+
+def fingerprint_of(words: list[bytes]) -> int:
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII blanks
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest

@@ -55,8 +55,8 @@ def test_edges_of_stages(spark):
                 assert None in got and 5 not in got and 0 in got
 
 
-@pytest.mark.parametrize("few", [2, 32])
-def test_near_copies_of_five_word_shingles(spark, few):
+@pytest.mark.parametrize("sizes", [{}, {"small": 0, "large": 8, "block": 7}, {"small": 3, "large": 2}])
+def test_near_copies_of_five_word_shingles(spark, sizes):
     """Against all pairs: copies at 0.8 or more go, whatever bits of their fingerprints differ."""
     import random
 
@@ -88,7 +88,7 @@ def test_near_copies_of_five_word_shingles(spark, few):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_dedup(spark, docs, None)
     assert {r["doc_id"] for r in kept.collect()} == {top(i) for i in sets}
-    found = shingles.similar_links(common.materialize(shingles.shingle_sets(docs), "test-sets"), docs, few=few).collect()
+    found = shingles.similar_links(common.materialize(shingles.shingle_sets(docs), "test-sets"), docs, **sizes).collect()
     ids = {}
     for i, p in prints.items():
         ids.setdefault(p, i)

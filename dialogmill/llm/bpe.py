@@ -7,7 +7,8 @@ one and their ids concatenated. Fragments, like white-space-free chunks, recur,
 both, and the pre-tokens, in bounded caches.
 
 Nulls: a null text is encoded as the empty text, which has no ids and decodes to the empty text. Texts
-are encoded whole, whatever their length. Rows are encoded one by one; extra columns are ignored.
+are encoded whole, whatever their length. Rows, repeated ones too, are encoded one by one; an empty table gives an empty
+result; extra columns are ignored. Tokenizers of another kind are an error.
 """
 
 from __future__ import annotations
@@ -51,6 +52,22 @@ def byte_characters() -> list[str]:
     return out
 
 
+# fixed value: the pre-tokens of the vocabularies with word ends that are handled here
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def drops_white_space(spec: dict) -> bool:
+    """Whether a tokenizer is of the kind that WordBpe does: byte-level merges within pre-tokens that hold no white space, with word ends."""
+    model, pre, normal = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    split = pre.get("pretokenizers") or [{}]
+    return (
+        model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("continuing_subword_prefix") and not model.get("dropout") and not model.get("unk_token")
+        and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": WORD_PATTERN} and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+        and [x.get("type") for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
+    )
+
+
 class Recent(dict):
     """A cache of make(key) in two generations of at most half of ``size`` each."""
 
@@ -76,6 +93,8 @@ class WordBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not drops_white_space(spec):
+            raise ValueError(f"{path} is no tokenizer with word ends that drops white space")
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -213,22 +232,26 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The digests of encode(), made where the ids are, so that these don't leave the worker."""
+def encode_digests(docs: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, the digests of encode()'s results and, if asked, the ids; the digests are made where the ids are."""
     prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer_path(tokenizer))
-        for batch in batches:
-            n, a, b = [], [], []
+        for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
+            n, a, b, c = [], [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "")
+                packed = np.array(ids, "<u4")
                 n.append(len(ids))
-                a.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                a.append(hashlib.sha256(packed.tobytes()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    c.append(packed.view("<i4"))
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(c, pa.list_(pa.int32()))} if with_ids else {}))
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ A task writes its own shards, to paths with its attempt's number, and emits rows
 a task that is lost and run again leaves at most unused files. Copies in different shards are stored
 once each: to join them would need the payloads to be shuffled. Shards go to the shared folder.
 
-Nulls: a null text counts as the empty text, a payload of 64 zeros. Texts are stored whole. Repeated
+Nulls: a null text counts as the empty text, a payload of 64 zeros. Texts are stored whole, whatever their length. Repeated
 rows point to the same bytes or equal ones. An empty table writes nothing. Extra columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dialogmill.llm.common import prepare_python, shared_dir, table
+from dialogmill.llm.common import materialize, prepare_python, shared_dir, table
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
@@ -111,7 +111,7 @@ class _Shard:
 
 
 def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, digest, shard, offset, length for every row of ``docs`` (doc_id, text); its tasks write the shards."""
+    """doc_id, n_bytes, digest, shard, offset, length for every row of ``docs`` (doc_id, text); its tasks write the shards, with each action on the plan (see manifest())."""
     spark = docs.sparkSession
     prepare_python(spark)
     folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
@@ -142,6 +142,11 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_B
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def manifest(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """store()'s rows, written once: whatever is done with them reads the shards that are there and writes none."""
+    return materialize(store(docs, folder, shard_bytes), "media-manifest")
+
+
 def features(payload: bytes) -> str:
     """Height, sum of the samples, distinct samples, and sum of the differences of neighbours."""
     x = np.frombuffer(payload, np.uint8)
@@ -200,5 +205,5 @@ def read_back(rows: DataFrame) -> DataFrame:
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
-    out = read_back(with_headers(store(table(spark, sf_dir, "documents"))))
+    out = read_back(with_headers(manifest(table(spark, sf_dir, "documents"))))
     return out.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "length AS media_bytes", "media_sha256", "feature", "width", "height")

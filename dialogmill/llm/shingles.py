@@ -112,7 +112,7 @@ def shingle_digests(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """doc_id, fp, c (digest of the set), n, p (its prefix), sig (its signature) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, t (hash of the text), fp, c (digest of the set), n, p (its prefix), sig (its signature) of every row of ``docs`` (doc_id, text)."""
     from dialogmill.llm.simhash import fingerprint_of
 
     spark = docs.sparkSession
@@ -130,9 +130,9 @@ def shingle_sets(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
             digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             firsts = pa.array([prefix(s, often, place, threshold).view(np.int64) for s in sets], pa.list_(pa.int64()))
             signs = pa.array([signature(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(digests), pa.array([len(s) for s in sets], pa.int32()), firsts, signs], names=["doc_id", "fp", "c", "n", "p", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps), pa.array(digests), pa.array([len(s) for s in sets], pa.int32()), firsts, signs], names=["doc_id", "t", "fp", "c", "n", "p", "sig"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long, c long, n int, p array<long>, sig array<long>")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "xxhash64(text) t").mapInArrow(run, "doc_id long, t long, fp long, c long, n int, p array<long>, sig array<long>")
 
 
 def _sized(a: Column, b: Column, threshold: float) -> Column:

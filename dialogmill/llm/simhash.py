@@ -16,7 +16,8 @@ pairs within the radius still all meet.
 
 Nulls: a null text counts as the empty text; texts without a word have the fingerprint zero, which
 links like any other. Null ids are passed over when the smallest id is taken; a component of only null
-ids has a null id. Repeated rows give equal rows. An empty table gives an empty result. Extra columns are ignored.
+ids has a null id. Repeated rows give equal rows. Texts are taken whole, whatever their length; a bit set in exactly half of the
+hashes is 0. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,15 +59,15 @@ def fingerprint_of(words: list[bytes]) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, t (hash of the text), fp (the fingerprint as a signed long)."""
     prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "t", "fp"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "xxhash64(text) t").mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -183,19 +184,22 @@ def components(edges: DataFrame, label: str = "simhash") -> DataFrame:
 
 
 def near_components(docs: DataFrame, most: int = MOST, similar: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs`` (doc_id, text).
+    """doc_id, t (hash of the text), fp, component_id and keeper for every row of ``docs`` (doc_id, text).
 
+    ``keeper`` is true for one document of each component: the smallest (doc_id, t), null ids last, with its repeated rows.
     With ``similar``, texts whose five-word shingles have at least this Jaccard similarity are linked as well.
     """
     sets = materialize(fingerprints(docs) if similar is None else shingle_sets(docs, similar), "simhash-prints")
-    prints = sets.select("doc_id", "fp")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    prints = sets.select("doc_id", "t", "fp")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("one")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), one), "simhash-classes")
     found = links(classes.select("fp"), most)
     star = components(found if similar is None else found.unionByName(similar_links(sets, docs, similar)))
-    rooted = classes.join(star, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = materialize(rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-components")
-    return prints.join(by_class, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    rooted = classes.join(star, F.col("fp") == F.col("node"), "left").select("fp", "first", "one", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min("one").alias("one"))
+    by_class = materialize(rooted.drop("one").join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id", "one"), "simhash-components")
+    keeper = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("t") == F.col("one.t"))
+    return prints.join(by_class, F.col("fp") == F.col("__fp")).select("doc_id", "t", "fp", "component_id", keeper.alias("keeper"))
 
 
 def hex_digits(fp: Column) -> Column:

@@ -4,8 +4,9 @@ A url's terms are matched in its lower-cased characters with boundaries: the cha
 hit must not be ASCII letters or digits. One strict term, or ``min_soft`` distinct soft terms, blocks.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged
-by the vocabulary on whatever text it has (null: allow). Rows are judged one by one; extra columns
-are ignored.
+by the vocabulary on whatever text it has (null: allow). Urls are judged whole, in time proportional to their length. Of rules of
+equal length that fit, a blocking one wins. Rows, repeated ones too, are judged one by one; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +19,21 @@ from pyspark.sql import DataFrame
 
 from dialogmill.llm.common import prepare_python, table
 
-STRICT = ["adult", "casino", "escort", "hentai", "jackpot", "pills", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx"]
-SOFT = ["ads", "bet", "bets", "bonus", "buy", "cheap", "crack", "discount", "earn", "farm", "free", "loan", "poker", "promo", "track", "win", "winner"]
+#: Terms that block alone.
+STRICT = (
+    "adult bdsm blackjack camgirl camgirls camsex casino cialis cuckold deepfakeporn dildo escort escorts fetish gangbang hardcoreporn hentai hookup jackpot keygen "
+    "keygens kinky levitra livesex malware megaporn milf nude nudes onlyfans orgasm payday phishing pills porn porno pornhub pornstar roulette sex "
+    "sexcam sexchat sexshop sextoys sexy slots spam spyware sportsbet steroids stripper strippers tramadol upskirt valium viagra voyeur warez webcamsex xanax xnxx xvideos xxx"
+).split()
+#: Terms of which several distinct ones block.
+SOFT = (
+    "ad ads affiliate affiliates banner bet bets betting bonus bonuses buy cashback cheap cheapest click clickbait clone coupon coupons crack cracked credit crypto "
+    "deal deals discount discounts download earn earnings farm fast forex free freebie freebies gamble gift giveaway hack hacks income instant limited loan loans lottery "
+    "lowest luxury miracle mlm money offer offers outlet poker popup prize prizes promo promos refinance replica rich sale sales serial sponsor sponsored stream sweepstakes torrent "
+    "torrents track tracker tracking traffic trial unlimited unlock win winner winners"
+).split()
+#: A vocabulary table may have so many terms; it goes to every task.
+MOST_TERMS = 200_000
 #: (verdict, host, path)
 HOST_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -35,6 +49,20 @@ class UrlPolicy:
     host_rules: list[tuple[str, str, str]] = field(default_factory=lambda: list(HOST_RULES))
 
 
+def load_vocabulary(terms: DataFrame, **others) -> UrlPolicy:
+    """A policy with the terms of a table (term, kind: ``strict`` or ``soft``), of whatever source; others as UrlPolicy has them.
+
+    Terms are lower-cased and stripped; empty and null ones are left out. A table with over MOST_TERMS terms or other kinds is an error.
+    """
+    rows = terms.select("term", "kind").distinct().limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has {MOST_TERMS} terms at most")
+    if odd := sorted({str(r["kind"]) for r in rows} - {"strict", "soft"}):
+        raise ValueError(f"kinds of terms are strict and soft, not {', '.join(odd)}")
+    of = lambda kind: sorted({t for r in rows if r["kind"] == kind and (t := (r["term"] or "").strip().translate(_UPPER))})
+    return UrlPolicy(strict=of("strict"), soft=of("soft"), **others)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """(host, path): after the first ``://`` up to ``/ ? #``, A-Z lower-cased; then up to ``? #``."""
     _, mark, rest = (url or "").partition("://")

@@ -3,13 +3,14 @@
 Heuristic labellers vote good, bad or nothing on every document. A document's votes form one of at most
 3**9 patterns; only the counts of the patterns, over all documents, go to the driver, where
 expectation-maximisation estimates how often each labeller is right in each class and with that the
-probability that each pattern is good. Documents whose probability is clear then train a logistic
-model over hashed words and hashed word shapes, on at most ``TRAIN_DOCS`` documents picked by a hash; the
-model scores every whole text. A document is kept at a score of ``THRESHOLD`` or more.
+probability that each pattern is good. These probabilities are the labels of a logistic model over hashed words and
+hashed word shapes, fitted on at most ``TRAIN_DOCS`` documents picked by a hash: half of patterns that are clearly good, half
+of clearly bad ones, and where no pattern is clear in a class, of those nearest to it. The model scores every whole
+text. A document is kept at a score of ``THRESHOLD`` or more, so ties at the threshold are kept.
 
 Nulls: a null text counts as the empty text; texts without a word have score 0 and are rejected. Repeated rows
-get equal scores. An empty table, or one whose votes are all alike, trains no model: then the labellers'
-probability decides. Extra columns stay with their row (classify) or are ignored (the query).
+get equal scores. Texts are scored whole, whatever their length. An empty table gives an empty result. Extra columns stay
+with their row (classify; its own quality_score and kept are replaced) or are ignored (the query).
 """
 
 from __future__ import annotations
@@ -133,6 +134,8 @@ def words_of(text: str) -> list[str]:
 def train(sample: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 150, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
     """Weights, the bias last, of a logistic model by full-batch Adagrad; sample: (buckets, shares, label)."""
     size = (1 << BITS) + 2
+    if not sample:
+        return np.zeros(size)
     at = np.concatenate([a for a, _, _ in sample])
     x = np.concatenate([s for _, s, _ in sample])
     row = np.repeat(np.arange(len(sample)), [len(a) for a, _, _ in sample])
@@ -171,8 +174,16 @@ def sample_features(docs: DataFrame, labels: dict[int, float]) -> DataFrame:
     return found.mapInArrow(run, "h long, at array<int>, share array<float>").dropDuplicates(["h"])
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray | None, dict[int, float]]:
-    """(weights or None, pattern -> probability): patterns are counted over all documents, the model is fitted on a sample.
+def nearest(post: dict[int, float], good: bool) -> list[int]:
+    """The patterns that are clear in a class, else those nearest to it, if they lie on its side."""
+    own = {p: x if good else 1 - x for p, x in post.items()}
+    clear = [p for p, x in own.items() if x >= CLEAR]
+    most = max(own.values(), default=0.0)
+    return clear or [p for p, x in own.items() if x == most and x >= 0.5]
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, dict[int, float]]:
+    """(weights, pattern -> probability): patterns are counted over all documents, the model is fitted on a sample.
 
     The votes are written once; a filter on them over the texts would be pushed down into their expressions.
     """
@@ -180,16 +191,20 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray | Non
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # 3**9 rows at most
     post, _ = expectation_maximisation(counts, len(labellers()))
     labels: dict[int, float] = {}
-    for label, patterns in ((1.0, [p for p, x in post.items() if x >= CLEAR]), (0.0, [p for p, x in post.items() if x <= 1 - CLEAR])):
-        if not patterns:
-            return None, post
-        picked = voted.where(F.col("pattern").isin(patterns)).select("h").distinct().orderBy("h").limit(train_docs // 2)
-        labels |= {r["h"]: label for r in picked.collect()}
-    rows = sample_features(docs, labels).collect()
+    for good in (True, False):
+        if patterns := nearest(post, good):
+            picked = voted.where(F.col("pattern").isin(patterns)).groupBy("h").agg(F.min("pattern").alias("pattern")).orderBy("h").limit(train_docs // 2)
+            labels |= {r["h"]: label_of(post[r["pattern"]]) for r in picked.collect()}
+    rows = sample_features(docs, labels).collect() if labels else []
     sample = [(np.array(r["at"]), np.array(r["share"]), labels[r["h"]]) for r in sorted(rows, key=lambda r: r["h"])]
     return train(sample), post
 
 
+def label_of(probability: float) -> float:
+    """Clear probabilities are whole labels."""
+    return 1.0 if probability >= CLEAR else 0.0 if probability <= 1 - CLEAR else probability
+
+
 class _WordWeights(dict):
     """word -> its weight; bounded."""
 
@@ -218,13 +233,7 @@ def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = T
     spark = docs.sparkSession
     prepare_python(spark)
     docs = docs.drop("quality_score", "kept")
-    weights, post = fit(docs.select("doc_id", "text"), train_docs)
-    if weights is None:
-        voted = docs.select(F.struct("*").alias("__row"), F.col("doc_id"), F.col("text"))
-        pattern = votes(voted.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "pattern")
-        known = F.create_map(*[x for p, v in post.items() for x in (F.lit(p), F.lit(round(v, 6)))]) if post else F.create_map().cast("map<int,double>")
-        score = F.coalesce(F.try_element_at(known, F.col("pattern")), F.lit(0.0))
-        return pattern.select("__row.*", score.alias("quality_score"), (score >= threshold).alias("kept"))
+    weights, _ = fit(docs.select("doc_id", "text"), train_docs)
     sent = spark.sparkContext.broadcast(weights.astype(np.float64))
     at = docs.columns.index("text")
     names = [*docs.columns, "quality_score", "kept"]

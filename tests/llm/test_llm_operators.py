@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import tarfile
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -126,9 +127,10 @@ def naive_lines(docs, least):
     return {i: "\n".join(x for at, x in enumerate(text.split("\n")) if not x.encode().split() or (firsts[x] == (i, at) and x not in gone)) for i, text in docs}
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 20])
+def test_line_dedup_against_brute_force(spark, least):
     rng = random.Random(5)
-    base = ["".join(rng.choice("abé ") for _ in range(n)) for n in (20, 21, 40, 255, 256, 257, 258, 511, 512, 513, 514, 700) for _ in range(2)]
+    base = ["".join(rng.choice("abé😀 ") for _ in range(n)) for n in (1, 2, 3, 7, 19, 20, 21, 40, 255, 256, 257, 258, 511, 512, 513, 514, 700) for _ in range(2)]
     docs = []
     for i in range(60):
         lines = []
@@ -137,8 +139,25 @@ def test_line_dedup_against_brute_force(spark):
             at, kind = rng.choice([0, len(line) - 1, rng.randrange(len(line)), 255, 256]) % len(line), rng.randrange(5)
             lines.append([line, line[:at] + line[at + 1 :], line[:at] + rng.choice("abz") + line[at + 1 :], line[:at] + "z" + line[at:], line[:at] + "zz" + line[at:]][kind])
         docs.append((i, "\n".join([*lines, "", "end."])))
-    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 20)
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == naive_lines(docs, 20)
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), least)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == naive_lines(docs, least)
+
+
+def test_line_dedup_sql_loses_no_pair_by_halves(sf_dir):
+    con = duck(sf_dir)
+    con.sql("CREATE OR REPLACE VIEW documents AS SELECT doc_id, left(text, 3000) AS text FROM read_parquet('" + f"{sf_dir}/documents.parquet" + "')")
+    assert sorted(con.sql(line_dedup.op3_sql()).fetchall()) == sorted(con.sql(line_dedup.op3_sql(halves=False)).fetchall())
+
+
+def test_line_dedup_long_lines(spark):
+    """The cost of a line grows with its length, not with its square."""
+    rng = random.Random(8)
+    line = "".join(rng.choices("abcdefgh ", k=1_000_000))
+    rows = [(1, line), (2, line[:700_000] + line[700_001:]), (3, line[:5] + "Z" + line[6:]), (4, line[:-2])]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: line, 2: "", 3: "", 4: line[:-2]}
+    assert time.perf_counter() - began < 60
 
 
 def test_line_dedup_edges(edges, nothing):
@@ -162,6 +181,21 @@ def test_url_verdicts(url, host, path, rule, verdict):
     assert url_filter.UrlJudge(url_filter.UrlPolicy()).verdict(url)[:4] == (host, path, rule, verdict)
 
 
+def test_url_vocabulary_of_a_table(spark):
+    terms = spark.createDataFrame([("Foo", "strict"), (" bar ", "soft"), ("baz", "soft"), ("", "soft"), (None, "strict")], "term string, kind string")
+    policy = url_filter.load_vocabulary(terms, min_soft=2)
+    assert (policy.strict, policy.soft) == (["foo"], ["bar", "baz"])
+    judge = url_filter.UrlJudge(policy)
+    assert [judge.verdict(f"http://a.org/{x}")[3] for x in ("foo", "bar", "bar-baz", "food", "casino")] == ["block", "allow", "block", "allow", "allow"]
+    with pytest.raises(ValueError, match="kinds"):
+        url_filter.load_vocabulary(spark.createDataFrame([("x", "odd")], "term string, kind string"))
+
+
+def test_long_url():
+    url = "http://a.org/" + "free-" * 200_000 + "win"
+    assert url_filter.UrlJudge(url_filter.UrlPolicy()).verdict(url)[3] == "block"
+
+
 def test_url_filter_tables(spark):
     rows = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "http://spam.org", "x")], "page_id long, url string, host string")
     assert sorted((r["page_id"] or 0, r["verdict"]) for r in url_filter.url_filter(rows).collect()) == [(0, "block"), (1, "allow"), (1, "allow")]
@@ -237,6 +271,72 @@ def test_expectation_maximisation_finds_the_accurate_labeller():
     assert theta[1, 0, 1] > theta[1, 1, 1] > theta[1, 2, 1] and post[1 + 3 + 9] > 0.95 and post[2 + 6 + 18] < 0.1
 
 
+def plain_posterior(rows, n, rounds=50):
+    """Expectation-maximisation over every row's votes, with plain sums; starts like the operator."""
+    import math
+
+    post = [0.1 if sum(v == 2 for v in r[: n - 1]) >= max(1, sum(v == 1 for v in r) - 1) else 0.9 for r in rows]
+    for _ in range(rounds):
+        theta = [[[0.5] * 3 for _ in range(n)] for _ in range(2)]
+        for r, p in zip(rows, post):
+            for j, v in enumerate(r):
+                theta[0][j][v] += 1 - p
+                theta[1][j][v] += p
+        theta = [[[x / sum(t) for x in t] for t in c] for c in theta]
+        prior = min(0.95, max(0.05, sum(post) / len(post)))
+        log = [[math.log(q) + sum(math.log(theta[c][j][v]) for j, v in enumerate(r)) for r in rows] for c, q in ((0, 1 - prior), (1, prior))]
+        post = [1 / (1 + math.exp(min(50, max(-50, a - b)))) for a, b in zip(*log)]
+    return post
+
+
+def test_classifier_against_a_plain_version(spark, sf_dir):
+    """Votes of all documents, the model's labels and weights, and every document's score, computed anew in plain Python."""
+    import math
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = len(weak_label.labellers())
+    voted = weak_label.votes(docs).select("doc_id", "pattern", F.xxhash64("text").alias("h")).collect()
+    some = [r for r in voted if r["pattern"] >= 0]
+    post = plain_posterior([[r["pattern"] // 3**j % 3 for j in range(n)] for r in some], n)
+    labels = {}
+    for good in (1.0, 0.0):
+        side = sorted({r["h"] for r, p in zip(some, post) if (p if good else 1 - p) >= weak_label.CLEAR})
+        labels |= dict.fromkeys(side[: weak_label.TRAIN_DOCS // 2], good)
+    assert set(labels.values()) == {0.0, 1.0}
+    by_id = {r["doc_id"]: r["text"] for r in docs.collect()}
+    texts = {r["h"]: by_id[r["doc_id"]] for r in voted}
+    x, y = np.zeros((len(labels), (1 << weak_label.BITS) + 2)), np.array([labels[h] for h in sorted(labels)])
+    for k, h in enumerate(sorted(labels)):
+        words = texts[h].encode().split()
+        for w in words:
+            for b in weak_label.buckets(w.decode()):
+                x[k, b] += 1 / len(words)
+        x[k, -2], x[k, -1] = sum(a == b for a, b in zip(words, words[1:])) / len(words), 1
+    w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    each = np.where(y > 0.5, 0.5 / (y > 0.5).sum(), 0.5 / (y <= 0.5).sum())
+    for _ in range(150):
+        grad = ((1 / (1 + np.exp(-(x @ w))) - y) * each) @ x
+        grad[:-1] += 1e-5 * w[:-1]
+        seen += grad * grad
+        w -= 0.4 * grad / np.sqrt(seen)
+    differ = 0
+    for r in QUERIES["op6_quality_classifier"](spark, sf_dir).collect():
+        words = by_id[r["doc_id"]].encode().split()
+        z = sum(w[b] for v in words for b in weak_label.buckets(v.decode())) / len(words) + w[-2] * sum(a == b for a, b in zip(words, words[1:])) / len(words) + w[-1] if words else -math.inf
+        want = 1 / (1 + math.exp(-max(-50, z))) if words else 0.0
+        assert r["quality_score"] == pytest.approx(want, abs=2e-3)
+        differ += r["kept"] != (want >= weak_label.THRESHOLD)
+    assert differ <= 1
+
+
+def test_classifier_always_trains(spark):
+    """Where all patterns are on one side, the model still scores."""
+    docs = spark.createDataFrame([(i, "the plan of the team is to ship it on time, and it is good to do it well for all of us") for i in range(5)], "doc_id long, text string")
+    weights, post = weak_label.fit(docs)
+    assert len(weights) == (1 << weak_label.BITS) + 2 and weights.any() and all(p >= 0.5 for p in post.values())
+    assert weak_label.nearest({0: 0.6, 1: 0.7, 2: 0.3}, True) == [1] and weak_label.nearest({0: 0.6, 1: 0.7, 2: 0.3}, False) == [2] and weak_label.nearest({0: 0.6}, False) == []
+
+
 def test_classifier_edges(edges, nothing, spark):
     out = weak_label.classify(edges).collect()
     assert len(out) == len(EDGES) and not next(r for r in out if r["doc_id"] == 1)["kept"]
@@ -297,6 +397,31 @@ def test_counts_of_a_sentencepiece_model(edges):
     assert got == {i: len(model.encode(t or "")) for i, t, _ in EDGES}
 
 
+def test_counts_of_a_byte_level_tokenizer(spark, edges):
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(edges, "byte_bpe_50k.json").collect()}
+    assert got == {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t, _ in EDGES}
+    with pytest.raises(ValueError, match="word ends"):
+        bpe.WordBpe(path)
+    with pytest.raises(ValueError, match="neither"):
+        token_counts.token_counts(edges, "byte_bpe_50k.tiktoken")
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_counts_of_random_texts(name):
+    from tokenizers import Tokenizer
+
+    path, rng = bpe.tokenizer_path(name), random.Random(9)
+    own = Tokenizer.from_file(path)
+    bits = ["a", "B", "'s", " ", "  ", "\n", "\x1c", "\x85", "\x01", "12", "é", "e\u0301", "İ", "<|endoftext|>", "<|", "漢字", "😀", "\u200d", "ing", "$%", "\u3000"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(600)] + [LONG * 30]
+    counter = token_counts.kind_of(path)(path, {"a": 1} if name[0] == "w" else {}, cache=500)
+    assert counter.counts(texts[:300]) + counter.counts(texts[300:]) == [len(own.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 # --- media
 
 
@@ -317,6 +442,35 @@ def test_media_round_trip(spark, edges, nothing, tmp_path):
     assert media.store(nothing).count() == 0
 
 
+def test_media_query(spark, sf_dir):
+    """Every column of the query, against the texts alone."""
+    texts = {r["doc_id"]: r["text"] for r in common.table(spark, sf_dir, "documents").collect()}
+    got = QUERIES["op9_media"](spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    by_text = {}
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        lines = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
+        chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (64).to_bytes(4, "big") + (len(payload) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+        steps = sum(abs(x - y) for x, y in zip(payload, payload[1:]))
+        assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(payload) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and (r["width"], r["height"]) == (64, len(payload) // 64)
+        assert r["media_bytes"] == len(png) and r["media_sha256"] == hashlib.sha256(png).hexdigest()
+        assert r["feature"] == f"h{len(payload) // 64}-s{sum(payload)}-d{len(set(payload))}-g{steps}"
+        assert by_text.setdefault(texts[r["doc_id"]], tuple(r)[1:]) == tuple(r)[1:]
+
+
+def test_manifest_writes_once(spark, edges, tmp_path):
+    import os
+
+    rows = media.manifest(edges, f"file://{tmp_path}/m")
+    first = sorted(os.listdir(tmp_path / "m"))
+    assert media.read_back(media.with_headers(rows)).count() == rows.count() == len(EDGES)
+    assert sorted(os.listdir(tmp_path / "m")) == first
+
+
 def test_damaged_media_is_noticed():
     data = bytearray(media.to_png(b"x" * 64))
     assert media.from_png(bytes(data)) == b"x" * 64

@@ -38,10 +38,64 @@ def test_stages(spark, sf_dir):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def naive_kept(rows):
+    """The smallest id of each component by fingerprints and five-word shingles, by all pairs; rows: (doc_id, text) with distinct ids."""
+    sets = {i: set(zip(*[t.lower().split()[k:] for k in range(5)])) or {t} for i, t in rows}
+    prints = {i: naive_fingerprint(t) for i, t in rows}
+    left, kept = sorted(sets), []
+    while left:
+        front, group = [left[0]], {left[0]}
+        while front:
+            a = front.pop()
+            near = [b for b in left if b not in group and ((prints[a] ^ prints[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+            group.update(near)
+            front += near
+        kept.append(min(group))
+        left = [x for x in left if x not in group]
+    return set(kept)
+
+
+def test_run_against_plain_versions(spark, sf_dir):
+    """run() itself: its documents, times used, and the tokens of their texts as the library has them."""
+    from tokenizers import Tokenizer
+
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    docs = common.table(spark, sf_dir, "documents")
+    good = [(r["doc_id"], r["text"]) for r in corpus_pipeline.quality_classifier(spark, docs, sf_dir).collect()]
+    lines = {i: t for i, t in naive_lines(good, 20).items() if t.split()}
+    kept = naive_kept(list(lines.items()))
+    assert {r["doc_id"] for r in got} == kept
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    sizes, used = {}, {}
+    for i in kept:
+        sizes[source[i]] = sizes.get(source[i], 0) + len(lines[i].split())
+    for r in got:
+        used[r["doc_id"]] = used.get(r["doc_id"], 0) + 1
+    largest = max(sizes, key=sizes.get)
+    assert all(1 <= n <= 2 for n in used.values()) and {used[i] for i in kept if source[i] == largest} == {1}
+    library = Tokenizer.from_file(tokenizer_path(TOKENIZER))
+    for r in got:
+        ids = library.encode(lines[r["doc_id"]], add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_one_id_with_several_texts(spark):
+    """A copy goes even if its id is the smallest one's own; rows without an id go if another copy has one."""
+    copy = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, copy, "s"), (1, copy.replace("w7 ", "v7 "), "s"), (1, "some other text of one id", "s"), (2, copy, "s"), (None, copy, "s"), (None, "a text without an id", "s"), (1, copy, "s")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), None).collect()
+    near = [r for r in kept if r["text"].startswith("w0 ")]
+    assert {r["doc_id"] for r in near} == {1} and len({r["text"] for r in near}) == 1
+    assert {(r["doc_id"], r["text"]) for r in kept if not r["text"].startswith("w0 ")} == {(1, "some other text of one id"), (None, "a text without an id")}
+
+
 def test_edges_of_stages(spark):
     from test_llm_operators import EDGES
 
     rows = spark.createDataFrame([(i, t, "en", s, len(t) if t else None, "x") for i, t, s in EDGES], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    for name in ("keeper", "n_lines", "quality_score", "kept", "block", "t"):  # names of columns that stages add
+        rows = rows.withColumn(name, rows.source)
     for docs in (rows, rows.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, None)

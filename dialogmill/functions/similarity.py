@@ -38,3 +38,8 @@ def combine_unique(items: Column, most: int = 7) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("items"))
     return F.slice(F.aggregate(items, start, fold, lambda a: a["items"]), 1, most)
+
+
+def clean_tags(tags: Column) -> Column:
+    """Tags without blanks around them, each once, without empty ones; null tags stay null."""
+    return F.array_distinct(F.filter(F.transform(tags, lambda x: t.strip(F.coalesce(x, F.lit("")))), lambda x: x != ""))

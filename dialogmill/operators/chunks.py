@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from dialogmill.functions import constants as K
 from dialogmill.functions import text as t
+from dialogmill.operators.state import kept, small_enough
+
+#: Up to so many query tokens the queries go to every task.
+BROADCAST_TOKENS = 500_000
+#: The rarest tokens of a query whose chunks give the first bound.
+FIRST_TOKENS = 3
 
 
 def chunk_texts(c: Column) -> Column:
@@ -32,42 +38,100 @@ def query_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(t.speech(t.sanitize(c)), " "), lambda x: F.length(x) > 1))
 
 
-def base_weight(source_type: Column, intent: Column | None = None) -> Column:
+def base_weight(source_type: Column, intent: Column | None = None, manual: dict[str, float] | None = None) -> Column:
+    """Weight of a source type, times that of the intent and a manual one where there are any."""
     as_map = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))])
     weight = F.coalesce(F.try_element_at(as_map(K.SOURCE_WEIGHT), source_type), F.lit(K.UNKNOWN_WEIGHT))
-    if intent is None:
-        return weight
-    pairs = as_map({f"{i}|{s}": v for i, by in K.INTENT_MULTIPLIER.items() for s, v in by.items()})
-    return weight * F.coalesce(F.try_element_at(pairs, F.concat_ws("|", intent, source_type)), F.lit(1.0))
+    if intent is not None:
+        pairs = as_map({f"{i}|{s}": v for i, by in K.INTENT_MULTIPLIER.items() for s, v in by.items()})
+        weight = weight * F.coalesce(F.try_element_at(pairs, F.concat_ws("|", intent, source_type)), F.lit(1.0))
+    return weight * F.coalesce(F.try_element_at(as_map(manual), source_type), F.lit(1.0)) if manual else weight
+
 
+def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: int = 0, source_types: list[str] | None = None, manual: dict[str, float] | None = None) -> DataFrame:
+    """rank, source_id, source_type, chunk_no, score of the best chunks of each query, with the query's keys; ties by source and chunk.
 
-def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: int = 0, source_types: list[str] | None = None) -> DataFrame:
-    """query_id, rank, source_id, chunk_no, score: for each query (query_id, query, intent) the best chunks.
+    queries: query, intent, keys (query_id and others) and, where queries differ in them, types (array of allowed source types) and most (limit).
 
-    Chunks that share tokens are found through an inverted index, so no query meets every chunk; chunks
-    that share none differ by source and age only, and only the ``limit`` best of them can be in a result.
-    These few are ranked once for each intent and joined on it.
+    Exact without scoring every chunk for every query: the best chunks by source and age alone, and those that share one of
+    a query's rarest tokens, give a score that the result must reach. A chunk that reaches it shares so many (m) of the query's n
+    tokens that it has one of the n - m + 1 rarest; only the chunks with one of these are scored, so common words pair nothing.
+    Pass a stored table of chunks: it is read several times.
     """
     from pyspark.sql import Window
 
-    rows = chunked if source_types is None else chunked.where(F.col("source_type").isin(source_types))
+    keys = [c for c in queries.columns if c not in ("query", "intent", "types", "most")]
+    place = ["source_id", "chunk_no"]
+    kinds = F.array(*map(F.lit, [*K.SOURCE_WEIGHT, ""]))
+    kind = F.when(F.col("source_type").isin([*K.SOURCE_WEIGHT]), F.col("source_type")).otherwise("")
     fresh = 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(as_of_ms) - F.col("updated_ms")) / F.lit(86_400_000.0 * K.FRESH_DAYS)))
-    rows = rows.withColumn("age", fresh * K.FRESHNESS_WEIGHT)
-    asked = queries.withColumn("qt", query_tokens(F.col("query")))
-    hits = asked.select("query_id", "intent", F.size("qt").alias("n"), F.explode("qt").alias("tok"))
-    hits = hits.join(rows.select("source_id", "source_type", "chunk_no", "age", F.explode("tokens").alias("tok")), "tok")
-    hits = hits.groupBy("query_id", "intent", "n", "source_id", "source_type", "chunk_no", "age").agg(F.count(F.lit(1)).alias("shared"))
-    lexical = hits.select("query_id", "intent", "source_id", "source_type", "chunk_no", "age", (F.col("shared") / F.col("n") * K.LEXICAL_WEIGHT).alias("lexical"))
-    # a chunk without shared tokens can only be in a result if it is among the (limit) best by source and age
-    best = Window.partitionBy("intent").orderBy(F.col("base").desc(), "source_id", "chunk_no")
-    by_type = Window.partitionBy("source_type").orderBy(F.col("age").desc(), "source_id", "chunk_no")
-    top = rows.select("source_id", "source_type", "chunk_no", "age").withColumn("rn", F.row_number().over(by_type)).where(F.col("rn") <= limit).drop("rn")
-    top = top.withColumn("intent", F.explode(F.array(*map(F.lit, [*K.INTENT_MULTIPLIER, ""]))))
-    top = top.withColumn("base", base_weight(F.col("source_type"), F.col("intent")) + F.col("age")).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= limit).drop("rn", "base")
+    rows = chunked.select(*place, "source_type", kind.alias("kind"), (fresh * K.FRESHNESS_WEIGHT).alias("age"), "tokens")
     known = F.when(F.col("intent").isin([*K.INTENT_MULTIPLIER]), F.col("intent")).otherwise("")
-    rest = asked.select("query_id", known.alias("intent")).join(F.broadcast(top), "intent").withColumn("lexical", F.lit(0.0))
-    rest = rest.join(lexical.select("query_id", "source_id", "chunk_no"), ["query_id", "source_id", "chunk_no"], "left_anti")
-    scored = lexical.unionByName(rest).withColumn("score", base_weight(F.col("source_type"), F.col("intent")) + F.col("lexical") + F.col("age"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source_id", "chunk_no")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return ranked.select("query_id", "rank", "source_id", "source_type", "chunk_no", F.round("score", 4).alias("score"))
+    types = F.col("types") if "types" in queries.columns else F.array(*map(F.lit, source_types)) if source_types is not None else F.lit(None).cast("array<string>")
+    most = F.col("most") if "most" in queries.columns else F.lit(limit)
+    asked = kept(queries.select(*keys, known.alias("intent"), types.alias("types"), most.alias("most"), query_tokens(F.col("query")).alias("qt")), "queries")
+    largest = asked.agg(F.max("most")).first()[0] or 1
+    hits = asked.select(*keys, F.explode("qt").alias("tok"))
+    small = F.broadcast if small_enough(hits, BROADCAST_TOKENS) else lambda x: x
+    # how many chunks have each token that is asked for
+    tokens = rows.select(F.explode("tokens").alias("tok")).join(small(hits.select("tok").distinct()), "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    ordered = hits.join(tokens, "tok").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("by"))
+    asked = kept(asked.join(ordered, keys, "left").withColumn("by", F.coalesce("by", F.array().cast("array<struct<df:bigint,tok:string>>"))), "queries")
+    allowed = lambda t: F.col("types").isNull() | F.array_contains("types", t)
+    own = asked.select(*keys, "intent", "types", "most", "qt")
+
+    def scored(met: DataFrame) -> DataFrame:
+        lexical = F.when(F.size("qt") > 0, F.size(F.array_intersect("qt", "tokens")) / F.size("qt")).otherwise(0.0)
+        base = base_weight(F.col("source_type"), F.col("intent"), manual)
+        return met.where(allowed(F.col("source_type"))).select(*keys, "most", *place, "source_type", (base + lexical * K.LEXICAL_WEIGHT + F.col("age")).alias("score"))
+
+    def sharing(picked: DataFrame) -> DataFrame:
+        """The chunks with a token of picked (keys, tok)."""
+        met = rows.select(*place, "source_type", "age", "tokens", F.explode("tokens").alias("tok")).join(small(picked), "tok")
+        met = met.groupBy(*keys, *place).agg(F.first("source_type").alias("source_type"), F.first("age").alias("age"), F.first("tokens").alias("tokens"))
+        return scored(met.join(small(own), keys))
+
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), *place)
+    best = lambda found: found.dropDuplicates([*keys, *place]).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= F.col("most")) & (F.col("rank") <= largest))
+    # whatever is not among the best of its kind by age needs tokens to be in a result
+    by_kind = Window.partitionBy("kind").orderBy(F.col("age").desc(), *place)
+    top = kept(rows.withColumn("rn", F.row_number().over(by_kind)).where(F.col("rn") <= largest).drop("rn"), "best-by-age")
+    plain = scored(own.withColumn("kind", F.explode(kinds)).join(F.broadcast(top), "kind"))
+    first = sharing(asked.select(*keys, F.explode(F.slice("by", 1, FIRST_TOKENS)).alias("x")).select(*keys, F.col("x.tok").alias("tok")))
+    start = kept(best(first.unionByName(plain)), "first-best")
+    bound = start.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    # m: tokens that a chunk has to share to reach the last of these scores, whatever its source and age
+    unknown = K.UNKNOWN_WEIGHT * max([1.0, *(manual or {}).values()])
+    base = F.greatest(F.lit(unknown), F.array_max(F.transform(F.filter(kinds, allowed), lambda t: base_weight(t, F.col("intent"), manual))))
+    wanted = asked.join(bound, keys, "left")
+    need = F.when(F.col("n") >= F.col("most"), F.ceil((F.col("least") - base - K.FRESHNESS_WEIGHT - 1e-9) / K.LEXICAL_WEIGHT * F.size("qt"))).otherwise(1)
+    size = F.greatest(F.lit(0), F.size("by") - F.greatest(F.lit(1), need) + 1).cast("int")
+    rest = wanted.select(*keys, F.explode(F.slice("by", F.lit(1), size)).alias("x")).select(*keys, F.col("x.tok").alias("tok"))
+    ranked = best(sharing(rest).unionByName(start.drop("rank")))
+    return ranked.select(*keys, "rank", "source_id", "source_type", "chunk_no", F.round("score", 4).alias("score"))
+
+
+#: (limit, source types) of the two parts of a context, by intent; ``always`` is the policy that takes no account of the intent.
+MIXES = {
+    "technical_general": ((5, ("knowledge_base", "web_corpus", "glossary")), (2, ("github", "note"))),
+    "candidate_specific": ((6, ("job_desc", "cv", "github", "linkedin", "note")), (1, ("knowledge_base", "web_corpus", "glossary"))),
+    "mixed": ((4, ("job_desc", "cv", "github", "linkedin", "note")), (3, ("knowledge_base", "web_corpus", "glossary"))),
+    "always": ((5, ("job_desc", "cv", "github", "linkedin", "note")), (2, ("knowledge_base", "web_corpus", "glossary"))),
+}
+
+
+def context_mix(chunked: DataFrame, queries: DataFrame, as_of_ms: int = 0, most: int = 7, manual: dict[str, float] | None = None) -> DataFrame:
+    """query_id, context: the lines of both parts of the mix of each query (query_id, query, intent, policy), without repeats, ``most`` at most.
+
+    The policy ``always`` has a mix of its own, scored as for mixed questions.
+    """
+    from dialogmill.functions import similarity as sim
+
+    mix = F.when(F.col("policy") == "always", "always").when(F.col("intent").isin([*MIXES]), F.col("intent")).otherwise("mixed")
+    parts = F.create_map(*[x for name, two in MIXES.items() for x in (F.lit(name), F.array(*[F.struct(F.lit(n).alias("most"), F.array(*map(F.lit, types)).alias("types")) for n, types in two]))])
+    asked = queries.withColumn("intent", F.when(mix == "always", "mixed").otherwise(F.col("intent"))).withColumn("parts", F.element_at(parts, mix))
+    asked = asked.select("query_id", "query", "intent", F.posexplode("parts").alias("part", "x")).select("query_id", "part", "query", "intent", "x.most", "x.types")
+    both = retrieve(chunked, asked, as_of_ms=as_of_ms, manual=manual).join(chunked.select("source_id", "chunk_no", "chunk"), ["source_id", "chunk_no"])
+    line = F.concat(F.lit("[profile:"), F.col("source_type"), F.lit("] "), t.clip(F.col("chunk"), 220))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "rank", line.alias("line")))), lambda x: x["line"])
+    return both.groupBy("query_id").agg(F.array_join(sim.combine_unique(lines, most), "\n").alias("context"))

@@ -1,8 +1,8 @@
 """Near-duplicate token sets: an exact similarity join by prefix filtering, and keep-first resolutions.
 
 Tokens are ordered by rarity; two sets with Jaccard similarity t or more share one of their first
-len - ceil(t * len) + 1 tokens (Bayardo et al. 2007; Xiao et al. 2008). Equal sets are collapsed before,
-so copies never meet as pairs.
+len - ceil(t * len) + 1 tokens, and at the first shared one enough of both sets is left for the overlap that t asks for
+(Bayardo et al. 2007; Xiao et al. 2008). Equal sets are collapsed before, so copies never meet as pairs.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.functions import similarity as s
+from dialogmill.operators.state import kept, small_enough
+
+#: Up to so many distinct tokens their frequencies are broadcast.
+BROADCAST_TOKENS = 500_000
 
 
 def set_classes(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -21,16 +25,24 @@ def set_classes(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def similar_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """a, b (first ids, a < b), similarity of all pairs of classes at ``threshold`` or more."""
-    rows = classes.select("first", F.explode("tokens").alias("tok"), F.size("tokens").alias("n"))
-    freq = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    """a, b (first ids, a < b), similarity of all pairs of classes at ``threshold`` or more.
+
+    The classes are written once. Their tokens meet the frequencies by a broadcast where these are few, so that only prefixes are shuffled.
+    """
+    sets = kept(classes.select("first", "tokens"), "near-sets")
+    freq = kept(sets.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")), "near-tokens")
+    if small_enough(freq, BROADCAST_TOKENS):
+        freq = F.broadcast(freq)
+    # dealt by class before the explosion, so that a class's tokens need no shuffle to meet again
+    rows = sets.repartition("first").select("first", F.size("tokens").alias("n"), F.explode("tokens").alias("tok"))
     ranked = rows.join(freq, "tok").groupBy("first", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("by"))
     size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = ranked.select("first", "n", F.explode(F.slice("by", F.lit(1), size)).alias("x")).select("first", "n", "x.tok")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.first") < F.col("b.first")) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9) & (F.col("b.n") <= F.col("a.n") / threshold + 1e-9)
-    found = a.join(b, (F.col("a.tok") == F.col("b.tok")) & near).select(F.col("a.first").alias("a"), F.col("b.first").alias("b")).distinct()
-    sets = classes.select("first", "tokens")
+    prefix = ranked.select("first", "n", F.posexplode(F.slice("by", F.lit(1), size)).alias("i", "x")).where("x.df > 1").select("first", "n", "i", F.xxhash64("x.tok").alias("h"))
+    prefix = kept(prefix, "near-prefixes")
+    other = prefix.select(F.col("first").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("h").alias("k"))
+    near = (F.col("first") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)
+    reach = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-6
+    found = prefix.join(other, (F.col("h") == F.col("k")) & near & reach).select(F.col("first").alias("a"), "b").distinct()
     found = found.join(sets.select(F.col("first").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("first").alias("b"), F.col("tokens").alias("tb")), "b")
     return found.withColumn("similarity", s.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
@@ -40,24 +52,20 @@ def resolve_any(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("b").alias("doc_id")).distinct()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed; without a checkpoint folder on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def resolve_greedy(pairs: DataFrame) -> DataFrame:
     """doc_id of each class with an earlier similar one that is itself kept.
 
     Rounds over the links: who has no undecided earlier neighbour is kept, and its later neighbours drop,
-    until no links are left. The links are checkpointed each round.
+    until no links are left. The links are written each round.
     """
-    left = cut(pairs.select("a", "b").distinct())
+    left = kept(pairs.select("a", "b").distinct(), "near-links")
     dropped = None
     while not left.isEmpty():
         later = left.select(F.col("b").alias("a")).distinct()
-        out = cut(left.join(later, "a", "left_anti").select(F.col("b").alias("doc_id")).distinct())
+        first = left.join(later, "a", "left_anti")
+        out = kept(first.select(F.col("b").alias("doc_id")).distinct(), "near-dropped")
         dropped = out if dropped is None else dropped.unionByName(out)
         gone = out.select(F.col("doc_id").alias("x"))
-        kept = left.join(later, "a", "left_anti").select(F.col("a").alias("x")).distinct()
-        left = cut(left.join(gone, left.b == gone.x, "left_anti").join(gone, left.a == gone.x, "left_anti").join(kept, left.a == kept.x, "left_anti"))
+        decided = gone.unionByName(first.select(F.col("a").alias("x"))).distinct()
+        left = kept(left.join(gone, left.b == gone.x, "left_anti").join(decided, left.a == decided.x, "left_anti"), "near-links")
     return dropped if dropped is not None else pairs.select(F.col("b").alias("doc_id")).limit(0)

@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 from dialogmill.functions import text as t
 
-# fixed value: records are compared with it
+# fixed values: records are compared with them
 SYSTEM = "You are a live technical interview copilot. Produce a concise, speakable, first-person English answer. Do not ask a question back. Do not mention being an AI. Do not use bullet points or code blocks. Ground the answer in the provided context when available."
 
+QUESTIONS = {"title": ("How would you explain ", " and the main engineering tradeoffs?"), "term": ("How would you explain ", " in a technical interview?")}
+NO_TITLE = "How would you explain this engineering concept and its tradeoffs?"
+
+
+def question_of(kind: str, c: Column) -> Column:
+    """The question that a title or a glossary term answers."""
+    name = t.normalize(c)
+    asked = F.concat(F.lit(QUESTIONS[kind][0]), name, F.lit(QUESTIONS[kind][1]))
+    return F.when(name == "", NO_TITLE).otherwise(asked) if kind == "title" else asked
+
 
 def user_message(question: Column, persona: Column, prior: Column, context: Column) -> Column:
     """Blocks that are present, with an empty line between."""
@@ -51,3 +61,63 @@ def gate(metrics: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
     """Adds blocked_reasons, in order, and blocked to a row of metrics."""
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
     return metrics.withColumn("blocked_reasons", reasons).withColumn("blocked", F.size("blocked_reasons") > 0)
+
+
+def prompt_key(messages: Column) -> Column:
+    """The last question and the last answer of a record, as a key."""
+    last = lambda role: F.coalesce(F.try_element_at(F.filter(messages, lambda m: m["role"] == role), F.lit(-1))["content"], F.lit(""))
+    return t.key(F.concat(last("user"), F.lit("|"), last("assistant")))
+
+
+def merge_records(sets: list[DataFrame]) -> DataFrame:
+    """Records of the current schema of all sets (schema_version, messages, metadata, ord), the first of each prompt key; adds key and source.
+
+    A partial aggregate keeps the first one, so equal records never meet in a window.
+    """
+    rows = None
+    for n, one in enumerate(sets):
+        one = one.where("schema_version = 'sft.v2'").select(F.struct(F.lit(n).alias("set"), "ord").alias("o"), F.struct("messages", "metadata").alias("r"))
+        rows = one if rows is None else rows.unionByName(one)
+    first = rows.groupBy(F.md5(prompt_key(F.col("r.messages")).cast("binary")).alias("key")).agg(F.min("o").alias("o"), F.min_by("r", "o").alias("r"))
+    source = F.coalesce(F.nullif("r.metadata.source_bucket", F.lit("")), F.nullif("r.metadata.source", F.lit("")), F.concat(F.lit("set"), F.col("o.set").cast("string")))
+    return first.select("key", "o.set", "o.ord", "r.messages", "r.metadata", source.alias("source"))
+
+
+def judge_merge(rules: DataFrame, external: DataFrame) -> DataFrame:
+    """Verdicts of the rules (id, passed, average, failures) with those of another judge (id, passed, average, failures), which count where there are any.
+
+    The other judge's failures count if it names some; the rules' verdict stays as rule_passed.
+    """
+    theirs = external.select("id", F.col("passed").alias("__p"), F.col("average").alias("__a"), F.col("failures").alias("__f"), F.lit(True).alias("__there"))
+    rows = rules.join(theirs, "id", "left")
+    there = F.col("__there").isNotNull()
+    failures = F.when(there & (F.size(F.coalesce("__f", F.array().cast("array<string>"))) > 0), F.col("__f")).otherwise(F.col("failures"))
+    return rows.select("id", F.when(there, "hybrid").otherwise("rules").alias("provider"), F.when(there, F.coalesce("__p", F.lit(False))).otherwise(F.col("passed")).alias("passed"), F.round(F.when(there, F.coalesce("__a", F.lit(0.0))).otherwise(F.col("average")), 4).alias("average"), failures.alias("failures"), F.when(there, F.col("passed")).alias("rule_passed"))
+
+
+def judged(records: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accepted, rejected, reports) of records (id, metadata, ...) by their verdicts; the metadata says which."""
+    rows = records.join(verdicts, "id").withColumn("metadata", F.col("metadata").withField("judge_status", F.when(F.col("passed"), "accepted").otherwise("rejected")))
+    return rows.where("passed").select(*records.columns), rows.where("NOT passed").select(*records.columns), rows
+
+
+#: Metrics of a report, whose values count unless they are missing or zero, and what stands for them then.
+REPORTED = ["average_quality", "first_person", "speakable", "grounded"]
+
+
+def qc_metrics(report: DataFrame, recounted: DataFrame) -> DataFrame:
+    """One row of metrics: the report's values, and those counted again from the rows where the report has none.
+
+    report: records_train, web_ratio, glossary_ratio, ai_ratio, behavioral_ratio, REPORTED, failure_rate, dropped_duplicates, blocked; recounted: rows,
+    REPORTED, failure_rate, near_duplicates. A failure rate of 1 or more counts as none. Dropped duplicates count as near duplicates if they are more.
+    """
+    own = recounted.select(*[F.col(c).alias(f"__{c}") for c in recounted.columns])
+    both = report.join(F.broadcast(own), F.lit(True))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    dropped = F.coalesce("dropped_duplicates", F.lit(0))
+    near = F.when((dropped > 0) & (F.col("__rows") > 0), F.greatest(F.col("__near_duplicates"), dropped / (dropped + F.col("__rows")))).otherwise(F.col("__near_duplicates"))
+    return both.select(
+        F.coalesce(F.nullif("records_train", F.lit(0)), "__rows").alias("rows"), *[zero(F.col(c)).alias(c) for c in ("web_ratio", "glossary_ratio", "ai_ratio", "behavioral_ratio")],
+        *[F.coalesce(F.nullif(zero(F.col(c)), F.lit(0.0)), f"__{c}").alias(c) for c in REPORTED],
+        F.when(F.coalesce("failure_rate", F.lit(1.0)) >= 1.0, F.col("__failure_rate")).otherwise(F.col("failure_rate")).alias("failure_rate"), near.alias("near_duplicates"), F.coalesce("blocked", F.lit(False)).alias("report_blocked"),
+    )

@@ -10,6 +10,8 @@ from dialogmill.functions import scoring as sc
 from dialogmill.functions import text as t
 from dialogmill.operators import chunks as ch
 from dialogmill.operators import dpo, near_dup, quota, records
+from dialogmill.operators import percentiles as pc
+from dialogmill.operators.state import kept
 from dialogmill.operators import pairs as op
 from dialogmill.plans import sql as q
 from dialogmill.plans.base import documents, pairs, query, spread, table
@@ -142,55 +144,69 @@ def train_valid_split(spark, sf_dir):
     return quota.train_valid_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.08)
 
 
-_LAB = "lab AS (SELECT d.doc_id, d.lang || '-' || (d.doc_id % 40) AS k, substr(d.text, 1, 300) AS answer, l.quality FROM documents d JOIN labels l USING (doc_id))"
+_KEY = "d.lang || '-' || (d.doc_id % 40)"
+_LAB = f"lab AS (SELECT d.doc_id AS pos, {_KEY} AS k, {q.strip('d.text')} AS answer, l.quality, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE '' END AS tags FROM documents d JOIN labels l USING (doc_id)), smp AS (SELECT doc_id AS pos, {_KEY} AS k, {q.strip('text')} AS answer FROM documents d)"
 
 
-def _labelled(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(C("lang"), F.lit("-"), (C("doc_id") % 40).cast("string")).alias("key"), F.substring("text", 1, 300).alias("answer"))
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("pos", C("doc_id"))
+def _answers(spark, sf_dir):
+    """Documents as answers to prompts, keyed by language and a part of the id; as samples: key, completion, pos."""
+    key = F.concat(C("lang"), F.lit("-"), (C("doc_id") % 40).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), C("text").alias("answer"), C("doc_id").alias("pos"))
 
 
-@query(f"WITH {_LAB}, r AS (SELECT k, arg_min(answer, doc_id) AS rejected FROM lab WHERE quality = 0 GROUP BY k) SELECT k AS key, doc_id AS pos, md5(answer) AS chosen_md5, md5(rejected) AS rejected_md5, 0.8::DOUBLE AS confidence FROM lab JOIN r USING (k) WHERE quality = 1 AND answer <> '' AND rejected <> '' AND answer <> rejected")
-def dpo_legacy(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    out = dpo.legacy_pairs(rows.where("quality = 1"), rows.where("quality = 0"))
-    return out.select("key", "pos", F.md5(C("chosen").cast("binary")).alias("chosen_md5"), F.md5(C("rejected").cast("binary")).alias("rejected_md5"), "confidence")
+def _reviewed(spark, sf_dir):
+    """The labelled ones as reviewed answers: good ones chosen, bad ones rejected, toxic ones tagged."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(C("quality") == 1, "chosen").when(C("quality") == 0, "rejected").alias("label"), F.when(C("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    return _answers(spark, sf_dir).join(labels, "doc_id").select("key", "answer", "label", "tags", "pos")
 
 
-@query(f"""
-WITH {_LAB}, m AS (SELECT lang || '-' || (doc_id % 40) AS k, doc_id AS pos, substr(text, 1, 200) AS answer FROM documents WHERE doc_id % 3 = 0),
-c AS (SELECT k, doc_id AS pos, answer, {q.key('answer')} AS ak FROM lab WHERE quality = 1),
-o AS (SELECT c.k, c.pos, c.answer, c.ak, (SELECT arg_min(l.answer, l.doc_id) FROM lab l WHERE l.quality = 0 AND l.k = c.k AND {q.key('l.answer')} <> c.ak AND l.doc_id % 2 = 1) AS a, (SELECT arg_min(m.answer, m.pos) FROM m WHERE m.k = c.k AND {q.key('m.answer')} <> c.ak) AS b FROM c),
-p AS (SELECT k, pos, answer, ak, coalesce(nullif(a, ''), nullif(b, '')) AS rejected, CASE WHEN nullif(a, '') IS NOT NULL THEN 'reviewed_session_pair' ELSE 'reviewed_plus_sampled' END AS source FROM o),
-u AS (SELECT *, row_number() OVER (PARTITION BY k, ak, {q.key('rejected')} ORDER BY pos) AS rn FROM p WHERE rejected IS NOT NULL)
-SELECT k AS key, pos, md5(answer) AS chosen_md5, md5(rejected) AS rejected_md5, source, CASE WHEN source = 'reviewed_session_pair' THEN 0.95::DOUBLE ELSE 0.88::DOUBLE END AS confidence FROM u WHERE rn = 1
-""")
-def dpo_session(spark, sf_dir):
-    rows = _labelled(spark, sf_dir).withColumn("label", F.when(C("quality") == 1, "chosen").when(C("doc_id") % 2 == 1, "rejected"))
-    made = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(C("lang"), F.lit("-"), (C("doc_id") % 40).cast("string")).alias("key"), F.substring("text", 1, 200).alias("completion"), C("doc_id").alias("pos"))
-    out = dpo.session_pairs(rows.select("key", "answer", "label", "pos"), made)
-    return out.select("key", "pos", F.md5(C("chosen").cast("binary")).alias("chosen_md5"), F.md5(C("rejected").cast("binary")).alias("rejected_md5"), "source", "confidence")
+def _legacy(spark, sf_dir):
+    rows = _reviewed(spark, sf_dir).withColumn("answer", t.strip(C("answer")))
+    return dpo.legacy_pairs(rows.where("label = 'chosen'"), rows.where("label = 'rejected'"))
 
 
-def _whole(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(C("lang"), F.lit("-"), (C("doc_id") % 40).cast("string")).alias("key"), C("text").alias("answer"), C("doc_id").alias("pos"))
+def _session(spark, sf_dir):
+    return dpo.session_pairs(_reviewed(spark, sf_dir), _answers(spark, sf_dir).select("key", C("answer").alias("completion"), "pos"))
 
 
-@query()
-def dpo_legacy_whole(spark, sf_dir):
-    """dpo_legacy with whole answers."""
-    rows = _whole(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    out = dpo.legacy_pairs(rows.where("quality = 1"), rows.where("quality = 0"))
-    return out.select("key", "pos", F.md5(C("chosen").cast("binary")).alias("chosen_md5"), F.md5(C("rejected").cast("binary")).alias("rejected_md5"), "confidence")
+_LEGACY_SQL = f"{_LAB}, rej AS (SELECT k, arg_min(answer, pos) AS rejected FROM lab WHERE quality = 0 GROUP BY k), legacy AS (SELECT k AS key, pos, answer AS chosen, rejected FROM lab JOIN rej USING (k) WHERE quality = 1 AND answer <> '' AND rejected <> '' AND answer <> rejected)"
+_pick = lambda rel, test: f"(SELECT arg_min(struct_pack(answer := x.answer, ak := x.ak, tags := x.tags), x.pos) FROM {rel} x WHERE x.k = c.k AND x.ak <> c.ak{test})"
+_SESSION_SQL = f"""
+la AS MATERIALIZED (SELECT k, pos, answer, quality, tags, {q.key('answer')} AS ak FROM lab WHERE answer <> ''), sa AS MATERIALIZED (SELECT k, pos, answer, '' AS tags, {q.key('answer')} AS ak FROM smp WHERE answer <> ''),
+pr AS (SELECT c.*, {_pick('la', ' AND x.quality = 1 - c.quality')} AS a, {_pick('sa', '')} AS b FROM la c WHERE c.quality IN (0, 1)),
+pp AS (SELECT *, coalesce(a, b) AS f, a IS NOT NULL AS own FROM pr WHERE coalesce(a, b) IS NOT NULL),
+po AS (SELECT k AS key, 1 - quality AS direction, pos, CASE WHEN quality = 1 THEN answer ELSE f.answer END AS chosen, CASE WHEN quality = 1 THEN f.answer ELSE answer END AS rejected, CASE WHEN quality = 1 THEN ak ELSE f.ak END AS gk, CASE WHEN quality = 1 THEN f.ak ELSE ak END AS bk,
+  CASE WHEN own THEN 'reviewed_session_pair' WHEN quality = 1 THEN 'reviewed_plus_sampled' ELSE 'sampled_repair_pair' END AS source, CASE WHEN quality = 1 THEN (CASE WHEN own THEN f.tags ELSE '' END) ELSE tags END AS own_tags FROM pp),
+session AS (SELECT key, direction, pos, chosen, rejected, source, CASE WHEN own_tags <> '' THEN own_tags ELSE {q.failure_tags('rejected')} END AS tags, CASE source WHEN 'reviewed_session_pair' THEN 0.95::DOUBLE WHEN 'reviewed_plus_sampled' THEN 0.88::DOUBLE ELSE 0.84::DOUBLE END AS confidence FROM po QUALIFY row_number() OVER (PARTITION BY key, gk, bk ORDER BY direction, pos) = 1)"""
+_md5 = lambda c: F.md5(C(c).cast("binary")).alias(f"{c}_md5")
 
 
-@query()
-def dpo_session_whole(spark, sf_dir):
-    """dpo_session with whole answers: every bad label is a rejected answer, every document a sample."""
-    rows = _whole(spark, sf_dir)
-    reviewed = rows.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("label", F.when(C("quality") == 1, "chosen").when(C("quality") == 0, "rejected"))
-    out = dpo.session_pairs(reviewed.select("key", "answer", "label", "pos"), rows.select("key", C("answer").alias("completion"), "pos"))
-    return out.select("key", "pos", F.md5(C("chosen").cast("binary")).alias("chosen_md5"), F.md5(C("rejected").cast("binary")).alias("rejected_md5"), "source", "confidence")
+@query(f"WITH {_LEGACY_SQL} SELECT key, pos, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5, 0.8::DOUBLE AS confidence FROM legacy")
+def dpo_legacy(spark, sf_dir):
+    return _legacy(spark, sf_dir).select("key", "pos", _md5("chosen"), _md5("rejected"), "confidence")
+
+
+@query(f"WITH {_LAB}, {_SESSION_SQL} SELECT key, direction::INT AS direction, pos, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5, source, tags AS reason_tags, confidence FROM session")
+def dpo_session(spark, sf_dir):
+    return _session(spark, sf_dir).select("key", "direction", "pos", _md5("chosen"), _md5("rejected"), "source", F.array_join("reason_tags", ",").alias("reason_tags"), "confidence")
+
+
+@query(f"WITH {_LEGACY_SQL}, {_SESSION_SQL} SELECT key, pos, 'legacy' AS source, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5, 0.8::DOUBLE AS confidence, {q.failure_tags('rejected')} AS reason_tags FROM legacy UNION ALL SELECT key, pos, source, md5(chosen), md5(rejected), confidence, tags FROM session")
+def dpo_union(spark, sf_dir):
+    """Legacy pairs, then those of reviewed sessions."""
+    legacy = _legacy(spark, sf_dir).withColumn("source", F.lit("legacy")).withColumn("reason_tags", t.failure_tags(C("rejected")))
+    cols = ["key", "pos", "source", "chosen", "rejected", "confidence", "reason_tags"]
+    both = legacy.select(*cols).unionByName(_session(spark, sf_dir).select(*cols))
+    return both.select("key", "pos", "source", _md5("chosen"), _md5("rejected"), "confidence", F.array_join("reason_tags", ",").alias("reason_tags"))
+
+
+@query(f"""
+WITH {_LEGACY_SQL}, {_SESSION_SQL} SELECT 'chosen_rows' AS name, count(*)::BIGINT AS n FROM lab WHERE quality = 1 UNION ALL SELECT 'rejected_rows', count(*) FROM lab WHERE quality = 0 UNION ALL SELECT 'reviewed_session_prompts', count(DISTINCT k) FROM lab WHERE quality IN (0, 1) AND answer <> ''
+UNION ALL SELECT 'sampled_prompt_keys', count(DISTINCT k) FROM smp WHERE answer <> '' UNION ALL SELECT 'legacy_pairs', count(*) FROM legacy UNION ALL SELECT 'session_pairs', count(*) FROM session UNION ALL SELECT 'pairs', (SELECT count(*) FROM legacy) + (SELECT count(*) FROM session)
+""")
+def dpo_report(spark, sf_dir):
+    rows = _reviewed(spark, sf_dir)
+    return dpo.pair_report(_legacy(spark, sf_dir), _session(spark, sf_dir), rows.where("label = 'chosen'"), rows.where("label = 'rejected'"), rows, _answers(spark, sf_dir).select("key", C("answer").alias("completion"), "pos"))
 
 
 def _metrics(spark, sf_dir):
@@ -239,12 +255,14 @@ s AS (SELECT list_sort(list(p)) AS ps, list_sort(list(f - p)) AS cs, list_sort(l
 SELECT usable::BIGINT AS kept_rows, (n - usable)::BIGINT AS dropped, ps[n // 2 + 1]::INT AS prompt_p50, cs[n // 2 + 1]::INT AS completion_p50, fs[n // 2 + 1]::INT AS full_p50, fs[n]::INT AS full_max FROM s
 """)
 def token_budget(spark, sf_dir):
-    """Words stand in for tokens; upper medians by exact discrete percentiles, which are partial aggregates."""
-    from dialogmill.operators.percentiles import upper_median
-
+    """Words stand in for tokens; upper medians of three columns, each dealt into ranges, so that no task sorts them all."""
     rows = pairs(spark, sf_dir).select(t.word_count(C("question")).alias("p"), (t.word_count(C("question")) + t.word_count(C("answer"))).alias("f"))
     rows = rows.withColumn("kept", records.completion_budget(C("p"), C("f"), 120))
-    return rows.agg(F.count_if(C("kept") > 0).alias("kept_rows"), F.count_if(C("kept") <= 0).alias("dropped"), upper_median(C("p")).alias("prompt_p50"), upper_median(C("f") - C("p")).alias("completion_p50"), upper_median(C("f")).alias("full_p50"), F.max("f").alias("full_max"))
+    long = rows.select(F.explode(F.create_map(F.lit("prompt"), C("p"), F.lit("completion"), C("f") - C("p"), F.lit("full"), C("f"))).alias("kind", "v"))
+    medians = pc.ranked_values(long, ["kind"], "v", {"p50": pc.upper_place()})
+    of = lambda kind: F.max(F.when(C("kind") == kind, C("p50"))).alias(f"{kind}_p50")
+    counts = rows.agg(F.count_if(C("kept") > 0).alias("kept_rows"), F.count_if(C("kept") <= 0).alias("dropped"), F.max("f").alias("full_max"))
+    return counts.join(F.broadcast(medians.agg(of("prompt"), of("completion"), of("full"))), F.lit(True)).select("kept_rows", "dropped", "prompt_p50", "completion_p50", "full_p50", "full_max")
 
 
 SEEDS = ["the", "latency", "thble"]
@@ -271,26 +289,67 @@ def _sources(spark, sf_dir):
     return documents(spark, sf_dir).select(C("doc_id").alias("source_id"), F.element_at(kinds, (C("doc_id") % 9 + 1).cast("int")).alias("source_type"), (F.lit(1_700_000_000_000) + C("doc_id") * 60_000_000).alias("updated_ms"), C("text").alias("content"))
 
 
-@query(f"""
-WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split({q.sanitize('text')}, chr(10)), lambda x: {q.strip('x')}), lambda x: x <> '') AS ls FROM documents),
+AS_OF = 1_707_000_000_000
+_KINDS = [*K.SOURCE_WEIGHT, "other"]
+_bracketed = lambda xs: f"([{q.listed(xs)}])"
+_CHUNKS = f"""
+l AS (SELECT doc_id, list_filter(list_transform(string_split({q.sanitize('text')}, chr(10)), lambda x: {q.strip('x')}), lambda x: x <> '') AS ls FROM documents),
 r AS (SELECT doc_id, ls, 1 AS i, ls[1] AS now, []::VARCHAR[] AS done FROM l WHERE len(ls) > 0
   UNION ALL
   SELECT doc_id, ls, i + 1, CASE WHEN length(now || chr(10) || ls[i + 1]) > {K.MAX_CHUNK_CHARS} THEN ls[i + 1] ELSE now || chr(10) || ls[i + 1] END, CASE WHEN length(now || chr(10) || ls[i + 1]) > {K.MAX_CHUNK_CHARS} THEN list_append(done, now) ELSE done END FROM r WHERE i < len(ls)),
-e AS (SELECT doc_id, list_filter(list_append(done, now), lambda x: length(x) >= {K.MIN_CHUNK_CHARS})[1:{K.MAX_CHUNKS}] AS cs FROM r WHERE i = len(ls))
-SELECT doc_id AS source_id, unnest(range(len(cs)))::INT AS chunk_no, md5(unnest(cs)) AS chunk_md5 FROM e
-""")
+e AS (SELECT doc_id, list_filter(list_append(done, now), lambda x: length(x) >= {K.MIN_CHUNK_CHARS})[1:{K.MAX_CHUNKS}] AS cs FROM r WHERE i = len(ls)),
+ch AS MATERIALIZED (SELECT doc_id AS source_id, {_bracketed(_KINDS)}[doc_id % 9 + 1] AS source_type, (1700000000000 + doc_id * 60000000)::BIGINT AS updated_ms, unnest(range(len(cs)))::INT AS chunk_no, unnest(cs) AS chunk FROM e)"""
+_tokens_sql = lambda c: f"list_distinct(list_filter(string_split({q.speech(q.sanitize(c))}, ' '), lambda x: length(x) > 1))"
+_WEIGHTS = ", ".join(f"('{i}', '{k}', {K.SOURCE_WEIGHT.get(k, K.UNKNOWN_WEIGHT)}::DOUBLE * {by.get(k, 1.0)}::DOUBLE)" for i, by in K.INTENT_MULTIPLIER.items() for k in _KINDS)
+#: Every chunk scored for every query qs (query_id, part, intent, query): tables need not be large here.
+_SCORED = f"""
+ct AS MATERIALIZED (SELECT *, {_tokens_sql('chunk')} AS ts, (1.0::DOUBLE - greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({AS_OF} - updated_ms) / (86400000.0::DOUBLE * {K.FRESH_DAYS})))) * {K.FRESHNESS_WEIGHT}::DOUBLE AS age FROM ch),
+wt AS (SELECT * FROM (VALUES {_WEIGHTS}) AS v(intent, source_type, base)), qt AS MATERIALIZED (SELECT *, {_tokens_sql('query')} AS toks FROM qs),
+sc AS (SELECT qt.query_id, qt.part, qt.most, ct.source_id, ct.source_type, ct.chunk_no, ct.chunk, wt.base + (CASE WHEN len(toks) > 0 THEN len(list_intersect(toks, ts))::DOUBLE / len(toks) ELSE 0 END) * {K.LEXICAL_WEIGHT}::DOUBLE + ct.age AS score
+  FROM qt JOIN ct ON qt.types IS NULL OR list_contains(qt.types, ct.source_type) JOIN wt ON wt.intent = qt.intent AND wt.source_type = ct.source_type),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, source_id, chunk_no) AS rank FROM sc QUALIFY rank <= most)"""
+_INTENT = f"{_bracketed([*K.INTENT_MULTIPLIER])}[item_id % 3 + 1]"
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT source_id, chunk_no, md5(chunk) AS chunk_md5 FROM ch")
 def chunks(spark, sf_dir):
     return ch.chunks(_sources(spark, sf_dir)).select("source_id", "chunk_no", F.md5(C("chunk").cast("binary")).alias("chunk_md5"))
 
 
-AS_OF = 1_707_000_000_000
+def _asked(spark, sf_dir):
+    """The benchmark's passages as queries."""
+    intent = F.element_at(F.array(*map(F.lit, K.INTENT_MULTIPLIER)), (C("item_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"), intent.alias("intent"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_CHUNKS}, qs AS (SELECT item_id AS query_id, 0 AS part, 5 AS most, NULL::VARCHAR[] AS types, {_INTENT} AS intent, text AS query FROM benchmark), {_SCORED} SELECT query_id, rank::INT AS rank, source_id, source_type, chunk_no, round(score, 4) AS score FROM rk")
 def retrieve_topk(spark, sf_dir):
-    """The benchmark's passages as queries; tests hold this against scoring every chunk."""
-    asked = table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"), F.element_at(F.array(*map(F.lit, K.INTENT_MULTIPLIER)), (C("item_id") % 3 + 1).cast("int")).alias("intent"))
-    return ch.retrieve(ch.chunks(_sources(spark, sf_dir)), asked, limit=5, as_of_ms=AS_OF)
+    return ch.retrieve(kept(ch.chunks(_sources(spark, sf_dir)), "chunks"), _asked(spark, sf_dir), limit=5, as_of_ms=AS_OF)
+
+
+MANUAL = {"note": 1.6, "cv": 0.5}
+
+
+@query(f"WITH RECURSIVE {_CHUNKS}, qs AS (SELECT item_id AS query_id, 0 AS part, 3 AS most, ['cv', 'note', 'github'] AS types, {_INTENT} AS intent, text AS query FROM benchmark), {_SCORED.replace('wt.base +', 'wt.base * (CASE wt.source_type ' + ' '.join(f'WHEN {q.quoted(k)} THEN {v}::DOUBLE' for k, v in MANUAL.items()) + ' ELSE 1.0::DOUBLE END) +')} SELECT query_id, rank::INT AS rank, source_id, source_type, chunk_no, round(score, 4) AS score FROM rk")
+def retrieve_weighted(spark, sf_dir):
+    """Of three allowed source types, with manual weights."""
+    return ch.retrieve(kept(ch.chunks(_sources(spark, sf_dir)), "chunks"), _asked(spark, sf_dir), 3, AS_OF, ["cv", "note", "github"], MANUAL)
+
+
+_PARTS = ", ".join(f"({q.quoted(name)}, {part}, {n}, {_bracketed(list(types))})" for name, two in ch.MIXES.items() for part, (n, types) in enumerate(two))
+
+
+@query(f"""
+WITH RECURSIVE {_CHUNKS}, mx AS (SELECT * FROM (VALUES {_PARTS}) AS v(mix, part, most, types)), qi AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 3 THEN 'always' ELSE {_INTENT} END AS mix, CASE WHEN item_id % 4 = 3 THEN 'mixed' ELSE {_INTENT} END AS intent, text AS query FROM benchmark),
+qs AS (SELECT query_id, part, most, types, intent, query FROM qi JOIN mx USING (mix)), {_SCORED},
+ln AS (SELECT query_id, part, rank, '[profile:' || source_type || '] ' || {q.clip('chunk', 220)} AS line FROM rk), un AS (SELECT * FROM ln WHERE trim(line) <> '' QUALIFY row_number() OVER (PARTITION BY query_id, lower(trim(line)) ORDER BY part, rank) = 1),
+to7 AS (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY part, rank) <= 7)
+SELECT query_id, string_agg(line, chr(10) ORDER BY part, rank) AS context FROM to7 GROUP BY 1
+""")
+def retrieval_mix(spark, sf_dir):
+    """Context of each passage: the best of the candidate's own sources and of the knowledge sources, as many of each as its intent and policy say."""
+    asked = _asked(spark, sf_dir).withColumn("policy", F.when(C("query_id") % 4 == 3, "always").otherwise("auto"))
+    return ch.context_mix(kept(ch.chunks(_sources(spark, sf_dir)), "chunks"), asked, AS_OF)
 
 
 @query("SELECT source, lang, count(*)::BIGINT AS n, grouping(source)::INT AS all_sources, grouping(lang)::INT AS all_langs FROM documents GROUP BY ROLLUP (source, lang)")

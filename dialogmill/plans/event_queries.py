@@ -227,15 +227,6 @@ def cache_lookup(spark, sf_dir):
     return rows.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic", "n_chars")
 
 
-@query("SELECT c.doc_id, c.lang, p.doc_id AS parent_id FROM documents c JOIN documents p ON p.doc_id = c.doc_id // 2 WHERE c.doc_id % 2 = 1 AND p.doc_id % 2 = 0 AND c.lang IN ('en', 'de') AND p.lang = 'en'")
-def message_tree(spark, sf_dir):
-    """A self join of answers and the questions they name as parents."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    child = rows.where("doc_id % 2 = 1 AND lang IN ('en', 'de')").withColumn("parent_id", F.floor(C("doc_id") / 2))
-    parent = rows.where("doc_id % 2 = 0 AND lang = 'en'").select(C("doc_id").alias("parent_id"))
-    return child.join(parent, "parent_id").select("doc_id", "lang", "parent_id")
-
-
 @query("SELECT source, max(doc_id)::BIGINT AS doc_id FROM documents GROUP BY source")
 def replace_latest(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("doc_id"))

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from dialogmill.functions import live as fl
 from dialogmill.functions import scoring as sc
-from dialogmill.functions import similarity as sim
 from dialogmill.functions import text as t
-from dialogmill.operators import chunks as ch
-from dialogmill.plans import dataset_queries as dq
 from dialogmill.plans import sql as q
 from dialogmill.plans import text_queries as tq
 from dialogmill.plans.base import SQL, events, query, table
@@ -103,16 +100,3 @@ def run_log_summary(spark, sf_dir):
 @query("SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL ORDER BY doc_id DESC LIMIT 20")
 def reviewed_list(spark, sf_dir):
     return table(spark, sf_dir, "labels").where("quality IS NOT NULL").orderBy(C("doc_id").desc()).limit(20).select("doc_id", "quality")
-
-
-@query()
-def retrieval_mix(spark, sf_dir):
-    """Context of each benchmark passage: the best of the candidate's own sources and of the knowledge sources, without repeats, seven at most."""
-    chunked = ch.chunks(dq._sources(spark, sf_dir))
-    asked = table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"), F.lit("mixed").alias("intent"))
-    own = ch.retrieve(chunked, asked, 4, dq.AS_OF, ["job_desc", "cv", "github", "linkedin", "note"]).withColumn("part", F.lit(0))
-    known = ch.retrieve(chunked, asked, 3, dq.AS_OF, ["knowledge_base", "web_corpus", "glossary"]).withColumn("part", F.lit(1))
-    both = own.unionByName(known).join(chunked.select("source_id", "chunk_no", "chunk"), ["source_id", "chunk_no"])
-    line = F.concat(F.lit("[profile:"), C("source_type"), F.lit("] "), t.clip(C("chunk"), 220))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "rank", line.alias("line")))), lambda x: x["line"])
-    return both.groupBy("query_id").agg(F.array_join(sim.combine_unique(lines, 7), "\n").alias("context"))

@@ -12,7 +12,7 @@ def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def listed(values: list[str]) -> str:
+def listed(values) -> str:
     return ", ".join(map(quoted, values))
 
 
@@ -184,22 +184,45 @@ def canonical(url: str) -> str:
     return f"(CASE WHEN {scheme(url)} IN ('http', 'https') AND {host(url)} <> '' THEN {scheme(url)} || '://' || {host(url)} || (CASE WHEN {one} = '/' THEN '/' ELSE regexp_replace({one}, '/+$', '') END) ELSE '' END)"
 
 
-def unescape(c: str) -> str:
-    from dialogmill.functions.web import ENTITIES
+def _mapped(entries: dict, key: str) -> str:
+    """A lookup in a constant map; null: not there."""
+    return f"map([{listed(map(str, entries))}], [{listed(entries.values())}])[{key}]"
+
 
-    for entity, char in ENTITIES.items():
-        c = f"replace({c}, {quoted(entity)}, {quoted(char)})"
-    return c
+def _character(n: str) -> str:
+    from dialogmill.functions.web import _CONTROLS, WINDOWS
+
+    windows = " ".join(f"WHEN {k} THEN chr({ord(v)})" for k, v in WINDOWS.items())
+    return f"(CASE {n} {windows} ELSE (CASE WHEN {n} BETWEEN 55296 AND 57343 OR {n} > 1114111 THEN chr(65533) WHEN {n} IN ({', '.join(map(str, _CONTROLS))}) OR {n} BETWEEN 64976 AND 65007 OR {n} % 65536 >= 65534 THEN '' ELSE chr({n}::INT) END) END)"
+
+
+def unescape(c: str) -> str:
+    """Character references decoded once. Only texts with an ampersand that isn't one of the frequent entities are taken apart."""
+    from dialogmill.functions.web import BARE, NAMED, PLAIN_ENTITIES
+
+    plain = c
+    for entity, char in PLAIN_ENTITIES.items():
+        plain = f"replace({plain}, {quoted(entity)}, {quoted(char)})"
+    decimal, hexadecimal, bare = "^#([0-9]+);?", "^#[xX]([0-9a-fA-F]+);?", "^(" + "|".join(sorted(BARE, key=lambda x: (-len(x), x))) + ")"
+    number = lambda p: f"(CASE WHEN length(ltrim({p}, '0')) > 9 THEN 1073741824 ELSE coalesce(nullif(ltrim({p}, '0'), ''), '0')::BIGINT END)"
+    hexed = lambda p: f"(CASE WHEN length(ltrim({p}, '0')) > 9 THEN 1073741824 ELSE ('0x' || coalesce(nullif(ltrim({p}, '0'), ''), '0'))::BIGINT END)"
+    named = "regexp_extract(p, '^([^\\t\\n\\f <&#;]{1,32};)', 1)"
+    part = (
+        f"CASE WHEN regexp_matches(p, '{decimal}') THEN {_character(number(f"regexp_extract(p, '{decimal}', 1)"))} || regexp_replace(p, '{decimal}', '')"
+        f" WHEN regexp_matches(p, '{hexadecimal}') THEN {_character(hexed(f"regexp_extract(p, '{hexadecimal}', 1)"))} || regexp_replace(p, '{hexadecimal}', '')"
+        f" WHEN {_mapped(NAMED, named)} IS NOT NULL THEN {_mapped(NAMED, named)} || substr(p, length({named}) + 1)"
+        f" WHEN regexp_matches(p, '{bare}') THEN {_mapped(BARE, f"regexp_extract(p, '{bare}', 1)")} || substr(p, length(regexp_extract(p, '{bare}', 1)) + 1) ELSE '&' || p END"
+    )
+    return f"list_transform([{plain}], lambda w: CASE WHEN contains(w, '&') THEN string_split(w, '&')[1] || array_to_string(list_transform(string_split(w, '&')[2:], lambda p: {part}), '') ELSE w END)[1]"
 
 
 def html_text(c: str) -> str:
+    from dialogmill.functions.web import BLOCKS, TAGS
+
     c = f"coalesce({c}, '')"
-    for tag in ("script", "style", "noscript"):
-        c = f"regexp_replace({c}, '(?is)<{tag}.*?>.*?</{tag}>', ' ', 'g')"
-    c = rf"regexp_replace({c}, '(?i)<br\s*/?>', chr(10), 'g')"
-    c = rf"regexp_replace({c}, '(?i)</p>|</li>|</h\d>|</section>|</article>', chr(10), 'g')"
-    c = unescape(f"regexp_replace({c}, '(?s)<[^>]+>', ' ', 'g')")
-    return normalize(rf"regexp_replace({c}, '[ \t\f\v\x{{00A0}}\x{{2000}}-\x{{200A}}]+', ' ', 'g')")
+    for pattern, out in [*[(rf"(?is)<{tag}.*?>.*?</{tag}>", " ") for tag in BLOCKS], *TAGS]:
+        c = f"regexp_replace({c}, '{pattern}', {'chr(10)' if out == chr(10) else quoted(out)}, 'g')"
+    return normalize(rf"regexp_replace({unescape(c)}, '[ \t\f\v\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')")
 
 
 #: Questions and answers: each user turn with the assistant turn that follows it.

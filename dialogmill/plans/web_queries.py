@@ -11,13 +11,14 @@ from dialogmill.functions import text as t
 from dialogmill.functions import web
 from dialogmill.operators import near_dup
 from dialogmill.operators.quota import category_quotas
+from dialogmill.operators.state import kept
 from dialogmill.plans import sql as q
 from dialogmill.plans.base import pages, query
 from dialogmill.plans.text_queries import _noise_sql, web_quality_sql
 
 C = F.col
 BLOCKED = ["spam-farm.example.org", "spam-farm.example.com", "casino-win.example.com", "ads-track.example.org"]
-ALLOWED = ["example.com", "example.org"]
+TIER1, ALLOWED = ["example.com"], ["example.com", "example.org"]
 EXCLUDED = [r"\?utm_", r"/(login|signup)", r"/9\d\d$"]
 MIN_CHARS, MIN_QUALITY, MAX_PER_DOMAIN, NEAR = 400, 0.2, 6, 0.84
 
@@ -62,7 +63,7 @@ def url_canonical(spark, sf_dir):
 
 
 _matches = lambda h, ds: "(" + " OR ".join(f"{h} = '{d}' OR ends_with({h}, '.{d}')" for d in ds) + ")"
-_excluded = lambda u: "regexp_matches(lower(" + u + "), '" + "|".join(f"({p.lower()})" for p in EXCLUDED) + "')"
+_excluded = lambda u: "regexp_matches(" + u + ", '(?i)" + "|".join(f"({p})" for p in EXCLUDED) + "')"
 
 
 @query(f"SELECT page_id, {q.host('url')} AS host FROM pages WHERE NOT {_matches(q.host('url'), BLOCKED)} AND {_matches(q.host('url'), ALLOWED)} AND NOT {_excluded(q.canonical('url'))}")
@@ -87,79 +88,106 @@ def redirect_decode(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(REDIRECTS)), "id int, href string").select("id", web.redirect_target(C("href")).alias("target"))
 
 
-def rejected(spark, sf_dir):
-    """page_id, canonical, host, title, body, quality, reason (null: kept): the first rule that fails names the reason.
+#: Categories by the first part of a url's path, in their order, with weights; others have the cap itself.
+CATEGORIES = dict(zip(("en", "fr", "de", "es"), map(float, K.CATEGORY_WEIGHTS)))
+MAX_DOCS, MAX_PER_CATEGORY = 160, 60
+_CATEGORY = "^/([a-z]+)/"
 
-    Duplicates of a url are later rows with the same one; caps count rows that no earlier rule rejects.
-    """
-    rows = pages(spark, sf_dir).select("page_id", web.canonical(C("url")).alias("canonical"), web.host(C("url")).alias("host"), web.title(C("html"), C("url")).alias("title"), web.html_text(C("html")).alias("body"))
-    first = F.row_number().over(Window.partitionBy("canonical").orderBy("page_id"))
-    rows = rows.withColumn("rn", first).withColumn("quality", sc.web_quality(C("body"), C("title"))).withColumn("noise", sc.noise(C("body")))
-    reason = (
-        F.when(C("canonical") == "", "invalid_scheme_or_url").when(C("rn") > 1, "duplicate_url").when(web.matches_domain(C("host"), BLOCKED), "blocked_domain")
-        .when(~web.matches_domain(C("host"), ALLOWED), "allow_domain_filtered").when(web.excluded(C("canonical"), EXCLUDED), "excluded_pattern")
-        .when(F.length("body") < MIN_CHARS, "min_text_chars").when(C("noise"), "noise").when(C("quality") < MIN_QUALITY, "quality_threshold")
-    )
-    return rows.withColumn("reason", reason).drop("rn", "noise")
 
+def _first(rows, key):
+    """page_id of the first row of each key; a partial aggregate."""
+    return rows.groupBy(key).agg(F.min("page_id").alias("page_id")).select("page_id")
 
-def rejected_whole(spark, sf_dir):
-    """rejected() and the rules that look at other rows, each on what the ones before accept, in the order of page_id:
-    duplicates of a url, equal token sets, near duplicates of kept pages, pages over the cap of their domain.
-    """
-    rows = pages(spark, sf_dir).select("page_id", web.canonical(C("url")).alias("canonical"), web.host(C("url")).alias("host"), web.title(C("html"), C("url")).alias("title"), web.html_text(C("html")).alias("body"))
-    reason = (
-        F.when(C("canonical") == "", "invalid_scheme_or_url").when(web.matches_domain(C("host"), BLOCKED), "blocked_domain")
-        .when(~web.matches_domain(C("host"), ALLOWED), "allow_domain_filtered").when(web.excluded(C("canonical"), EXCLUDED), "excluded_pattern")
-        .when(F.length("body") < MIN_CHARS, "min_text_chars").when(sc.noise(C("body")), "noise").when(C("quality") < MIN_QUALITY, "quality_threshold")
-    )
-    rows = rows.withColumn("quality", sc.web_quality(C("body"), C("title"))).withColumn("reason", reason).withColumn("tokens", t.token_set(C("body")))
-    rows = near_dup.cut(rows.withColumn("print", t.fingerprint(C("tokens"))))
-    turn = lambda name: F.row_number().over(Window.partitionBy(name).orderBy("page_id"))
-    left = rows.where("reason IS NULL").select("page_id", "canonical", "host", "print", "tokens")
-    left = left.withColumn("late", F.when(turn("canonical") > 1, "duplicate_url"))
-    urls, left = left.where("late IS NOT NULL"), left.where("late IS NULL")
-    left = left.withColumn("late", F.when(turn("print") > 1, "fingerprint_duplicate"))
-    prints, left = left.where("late IS NOT NULL"), near_dup.cut(left.where("late IS NULL"))
-    gone = near_dup.resolve_greedy(near_dup.similar_pairs(near_dup.set_classes(left.select(C("page_id").alias("doc_id"), "tokens")), NEAR)).select(C("doc_id").alias("page_id"), F.lit("near_duplicate").alias("late"))
-    capped = left.join(gone, "page_id", "left_anti").withColumn("late", F.when(turn("host") > MAX_PER_DOMAIN, "per_domain_cap")).where("late IS NOT NULL")
-    late = [x.select("page_id", "late") for x in (urls, prints, gone, capped)]
-    late = late[0].unionByName(late[1]).unionByName(late[2]).unionByName(late[3])
-    return rows.join(late, "page_id", "left").withColumn("reason", F.coalesce("reason", "late")).drop("late", "tokens", "print")
 
+def _upto(rows, key, most):
+    """page_id of the first rows of each key, as many as ``most`` says; groups are cut before they are shuffled."""
+    rn = F.row_number().over(Window.partitionBy(key).orderBy("page_id"))
+    return rows.withColumn("rn", rn).where(C("rn") <= most).select("page_id")
 
-_REJECTED = f"""
-b AS MATERIALIZED (SELECT page_id, {q.canonical('url')} AS canonical, {q.host('url')} AS host, {_TITLE} AS title, {q.html_text('html')} AS body FROM pages),
-l AS MATERIALIZED (SELECT *, {_noise_sql('body')[0]} AS lines, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS rn, {web_quality_sql('body', 'title')} AS quality FROM b),
-rej AS MATERIALIZED (SELECT page_id, canonical, host, title, body, quality, CASE WHEN canonical = '' THEN 'invalid_scheme_or_url' WHEN rn > 1 THEN 'duplicate_url' WHEN {_matches('host', BLOCKED)} THEN 'blocked_domain'
-  WHEN NOT {_matches('host', ALLOWED)} THEN 'allow_domain_filtered' WHEN {_excluded('canonical')} THEN 'excluded_pattern' WHEN length(body) < {MIN_CHARS} THEN 'min_text_chars' WHEN {_noise_sql('body')[1]} THEN 'noise' WHEN quality < {MIN_QUALITY} THEN 'quality_threshold' END AS reason FROM l)"""
 
+def rejected(spark, sf_dir, tier1_only=False):
+    """page_id, canonical, host, category, title, body, quality, reason (null: kept): the first rule that fails names the reason.
 
-@query(f"WITH {_REJECTED} SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM rej GROUP BY 1")
+    The rules on the page itself come first. Those that look at other pages follow, each on what the ones before accept, in the order of page_id:
+    duplicates of a url, equal token sets, near duplicates of kept pages, caps of domains and categories and of all.
+    """
+    rows = pages(spark, sf_dir).select("page_id", web.canonical(C("url")).alias("canonical"), web.host(C("url")).alias("host"), F.regexp_extract(web.path(C("url")), _CATEGORY, 1).alias("category"), web.title(C("html"), C("url")).alias("title"), web.html_text(C("html")).alias("body"), C("html").isNull().alias("missing"))
+    reason = (
+        F.when(C("canonical") == "", "invalid_scheme_or_url").when(C("host") == "", "missing_host").when(web.matches_domain(C("host"), BLOCKED, empty=False), "blocked_domain")
+        .when(F.lit(tier1_only) & ~web.matches_domain(C("host"), TIER1), "tier1_only_filtered").when(~web.matches_domain(C("host"), ALLOWED), "allow_domain_filtered").when(web.excluded(C("canonical"), EXCLUDED), "excluded_pattern")
+        .when(C("missing"), "fetch_failed").when(F.length("body") < MIN_CHARS, "min_text_chars").when(sc.noise(C("body")), "noise").when(C("quality") < MIN_QUALITY, "quality_threshold")
+    )
+    rows = rows.withColumn("quality", sc.web_quality(C("body"), C("title"))).withColumn("reason", reason).drop("missing").withColumn("tokens", t.token_set(C("body")))
+    rows = kept(rows.withColumn("print", t.fingerprint(C("tokens"))), "web-pages")
+    left, late = rows.where("reason IS NULL").select("page_id", "canonical", "host", "category", "print", "tokens"), []
+
+    def keep(left, ids, name):
+        late.append(left.join(ids, "page_id", "left_anti").select("page_id", F.lit(name).alias("late")))
+        return left.join(ids, "page_id", "left_semi")
+
+    left = keep(left, _first(left, "canonical"), "duplicate_url")
+    left = kept(keep(left, _first(left, "print"), "fingerprint_duplicate"), "web-distinct")
+    gone = near_dup.resolve_greedy(near_dup.similar_pairs(near_dup.set_classes(left.select(C("page_id").alias("doc_id"), "tokens")), NEAR)).select(C("doc_id").alias("page_id"))
+    left = kept(keep(left, left.select("page_id").join(gone, "page_id", "left_anti"), "near_duplicate").drop("tokens"), "web-left")
+    left = keep(left, _upto(left, "host", MAX_PER_DOMAIN), "per_domain_cap")
+    specs = spark.createDataFrame([(i, w) for i, w in enumerate(CATEGORIES.values())], "category int, weight double")
+    quotas = {list(CATEGORIES)[r["category"]]: r["quota"] for r in category_quotas(specs, MAX_DOCS, MAX_PER_CATEGORY).collect()}  # a row for each category of the configuration
+    most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), C("category")), F.lit(MAX_PER_CATEGORY))
+    left = keep(left, _upto(left.withColumn("most", most), "category", F.least(C("most"), F.lit(MAX_PER_CATEGORY))), "category_quota")
+    left = keep(left, left.orderBy("page_id").limit(MAX_DOCS).select("page_id"), "max_docs")
+    found = late[0]
+    for x in late[1:]:
+        found = found.unionByName(x)
+    return rows.join(found, "page_id", "left").withColumn("reason", F.coalesce("reason", "late")).drop("late", "tokens", "print")
+
+
+_SETS = "array_to_string(list_sort(toks), ' ')"
+_QUOTAS = f"""
+qc AS (SELECT unnest([{', '.join(str(w) for w in CATEGORIES.values())}]) AS w, unnest(range({len(CATEGORIES)})) AS i, unnest([{q.listed(CATEGORIES)}]) AS category),
+qr AS (SELECT category, i, w, {MAX_DOCS} * (w / (SELECT sum(w) FROM qc)::DOUBLE) AS raw FROM qc), qb AS (SELECT *, least({MAX_PER_CATEGORY}, floor(raw)::BIGINT) AS base FROM qr),
+qo AS (SELECT *, row_number() OVER (ORDER BY base >= {MAX_PER_CATEGORY}, raw - floor(raw) DESC, i) AS k, (SELECT {MAX_DOCS} - sum(base) FROM qb) AS left1 FROM qb), qp AS (SELECT *, base + (base < {MAX_PER_CATEGORY} AND k <= left1)::BIGINT AS one FROM qo),
+qs AS (SELECT *, row_number() OVER (ORDER BY one >= {MAX_PER_CATEGORY}, w DESC, i) AS k2, (SELECT {MAX_DOCS} - sum(one) FROM qp) AS left2 FROM qp), quotas AS (SELECT category, one + (one < {MAX_PER_CATEGORY} AND k2 <= left2)::BIGINT AS quota FROM qs)"""
+_REJECTED = f"""
+b AS MATERIALIZED (SELECT page_id, {q.canonical('url')} AS canonical, {q.host('url')} AS host, regexp_extract({q.path('url')}, '{_CATEGORY}', 1) AS category, {_TITLE} AS title, {q.html_text('html')} AS body, html IS NULL AS missing FROM pages),
+l AS MATERIALIZED (SELECT *, {_noise_sql('body')[0]} AS lines, {web_quality_sql('body', 'title')} AS quality, {q.token_set('body')} AS toks FROM b),
+p0 AS MATERIALIZED (SELECT *, CASE WHEN canonical = '' THEN 'invalid_scheme_or_url' WHEN host = '' THEN 'missing_host' WHEN {_matches('host', BLOCKED)} THEN 'blocked_domain' WHEN NOT {_matches('host', ALLOWED)} THEN 'allow_domain_filtered' WHEN {_excluded('canonical')} THEN 'excluded_pattern'
+  WHEN missing THEN 'fetch_failed' WHEN length(body) < {MIN_CHARS} THEN 'min_text_chars' WHEN {_noise_sql('body')[1]} THEN 'noise' WHEN quality < {MIN_QUALITY} THEN 'quality_threshold' END AS r0 FROM l),
+p1 AS (SELECT *, coalesce(r0, CASE WHEN row_number() OVER (PARTITION BY canonical, r0 IS NULL ORDER BY page_id) > 1 THEN 'duplicate_url' END) AS r1 FROM p0),
+p2 AS MATERIALIZED (SELECT *, coalesce(r1, CASE WHEN row_number() OVER (PARTITION BY {_SETS}, r1 IS NULL ORDER BY page_id) > 1 THEN 'fingerprint_duplicate' END) AS r2 FROM p1),
+o AS MATERIALIZED (SELECT page_id, toks, row_number() OVER (ORDER BY page_id) AS i FROM p2 WHERE r2 IS NULL),
+nn AS MATERIALIZED (SELECT a.i, list(b.i) AS near FROM o a JOIN o b ON b.i < a.i WHERE {q.jaccard('a.toks', 'b.toks')} >= {NEAR} GROUP BY a.i),
+gr AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS chosen UNION ALL SELECT gr.i + 1, CASE WHEN list_has_any(coalesce(nn.near, []::BIGINT[]), chosen) THEN chosen ELSE list_append(chosen, gr.i + 1) END FROM gr LEFT JOIN nn ON nn.i = gr.i + 1 WHERE gr.i < (SELECT count(*) FROM o)),
+ok AS MATERIALIZED (SELECT unnest(arg_max(chosen, i)) AS i FROM gr), fine AS (SELECT page_id FROM o JOIN ok USING (i)),
+p3 AS (SELECT *, coalesce(r2, CASE WHEN page_id NOT IN (SELECT page_id FROM fine) THEN 'near_duplicate' END) AS r3 FROM p2),
+p4 AS (SELECT *, coalesce(r3, CASE WHEN row_number() OVER (PARTITION BY host, r3 IS NULL ORDER BY page_id) > {MAX_PER_DOMAIN} THEN 'per_domain_cap' END) AS r4 FROM p3),{_QUOTAS},
+p5 AS (SELECT p4.*, coalesce(r4, CASE WHEN row_number() OVER (PARTITION BY p4.category, r4 IS NULL ORDER BY page_id) > coalesce(quota, {MAX_PER_CATEGORY}) THEN 'category_quota' END) AS r5 FROM p4 LEFT JOIN quotas USING (category)),
+rej AS MATERIALIZED (SELECT *, coalesce(r5, CASE WHEN row_number() OVER (PARTITION BY r5 IS NULL ORDER BY page_id) > {MAX_DOCS} THEN 'max_docs' END) AS reason FROM p5)"""
+
+
+@query(f"WITH RECURSIVE {_REJECTED} SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM rej GROUP BY 1")
 def reject_reasons(spark, sf_dir):
     return rejected(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""
-WITH {_REJECTED} SELECT substr(md5(canonical || '|' || title), 1, 16) AS id, canonical AS url, title, host AS source_domain, {q.detect_language('body')} AS language, round(quality, 4) AS quality_score, 'simple' AS extract_method,
-  substr(sha1(array_to_string(list_sort({q.token_set('body')}), ' ')), 1, 16) AS text_hash, md5(substr(body, 1, 22000)) AS text_md5 FROM rej WHERE reason IS NULL
+WITH RECURSIVE {_REJECTED} SELECT substr(md5(canonical || '|' || title), 1, 16) AS id, canonical AS url, title, category, host AS source_domain, {q.detect_language('body')} AS language, round(quality, 4) AS quality_score, 'simple' AS extract_method,
+  substr(sha1(array_to_string(list_sort(toks), ' ')), 1, 16) AS text_hash, md5(substr(body, 1, 22000)) AS text_md5 FROM rej WHERE reason IS NULL
 """)
 def web_corpus(spark, sf_dir):
-    return _records(rejected(spark, sf_dir).where("reason IS NULL"))
-
-
-@query()
-def reject_reasons_whole(spark, sf_dir):
-    return rejected_whole(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rejected(spark, sf_dir).where("reason IS NULL")
+    return rows.select(F.substring(F.md5(F.concat_ws("|", "canonical", "title").cast("binary")), 1, 16).alias("id"), C("canonical").alias("url"), "title", "category", C("host").alias("source_domain"), sc.detect_language(C("body")).alias("language"), F.round("quality", 4).alias("quality_score"), F.lit("simple").alias("extract_method"), F.substring(t.fingerprint(t.token_set(C("body"))), 1, 16).alias("text_hash"), F.md5(F.substring("body", 1, 22000).cast("binary")).alias("text_md5"))
 
 
-@query()
-def web_corpus_whole(spark, sf_dir):
-    return _records(rejected_whole(spark, sf_dir).where("reason IS NULL"))
-
-
-def _records(rows):
-    return rows.select(F.substring(F.md5(F.concat_ws("|", "canonical", "title").cast("binary")), 1, 16).alias("id"), C("canonical").alias("url"), "title", C("host").alias("source_domain"), sc.detect_language(C("body")).alias("language"), F.round("quality", 4).alias("quality_score"), F.lit("simple").alias("extract_method"), F.substring(t.fingerprint(t.token_set(C("body"))), 1, 16).alias("text_hash"), F.md5(F.substring("body", 1, 22000).cast("binary")).alias("text_md5"))
+@query(f"""
+WITH RECURSIVE {_REJECTED}, dom AS (SELECT host AS name, count(*) AS n FROM rej WHERE reason IS NULL GROUP BY 1 ORDER BY n DESC, name LIMIT 120)
+SELECT 'domain' AS counter, name, n::BIGINT AS n FROM dom UNION ALL SELECT 'category', category, count(*) FROM rej WHERE reason IS NULL GROUP BY 2 UNION ALL SELECT 'extractor', 'simple', count(*) FROM rej WHERE reason IS NULL GROUP BY 2 UNION ALL SELECT 'origin', 'seed', count(*) FROM rej WHERE reason IS NULL GROUP BY 2 UNION ALL SELECT 'rejected', reason, count(*) FROM rej WHERE reason IS NOT NULL GROUP BY 2
+""")
+def crawl_counters(spark, sf_dir):
+    """Counters of a build: kept pages by category, origin, extractor and domain (the first 120), rejected ones by reason."""
+    rows = kept(rejected(spark, sf_dir).select("host", "category", "reason"), "web-reasons")
+    long = rows.select(F.explode(F.when(C("reason").isNotNull(), F.array(F.struct(F.lit("rejected").alias("counter"), C("reason").alias("name")))).otherwise(F.array(*[F.struct(F.lit(k).alias("counter"), v.alias("name")) for k, v in (("domain", C("host")), ("category", C("category")), ("extractor", F.lit("simple")), ("origin", F.lit("seed")))]))).alias("x"))
+    counts = long.groupBy("x.counter", "x.name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("counter <> 'domain'").unionByName(counts.where("counter = 'domain'").orderBy(C("n").desc(), "name").limit(120))
 
 
 @query(f"WITH p AS (SELECT page_id, {q.host('url')} AS host, {q.canonical('url')} AS u FROM pages), d AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY page_id) AS seen FROM p), c AS (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rank FROM d WHERE seen = 1) SELECT page_id, host, rank::INT AS rank FROM c WHERE rank <= {MAX_PER_DOMAIN}")

@@ -61,5 +61,11 @@ def cached(rows: DataFrame, cache: DataFrame, text: str) -> DataFrame:
     return keyed.join(cache.select(F.col("key").alias("__k"), F.col("value").alias("cached")), "__k", "left").drop("__k")
 
 
+def save_misses(rows: DataFrame, cache: DataFrame, text: str, value: str) -> DataFrame:
+    """The cache (key, value) with what was found for texts it didn't have; empty and missing values aren't kept."""
+    found = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(F.sha1(F.col(text).cast("binary")).alias("key")).agg(F.min(value).alias("value"))
+    return cache.select("key", "value").unionByName(found.join(cache.select("key"), "key", "left_anti"))
+
+
 def non_blank_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.trim("value") != "").count()

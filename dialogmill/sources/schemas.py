@@ -2,7 +2,7 @@
 
 TRANSCRIPT = "id STRING, speaker STRING, text STRING, language STRING, languageConfidence DOUBLE, isFinal BOOLEAN, tStartMs BIGINT, tEndMs BIGINT, emittedMs BIGINT, confidence DOUBLE"
 DIAGNOSTICS = "tsMs BIGINT, remoteRms DOUBLE, selfRms DOUBLE, droppedRemote BIGINT, droppedSelf BIGINT"
-ASSIST = "id STRING, transcriptId STRING, segmentId STRING, sourceText STRING, questionTr STRING, answerEn STRING, helperAnswerTr STRING, confidence DOUBLE, qualityFlags ARRAY<STRING>, latencyMs DOUBLE, firstTokenMs DOUBLE, reviewLabel STRING, reviewTags ARRAY<STRING>, reviewComment STRING, reviewedAtMs BIGINT, state STRING, rawText STRING, error STRING"
+ASSIST = "id STRING, transcriptId STRING, segmentId STRING, sourceText STRING, questionTr STRING, answerEn STRING, helperAnswerTr STRING, confidence DOUBLE, qualityFlags ARRAY<STRING>, latencyMs DOUBLE, firstTokenMs DOUBLE, reviewLabel STRING, reviewTags ARRAY<STRING>, reviewComment STRING, reviewedAtMs BIGINT, state STRING, rawText STRING, error STRING, contextLinesUsed ARRAY<STRING>, personalizationMode STRING, parseMode STRING, fallbackUsed BOOLEAN, riskFlags ARRAY<STRING>"
 
 
 def struct_fields(ddl: str) -> str:

@@ -121,3 +121,33 @@ def test_pcm(spark):
     row = spark.createDataFrame([(samples,)], "x array<int>").select(audio.pcm16(audio.pack_pcm16(F.col("x"))).alias("s"), audio.rms(audio.pack_pcm16(F.col("x"))).alias("r")).first()
     assert row["s"] == samples and row["r"] == pytest.approx(math.sqrt(sum(x * x for x in samples) / 6))
     assert spark.range(1).select(audio.rms(F.lit(b""))).first()[0] == 0.0
+
+
+def test_character_references_are_those_of_the_standard(spark):
+    import html
+    import random
+
+    from dialogmill.functions import web
+    from dialogmill.plans import sql as q
+
+    rng = random.Random(3)
+    bits = ["&", "amp;", "&amp;", "&lt", "&nbsp;", "&notit;", "&#8217;", "&#x2019;", "&#128;", "&#0;", "&#xD800;", "&#99999999999999;", "&#11;", "&eacute;", "&eacute", "&hellip;", "x", " ", "&copyx;", "&#", "&#x;", "&;", "&fjlig;", "&#000065;", "&#x10FFFF;", "&#x1F600;", "&bogus;"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(400)] + ["&" + n for n in [*web.NAMED][::40]] + ["&" + n + "z" for n in web.BARE]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", web.unescape(F.col("s")).alias("u"))
+    assert {r["i"]: r["u"] for r in got.collect()} == {i: html.unescape(x) for i, x in enumerate(texts)}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, s VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    assert dict(con.execute(f"SELECT i, {q.unescape('s')} FROM t").fetchall()) == {i: html.unescape(x) for i, x in enumerate(texts)}
+
+
+def test_url_policies_at_their_edges(spark):
+    from dialogmill.functions import web
+
+    rows = spark.createDataFrame([("http://a.org/X1",), ("http://a.org/ab",)], "u string")
+    flags = lambda c: [r[0] for r in rows.select(c).collect()]
+    assert flags(web.excluded(F.col("u"), [r"/\D\D$", "["])) == [False, True] and flags(web.excluded(F.col("u"), ["/x1$"])) == [True, False] and flags(web.excluded(F.col("u"), ["["])) == [False, False]
+    assert web.usable_patterns(["a", "["])[0] == ["a"] and web.usable_patterns(["["])[1][0].startswith("invalid_pattern:[:")
+    assert flags(web.matches_domain(web.host(F.col("u")), [])) == [True, True] and flags(web.matches_domain(web.host(F.col("u")), [], empty=False)) == [False, False]

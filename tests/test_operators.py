@@ -54,9 +54,23 @@ def test_percentiles(spark, n):
 
 def test_percentile_examples(spark):
     rows = spark.createDataFrame([("k", float(v)) for v in (100, 20, 300, 80, 50)], "k string, v double")
-    row = rows.agg(percentiles.nearest_rank(F.col("v"), 0.5).alias("p50"), percentiles.nearest_rank(F.col("v"), 0.95).alias("p95")).first()
+    places = {"p50": percentiles.nearest_place(0.5), "p95": percentiles.nearest_place(0.95)}
+    row = percentiles.ranked_values(rows, ["k"], "v", places).first()
     assert (row["p50"], row["p95"]) == (80, 300)
-    assert rows.where("v < 0").agg(percentiles.nearest_rank(F.col("v"), 0.5)).first()[0] is None
+    assert percentiles.ranked_values(rows.where("v < 0"), ["k"], "v", places).count() == 0
+
+
+def test_percentiles_of_many_ranges(spark):
+    """Groups of all sizes, a null key, nulls, equal values and a skewed spread, against sorting."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice([None, 1.0, rng.expovariate(1), 10 ** rng.uniform(-9, 9)])) for k in ("a", "b", None) for _ in range({"a": 3000, "b": 3, None: 400}[k])]
+    places = {"low": percentiles.floor_place(0.05), "mid": percentiles.upper_place(), "high": percentiles.nearest_place(0.999)}
+    got = {r["k"]: r for r in percentiles.ranked_values(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", places).collect()}
+    for k in ("a", "b", None):
+        s = sorted(v for x, v in rows if x == k and v is not None)
+        n = len(s)
+        if n:
+            assert (got[k]["count"], got[k]["low"], got[k]["mid"], got[k]["high"]) == (n, s[max(0, int(n * 0.05 - 1))], s[n // 2], s[-(-n * 999 // 1000) - 1])
 
 
 def naive_quota(weights, most, cap):
@@ -95,12 +109,36 @@ def test_split_of_one_row(spark):
 
 
 def test_session_pairs_without_rejected_and_equal_answers(spark):
-    rev = spark.createDataFrame([("k", "Good", "chosen", 0), ("k", " good ", "rejected", 1), ("k", "bad", "rejected", 2), ("m", "one", "chosen", 0), ("n", "x", "chosen", 0)], "key string, answer string, label string, pos long")
+    rev = spark.createDataFrame([("k", "Good", "chosen", 0), ("k", " good ", "rejected", 1), ("k", "bad", "rejected", 2), ("m", "one", "chosen", 0), ("n", "x", "chosen", 0)], "key string, answer string, label string, pos long").withColumn("tags", F.array().cast("array<string>"))
     made = spark.createDataFrame([("m", "ONE", 0), ("m", "two", 1)], "key string, completion string, pos long")
     got = {(r["key"], r["rejected"], r["source"]) for r in dpo.session_pairs(rev, made).collect()}
     assert got == {("k", "bad", "reviewed_session_pair"), ("m", "two", "reviewed_plus_sampled")}
 
 
+def test_session_pairs_of_both_directions(spark):
+    """Against the rule read literally, over random reviews."""
+    rng = random.Random(2)
+    rev = [(rng.choice("kmno"), rng.choice(["Yes", "yes ", "no", "maybe", " ", "so"]), rng.choice(["chosen", "rejected", "skipped"]), [["t"], []][rng.random() < 0.5], i) for i in range(40)]
+    made = [(rng.choice("kmnop"), rng.choice(["Yes", "NO", "", "else"]), i) for i in range(12)]
+    norm = lambda x: x.strip().lower()
+    want, seen = [], set()
+    for key in sorted({r[0] for r in rev}):
+        good = [r for r in rev if r[0] == key and r[2] == "chosen" and r[1].strip()]
+        bad = [r for r in rev if r[0] == key and r[2] == "rejected" and r[1].strip()]
+        samples = [m for m in made if m[0] == key and m[1].strip()]
+        for own, other, source, direction in ((good, bad, "reviewed_plus_sampled", 0), (bad, good, "sampled_repair_pair", 1)):
+            for r in own:
+                found = next(((x[1], "reviewed_session_pair", x[3]) for x in other if norm(x[1]) != norm(r[1])), None) or next(((x[1], source, []) for x in samples if norm(x[1]) != norm(r[1])), None)
+                if found:
+                    pair = (r[1], found[0]) if direction == 0 else (found[0], r[1])
+                    k = (key, norm(pair[0]), norm(pair[1]))
+                    if k not in seen:
+                        seen.add(k)
+                        want.append((*k, found[1], bool(found[2] if direction == 0 else r[3])))
+    got = dpo.session_pairs(spark.createDataFrame(rev, "key string, answer string, label string, tags array<string>, pos long"), spark.createDataFrame(made, "key string, completion string, pos long")).collect()
+    assert sorted((r["key"], norm(r["chosen"]), norm(r["rejected"]), r["source"], r["reason_tags"] == ["t"]) for r in got) == sorted(want)
+
+
 def test_retrieval_against_all_chunks(spark, sf_dir):
     from dialogmill.plans.base import table
 
@@ -135,10 +173,10 @@ def test_greedy_resolution_decides_long_chains(spark):
 def test_dpo_answers_are_whole(spark, tmp_path):
     docs = [(0, "en", "a" * 400 + "good"), (40, "en", "a" * 400 + "bad"), (80, "en", "x" * 500), (1, "en", "y" * 250), (41, "en", "z" * 250)]
     spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, 1), (40, 0), (1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, 1, 0), (40, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     md5 = {hashlib.md5(t.encode()).hexdigest(): i for i, _, t in docs}
     found = lambda f: {(r["pos"], md5[r["chosen_md5"]], md5[r["rejected_md5"]]) for r in f(spark, str(tmp_path)).collect()}
-    assert found(dq.dpo_legacy_whole) == {(0, 0, 40)} and found(dq.dpo_session_whole) == {(0, 0, 40), (1, 1, 41)}
+    assert found(dq.dpo_legacy) == {(0, 0, 40)} and found(dq.dpo_session) == {(0, 0, 40), (1, 1, 41)}
 
 
 def test_retrieval_uses_whole_passages(spark, tmp_path):
@@ -161,8 +199,8 @@ def test_web_rules_that_look_at_other_pages(spark, sf_dir):
     from dialogmill.functions import text as t
     from dialogmill.plans import web_queries as wq
 
-    rows = sorted(wq.rejected_whole(spark, sf_dir).withColumn("s", t.token_set(F.col("body"))).collect(), key=lambda r: r["page_id"])
-    late = ["duplicate_url", "fingerprint_duplicate", "near_duplicate", "per_domain_cap"]
+    rows = sorted(wq.rejected(spark, sf_dir).withColumn("s", t.token_set(F.col("body"))).collect(), key=lambda r: r["page_id"])
+    late = ["duplicate_url", "fingerprint_duplicate", "near_duplicate", "per_domain_cap", "category_quota", "max_docs"]
     want, left = {}, [r for r in rows if r["reason"] is None or r["reason"] in late]
     urls, prints, kept, hosts = set(), set(), [], {}
     for r in left:
@@ -181,4 +219,7 @@ def test_web_rules_that_look_at_other_pages(spark, sf_dir):
         kept.append(s)
         hosts[r["host"]] = hosts.get(r["host"], 0) + 1
         want[r["page_id"]] = late[3] if hosts[r["host"]] > wq.MAX_PER_DOMAIN else None
-    assert {r["page_id"]: r["reason"] for r in left} == want and set(want.values()) & {*late[1:]}
+    got = {r["page_id"]: None if r["reason"] in late[4:] else r["reason"] for r in left}
+    assert got == want and set(want.values()) & {*late[1:4]}
+    only = {r["reason"] for r in wq.rejected(spark, sf_dir, tier1_only=True).collect()}
+    assert "tier1_only_filtered" in only and "allow_domain_filtered" not in only

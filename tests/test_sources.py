@@ -30,8 +30,21 @@ def test_sessions(spark, tmp_path):
     assert [(r["question"], r["answer"]) for r in sessions.assist_questions(got).collect()] == [("How so?", "Because.")]
     assert "Why\\|so?" in sessions.markdown(got).first()["body"]
     assert sessions.session_candidates(got).count() == 0  # one sentence after all
-    sessions.save_sessions(got, str(tmp_path / "store"))
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+    store = str(tmp_path / "store")
+    sessions.save_sessions(got, store)
+    sessions.save_sessions(got.withColumn("id", F.lit("s2")), store)
+    assert [r["id"] for r in sessions.load_sessions(spark, store, ["s2"]).collect()] == ["s2"] and sessions.load_sessions(spark, store).count() == 2
+    assert [r["file"] for r in sessions.broken_sessions(spark, str(tmp_path / "*.json")).collect()] == ["bad.json"]
+    assert json.loads(sessions.export_json(got).first()["body"])["id"] == "s1"
+    assert sessions.normalized(got).first()["assists"][0]["reviewLabel"] == "unreviewed"
+
+
+def test_snapshots_drop_empty_sessions_and_partial_assists(spark):
+    heard = spark.createDataFrame([("a", 1, "hi")], "session_id string, ord int, text string")
+    said = spark.createDataFrame([("a", 2, "t", "x", None, "partial"), ("a", 3, "t", "y", "k", "final"), ("a", 4, "t", "z", None, "final"), ("b", 1, "u", "w", None, "partial")], "session_id string, ord int, transcriptId string, answerEn string, error string, state string")
+    ids = spark.createDataFrame([("a", 1), ("b", 2)], "id string, startedAtMs long")
+    (row,) = sessions.snapshots(heard, said, ids).collect()
+    assert row["id"] == "a" and [(x["answerEn"], x["error"]) for x in row["assists"]] == [("z", "k")] and len(row["transcripts"]) == 1
 
 
 def test_worker_protocol_and_token_streams(spark):
@@ -45,12 +58,14 @@ def test_worker_protocol_and_token_streams(spark):
 def test_files(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
-        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>One</w:t></w:p><w:p><w:t>Two</w:t></w:p></w:document>')
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t> One </w:t></w:p><w:p><w:t> </w:t></w:p><w:p/><w:p><w:t>Two</w:t></w:p></w:document>')
     (tmp_path / "a.docx").write_bytes(buffer.getvalue())
     (tmp_path / "b.txt").write_bytes("Grüße\n\n\n\nx".encode("cp1254"))
     (tmp_path / "c.pdf").write_bytes(b"%PDF")
-    got = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in files.read_texts(spark, str(tmp_path)).collect()}
-    assert got == {"a.docx": "One\nTwo", "b.txt": "Grüße\n\nx", "c.pdf": None}
+    (tmp_path / "d.md").write_bytes(b" a\r\n\r\n\r\n\r\nb\r\n")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["parser"], r["text"]) for r in files.read_texts(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": ("docx", "One\nTwo"), "b.txt": ("text", "Grüße\n\nx"), "c.pdf": (None, None), "d.md": ("text", "a\n\nb")}
+    assert {r["text"] for r in files.read_texts(spark, str(tmp_path), 3).where("truncated").collect()} == {"One", "Grü", "a\n\n"}
     assert spark.createDataFrame([("é",), (None,)], "x string").select(files.unicode_form(F.col("x")).alias("y")).first()["y"] == "\xe9"
 
 
@@ -69,4 +84,6 @@ def test_cache(spark):
     rows = spark.createDataFrame([("x",), ("y",)], "text string")
     hit = spark.createDataFrame([(hashlib.sha1(b"x").hexdigest(), "v")], "key string, value string")
     assert {(r["text"], r["cached"]) for r in jsonl.cached(rows, hit, "text").collect()} == {("x", "v"), ("y", None)}
+    saved = jsonl.save_misses(rows.withColumn("found", F.lit("w")), hit, "text", "found")
+    assert sorted(r["value"] for r in saved.collect()) == ["v", "w"] and saved.count() == 2
     assert jsonl.load_config('{"a": 1}') == {"a": 1} and jsonl.load_config("a: 1") == {"a": 1}

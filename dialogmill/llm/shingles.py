@@ -73,11 +73,23 @@ def prefix(found: np.ndarray, often: np.ndarray, place: np.ndarray, threshold: f
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of shingles in BITS parts: two sets' signatures differ in no more bits than the sets in shingles."""
-    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
+    """Parities of the numbers of shingles in parts: two sets' signatures differ in no more bits than the sets in shingles.
+
+    Larger sets have 8 or 64 times BITS parts; combining every 8th (64th) word gives the signature of BITS.
+    """
+    bits = BITS * (1 if len(found) <= BITS else 8 if len(found) <= 8 * BITS else 64)
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) % 2
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(sig: Column, words: Column) -> Column:
+    """A signature brought down to ``words`` words."""
+    def combined(j: Column) -> Column:
+        return F.aggregate(F.filter(sig, lambda x, i: i % words == j), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+    return F.when(F.size(sig) == words, sig).otherwise(F.transform(F.sequence(F.lit(0), words - 1), combined))
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingles of several texts of a sample, sorted; their places by frequency). Counted on the executors; at most OFTEN come back."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
@@ -152,6 +164,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     """The distinct pairs (a, b) of classes whose signatures leave the similarity possible."""
     side = lambda name, n, sig: classes.select(F.col("c").alias(name), F.col("n").alias(n), F.col("sig").alias(sig))
     both = pairs.distinct().join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b")
+    both = both.withColumn("words", F.least(F.size("sa"), F.size("sb")))
+    both = both.withColumn("sa", folded(F.col("sa"), F.col("words"))).withColumn("sb", folded(F.col("sb"), F.col("words")))
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return both.where(differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("a", "b")
 
@@ -189,7 +203,7 @@ def similar_links(sets: DataFrame, docs: DataFrame, threshold: float = SIMILAR,
     found = _joined(left.where(F.col("members") <= small), threshold)
     many = left.where(F.col("members") > small)
     if not many.isEmpty():
-        found = found.unionByName(_blocked(many.join(classes.select("c", "sig"), "c"), threshold, block))
+        found = found.unionByName(_blocked(many.join(classes.select("c", folded(F.col("sig"), F.lit(BITS // 64)).alias("sig")), "c"), threshold, block))
     found = _verified(_likely(found, classes, threshold), classes, docs, threshold, label)
     links = found if links is None else links.unionByName(found)
     print_of = classes.select("c", "fp")

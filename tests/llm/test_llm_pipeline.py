@@ -116,8 +116,8 @@ def test_near_copies_of_five_word_shingles(spark, sizes):
 
     rng = random.Random(7)
     rows, at = [], 0
-    for words, changes, copies in [(60, 1, 8), (120, 1, 40), (200, 4, 12), (500, 10, 6), (100, 12, 6), (4, 0, 3), (90, 0, 1)]:
-        base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    for words, changes, copies in [(60, 1, 8), (120, 1, 40), (200, 4, 12), (500, 10, 6), (100, 12, 6), (4, 0, 3), (90, 0, 1), (590, 10, 8), (4700, 60, 4), (4700, 2500, 3)]:
+        base = [f"w{rng.randrange(50000)}" for _ in range(words)]
         for k in range(copies):
             text = base.copy()
             for i in rng.sample(range(words), changes if k else 0):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.functions import constants as K
@@ -180,3 +180,30 @@ def combined_latency(ttft: Column, final: Column) -> Column:
 
 def error_rate(errors: Column, transcripts: Column) -> Column:
     return F.when(errors + transcripts > 0, F.round(errors / (errors + transcripts), 4)).otherwise(0.0)
+
+
+def evaluate(rows: DataFrame, expected: Column, strategic: Column, against: Column, malformed: Column) -> DataFrame:
+    """rows (question, answer, ...) with what a benchmark looks at: words that are expected, strategic or speak against the persona, and three scores from 1 to 5."""
+    a = F.col("answer")
+    low = F.lower(t.normalize(a))
+    found = lambda words: F.filter(words, lambda k: F.contains(F.col("__low"), k))
+    rows = rows.withColumn("__low", low).withColumn("__tags", t.failure_tags(a)).withColumns({"__hits": found(expected), "__strategic": found(strategic), "__against": found(against)})
+    share = lambda hits, words: F.size(hits) / F.greatest(F.lit(1), F.size(words))
+    cap = lambda c: F.least(F.lit(5.0), F.greatest(F.lit(1.0), c))
+    one = lambda c: c.cast("int")
+    hit = F.size("__hits") > 0
+    natural = 2.0 + one(~F.array_contains("__tags", "not_first_person")) + one(t.word_count(a).between(35, 140)) + one(F.size(t.sentences(a)) >= 2) - F.when(F.size("__tags") > 0, 0.5).otherwise(0.0)
+    contradiction = F.size("__against") > 0
+    out = rows.withColumns({
+        "first_person": t.first_person(a), "grounding_hit": hit | (s.overlap(F.col("question"), a) >= 0.08), "keyword_hit_rate": F.round(share("__hits", expected), 4), "contradiction": contradiction, "malformed": malformed,
+        "hallucination": contradiction | malformed | F.array_contains("__tags", "contains_code") | F.array_contains("__tags", "ai_disclaimer"),
+        "quality": cap(F.round(answer_hundredths(a, F.col("question")) / 100.0 * 5 + F.when(hit, 0.4).otherwise(0.0), 2)),
+        "strategic": cap(F.round(2.0 + 2.0 * F.size("__strategic") / F.greatest(F.lit(1), F.size(strategic)) + F.when(F.col("__low").contains("because"), 0.5).otherwise(0.0), 2)), "naturalness": cap(natural),
+    })
+    return out.drop("__low", "__tags", "__hits", "__strategic", "__against")
+
+
+def quality_summary(evaluated: DataFrame, rates: list[str], means: list[str]) -> DataFrame:
+    """One row: count, the share of each flag and the mean of each score; zeros without rows."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
+    return evaluated.agg(F.count(F.lit(1)).alias("count"), *[mean(F.col(c).cast("int")).alias(c) for c in rates], *[mean(F.col(c)).alias(c) for c in means])

@@ -12,14 +12,14 @@ def as_of(rows: DataFrame, parts: list[str], ms: str, is_right: Column, fields:
     return rows.withColumn(name, F.last(F.when(is_right, F.struct(*fields)), ignorenulls=True).over(w))
 
 
-def echoes(rows: DataFrame, similarity: Column, window_ms: int = 3000, least: float = 0.86) -> Column:
+def echoes(similarity: Column, window_ms: int = 3000, least: float = 0.86, diag_ms: int = 2000) -> Column:
     """Whether a self utterance repeats the last remote one: near in time, similar, and no louder than leakage.
 
-    rows carry structs remote (ms) and diag (ms, self_rms, remote_rms), as as_of() adds them.
+    The rows carry ms and the structs remote (ms) and diag (ms, self_rms, remote_rms), as as_of() adds them.
     """
     near = (F.abs(F.col("ms") - F.col("remote.ms")) <= window_ms) & (similarity >= least)
     quiet = F.greatest(F.lit(0.0), F.col("diag.self_rms")) <= F.greatest(F.lit(160.0), F.greatest(F.lit(0.0), F.col("diag.remote_rms")) * 0.45)
-    return F.coalesce(near & (F.abs(F.col("diag.ms") - F.col("ms")) <= 2000) & quiet, F.lit(False))
+    return F.coalesce(near & (F.abs(F.col("diag.ms") - F.col("ms")) <= diag_ms) & quiet, F.lit(False))
 
 
 def within(left: DataFrame, right: DataFrame, key: str, ms: str, hold_ms: int) -> DataFrame:

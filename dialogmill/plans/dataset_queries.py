@@ -14,7 +14,8 @@ from dialogmill.operators import percentiles as pc
 from dialogmill.operators.state import kept
 from dialogmill.operators import pairs as op
 from dialogmill.plans import sql as q
-from dialogmill.plans.base import documents, pairs, query, spread, table
+from dialogmill.plans.base import documents, pairs, query, table
+from dialogmill.plans.text_queries import web_quality_sql
 
 C = F.col
 
@@ -95,9 +96,11 @@ def union_distinct(spark, sf_dir):
     return u.groupBy(F.md5(t.key(C("text")).cast("binary")).alias("k")).agg(F.min(F.struct("src", "id")).alias("f")).select("f.src", "f.id")
 
 
-@query("SELECT doc_id, length(text)::INT AS chars FROM documents WHERE length(text) >= 900 AND n_chars / 20000.0::DOUBLE >= 0.1")
+@query(f"WITH n AS MATERIALIZED (SELECT doc_id, {q.normalize('text')} AS x, {web_quality_sql('text', 'source')} AS quality FROM documents) SELECT doc_id, length(x)::INT AS chars FROM n WHERE length(x) >= 900 AND quality >= 0.35")
 def corpus_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where((F.length("text") >= 900) & (C("n_chars") / 20000.0 >= 0.1)).select("doc_id", F.length("text").alias("chars"))
+    """Documents that are long and good enough for records."""
+    rows = documents(spark, sf_dir, "doc_id", "text", "source").select("doc_id", F.length(t.normalize(C("text"))).alias("chars"), sc.web_quality(C("text"), C("source")).alias("quality"))
+    return rows.where("chars >= 900 AND quality >= 0.35").select("doc_id", "chars")
 
 
 def _sft(spark, sf_dir):

@@ -73,24 +73,19 @@ _SPEECH = "CASE event_type WHEN 'click' THEN 'remote' WHEN 'view' THEN 'self' EL
 
 
 @query(f"""
-WITH {E}, k AS (SELECT *, row_number() OVER (ORDER BY event_type) FROM e), ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)),
-r AS (SELECT event_id, user_id, ms, value, i FROM e JOIN ty USING (event_type)),
-a AS (SELECT *, last_value(CASE WHEN i = 1 THEN ms END IGNORE NULLS) OVER w AS remote_ms, last_value(CASE WHEN i = 1 THEN floor(value / 50) END IGNORE NULLS) OVER w AS remote_word,
-  last_value(CASE WHEN i = 3 THEN ms END IGNORE NULLS) OVER w AS diag_ms, last_value(CASE WHEN i = 3 THEN value END IGNORE NULLS) OVER w AS diag_v FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT event_id, coalesce(abs(ms - remote_ms) <= 90000000 AND floor(value / 50) = remote_word AND abs(diag_ms - ms) <= 2000 * 100000 AND greatest(0, diag_v) <= greatest(160, greatest(0, 500 - diag_v) * 0.45::DOUBLE), false) AS echo FROM a WHERE i = 2
+WITH {E}, r AS (SELECT event_id, user_id, ms, value, {_SPEECH} AS side FROM e),
+a AS (SELECT *, last_value(CASE WHEN side = 'remote' THEN ms END IGNORE NULLS) OVER w AS remote_ms, last_value(CASE WHEN side = 'remote' THEN floor(value / 50) END IGNORE NULLS) OVER w AS remote_word,
+  last_value(CASE WHEN side = 'diag' THEN ms END IGNORE NULLS) OVER w AS diag_ms, last_value(CASE WHEN side = 'diag' THEN value END IGNORE NULLS) OVER w AS diag_v FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, coalesce(abs(ms - remote_ms) <= 90000000 AND floor(value / 50) = remote_word AND abs(diag_ms - ms) <= 200000000 AND greatest(0, diag_v) <= greatest(160, greatest(0, 500 - diag_v) * 0.45::DOUBLE), false) AS echo FROM a WHERE side = 'self'
 """)
 def echo_asof(spark, sf_dir):
-    """The first event type stands for remote speech, the second for own speech, the third for levels; values for words."""
-    rows = events(spark, sf_dir)
-    types = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", F.row_number().over(Window.orderBy("event_type")).alias("i"))
-    rows = rows.join(F.broadcast(types), "event_type").withColumn("word", F.floor(C("value") / 50))
+    """Clicks stand for remote speech, views for own speech, other events for levels; values for words. Events are hours apart here, so the windows are wide."""
+    rows = events(spark, sf_dir).withColumn("side", F.expr(_SPEECH)).withColumn("word", F.floor(C("value") / 50))
     rows = rows.withColumn("self_rms", C("value")).withColumn("remote_rms", 500 - C("value"))
-    rows = tn.as_of(rows, ["user_id"], "ms", C("i") == 1, ["ms", "word"], "remote")
-    rows = tn.as_of(rows, ["user_id"], "ms", C("i") == 3, ["ms", "self_rms", "remote_rms"], "diag")
-    # events are hours apart here, so times shrink by the factors of the windows
-    near = (F.abs(C("ms") - C("remote.ms")) <= 90_000_000) & (C("word") == C("remote.word")) & (F.abs(C("diag.ms") - C("ms")) <= 2000 * 100_000)
-    quiet = F.greatest(F.lit(0.0), C("diag.self_rms")) <= F.greatest(F.lit(160.0), F.greatest(F.lit(0.0), C("diag.remote_rms")) * 0.45)
-    return rows.where("i = 2").select("event_id", F.coalesce(near & quiet, F.lit(False)).alias("echo"))
+    rows = tn.as_of(rows, ["user_id"], "ms", C("side") == "remote", ["ms", "word"], "remote")
+    rows = tn.as_of(rows, ["user_id"], "ms", C("side") == "diag", ["ms", "self_rms", "remote_rms"], "diag")
+    same = F.when(C("word") == C("remote.word"), 1.0).otherwise(0.0)
+    return rows.where("side = 'self'").select("event_id", tn.echoes(same, 90_000_000, 0.86, 200_000_000).alias("echo"))
 
 
 @query(f"WITH {E}, a AS (SELECT * FROM e WHERE event_id % 2 = 0), b AS (SELECT * FROM e WHERE event_id % 2 = 1) SELECT a.event_id, b.event_id AS right_id FROM a JOIN b ON a.user_id = b.user_id AND b.ms BETWEEN a.ms AND a.ms + 1800000")
@@ -147,22 +142,18 @@ def worker_error_rate(spark, sf_dir):
     return rows.withColumn("error_rate", sc.error_rate(C("errors"), C("n")))
 
 
-@query(f"WITH {E}, w AS (SELECT user_id, ms // 60000000 AS slot, arg_max(event_id, struct_pack(m := ms, e := event_id)) AS event_id FROM e GROUP BY 1, 2) SELECT user_id, event_id FROM w")
-def diagnostics_throttle(spark, sf_dir):
-    rows = events(spark, sf_dir).groupBy("user_id", F.floor(C("ms") / 60_000_000).alias("slot")).agg(F.max_by("event_id", F.struct("ms", "event_id")).alias("event_id"))
-    return rows.select("user_id", "event_id")
-
-
-@query("SELECT conv_id, turn, lang FROM (SELECT conv_id, turn, first_value(CASE WHEN length(text) > 200 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lang FROM conversations)")
+@query(f"SELECT conv_id, turn, first_value(CASE WHEN length(text) > 200 THEN {q.detect_language('text')} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lang FROM conversations")
 def language_lock(spark, sf_dir):
+    """The first language that a long enough turn tells sticks for its conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.first(F.when(F.length("text") > 200, C("role")), ignorenulls=True).over(w).alias("lang"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.first(F.when(F.length("text") > 200, sc.detect_language(C("text"))), ignorenulls=True).over(w).alias("lang"))
 
 
-@query("SELECT event_id, CASE WHEN e >= 4200 THEN 0 ELSE greatest(120, least(CASE WHEN event_id % 3 = 0 THEN 320 ELSE 1200 END, 4200 - e)) END::BIGINT AS delay FROM (SELECT event_id, floor(value * 10)::BIGINT AS e FROM events)")
+@query(r"""SELECT conv_id, turn, CASE WHEN e >= 4200 THEN 0 ELSE greatest(120, least(CASE WHEN regexp_matches(text, '[.!?]["'')\]]?$') THEN 320 ELSE 1200 END, 4200 - e)) END::BIGINT AS delay FROM (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN text ELSE regexp_replace(text, '[.!?]$', '') END AS text, turn * 700 AS e FROM conversations)""")
 def flush_delay(spark, sf_dir):
-    text = F.when(C("event_id") % 3 == 0, F.lit('Is it so?"')).otherwise("and then")
-    return table(spark, sf_dir, "events").select("event_id", tn.flush_delay(text, F.lit(0).cast("long"), F.floor(C("value") * 10)).cast("long").alias("delay"))
+    """How long each turn would wait if it was the text of an open segment."""
+    text = F.when(C("conv_id") % 2 == 0, C("text")).otherwise(F.regexp_replace("text", "[.!?]$", ""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tn.flush_delay(text, F.lit(0).cast("long"), C("turn") * 700).cast("long").alias("delay"))
 
 
 def _sweep(spark, sf_dir):
@@ -198,38 +189,70 @@ def sweep_recommendation(spark, sf_dir):
     return one.select(winner.alias("winner"), "fastest")
 
 
-_KEYS = "['the', 'that', 'latency', 'ther']"
+EXPECTED, STRATEGIC, AGAINST = ["the", "that", "latency", "ther"], ["because", "ther", "tradeoff"], ["never used", "theran"]
+_hits = lambda words: f"list_filter([{q.listed(words)}], lambda x: contains(low, x))"
+_EVALUATED = f"""
+{q.PAIRS}, k0 AS (SELECT conv_id, turn, question, answer, lower({q.normalize('answer')}) AS low, {q.failure_tags('answer')} AS tags, {q.words('answer')} AS w, {q.overlap('question', 'answer')} AS ov, turn % 4 = 3 AS malformed FROM pairs),
+k AS (SELECT *, {_hits(EXPECTED)} AS hits, {_hits(STRATEGIC)} AS strategic, {_hits(AGAINST)} AS against FROM k0),
+ev AS (SELECT conv_id, turn, {q.first_person('answer')} AS first_person, (len(hits) > 0 OR ov >= 0.08) AS grounding_hit, round(len(hits) / {len(EXPECTED)}.0::DOUBLE, 4) AS keyword_hit_rate, len(against) > 0 AS contradiction, (len(against) > 0 OR malformed OR contains(tags, 'contains_code') OR contains(tags, 'ai_disclaimer')) AS hallucination, malformed,
+  least(5.0::DOUBLE, greatest(1.0::DOUBLE, round({q.answer_hundredths('answer', 'question')} / 100.0::DOUBLE * 5 + (CASE WHEN len(hits) > 0 THEN 0.4::DOUBLE ELSE 0 END), 2))) AS quality,
+  least(5.0::DOUBLE, greatest(1.0::DOUBLE, round(2.0::DOUBLE + 2.0::DOUBLE * len(strategic) / {len(STRATEGIC)} + (CASE WHEN contains(low, 'because') THEN 0.5::DOUBLE ELSE 0 END), 2))) AS strategic,
+  least(5.0::DOUBLE, greatest(1.0::DOUBLE, 2.0::DOUBLE + (NOT contains(tags, 'not_first_person'))::INT + (w BETWEEN 35 AND 140)::INT + (len({q.sentences('answer')}) >= 2)::INT - (CASE WHEN tags <> '' THEN 0.5::DOUBLE ELSE 0 END))) AS naturalness FROM k)"""
+
+
+def _evaluated(spark, sf_dir):
+    """Answers of the conversations as a model's, with the question as their context; every fourth turn counts as malformed output."""
+    from dialogmill.plans.base import pairs
+
+    words = lambda x: F.array(*map(F.lit, x))
+    return sc.evaluate(pairs(spark, sf_dir), words(EXPECTED), words(STRATEGIC), words(AGAINST), C("turn") % 4 == 3).select("conv_id", "turn", "first_person", "grounding_hit", "keyword_hit_rate", "contradiction", "hallucination", "malformed", "quality", "strategic", "naturalness")
+
+
+@query(f"WITH {_EVALUATED} SELECT * FROM ev")
+def prompt_evaluation(spark, sf_dir):
+    return _evaluated(spark, sf_dir)
+
+
+RATES, MEANS = ["first_person", "grounding_hit", "contradiction", "hallucination", "malformed"], ["quality", "strategic", "naturalness"]
+TARGETS = {"click": 300.0, "view": 200.0, "purchase": 260.0}
+_GATE = [("stt_latency", f"click > {TARGETS['click']}"), ("ttft_latency", f"view > {TARGETS['view']}"), ("final_latency", f"purchase > {TARGETS['purchase']}"), ("malformed_output", "malformed > 0.02"), ("critical_hallucination", "hallucination >= 0.03"), ("persona_contradiction", "contradiction >= 0.05")]
 
 
 @query(f"""
-WITH {q.PAIRS}, k AS (SELECT conv_id, turn, question, answer, list_filter({_KEYS}, lambda x: contains(lower({q.normalize('answer')}), x)) AS hits, {q.failure_tags('answer')} AS tags, {q.words('answer')} AS w, {q.overlap('question', 'answer')} AS ov FROM pairs),
-s AS (SELECT conv_id, turn, len(hits)::INT AS n_hits, (len(hits) > 0 OR ov >= 0.08) AS grounding_hit, contains(tags, 'contains_code') OR contains(tags, 'ai_disclaimer') AS critical, least(5.0::DOUBLE, greatest(1.0::DOUBLE, round({q.answer_hundredths('answer', 'question')} / 100.0::DOUBLE * 5 + (CASE WHEN len(hits) > 0 THEN 0.4::DOUBLE ELSE 0 END), 2))) AS quality,
-  least(5.0::DOUBLE, greatest(1.0::DOUBLE, 2.0::DOUBLE + (NOT contains(tags, 'not_first_person'))::INT + (w BETWEEN 35 AND 140)::INT + (len({q.sentences('answer')}) >= 2)::INT - (CASE WHEN tags <> '' THEN 0.5::DOUBLE ELSE 0 END))) AS naturalness FROM k)
-SELECT * FROM s
+WITH {_EVALUATED}, su AS (SELECT count(*)::BIGINT AS count, {', '.join(f'round(coalesce(avg({c}::INT), 0), 4) AS {c}' for c in RATES)}, {', '.join(f'round(coalesce(avg({c}), 0), 4) AS {c}' for c in MEANS)} FROM ev),
+lv AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY 1), lp AS (SELECT event_type, v[greatest(0, trunc(n * 0.5::DOUBLE - 1)::BIGINT) + 1] AS p50 FROM lv),
+la AS (SELECT {', '.join(f"max(p50) FILTER (event_type = '{k}') AS {k}" for k in TARGETS)} FROM lp)
+SELECT su.*, la.*, concat_ws(',', {', '.join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _GATE)}) AS blocked_reasons FROM su, la
 """)
-def prompt_evaluation(spark, sf_dir):
-    from dialogmill.functions import similarity as sim
-    from dialogmill.plans.base import pairs
+def benchmark_summary(spark, sf_dir):
+    """Rates and means of the evaluated answers, medians of three latencies, and the reasons that block a release. Events stand for measurements."""
+    from dialogmill.operators import records
 
-    a = C("answer")
-    rows = pairs(spark, sf_dir).select("conv_id", "turn", "question", "answer", F.filter(F.array(*map(F.lit, ["the", "that", "latency", "ther"])), lambda k: F.contains(F.lower(t.normalize(a)), k)).alias("hits"), t.failure_tags(a).alias("tags"))
-    one = lambda c: c.cast("int")
-    natural = 2.0 + one(~F.array_contains("tags", "not_first_person")) + one(t.word_count(a).between(35, 140)) + one(F.size(t.sentences(a)) >= 2) - F.when(F.size("tags") > 0, 0.5).otherwise(0.0)
-    quality = F.round(sc.answer_hundredths(a, C("question")) / 100.0 * 5 + F.when(F.size("hits") > 0, 0.4).otherwise(0.0), 2)
-    cap = lambda c: F.least(F.lit(5.0), F.greatest(F.lit(1.0), c))
-    return rows.select("conv_id", "turn", F.size("hits").alias("n_hits"), ((F.size("hits") > 0) | (sim.overlap(C("question"), a) >= 0.08)).alias("grounding_hit"), (F.array_contains("tags", "contains_code") | F.array_contains("tags", "ai_disclaimer")).alias("critical"), cap(quality).alias("quality"), cap(natural).alias("naturalness"))
+    summary = sc.quality_summary(_evaluated(spark, sf_dir), RATES, MEANS)
+    p50 = pc.ranked_values(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": pc.floor_place(0.5)})
+    one = p50.agg(*[F.max(F.when(C("event_type") == k, C("p50"))).alias(k) for k in TARGETS])
+    out = records.gate(summary.join(F.broadcast(one), F.lit(True)), [(n, F.expr(test)) for n, test in _GATE])
+    return out.withColumn("blocked_reasons", F.array_join("blocked_reasons", ",")).drop("blocked")
 
 
-@query("SELECT d.doc_id, l.quality, l.toxic, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars >= 300")
+@query("WITH c AS (SELECT sha1(text) AS k, max(quality)::VARCHAR AS cached FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 > 0 GROUP BY 1) SELECT doc_id, cached FROM documents d LEFT JOIN c ON c.k = sha1(d.text)")
 def cache_lookup(spark, sf_dir):
-    """A left join with a table of results by key; misses stay null."""
-    rows = table(spark, sf_dir, "documents").where("n_chars >= 300").select("doc_id", "n_chars")
-    return rows.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic", "n_chars")
+    """Texts with what a cache by SHA-1 holds of them; misses stay null, copies of a text share a hit."""
+    from dialogmill.sources.jsonl import cached
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = rows.where("doc_id % 3 > 0").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    known = known.groupBy(F.sha1(C("text").cast("binary")).alias("key")).agg(F.max("quality").cast("string").alias("value"))
+    return cached(rows, known, "text").select("doc_id", "cached")
 
 
-@query("SELECT source, max(doc_id)::BIGINT AS doc_id FROM documents GROUP BY source")
+@query("WITH s AS (SELECT source AS type, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS name, doc_id % 50 AS moment, md5(text) AS content FROM documents) SELECT type, lower(name) AS name, arg_max(content, struct_pack(a := moment, c := content, n := name)) AS content FROM s GROUP BY 1, 2")
 def replace_latest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("doc_id"))
+    """Documents as sources: of one type and name, in whatever case, the last import counts."""
+    from dialogmill.sources.sessions import replace_sources
+
+    rows = table(spark, sf_dir, "documents").select(C("source").alias("type"), F.when(C("doc_id") % 2 == 0, F.upper("lang")).otherwise(C("lang")).alias("name"), (C("doc_id") % 50).alias("importedAtMs"), F.md5(C("text").cast("binary")).alias("content"))
+    return replace_sources(rows).select("type", F.lower("name").alias("name"), "content")
 
 
 @query("SELECT conv_id, turn, coalesce(l.quality = 1, false) AS chosen, coalesce(l.toxic, -1)::INT AS toxic FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id * 10 + c.turn")

@@ -18,29 +18,108 @@ from dialogmill.streaming.run import available_now
 C = F.col
 
 
-@query()
+#: The events as a live session, numbered by user.
+_LIVE = """
+se AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM (SELECT user_id, (epoch_us(ts) // 1000) // 20000 AS ms, event_id, CASE WHEN event_id % 41 = 40 THEN 'muted' ELSE (['remote', 'self', 'diag'])[event_id % 3 + 1] END AS kind,
+  'word' || floor(value / 100)::BIGINT || (CASE WHEN event_id % 4 = 0 THEN '.' ELSE ' and' END) AS text, value AS level, 500 - value AS other, floor(value * 2)::BIGINT AS work, value / 500 AS confidence FROM events))"""
+_ROWS = "STRUCT(ms BIGINT, what VARCHAR, event_id BIGINT, text VARCHAR, score DOUBLE)[]"
+_put = lambda ms, what, event_id, text, score="NULL::DOUBLE": f"[{{'ms': {ms}, 'what': {what}, 'event_id': {event_id}, 'text': {text}, 'score': {score}}}]"
+
+
+def _fold_sql(start: str, steps: list[str], state: str) -> str:
+    """A fold over each user's events: the state starts as ``start``; each of ``steps`` is a list of columns over the one before, the first over the
+    state and the event; ``state`` names the columns that go on. Every step appends to ``o``, the rows that are emitted."""
+    body = f"SELECT st.user_id, st.i + 1 AS i, {', '.join(f'st.{c.strip()}' for c in state.split(','))}, se.ms, se.event_id, se.kind, se.text, se.level, se.other, se.work, se.confidence, []::{_ROWS} AS o FROM st JOIN se ON se.user_id = st.user_id AND se.i = st.i + 1"
+    for columns in steps:
+        body = f"SELECT * REPLACE ({columns}) FROM ({body})"
+    return f"""WITH RECURSIVE {_LIVE}, st AS (SELECT user_id, 0::BIGINT AS i, {start}, []::{_ROWS} AS o FROM (SELECT DISTINCT user_id FROM se)
+  UNION ALL SELECT user_id, i, {state}, o FROM ({body})), u AS (SELECT user_id, unnest(o) AS r FROM st) SELECT user_id, r.ms AS ms, r.what AS what, r.event_id AS event_id, r.text AS text, round(r.score, 6) AS score FROM u"""
+
+
+_EVENT = "{'ms': ms, 'event_id': event_id, 'text': text}"
+_HELD = "STRUCT(ms BIGINT, event_id BIGINT, text VARCHAR)"
+_words = lambda c: f"list_distinct(list_filter(string_split(lower({c}), ' '), lambda x: x <> ''))"
+_echo = lambda ms, text, far: f"coalesce(length(trim({text})) < 3 OR ({far} IS NOT NULL AND diag IS NOT NULL AND abs({ms} - {far}.ms) <= 1400 AND {q.jaccard(_words(text), _words(far + '.text'))} >= 0.9 AND abs(diag.ms - {ms}) <= 2000 AND greatest(0.0, diag.own) <= greatest(160.0, greatest(0.0, diag.far) * 0.45::DOUBLE)), false)"
+_ECHO = _fold_sql(
+    f"NULL::{_HELD} AS held, NULL::{_HELD} AS remote, NULL::STRUCT(ms BIGINT, own DOUBLE, far DOUBLE) AS diag",
+    [
+        f"CASE WHEN held.ms + 650 <= ms THEN o || {_put('held.ms', chr(39) + 'self' + chr(39), 'held.event_id', 'held.text')} ELSE o END AS o, CASE WHEN held.ms + 650 <= ms THEN NULL ELSE held END AS held",
+        f"""CASE WHEN kind = 'diag' THEN {{'ms': ms, 'own': level, 'far': other}} ELSE diag END AS diag, CASE WHEN kind = 'remote' THEN {_EVENT} ELSE remote END AS remote,
+        CASE WHEN kind = 'self' THEN (CASE WHEN {_echo('ms', 'text', 'remote')} THEN o || {_put('ms', "'dropped'", 'event_id', 'text')} WHEN held IS NOT NULL THEN o || {_put('held.ms', "'self'", 'held.event_id', 'held.text')} ELSE o END)
+          WHEN kind = 'remote' THEN (CASE WHEN held IS NULL THEN o WHEN {_echo('held.ms', 'held.text', _EVENT)} THEN o || {_put('held.ms', "'dropped'", 'held.event_id', 'held.text')} WHEN held.ms <= ms THEN o || {_put('held.ms', "'self'", 'held.event_id', 'held.text')} ELSE o END) || {_put('ms', "'remote'", 'event_id', 'text')} ELSE o END AS o,
+        CASE WHEN kind = 'self' THEN (CASE WHEN {_echo('ms', 'text', 'remote')} THEN held ELSE {_EVENT} END) WHEN kind = 'remote' AND held IS NOT NULL AND ({_echo('held.ms', 'held.text', _EVENT)} OR held.ms <= ms) THEN NULL ELSE held END AS held""",
+    ],
+    "held, remote, diag",
+)
+_SEGMENT = "STRUCT(text VARCHAR, started BIGINT, updated BIGINT, event_id BIGINT, confidence DOUBLE)"
+_fire = _put("seg.updated", "'segment'", "seg.event_id", "seg.text", "seg.confidence")
+_left = "(4200 - (seg.updated - seg.started))"
+_due = rf"""(CASE WHEN {_left} <= 0 THEN seg.updated ELSE seg.updated + greatest(120, least(CASE WHEN regexp_matches(seg.text, '[.!?]["'')\]]*$') THEN 320 ELSE 1200 END, {_left})) END)"""
+_SEGMENTS = _fold_sql(
+    f"NULL::{_SEGMENT} AS seg",
+    [
+        f"CASE WHEN {_due} <= ms THEN o || {_fire} ELSE o END AS o, CASE WHEN {_due} <= ms THEN NULL ELSE seg END AS seg",
+        f"CASE WHEN kind = 'remote' AND ms - seg.updated > 2200 THEN o || {_fire} ELSE o END AS o, CASE WHEN kind = 'remote' AND ms - seg.updated > 2200 THEN NULL ELSE seg END AS seg",
+        f"CASE WHEN kind <> 'remote' THEN seg WHEN seg IS NULL THEN {{'text': trim(text), 'started': ms, 'updated': ms, 'event_id': event_id, 'confidence': confidence}} ELSE {{'text': {q.merge('seg.text', 'text')}, 'started': seg.started, 'updated': ms, 'event_id': event_id, 'confidence': greatest(0.0, least(1.0, (seg.confidence + confidence) / 2))}} END AS seg",
+    ],
+    "seg",
+)
+_pop = f"CASE WHEN len(line) > 0 AND busy <= ms THEN o || {_put('busy', chr(39) + 'served' + chr(39), 'line[1].event_id', 'line[1].text')} ELSE o END AS o, CASE WHEN len(line) > 0 AND busy <= ms THEN busy + line[1].work ELSE busy END AS busy, CASE WHEN len(line) > 0 AND busy <= ms THEN line[2:] ELSE line END AS line"
+_QUEUE = _fold_sql(
+    "0::BIGINT AS busy, []::STRUCT(event_id BIGINT, work BIGINT, text VARCHAR)[] AS line",
+    [
+        _pop, _pop,
+        f"""CASE WHEN kind = 'muted' THEN o || list_transform(line, lambda x: {_put('ms', "'cleared'", 'x.event_id', 'x.text')}[1]) WHEN busy <= ms THEN o || {_put('ms', "'served'", 'event_id', 'text')} WHEN len(line) >= 2 THEN o || {_put('ms', "'dropped'", 'line[1].event_id', 'line[1].text')} ELSE o END AS o,
+        CASE WHEN kind <> 'muted' AND busy <= ms THEN ms + work ELSE busy END AS busy,
+        CASE WHEN kind = 'muted' THEN line[1:0] WHEN busy <= ms THEN line WHEN len(line) >= 2 THEN list_append(line[2:], {{'event_id': event_id, 'work': work, 'text': text}}) ELSE list_append(line, {{'event_id': event_id, 'work': work, 'text': text}}) END AS line""",
+    ],
+    "busy, line",
+)
+_switch = "(ms - heard >= 4000 AND ms - coalesce(switched, -1000000000000000) >= 8000 AND other >= greatest(110.0, level * 1.35::DOUBLE))"
+_HEALTH = _fold_sql(
+    "NULL::BIGINT AS heard, NULL::BIGINT AS switched, false AS suspect",
+    [
+        "CASE WHEN level >= 70 THEN ms ELSE coalesce(heard, ms) END AS heard",
+        f"""CASE WHEN {_switch} THEN o || {_put('ms', "'switch'", 'event_id', "''")} WHEN (ms - heard >= 4000) <> suspect THEN o || {_put('ms', "(CASE WHEN suspect THEN 'healthy' ELSE 'suspect' END)", 'event_id', "''")} ELSE o END AS o,
+        CASE WHEN {_switch} THEN ms ELSE switched END AS switched, CASE WHEN {_switch} THEN suspect ELSE ms - heard >= 4000 END AS suspect, CASE WHEN {_switch} THEN ms ELSE heard END AS heard""",
+    ],
+    "heard, switched, suspect",
+)
+_THROTTLE = _fold_sql("NULL::BIGINT AS passed", [f"""CASE WHEN coalesce(ms - passed >= 2500, true) THEN o || {_put('ms', "'passed'", 'event_id', "''")} ELSE o END AS o, CASE WHEN coalesce(ms - passed >= 2500, true) THEN ms ELSE passed END AS passed"""], "passed")
+
+
+def _replayed(spark, sf_dir, fold):
+    return live.replay(live.session_events(events(spark, sf_dir)), fold).withColumn("score", F.round("score", 6))
+
+
+@query(_ECHO)
 def live_echo_hold(spark, sf_dir):
-    return live.replay(live.session_events(events(spark, sf_dir)), live.EchoHold())
+    return _replayed(spark, sf_dir, live.EchoHold())
 
 
-@query()
+@query(_SEGMENTS)
 def live_segments(spark, sf_dir):
-    return live.replay(live.session_events(events(spark, sf_dir)), live.Segments())
+    return _replayed(spark, sf_dir, live.Segments())
 
 
-@query()
+@query(_QUEUE)
 def live_queue(spark, sf_dir):
-    return live.replay(live.session_events(events(spark, sf_dir)), live.Queue())
+    return _replayed(spark, sf_dir, live.Queue())
 
 
-@query()
+@query(_HEALTH)
 def live_source_health(spark, sf_dir):
-    return live.replay(live.session_events(events(spark, sf_dir)), live.SourceHealth())
+    return _replayed(spark, sf_dir, live.SourceHealth())
+
+
+@query(_THROTTLE)
+def diagnostics_throttle(spark, sf_dir):
+    return _replayed(spark, sf_dir, live.Throttle(2500))
 
 
 @query()
 def stream_segments(spark, sf_dir):
-    return available_now(read(spark, sf_dir), lambda s: live.stream(live.session_events(s), live.Segments()), "append")
+    return available_now(read(spark, sf_dir), lambda s: live.stream(live.session_events(s), live.Segments()), "append").withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH j AS ({SQL['judge']}) SELECT passed, count(*)::BIGINT AS n, round(avg(average), 6) AS average FROM j GROUP BY 1")
@@ -91,10 +170,12 @@ def settings_clamp(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ms(C("value") * 10, 120, 3000).alias("min_audio_ms"), ms(C("value") * 8, 80, 2500).alias("silence_ms"), F.greatest(F.lit(50.0), F.least(F.lit(3000.0), C("value"))).alias("threshold"), policy.alias("policy"))
 
 
-@query("SELECT event_type, arg_max(value, event_id) AS latest, max(event_id)::BIGINT AS step FROM events GROUP BY 1")
+@query("WITH l AS (SELECT (['checkpoint', 'train', 'eval'])[event_id % 3 + 1] AS kind, event_id // 20 AS step, event_id, value FROM events) SELECT kind, max(step)::BIGINT AS step, arg_max(value, struct_pack(s := step, e := event_id)) AS latest, count(*)::BIGINT AS n FROM l GROUP BY 1")
 def run_log_summary(spark, sf_dir):
-    """The last log of each kind by step."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("value", "event_id").alias("latest"), F.max("event_id").alias("step"))
+    """The latest checkpoint by step and the last log of training and of evaluation; events stand for the lines of a log."""
+    kind = F.element_at(F.array(*map(F.lit, ["checkpoint", "train", "eval"])), (C("event_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(kind.alias("kind"), F.floor(C("event_id") / 20).alias("step"), "event_id", "value")
+    return rows.groupBy("kind").agg(F.max("step").alias("step"), F.max_by("value", F.struct("step", "event_id")).alias("latest"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL ORDER BY doc_id DESC LIMIT 20")

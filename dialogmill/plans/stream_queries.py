@@ -11,10 +11,10 @@ from dialogmill.streaming.run import available_now
 C = F.col
 
 
-@query("SELECT user_id, event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("WITH w AS (SELECT user_id, event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) SELECT * FROM w WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def stream_tumbling(spark, sf_dir):
-    """Daily counts by a tumbling window in update mode; the last update of each window counts."""
-    out = available_now(ev.read(spark, sf_dir), lambda s: ev.tumbling(s), "complete")
+    """Daily counts by a tumbling window in append mode: a day comes out, and its state goes, when the watermark has passed it."""
+    out = available_now(ev.read(spark, sf_dir), lambda s: ev.tumbling(s), "append")
     return out.select("user_id", "event_type", C("day").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
 
 

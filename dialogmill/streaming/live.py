@@ -18,12 +18,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from dialogmill.streaming.run import send_package
 
 LATE = "10 minutes"
-OUT = "user_id long, ms long, what string, event_id long, text string"
-COLUMNS = ["user_id", "ms", "what", "event_id", "text"]
+OUT = "user_id long, ms long, what string, event_id long, text string, score double"
+COLUMNS = ["user_id", "ms", "what", "event_id", "text", "score"]
 
 
 class Live:
-    """A fold: on(state, event) -> rows; due(state) -> deadline in ms or None; fire(state) -> rows. Rows are (ms, what, event_id, text)."""
+    """A fold: on(state, event) -> rows; due(state) -> deadline in ms or None; fire(state) -> rows. Rows are (ms, what, event_id, text) and, where there is one, a score.
+
+    ``rest_ms``: after a pause longer than this nothing of the state matters any more; None: it may matter for ever.
+    """
+
+    rest_ms: int | None = None
 
     def on(self, s: dict, e: dict) -> list[tuple]:
         raise NotImplementedError
@@ -61,6 +66,7 @@ class EchoHold(Live):
 
     def __init__(self, hold_ms: int = 650, window_ms: int = 1400, least: float = 0.9, lossy: bool = False):
         self.hold_ms, self.window_ms, self.least, self.lossy = hold_ms, window_ms, least, lossy
+        self.rest_ms = max(hold_ms, window_ms, 2000)
 
     def echo(self, own: dict, s: dict) -> bool:
         remote, diag = s.get("remote"), s.get("diag")
@@ -89,6 +95,8 @@ class EchoHold(Live):
                 out = [(s["held"]["ms"], "lost", s["held"]["event_id"], s["held"]["text"])] if self.lossy else self.fire(s)
             s["held"] = e
             return out
+        if e["kind"] != "remote":
+            return []
         s["remote"], out = e, []
         if s.get("held"):
             if self.echo(s["held"], s):
@@ -100,10 +108,14 @@ class EchoHold(Live):
 
 
 class Segments(Live):
-    """Remote events merge into segments: closed after a pause, sooner after terminal punctuation, at a gap, or when held too long."""
+    """Remote events merge into segments: closed after a pause, sooner after terminal punctuation, at a gap, or when held too long.
+
+    A segment's confidence, its score, is the mean of what it had and the event's, one event after another.
+    """
 
     def __init__(self, punctuation_ms: int = 320, pause_ms: int = 1200, hold_ms: int = 4200, gap_ms: int = 2200):
         self.punctuation_ms, self.pause_ms, self.hold_ms, self.gap_ms = punctuation_ms, pause_ms, hold_ms, gap_ms
+        self.rest_ms = max(pause_ms, gap_ms, 120)
 
     def due(self, s):
         if not s.get("text"):
@@ -115,7 +127,7 @@ class Segments(Live):
         return s["updated"] + max(120, min(self.punctuation_ms if ends else self.pause_ms, left))
 
     def fire(self, s):
-        out = [(s["updated"], "segment", s["event_id"], s["text"])]
+        out = [(s["updated"], "segment", s["event_id"], s["text"], s["confidence"])]
         s.clear()
         return out
 
@@ -124,18 +136,24 @@ class Segments(Live):
         if e["kind"] != "remote" or not text:
             return []
         out = self.fire(s) if s.get("text") and e["ms"] - s["updated"] > self.gap_ms else []
+        confidence = e.get("confidence", 0.0)
         if not s.get("text"):
-            s.update(text=text, started=e["ms"])
-        elif text.startswith(s["text"]):
-            s["text"] = text
-        elif not s["text"].startswith(text):
-            s["text"] = " ".join((s["text"][:-1] + text if s["text"].endswith("-") else s["text"] + " " + text).split())
+            s.update(text=text, started=e["ms"], confidence=confidence)
+        else:
+            s["confidence"] = max(0.0, min(1.0, (s["confidence"] + confidence) / 2))
+            if text.startswith(s["text"]):
+                s["text"] = text
+            elif not s["text"].startswith(text):
+                s["text"] = " ".join((s["text"][:-1] + text if s["text"].endswith("-") else s["text"] + " " + text).split())
         s.update(updated=e["ms"], event_id=e["event_id"])
         return out
 
 
 class Queue(Live):
-    """A server with a waiting line of ``most``: a full line drops its oldest; an event's ``work`` is its service time in ms."""
+    """A server with a waiting line of ``most``: a full line drops its oldest; an event's ``work`` is its service time in ms.
+
+    While the session is muted or inactive nothing waits: such an event clears the line.
+    """
 
     def __init__(self, most: int = 2):
         self.most = most
@@ -149,6 +167,8 @@ class Queue(Live):
         return [(at, "served", e["event_id"], e["text"])]
 
     def on(self, s, e):
+        if e["kind"] in ("muted", "inactive"):
+            return [(e["ms"], "cleared", x["event_id"], x["text"]) for x in s.pop("line", [])]
         if s.get("busy", 0) <= e["ms"]:
             s["busy"] = e["ms"] + e["work"]
             return [(e["ms"], "served", e["event_id"], e["text"])]
@@ -193,6 +213,20 @@ class SourceHealth(Live):
         return []
 
 
+class Throttle(Live):
+    """Of events closer than ``every_ms`` to the last one that was let through none is."""
+
+    def __init__(self, every_ms: int = 250):
+        self.every_ms = every_ms
+        self.rest_ms = every_ms
+
+    def on(self, s, e):
+        if "last" in s and e["ms"] - s["last"] < self.every_ms:
+            return []
+        s["last"] = e["ms"]
+        return [(e["ms"], "passed", e["event_id"], "")]
+
+
 def stream(events: DataFrame, fold: Live) -> DataFrame:
     """events: user_id, ts, ms, event_id and the fold's fields, as a stream."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -206,27 +240,54 @@ def stream(events: DataFrame, fold: Live) -> DataFrame:
         if (at := fold.due(s)) is not None:
             state.setTimeoutTimestamp(max(int(at), state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=COLUMNS)
+            yield framed([(key[0], *r) for r in out])
 
     send_package(events.sparkSession)
     return events.withWatermark("ts", LATE).groupBy("user_id").applyInPandasWithState(run, OUT, "s string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def framed(rows: list[tuple]) -> pd.DataFrame:
+    """Rows (user_id, ms, what, event_id, text) and, where there is one, a score."""
+    return pd.DataFrame([(*r, *[float("nan")] * (6 - len(r))) for r in rows], columns=COLUMNS).astype({"score": "float64"})
+
+
 def replay(events: DataFrame, fold: Live, flush: bool = False) -> DataFrame:
-    """The same over a table, one session a group; ``flush`` also fires what is open at the end."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s: dict = {}
-        out = fold.run(s, rows.sort_values(["ms", "event_id"]).drop(columns=["ts"]).to_dict("records"))
-        if flush:
-            out += fold.until(s, 1 << 62)
-        return pd.DataFrame([(int(rows.user_id.iloc[0]), *r) for r in out], columns=COLUMNS)
+    """The same over a table; ``flush`` also fires what is open at the end.
+
+    A user's events are cut at pauses after which the fold's state doesn't matter, so that groups are sessions and not users.
+    """
+    rows = events.withColumn("more", F.lit(flush))
+    keys = ["user_id"]
+    if fold.rest_ms is not None:
+        from dialogmill.operators.turns import gap_sessions
+
+        rows = gap_sessions(events, ["user_id"], "ms", fold.rest_ms)
+        last = rows.groupBy("user_id").agg(F.max("session").alias("__last"))
+        rows = rows.join(last, "user_id").withColumn("more", F.lit(flush) | (F.col("session") < F.col("__last"))).drop("__last")
+        keys = ["user_id", "session"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, more, s = None, False, {}
+        for frame in frames:
+            out: list[tuple] = []
+            for e in frame.drop(columns=["ts"]).to_dict("records"):
+                own = tuple(e[k] for k in keys)
+                if own != key:
+                    if more:
+                        out += [(key[0], *r) for r in fold.until(s, 1 << 62)]
+                    key, s = own, {}
+                more = e["more"]
+                out += [(key[0], *r) for r in fold.run(s, [e])]
+            yield framed(out)
+        if more:
+            yield framed([(key[0], *r) for r in fold.until(s, 1 << 62)])
 
     send_package(events.sparkSession)
-    return events.groupBy("user_id").applyInPandas(run, OUT)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ms", "event_id").mapInPandas(run, OUT)
 
 
 def session_events(rows: DataFrame) -> DataFrame:
     """The events table as a live session: user_id, ts, ms, event_id, kind, text, level, other, work and levels; days shrink to seconds."""
-    kind = F.element_at(F.array(*map(F.lit, ["remote", "self", "diag"])), (F.col("event_id") % 3 + 1).cast("int"))
+    kind = F.when(F.col("event_id") % 41 == 40, "muted").otherwise(F.element_at(F.array(*map(F.lit, ["remote", "self", "diag"])), (F.col("event_id") % 3 + 1).cast("int")))
     text = F.concat(F.lit("word"), F.floor(F.col("value") / 100).cast("string"), F.when(F.col("event_id") % 4 == 0, ".").otherwise(" and"))
-    return rows.select("user_id", "ts", F.floor(F.unix_millis("ts") / 20_000).alias("ms"), "event_id", kind.alias("kind"), text.alias("text"), F.col("value").alias("level"), (500 - F.col("value")).alias("other"), F.floor(F.col("value") * 2).alias("work"), F.col("value").alias("self_rms"), (500 - F.col("value")).alias("remote_rms"))
+    return rows.select("user_id", "ts", F.floor(F.unix_millis("ts") / 20_000).alias("ms"), "event_id", kind.alias("kind"), text.alias("text"), F.col("value").alias("level"), (500 - F.col("value")).alias("other"), F.floor(F.col("value") * 2).alias("work"), F.col("value").alias("self_rms"), (500 - F.col("value")).alias("remote_rms"), (F.col("value") / 500).alias("confidence"))

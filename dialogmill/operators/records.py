@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.functions import text as t
+from dialogmill.operators.state import kept
 
 # fixed values: records are compared with them
 SYSTEM = "You are a live technical interview copilot. Produce a concise, speakable, first-person English answer. Do not ask a question back. Do not mention being an AI. Do not use bullet points or code blocks. Ground the answer in the provided context when available."
@@ -121,3 +122,35 @@ def qc_metrics(report: DataFrame, recounted: DataFrame) -> DataFrame:
         *[F.coalesce(F.nullif(zero(F.col(c)), F.lit(0.0)), f"__{c}").alias(c) for c in REPORTED],
         F.when(F.coalesce("failure_rate", F.lit(1.0)) >= 1.0, F.col("__failure_rate")).otherwise(F.col("failure_rate")).alias("failure_rate"), near.alias("near_duplicates"), F.coalesce("blocked", F.lit(False)).alias("report_blocked"),
     )
+
+
+def pool(rows: DataFrame, name: str, bucket: str, fault: str) -> DataFrame:
+    """A pool of a build: rows (id, ord, question, answer, hint, fit, category, source) with their spoken answers, and why they are dropped.
+
+    ``fit`` false drops a row before its answer is looked at; a null category is found from the pair; a quality below the hint is raised to it. Of
+    equal pairs of the pool the first by ``ord`` stays, which a partial aggregate finds. Added: bucket, quality, drop (null: kept).
+    """
+    from dialogmill.functions import scoring as sc
+
+    question = t.normalize(F.col("question"))
+    rows = rows.withColumn("question", question).withColumn("answer", t.speakable(F.col("answer"), F.col("question"))["text"])
+    rows = kept(rows, "build-spoken")  # else every use below would say it anew
+    fit = F.coalesce("fit", F.lit(True)) & (F.col("question") != "") & sc.keep_answer(F.col("answer"))
+    rows = rows.withColumn("drop", F.when(~fit, fault)).withColumn("sign", F.md5(t.key(F.concat_ws("|", F.lit(name), "question", "answer")).cast("binary")))
+    first = rows.where("drop IS NULL").groupBy("sign").agg(F.min(F.struct("ord", "id")).alias("f")).select(F.col("f.id").alias("id"), F.lit(True).alias("__first"))
+    rows = rows.join(first, "id", "left").withColumn("drop", F.coalesce("drop", F.when(F.col("__first").isNull(), "duplicate")))
+    quality = F.greatest(F.coalesce("hint", F.lit(0.0)), sc.answer_hundredths(F.col("answer"), F.col("question")) / 100.0)
+    category = F.coalesce(F.nullif(t.normalize(F.col("category")), F.lit("")), sc.classify(F.col("question"), F.col("answer")))
+    return rows.select("id", F.lit(bucket).alias("bucket"), "source", category.alias("category"), F.round(quality, 4).alias("quality"), "question", "answer", "drop")
+
+
+def build_counters(rows: DataFrame, final: DataFrame) -> DataFrame:
+    """counter, name, n: available rows by bucket, source and category, dropped ones by reason, and those of the final mix."""
+    def counts(rows: DataFrame, counter: str, name: str) -> DataFrame:
+        return rows.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(counter).alias("counter"), "name", "n")
+
+    out = counts(rows.where("drop IS NOT NULL"), "dropped", "drop")
+    for label, part in (("raw", rows.where("drop IS NULL")), ("final", final)):
+        for name in ("bucket", "source", "category"):
+            out = out.unionByName(counts(part, f"{label}_{name}", name))
+    return out

@@ -10,6 +10,7 @@ from dialogmill.functions import similarity as sim
 from dialogmill.functions import text as t
 from dialogmill.operators import imports as im
 from dialogmill.operators import quota, records
+from dialogmill.operators.state import kept
 from dialogmill.plans import dataset_queries as dq
 from dialogmill.plans import sql as q
 from dialogmill.plans import text_queries as _tq  # noqa: F401  its SQL is used here
@@ -316,3 +317,70 @@ def session_questions(spark, sf_dir):
     """Final assists with the question they answer: their own text, else that of their transcript."""
     rows = ss.assist_questions(_sessions(spark, sf_dir).withColumn("assists", F.transform("assists", lambda x: x.withField("place", F.substring(x["id"], F.lit(2), F.length(x["id"])).cast("long")))))
     return rows.select("session_id", "place", md5(C("question")).alias("question_md5"), md5(C("answer")).alias("answer_md5"))
+
+
+# --- the whole build: five pools, filters, duplicates, the mix and the split
+
+
+def _pools(spark, sf_dir):
+    """Every row of the five pools, with why it is dropped: prebuilt records, sessions, documents as a web corpus, imported pairs and parts as a glossary."""
+    cols = ["id", "ord", "question", "answer", "hint", "fit", "category", "source"]
+    none = lambda kind: F.lit(None).cast(kind)
+    made = pairs(spark, sf_dir).where("conv_id % 10 = 0").select(F.concat_ws("|", F.lit("p"), C("conv_id").cast("string"), C("turn").cast("string")).alias("id"), (C("conv_id") * 1000 + C("turn")).alias("ord"), "question", "answer", none("double").alias("hint"), none("boolean").alias("fit"), none("string").alias("category"), F.lit("prebuilt").alias("source"))
+    asked = ss.assist_questions(_sessions(spark, sf_dir))
+    asked = asked.select(F.concat_ws("|", "session_id", "id").alias("id"), (F.substring("session_id", 2, 20).cast("long") * 1000 + F.substring("id", 2, 20).cast("long")).alias("ord"), "question", "answer", none("double").alias("hint"), none("boolean").alias("fit"), none("string").alias("category"), F.lit("session").alias("source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.least(F.lit(1.0), C("n_chars") / 5000.0).alias("hint"))
+    web = docs.select(F.concat(F.lit("w|"), C("doc_id").cast("string")).alias("id"), C("doc_id").alias("ord"), records.question_of("title", C("source")).alias("question"), t.corpus_summary(F.when(C("lang") == "en", C("text")).otherwise(""), C("source")).alias("answer"), "hint", ((F.length(t.normalize(C("text"))) >= 900) & (C("hint") >= 0.35)).alias("fit"), none("string").alias("category"), F.lit("web_corpus").alias("source"))
+    other = _imported(spark, sf_dir).select(F.concat_ws("|", "source", C("ord").cast("string")).alias("id"), (F.when(C("source") == "interviews", 0).when(C("source") == "tree", 1).otherwise(2) * 10**12 + C("ord")).alias("ord"), "question", C("reply_en").alias("answer"), C("quality_score").alias("hint"), none("boolean").alias("fit"), "category", F.lit("external_qa").alias("source"))
+    from dialogmill.functions import live as fl
+
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("g|"), C("p_partkey").cast("string")).alias("id"), C("p_partkey").alias("ord"), records.question_of("term", C("p_name")).alias("question"), fl.glossary_answer(C("p_name"), C("p_type")).alias("answer"), none("double").alias("hint"), (t.normalize(C("p_name")) != "").alias("fit"), F.lit("glossary").alias("category"), F.lit("glossary").alias("source"))
+    of = ((made, "session-prebuilt", "session", "session_filter"), (asked, "session", "session", "session_filter"), (web, "web", "web_corpus", "corpus_filter"), (other, "external", "web_corpus", "external_filter"), (parts, "glossary", "glossary", "glossary_filter"))
+    out = None
+    for rows, name, bucket, fault in of:
+        one = records.pool(rows.select(*cols), name, bucket, fault)
+        out = one if out is None else out.unionByName(one)
+    return kept(out, "build-pools")
+
+
+def _built(spark, sf_dir, rows):
+    final = quota.source_mix(rows.where("drop IS NULL"), "bucket", "id", 0.3, 0.0, 0.25)
+    return quota.train_valid_split(final, "id", 0.08, "build")
+
+
+_EXTERNAL_ORD = "CASE source WHEN 'interviews' THEN 0 WHEN 'tree' THEN 1 ELSE 2 END * 1000000000000 + ord"
+_BUILD = f"""
+{_CHAIN.strip()}, {q.PAIRS}, {_HEARD},
+w0 AS (SELECT *, least(1.0::DOUBLE, n_chars / 5000.0::DOUBLE) AS hint FROM documents), w1 AS MATERIALIZED (SELECT doc_id, lang, source, hint, {q.normalize("text")} AS whole, {q.normalize("CASE WHEN lang = 'en' THEN text ELSE '' END")} AS x FROM w0),
+w2 AS (SELECT *, {q.strip(f"array_to_string(list_filter(list_transform(string_split(replace(x, chr(10), ' '), '. '), lambda s: {q.strip('s')}), lambda s: s <> '')[1:4], '. ')")} AS base FROM w1),
+rows0 AS MATERIALIZED (
+  SELECT 'p|' || conv_id || '|' || turn AS id, conv_id * 1000 + turn AS ord, question, answer, NULL::DOUBLE AS hint, true AS fit, NULL AS category, 'prebuilt' AS source, 'session-prebuilt' AS pool, 'session' AS bucket, 'session_filter' AS fault FROM pairs WHERE conv_id % 10 = 0
+  UNION ALL SELECT s1.sid || '|a' || s1.turn, s1.conv_id * 1000 + s1.turn, coalesce(s1.asked, h.text), s1.answer, NULL, true, NULL, 'session', 'session', 'session', 'session_filter' FROM s1 LEFT JOIN h ON h.sid = s1.sid AND h.turn = s1.turn - 1
+  UNION ALL SELECT 'w|' || doc_id, doc_id, 'How would you explain ' || {q.normalize('source')} || ' and the main engineering tradeoffs?', source || '. ' || CASE WHEN base = '' THEN substr(x, 1, 720) ELSE base END, hint, length(whole) >= 900 AND hint >= 0.35, NULL, 'web_corpus', 'web', 'web_corpus', 'corpus_filter' FROM w2
+  UNION ALL SELECT source || '|' || ord, {_EXTERNAL_ORD}, question, reply_en, quality_score, true, category, 'external_qa', 'external', 'web_corpus', 'external_filter' FROM imported
+  UNION ALL SELECT 'g|' || p_partkey, p_partkey, 'How would you explain ' || {q.normalize('p_name')} || ' in a technical interview?', 'I would describe ' || p_name || ' as ' || {q.normalize('p_type')} || ' I would then connect it to a concrete production example, explain the tradeoffs, and mention how I would validate the decision in practice.', NULL, {q.normalize('p_name')} <> '', 'glossary', 'glossary', 'glossary', 'glossary', 'glossary_filter' FROM part),
+raw AS (SELECT id, {q.normalize('question')} AS question, answer FROM rows0), {_tq.SPOKEN},
+r1 AS MATERIALIZED (SELECT z.*, g.x AS spoken, {q.normalize('z.question')} AS quest FROM rows0 z JOIN g USING (id)),
+r2 AS MATERIALIZED (SELECT *, CASE WHEN NOT (fit AND quest <> '' AND {q.keep_answer('spoken')}) THEN fault END AS d0, {q.key("pool || '|' || quest || '|' || spoken")} AS sign FROM r1),
+r3 AS (SELECT *, coalesce(d0, CASE WHEN row_number() OVER (PARTITION BY sign, d0 IS NULL ORDER BY ord, id) > 1 THEN 'duplicate' END) AS dropped FROM r2),
+avail AS MATERIALIZED (SELECT id, bucket, source, coalesce(category, {q.classify('quest', 'spoken')}) AS category, round(greatest(coalesce(hint, 0), {q.answer_hundredths('spoken', 'quest')} / 100.0::DOUBLE), 4) AS quality, spoken, dropped FROM r3),
+n AS (SELECT count(*) FILTER (bucket = 'web_corpus') AS w, count(*) FILTER (bucket = 'session') AS s, count(*) FILTER (bucket = 'glossary') AS g FROM avail WHERE dropped IS NULL),
+tt AS (SELECT *, least(w + s + g, floor(w / 0.3::DOUBLE)::BIGINT, floor((w + s) / 0.75::DOUBLE)::BIGINT) AS t FROM n), ta AS (SELECT *, least(ceil(0.3::DOUBLE * t)::BIGINT, w) AS w0, 0 AS s0 FROM tt),
+tb AS (SELECT *, greatest(0, t - w0 - s0) AS rem, s AS sx1, greatest(0, w - ceil(0.3::DOUBLE * t)::BIGINT) AS wx1 FROM ta), tc AS (SELECT *, least(rem, sx1) AS sx, least(rem - least(rem, sx1), wx1) AS wx FROM tb),
+tk AS (SELECT w0 + wx AS web_corpus, s0 + sx AS session, least(rem - sx - wx, g, floor(0.25::DOUBLE * t)::BIGINT) AS glossary FROM tc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('mix|' || id)) AS place FROM avail WHERE dropped IS NULL),
+final AS MATERIALIZED (SELECT ranked.* FROM ranked, tk WHERE place <= CASE bucket WHEN 'web_corpus' THEN web_corpus WHEN 'session' THEN session ELSE glossary END)"""
+
+
+@query(f"WITH {_BUILD} SELECT id, bucket, source, category, quality, md5(spoken) AS answer_md5, CASE WHEN row_number() OVER (ORDER BY md5('build|' || id)) <= greatest(1, floor((SELECT count(*) FROM final) * 0.08::DOUBLE)) THEN 'valid' ELSE 'train' END AS split FROM final")
+def sft_build(spark, sf_dir):
+    """Training records of all pools, mixed to their ratios and dealt into train and valid."""
+    out = _built(spark, sf_dir, _pools(spark, sf_dir))
+    return out.select("id", "bucket", "source", "category", "quality", md5(C("answer")).alias("answer_md5"), "split")
+
+
+@query(f"WITH {_BUILD} SELECT 'dropped' AS counter, dropped AS name, count(*)::BIGINT AS n FROM avail WHERE dropped IS NOT NULL GROUP BY 2 " + " ".join(f"UNION ALL SELECT '{label}_{name}', {name}, count(*) FROM {rel} GROUP BY 2" for label, rel in (("raw", "avail WHERE dropped IS NULL"), ("final", "final")) for name in ("bucket", "source", "category")))
+def sft_report(spark, sf_dir):
+    """Counters of the build by stage."""
+    rows = _pools(spark, sf_dir)
+    return records.build_counters(rows, _built(spark, sf_dir, rows))

@@ -90,9 +90,8 @@ def summarize_lines(spark, sf_dir):
 _DISCLAIM = rf"(?i){q.LEFT}({q.any_of(K.AI_DISCLAIMERS)})($|[^\p{{L}}\p{{N}}_])"
 
 
-@query(f"""
-WITH {q.PAIRS}, {SAMPLES_SQL},
-raw AS (SELECT 'p' || conv_id || '-' || turn AS id, question, answer FROM pairs UNION ALL SELECT 's' || id, 'How so?', text FROM samples),
+#: The spoken form g (id, x, r) of the answers of a relation raw (id, question, answer), one edit after another.
+SPOKEN = f"""
 a AS (SELECT id, CASE WHEN {q.normalize('answer')} = '' AND {q.normalize('question')} <> '' THEN {q.quoted(K.EMPTY_ANSWER[0])} || {q.normalize('question')} || {q.quoted(K.EMPTY_ANSWER[1])} ELSE {q.normalize('answer')} END AS x, {q.normalize('answer')} = '' AND {q.normalize('question')} <> '' AS r FROM raw),
 b AS (SELECT id, CASE WHEN {q.bullet_heavy('x')} THEN {q.normalize(f"regexp_replace(x, '(?m)^{chr(92)}s*([-*•]|{chr(92)}d+{chr(92)}.){chr(92)}s+', '', 'g')")} ELSE x END AS x, r OR {q.bullet_heavy('x')} AS r FROM a),
 c AS (SELECT id, CASE WHEN {q.code_block('x')} THEN {q.normalize("regexp_replace(x, '(?s)```.*?```', ' ', 'g')")} ELSE x END AS x, r OR {q.code_block('x')} AS r FROM b),
@@ -100,9 +99,10 @@ d AS (SELECT id, CASE WHEN {q.ai_disclaimer('x')} THEN {q.normalize(f"regexp_rep
 e AS (SELECT id, CASE WHEN x <> '' AND NOT {q.first_person('x')} THEN {q.quoted(K.FIRST_PERSON_PREFIX)} || lower(substr(x, 1, 1)) || substr(x, 2) ELSE x END AS x, r OR (x <> '' AND NOT {q.first_person('x')}) AS r FROM d),
 src AS (SELECT * FROM e), {_window_sql('x', 140)},
 f AS (SELECT e.id, CASE WHEN {q.asks_back('trimmed')} THEN {q.strip('substr(trimmed, 1, length(trimmed) - 1)')} || '.' ELSE trimmed END AS x, r OR {q.asks_back('trimmed')} AS r FROM e JOIN win USING (id)),
-g AS (SELECT id, CASE WHEN {q.words('x')} < 45 THEN {q.punctuated(f"x || '  ' || {q.quoted(K.SHORT_ANSWER_EXTENSION)}")} ELSE {q.punctuated('x')} END AS x, r OR {q.words('x')} < 45 AS r FROM f)
-SELECT id, x AS spoken, r AS rewritten FROM g
-""")
+g AS (SELECT id, CASE WHEN {q.words('x')} < 45 THEN {q.punctuated(f"x || '  ' || {q.quoted(K.SHORT_ANSWER_EXTENSION)}")} ELSE {q.punctuated('x')} END AS x, r OR {q.words('x')} < 45 AS r FROM f)"""
+
+
+@query(f"WITH {q.PAIRS}, {SAMPLES_SQL}, raw AS (SELECT 'p' || conv_id || '-' || turn AS id, question, answer FROM pairs UNION ALL SELECT 's' || id, 'How so?', text FROM samples), {SPOKEN} SELECT id, x AS spoken, r AS rewritten FROM g")
 def speakable(spark, sf_dir):
     real = pairs(spark, sf_dir).select(F.concat(F.lit("p"), C("conv_id").cast("string"), F.lit("-"), C("turn").cast("string")).alias("id"), "question", "answer")
     made = samples(spark).select(F.concat(F.lit("s"), C("id").cast("string")).alias("id"), F.lit("How so?").alias("question"), C("text").alias("answer"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dialogmill.functions import scoring as sc
 from dialogmill.functions import text as t
 from dialogmill.operators.pairs import keep_first
+from dialogmill.operators.state import kept
 
 # fixed values: the role marks of transcripts and of dialogues, as patterns
 TURN = r"(?ms)^\s*(Assistant|AI|User):\s*(.*?)(?=^\s*(?:Assistant|AI|User):|\z)"
@@ -62,10 +63,10 @@ def import_all(sources: list[DataFrame], most: int = 2500) -> DataFrame:
     key = F.sha1(F.concat_ws("|", t.normalize(F.col("question")), t.normalize(F.col("reply_en"))).cast("binary"))
     done: list[DataFrame] = []
     for rows in sources:
-        rows = keep_first(rows.withColumn("__key", key), ["__key"], ["ord"])
+        rows = keep_first(kept(rows, "import").withColumn("__key", key), ["__key"], ["ord"])
         for seen in done:
             rows = rows.join(seen.select("__key"), "__key", "left_anti")
-        done.append(rows.orderBy("ord").limit(most))
+        done.append(kept(rows.orderBy("ord").limit(most), "imported"))
     return reduce(DataFrame.unionByName, done).drop("__key")
 
 

@@ -124,11 +124,11 @@ def qc_metrics(report: DataFrame, recounted: DataFrame) -> DataFrame:
     )
 
 
-def pool(rows: DataFrame, name: str, bucket: str, fault: str) -> DataFrame:
-    """A pool of a build: rows (id, ord, question, answer, hint, fit, category, source) with their spoken answers, and why they are dropped.
+def pooled(rows: DataFrame) -> DataFrame:
+    """Rows of a build's pools (id, ord, question, answer, hint, fit, category, source, pool, bucket, fault) with their spoken answers, and why they are dropped.
 
-    ``fit`` false drops a row before its answer is looked at; a null category is found from the pair; a quality below the hint is raised to it. Of
-    equal pairs of the pool the first by ``ord`` stays, which a partial aggregate finds. Added: bucket, quality, drop (null: kept).
+    ``fit`` false drops a row, for its ``fault``, as does an answer that isn't fit to be kept; a null category is found from the pair; a quality below the hint is
+    raised to it. Of equal pairs of a pool the first by ``ord`` stays, which a partial aggregate finds. Added: quality, drop (null: kept).
     """
     from dialogmill.functions import scoring as sc
 
@@ -136,12 +136,12 @@ def pool(rows: DataFrame, name: str, bucket: str, fault: str) -> DataFrame:
     rows = rows.withColumn("question", question).withColumn("answer", t.speakable(F.col("answer"), F.col("question"))["text"])
     rows = kept(rows, "build-spoken")  # else every use below would say it anew
     fit = F.coalesce("fit", F.lit(True)) & (F.col("question") != "") & sc.keep_answer(F.col("answer"))
-    rows = rows.withColumn("drop", F.when(~fit, fault)).withColumn("sign", F.md5(t.key(F.concat_ws("|", F.lit(name), "question", "answer")).cast("binary")))
+    rows = rows.withColumn("drop", F.when(~fit, F.col("fault"))).withColumn("sign", F.md5(t.key(F.concat_ws("|", "pool", "question", "answer")).cast("binary")))
     first = rows.where("drop IS NULL").groupBy("sign").agg(F.min(F.struct("ord", "id")).alias("f")).select(F.col("f.id").alias("id"), F.lit(True).alias("__first"))
     rows = rows.join(first, "id", "left").withColumn("drop", F.coalesce("drop", F.when(F.col("__first").isNull(), "duplicate")))
     quality = F.greatest(F.coalesce("hint", F.lit(0.0)), sc.answer_hundredths(F.col("answer"), F.col("question")) / 100.0)
     category = F.coalesce(F.nullif(t.normalize(F.col("category")), F.lit("")), sc.classify(F.col("question"), F.col("answer")))
-    return rows.select("id", F.lit(bucket).alias("bucket"), "source", category.alias("category"), F.round(quality, 4).alias("quality"), "question", "answer", "drop")
+    return rows.select("id", "bucket", "source", category.alias("category"), F.round(quality, 4).alias("quality"), "question", "answer", "drop")
 
 
 def build_counters(rows: DataFrame, final: DataFrame) -> DataFrame:

@@ -338,9 +338,9 @@ def _pools(spark, sf_dir):
     of = ((made, "session-prebuilt", "session", "session_filter"), (asked, "session", "session", "session_filter"), (web, "web", "web_corpus", "corpus_filter"), (other, "external", "web_corpus", "external_filter"), (parts, "glossary", "glossary", "glossary_filter"))
     out = None
     for rows, name, bucket, fault in of:
-        one = records.pool(rows.select(*cols), name, bucket, fault)
+        one = rows.select(*cols, F.lit(name).alias("pool"), F.lit(bucket).alias("bucket"), F.lit(fault).alias("fault"))
         out = one if out is None else out.unionByName(one)
-    return kept(out, "build-pools")
+    return kept(records.pooled(out), "build-pools")
 
 
 def _built(spark, sf_dir, rows):

@@ -53,10 +53,10 @@ def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: i
 
     queries: query, intent, keys (query_id and others) and, where queries differ in them, types (array of allowed source types) and most (limit).
 
-    Exact without scoring every chunk for every query: the best chunks by source and age alone, and those that share one of
-    a query's rarest tokens, give a score that the result must reach. A chunk that reaches it shares so many (m) of the query's n
-    tokens that it has one of the n - m + 1 rarest; only the chunks with one of these are scored, so common words pair nothing.
-    Pass a stored table of chunks: it is read several times.
+    The best chunks by source and age alone, and those that share one of a query's rarest tokens, give a score that the result must reach. Few
+    queries go to every task, and one pass over the chunks lets through what reaches its query's score. With many, a chunk that
+    reaches it shares so many (m) of the query's n tokens that it has one of the n - m + 1 rarest, and only the chunks with one of these are
+    scored. Either way common words pair nothing in a shuffle. Pass a stored table of chunks: it is read several times.
     """
     from pyspark.sql import Window
 
@@ -72,7 +72,8 @@ def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: i
     asked = kept(queries.select(*keys, known.alias("intent"), types.alias("types"), most.alias("most"), query_tokens(F.col("query")).alias("qt")), "queries")
     largest = asked.agg(F.max("most")).first()[0] or 1
     hits = asked.select(*keys, F.explode("qt").alias("tok"))
-    small = F.broadcast if small_enough(hits, BROADCAST_TOKENS) else lambda x: x
+    few = small_enough(hits, BROADCAST_TOKENS)
+    small = F.broadcast if few else lambda x: x
     # how many chunks have each token that is asked for
     tokens = rows.select(F.explode("tokens").alias("tok")).join(small(hits.select("tok").distinct()), "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     ordered = hits.join(tokens, "tok").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("by"))
@@ -100,14 +101,22 @@ def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: i
     first = sharing(asked.select(*keys, F.explode(F.slice("by", 1, FIRST_TOKENS)).alias("x")).select(*keys, F.col("x.tok").alias("tok")))
     start = kept(best(first.unionByName(plain)), "first-best")
     bound = start.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    # m: tokens that a chunk has to share to reach the last of these scores, whatever its source and age
-    unknown = K.UNKNOWN_WEIGHT * max([1.0, *(manual or {}).values()])
-    base = F.greatest(F.lit(unknown), F.array_max(F.transform(F.filter(kinds, allowed), lambda t: base_weight(t, F.col("intent"), manual))))
     wanted = asked.join(bound, keys, "left")
-    need = F.when(F.col("n") >= F.col("most"), F.ceil((F.col("least") - base - K.FRESHNESS_WEIGHT - 1e-9) / K.LEXICAL_WEIGHT * F.size("qt"))).otherwise(1)
-    size = F.greatest(F.lit(0), F.size("by") - F.greatest(F.lit(1), need) + 1).cast("int")
-    rest = wanted.select(*keys, F.explode(F.slice("by", F.lit(1), size)).alias("x")).select(*keys, F.col("x.tok").alias("tok"))
-    ranked = best(sharing(rest).unionByName(start.drop("rank")))
+    if few:
+        # one pass over the chunks, in which those that can't reach the last of these scores leave before anything is shuffled; equal hashes only let more through
+        hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+        theirs = F.broadcast(wanted.select(*keys, "intent", "types", "most", "qt", "n", "least", hashes("qt").alias("qh")))
+        met = rows.withColumn("th", hashes("tokens")).join(theirs, allowed(F.col("source_type")))
+        reach = base_weight(F.col("source_type"), F.col("intent"), manual) + F.size(F.array_intersect("qh", "th")) / F.greatest(F.lit(1), F.size("qh")) * K.LEXICAL_WEIGHT + F.col("age")
+        rest = scored(met.where((F.coalesce("n", F.lit(0)) < F.col("most")) | (reach >= F.col("least") - 1e-9)))
+    else:
+        # m: tokens that a chunk has to share to reach the last of these scores, whatever its source and age
+        unknown = K.UNKNOWN_WEIGHT * max([1.0, *(manual or {}).values()])
+        base = F.greatest(F.lit(unknown), F.array_max(F.transform(F.filter(kinds, allowed), lambda t: base_weight(t, F.col("intent"), manual))))
+        need = F.when(F.col("n") >= F.col("most"), F.ceil((F.col("least") - base - K.FRESHNESS_WEIGHT - 1e-9) / K.LEXICAL_WEIGHT * F.size("qt"))).otherwise(1)
+        size = F.greatest(F.lit(0), F.size("by") - F.greatest(F.lit(1), need) + 1).cast("int")
+        rest = sharing(wanted.select(*keys, F.explode(F.slice("by", F.lit(1), size)).alias("x")).select(*keys, F.col("x.tok").alias("tok")))
+    ranked = best(rest.unionByName(start.drop("rank")))
     return ranked.select(*keys, "rank", "source_id", "source_type", "chunk_no", F.round("score", 4).alias("score"))
 
 

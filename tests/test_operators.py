@@ -139,9 +139,12 @@ def test_session_pairs_of_both_directions(spark):
     assert sorted((r["key"], norm(r["chosen"]), norm(r["rejected"]), r["source"], r["reason_tags"] == ["t"]) for r in got) == sorted(want)
 
 
-def test_retrieval_against_all_chunks(spark, sf_dir):
+@pytest.mark.parametrize("most", [chunks.BROADCAST_TOKENS, 0])
+def test_retrieval_against_all_chunks(spark, sf_dir, monkeypatch, most):
+    """By one pass over the chunks, and by tokens that a result must share."""
     from dialogmill.plans.base import table
 
+    monkeypatch.setattr(chunks, "BROADCAST_TOKENS", most)
     chunked = chunks.chunks(dq._sources(spark, sf_dir)).cache()
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query"), F.lit("mixed").alias("intent"))
     got = {(r["query_id"], r["rank"]): (r["source_id"], r["chunk_no"]) for r in chunks.retrieve(chunked, asked, 5, dq.AS_OF).collect()}

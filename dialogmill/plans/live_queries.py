@@ -11,36 +11,42 @@ from dialogmill.functions import text as t
 from dialogmill.plans import sql as q
 from dialogmill.plans import text_queries as tq
 from dialogmill.plans.base import SQL, events, query, table
-from dialogmill.streaming import live
+from dialogmill.streaming import live, stateful
 from dialogmill.streaming.events import read
 from dialogmill.streaming.run import available_now
 
 C = F.col
 
 
-#: The events as a live session, numbered by user.
-_LIVE = """
-se AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM (SELECT user_id, (epoch_us(ts) // 1000) // 20000 AS ms, event_id, CASE WHEN event_id % 41 = 40 THEN 'muted' ELSE (['remote', 'self', 'diag'])[event_id % 3 + 1] END AS kind,
-  'word' || floor(value / 100)::BIGINT || (CASE WHEN event_id % 4 = 0 THEN '.' ELSE ' and' END) AS text, value AS level, 500 - value AS other, floor(value * 2)::BIGINT AS work, value / 500 AS confidence FROM events))"""
+#: The pause that ends a session, where a fold has one.
+REST_MS = 6000
+_SESSION_ROWS = f"""
+rows_ AS (SELECT *, sum(CASE WHEN ms - p <= {REST_MS} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS session FROM (SELECT *, lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS p FROM (
+  SELECT user_id, (epoch_us(ts) // 1000) // 20000 AS ms, event_id, CASE WHEN event_id % 41 = 40 THEN 'muted' ELSE (['remote', 'self', 'diag'])[event_id % 3 + 1] END AS kind,
+    'word' || floor(value / 100)::BIGINT || (CASE WHEN event_id % 4 = 0 THEN '.' ELSE ' and' END) AS text, value AS level, 500 - value AS other, floor(value * 2)::BIGINT AS work, value / 500 AS confidence FROM events))),
+clock AS (SELECT (epoch_us(max(ts)) // 1000 - 600000) // 20000 AS t FROM events)"""
 _ROWS = "STRUCT(ms BIGINT, what VARCHAR, event_id BIGINT, text VARCHAR, score DOUBLE)[]"
 _put = lambda ms, what, event_id, text, score="NULL::DOUBLE": f"[{{'ms': {ms}, 'what': {what}, 'event_id': {event_id}, 'text': {text}, 'score': {score}}}]"
 
 
-def _fold_sql(start: str, steps: list[str], state: str) -> str:
-    """A fold over each user's events: the state starts as ``start``; each of ``steps`` is a list of columns over the one before, the first over the
-    state and the event; ``state`` names the columns that go on. Every step appends to ``o``, the rows that are emitted."""
-    body = f"SELECT st.user_id, st.i + 1 AS i, {', '.join(f'st.{c.strip()}' for c in state.split(','))}, se.ms, se.event_id, se.kind, se.text, se.level, se.other, se.work, se.confidence, []::{_ROWS} AS o FROM st JOIN se ON se.user_id = st.user_id AND se.i = st.i + 1"
+def _fold_sql(start: str, steps: list[str], state: str, streamed: bool = False, key: str = "user_id", of_key: str = "user_id", only: str = "true", tick: bool = True) -> str:
+    """A fold over the events of each ``key``: the state starts as ``start``; each of ``steps`` is a list of columns over the one before, the first over the
+    state and the event; ``state`` names the columns that go on. Every step appends to ``o``, the rows that are emitted. A stream ends before its watermark, which is every key's last event, of kind tick."""
+    body = f"SELECT st.k, st.i + 1 AS i, {', '.join(f'st.{c.strip()}' for c in state.split(','))}, se.ms, se.event_id, se.kind, se.text, se.level, se.other, se.work, se.confidence, se.session, []::{_ROWS} AS o FROM st JOIN se ON se.k = st.k AND se.i = st.i + 1"
     for columns in steps:
         body = f"SELECT * REPLACE ({columns}) FROM ({body})"
-    return f"""WITH RECURSIVE {_LIVE}, st AS (SELECT user_id, 0::BIGINT AS i, {start}, []::{_ROWS} AS o FROM (SELECT DISTINCT user_id FROM se)
-  UNION ALL SELECT user_id, i, {state}, o FROM ({body})), u AS (SELECT user_id, unnest(o) AS r FROM st) SELECT user_id, r.ms AS ms, r.what AS what, r.event_id AS event_id, r.text AS text, round(r.score, 6) AS score FROM u"""
+    source = f"SELECT {key} AS k, ms, event_id, kind, text, level, other, work, confidence, session FROM rows_, clock WHERE {only} AND {'ms < t' if streamed else 'true'}"
+    ticks = f" UNION ALL SELECT DISTINCT k, t - 1, NULL, 'tick', '', 0, 0, 0, 0, NULL FROM ({source}), clock" if streamed and tick else ""
+    return f"""WITH RECURSIVE {_SESSION_ROWS}, se AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms, event_id NULLS LAST) AS i FROM ({source}{ticks})),
+  st AS (SELECT k, 0::BIGINT AS i, {start}, []::{_ROWS} AS o FROM (SELECT DISTINCT k FROM se)
+  UNION ALL SELECT k, i, {state}, o FROM ({body})), u AS (SELECT k, unnest(o) AS r FROM st) SELECT {of_key.replace('user_id', 'k')} AS user_id, r.ms AS ms, r.what AS what, r.event_id AS event_id, r.text AS text, round(r.score, 6) AS score FROM u"""
 
 
 _EVENT = "{'ms': ms, 'event_id': event_id, 'text': text}"
 _HELD = "STRUCT(ms BIGINT, event_id BIGINT, text VARCHAR)"
-_words = lambda c: f"list_distinct(list_filter(string_split(lower({c}), ' '), lambda x: x <> ''))"
-_echo = lambda ms, text, far: f"coalesce(length(trim({text})) < 3 OR ({far} IS NOT NULL AND diag IS NOT NULL AND abs({ms} - {far}.ms) <= 1400 AND {q.jaccard(_words(text), _words(far + '.text'))} >= 0.9 AND abs(diag.ms - {ms}) <= 2000 AND greatest(0.0, diag.own) <= greatest(160.0, greatest(0.0, diag.far) * 0.45::DOUBLE)), false)"
-_ECHO = _fold_sql(
+_words = lambda c: f"list_distinct(list_filter(string_split({q.speech(c)}, ' '), lambda x: x <> ''))"
+_echo = lambda ms, text, far: f"coalesce(length({q.speech(text)}) < 3 OR ({far} IS NOT NULL AND diag IS NOT NULL AND abs({ms} - {far}.ms) <= 1400 AND {q.jaccard(_words(text), _words(far + '.text'))} >= 0.9 AND abs(diag.ms - {ms}) <= 2000 AND greatest(0.0, diag.own) <= greatest(160.0, greatest(0.0, diag.far) * 0.45::DOUBLE)), false)"
+_ECHO = lambda streamed: _fold_sql(
     f"NULL::{_HELD} AS held, NULL::{_HELD} AS remote, NULL::STRUCT(ms BIGINT, own DOUBLE, far DOUBLE) AS diag",
     [
         f"CASE WHEN held.ms + 650 <= ms THEN o || {_put('held.ms', chr(39) + 'self' + chr(39), 'held.event_id', 'held.text')} ELSE o END AS o, CASE WHEN held.ms + 650 <= ms THEN NULL ELSE held END AS held",
@@ -50,12 +56,13 @@ _ECHO = _fold_sql(
         CASE WHEN kind = 'self' THEN (CASE WHEN {_echo('ms', 'text', 'remote')} THEN held ELSE {_EVENT} END) WHEN kind = 'remote' AND held IS NOT NULL AND ({_echo('held.ms', 'held.text', _EVENT)} OR held.ms <= ms) THEN NULL ELSE held END AS held""",
     ],
     "held, remote, diag",
+    streamed,
 )
 _SEGMENT = "STRUCT(text VARCHAR, started BIGINT, updated BIGINT, event_id BIGINT, confidence DOUBLE)"
 _fire = _put("seg.updated", "'segment'", "seg.event_id", "seg.text", "seg.confidence")
 _left = "(4200 - (seg.updated - seg.started))"
-_due = rf"""(CASE WHEN {_left} <= 0 THEN seg.updated ELSE seg.updated + greatest(120, least(CASE WHEN regexp_matches(seg.text, '[.!?]["'')\]]*$') THEN 320 ELSE 1200 END, {_left})) END)"""
-_SEGMENTS = _fold_sql(
+_due = rf"""(CASE WHEN {_left} <= 0 THEN seg.updated ELSE seg.updated + greatest(120, least(CASE WHEN regexp_matches(seg.text, '[.!?]["'')\]]?$') THEN 320 ELSE 1200 END, {_left})) END)"""
+_SEGMENTS = lambda streamed: _fold_sql(
     f"NULL::{_SEGMENT} AS seg",
     [
         f"CASE WHEN {_due} <= ms THEN o || {_fire} ELSE o END AS o, CASE WHEN {_due} <= ms THEN NULL ELSE seg END AS seg",
@@ -63,27 +70,49 @@ _SEGMENTS = _fold_sql(
         f"CASE WHEN kind <> 'remote' THEN seg WHEN seg IS NULL THEN {{'text': trim(text), 'started': ms, 'updated': ms, 'event_id': event_id, 'confidence': confidence}} ELSE {{'text': {q.merge('seg.text', 'text')}, 'started': seg.started, 'updated': ms, 'event_id': event_id, 'confidence': greatest(0.0, least(1.0, (seg.confidence + confidence) / 2))}} END AS seg",
     ],
     "seg",
+    streamed,
 )
 _pop = f"CASE WHEN len(line) > 0 AND busy <= ms THEN o || {_put('busy', chr(39) + 'served' + chr(39), 'line[1].event_id', 'line[1].text')} ELSE o END AS o, CASE WHEN len(line) > 0 AND busy <= ms THEN busy + line[1].work ELSE busy END AS busy, CASE WHEN len(line) > 0 AND busy <= ms THEN line[2:] ELSE line END AS line"
-_QUEUE = _fold_sql(
+_QUEUE = lambda streamed: _fold_sql(
     "0::BIGINT AS busy, []::STRUCT(event_id BIGINT, work BIGINT, text VARCHAR)[] AS line",
     [
         _pop, _pop,
-        f"""CASE WHEN kind = 'muted' THEN o || list_transform(line, lambda x: {_put('ms', "'cleared'", 'x.event_id', 'x.text')}[1]) WHEN busy <= ms THEN o || {_put('ms', "'served'", 'event_id', 'text')} WHEN len(line) >= 2 THEN o || {_put('ms', "'dropped'", 'line[1].event_id', 'line[1].text')} ELSE o END AS o,
-        CASE WHEN kind <> 'muted' AND busy <= ms THEN ms + work ELSE busy END AS busy,
-        CASE WHEN kind = 'muted' THEN line[1:0] WHEN busy <= ms THEN line WHEN len(line) >= 2 THEN list_append(line[2:], {{'event_id': event_id, 'work': work, 'text': text}}) ELSE list_append(line, {{'event_id': event_id, 'work': work, 'text': text}}) END AS line""",
+        f"""CASE WHEN kind = 'tick' THEN o WHEN kind = 'muted' THEN o || list_transform(line, lambda x: {_put('ms', "'cleared'", 'x.event_id', 'x.text')}[1]) WHEN busy <= ms THEN o || {_put('ms', "'served'", 'event_id', 'text')} WHEN len(line) >= 2 THEN o || {_put('ms', "'dropped'", 'line[1].event_id', 'line[1].text')} ELSE o END AS o,
+        CASE WHEN kind NOT IN ('muted', 'tick') AND busy <= ms THEN ms + work ELSE busy END AS busy,
+        CASE WHEN kind = 'tick' THEN line WHEN kind = 'muted' THEN line[1:0] WHEN busy <= ms THEN line WHEN len(line) >= 2 THEN list_append(line[2:], {{'event_id': event_id, 'work': work, 'text': text}}) ELSE list_append(line, {{'event_id': event_id, 'work': work, 'text': text}}) END AS line""",
     ],
     "busy, line",
+    streamed,
 )
 _switch = "(ms - heard >= 4000 AND ms - coalesce(switched, -1000000000000000) >= 8000 AND other >= greatest(110.0, level * 1.35::DOUBLE))"
-_HEALTH = _fold_sql(
-    "NULL::BIGINT AS heard, NULL::BIGINT AS switched, false AS suspect",
+_HEALTH = lambda streamed: _fold_sql(
+    "NULL::BIGINT AS heard, NULL::BIGINT AS switched, false AS suspect, NULL::HUGEINT AS own",
     [
+        "CASE WHEN own = session THEN heard END AS heard, CASE WHEN own = session THEN switched END AS switched, CASE WHEN own = session THEN suspect ELSE false END AS suspect, session AS own",
         "CASE WHEN level >= 70 THEN ms ELSE coalesce(heard, ms) END AS heard",
         f"""CASE WHEN {_switch} THEN o || {_put('ms', "'switch'", 'event_id', "''")} WHEN (ms - heard >= 4000) <> suspect THEN o || {_put('ms', "(CASE WHEN suspect THEN 'healthy' ELSE 'suspect' END)", 'event_id', "''")} ELSE o END AS o,
         CASE WHEN {_switch} THEN ms ELSE switched END AS switched, CASE WHEN {_switch} THEN suspect ELSE ms - heard >= 4000 END AS suspect, CASE WHEN {_switch} THEN ms ELSE heard END AS heard""",
     ],
-    "heard, switched, suspect",
+    "heard, switched, suspect, own",
+    streamed,
+    tick=False,
+)
+_ready = "(CASE WHEN n >= 2 THEN ((greatest(voice + 540, updated) + 79) // 80) * 80 END)"
+_voiced = "(level >= CASE kind WHEN 'remote' THEN 100 ELSE 50 END)"
+_side = "(CASE WHEN k % 2 = 1 THEN 'self' ELSE 'remote' END)"
+#: Speakers don't meet, so each speaker of a user is a key.
+_UTTERANCES = lambda streamed: _fold_sql(
+    "0::BIGINT AS n, 0::BIGINT AS first, 0::BIGINT AS voice, 0::BIGINT AS updated, 0::BIGINT AS dropped, '' AS audio, NULL::HUGEINT AS own",
+    [
+        f"CASE WHEN {_ready} <= ms THEN o || {_put(_ready, _side, 'first', 'audio', 'dropped::DOUBLE')} ELSE o END AS o, CASE WHEN {_ready} <= ms THEN 0 ELSE n END AS n, CASE WHEN {_ready} <= ms THEN 0 ELSE dropped END AS dropped",
+        "CASE WHEN own = session THEN n ELSE 0 END AS n, CASE WHEN own = session THEN dropped ELSE 0 END AS dropped, session AS own",
+        f"CASE WHEN n > 0 THEN first ELSE event_id END AS first, CASE WHEN n > 0 THEN audio || ' ' || event_id ELSE event_id::VARCHAR END AS audio, CASE WHEN {_voiced} THEN ms ELSE voice END AS voice, ms AS updated, CASE WHEN {_voiced} OR n > 0 THEN dropped ELSE dropped + 1 END AS dropped, CASE WHEN {_voiced} OR n > 0 THEN n + 1 ELSE 0 END AS n",
+    ],
+    "n, first, voice, updated, dropped, audio, own",
+    streamed,
+    "user_id * 2 + (kind = 'self')::INT",
+    "user_id // 2",
+    "kind IN ('remote', 'self')",
 )
 _THROTTLE = _fold_sql("NULL::BIGINT AS passed", [f"""CASE WHEN coalesce(ms - passed >= 2500, true) THEN o || {_put('ms', "'passed'", 'event_id', "''")} ELSE o END AS o, CASE WHEN coalesce(ms - passed >= 2500, true) THEN ms ELSE passed END AS passed"""], "passed")
 
@@ -92,24 +121,24 @@ def _replayed(spark, sf_dir, fold):
     return live.replay(live.session_events(events(spark, sf_dir)), fold).withColumn("score", F.round("score", 6))
 
 
-@query(_ECHO)
+@query(_ECHO(False))
 def live_echo_hold(spark, sf_dir):
     return _replayed(spark, sf_dir, live.EchoHold())
 
 
-@query(_SEGMENTS)
+@query(_SEGMENTS(False))
 def live_segments(spark, sf_dir):
     return _replayed(spark, sf_dir, live.Segments())
 
 
-@query(_QUEUE)
+@query(_QUEUE(False))
 def live_queue(spark, sf_dir):
     return _replayed(spark, sf_dir, live.Queue())
 
 
-@query(_HEALTH)
+@query(_HEALTH(False))
 def live_source_health(spark, sf_dir):
-    return _replayed(spark, sf_dir, live.SourceHealth())
+    return _replayed(spark, sf_dir, live.SourceHealth(rest_ms=REST_MS))
 
 
 @query(_THROTTLE)
@@ -117,9 +146,40 @@ def diagnostics_throttle(spark, sf_dir):
     return _replayed(spark, sf_dir, live.Throttle(2500))
 
 
-@query()
+#: The voice level of each side.
+THRESHOLDS = {"remote": 100.0, "self": 50.0}
+
+
+def _streamed(spark, sf_dir, fold):
+    """The events as a stream of live sessions, to its end: a fold's rows up to the watermark."""
+    rows = available_now(read(spark, sf_dir), lambda s: stateful.stream(live.session_events(s), fold, live.SCALE), "append", stateful.ROCKSDB)
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query(_UTTERANCES(True))
+def stream_utterances(spark, sf_dir):
+    """Voice-activity buffers of each speaker."""
+    return _streamed(spark, sf_dir, live.Utterances(THRESHOLDS, rest_ms=REST_MS))
+
+
+@query(_ECHO(True))
+def stream_echo_hold(spark, sf_dir):
+    return _streamed(spark, sf_dir, live.EchoHold())
+
+
+@query(_SEGMENTS(True))
 def stream_segments(spark, sf_dir):
-    return available_now(read(spark, sf_dir), lambda s: live.stream(live.session_events(s), live.Segments()), "append").withColumn("score", F.round("score", 6))
+    return _streamed(spark, sf_dir, live.Segments())
+
+
+@query(_QUEUE(True))
+def stream_queue(spark, sf_dir):
+    return _streamed(spark, sf_dir, live.Queue())
+
+
+@query(_HEALTH(True))
+def stream_source_health(spark, sf_dir):
+    return _streamed(spark, sf_dir, live.SourceHealth(rest_ms=REST_MS))
 
 
 @query(f"WITH j AS ({SQL['judge']}) SELECT passed, count(*)::BIGINT AS n, round(avg(average), 6) AS average FROM j GROUP BY 1")

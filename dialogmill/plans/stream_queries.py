@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dialogmill.plans.base import query
 from dialogmill.streaming import events as ev
+from dialogmill.streaming import joins, stateful
 from dialogmill.streaming.run import available_now
 
 C = F.col
@@ -40,7 +41,14 @@ def stream_dedup(spark, sf_dir):
     return available_now(ev.read(spark, sf_dir), lambda s: ev.dedup(s.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))), "append").select("event_id", "user_id")
 
 
-@query()
-def stream_utterances(spark, sf_dir):
-    """Voice-activity buffers by user; tests hold them against the batch replay."""
-    return available_now(ev.read(spark, sf_dir), lambda s: ev.utterances(s), "append")
+@query("""
+WITH e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events), own AS (SELECT * FROM e WHERE event_id % 2 = 0), remote AS (SELECT * FROM e WHERE event_id % 2 = 1),
+w AS (SELECT least((SELECT max(ms) - 600000 FROM own), (SELECT max(ms) - 1200000 FROM remote)) AS w)
+SELECT a.event_id, b.event_id AS right_id FROM own a JOIN remote b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 30 MINUTE
+UNION ALL SELECT event_id, NULL FROM own a, w WHERE ms + 1800000 < w AND NOT EXISTS (FROM remote b WHERE a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 30 MINUTE)
+""")
+def stream_hold(spark, sf_dir):
+    """Own utterances against remote ones within the hold, as two streams with their own watermarks; those that none meets come out alone."""
+    own, remote = ev.read(spark, sf_dir).where("event_id % 2 = 0"), ev.read(spark, sf_dir).where("event_id % 2 = 1")
+    out = available_now(own, lambda s: joins.held_against(s, remote, "30 MINUTES", "10 minutes", "20 minutes"), "append", stateful.ROCKSDB)
+    return out.select("event_id", "right_id")

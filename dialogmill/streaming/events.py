@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from dialogmill.streaming.run import send_package
 
 SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 LATE = "10 minutes"
-UTTERANCE = "user_id long, started_ms long, ended_ms long, n long, dropped long"
-STATE = "started long, last_voice long, n long, dropped long"
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,47 +31,3 @@ def latest(stream: DataFrame) -> DataFrame:
 
 def dedup(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def fold(state: tuple[int, int, int, int] | None, times: list[int], levels: list[float], threshold: float, silence_ms: int, min_n: int) -> tuple[list[tuple[int, int, int, int]], tuple[int, int, int, int]]:
-    """(closed buffers, open one): a voiced row opens or extends a buffer, an unvoiced one extends an open one only and counts
-    as dropped otherwise; silence of ``silence_ms`` closes the buffer, which is emitted if it has ``min_n`` rows."""
-    started, voice, n, dropped = state or (-1, -1, 0, 0)
-    closed = []
-    for ms, level in zip(times, levels, strict=True):
-        if n and ms - voice >= silence_ms:
-            if n >= min_n:
-                closed.append((started, voice, n, dropped))
-                dropped = 0
-            started, voice, n = -1, -1, 0
-        if level >= threshold:
-            started, voice, n = (started if n else ms), ms, n + 1
-        elif n:
-            n += 1
-        else:
-            dropped += 1
-    return closed, (started, voice, n, dropped)
-
-
-def utterances(stream: DataFrame, threshold: float = 100.0, silence_ms: int = 7_200_000, min_n: int = 2) -> DataFrame:
-    """Buffers of a user's voiced rows, closed by silence; the tail closes when the watermark has passed the silence."""
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        closed = []
-        if state.hasTimedOut:
-            started, voice, n, dropped = held
-            if n >= min_n:
-                closed = [(started, voice, n, dropped)]
-            state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
-            closed, held = fold(held, rows.ms.tolist(), rows.value.tolist(), threshold, silence_ms, min_n)
-            state.update(held)
-            if held[2]:
-                state.setTimeoutTimestamp(max(held[1] + silence_ms, state.getCurrentWatermarkMs() + 1))
-        if closed:
-            yield pd.DataFrame([(key[0], *c) for c in closed], columns=["user_id", "started_ms", "ended_ms", "n", "dropped"])
-
-    send_package(stream.sparkSession)
-    rows = stream.withWatermark("ts", LATE).withColumn("ms", F.unix_millis("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, UTTERANCE, STATE, "append", GroupStateTimeout.EventTimeTimeout)

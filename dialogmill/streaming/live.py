@@ -1,33 +1,37 @@
 """Live-session operators: folds over one key's events, as streams and as batch replays.
 
 A fold is a plain function (state, event) -> rows with a deadline: timers fire in event time, when a later event
-of the key or the watermark passes the deadline. A stream and the replay of the same ordered events
-give the same rows but for what the end of the stream leaves open.
+of the key or the clock passes the deadline. A fold declares its state as typed variables, which a stream keeps one by one (see
+stateful.py) and a replay as a dict. A stream and the replay of the same events up to the watermark give the same rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dialogmill.streaming.run import send_package
 
 LATE = "10 minutes"
 OUT = "user_id long, ms long, what string, event_id long, text string, score double"
 COLUMNS = ["user_id", "ms", "what", "event_id", "text", "score"]
+EVENT = "ms long, event_id long, text string"
+#: How many milliseconds of the events table make one of a live session.
+SCALE = 20_000
 
 
 class Live:
     """A fold: on(state, event) -> rows; due(state) -> deadline in ms or None; fire(state) -> rows. Rows are (ms, what, event_id, text) and, where there is one, a score.
 
-    ``rest_ms``: after a pause longer than this nothing of the state matters any more; None: it may matter for ever.
+    ``states``: the variables of the state, name -> (kind, schema): a value is a dict or absent, a list holds dicts, a map has strings as keys and dicts as values.
+    ``rest_ms``: after a pause longer than this the state starts anew: nothing of it matters any more, or the session has ended. None: it may matter for ever.
     """
 
+    states: dict[str, tuple[str, str]] = {}
     rest_ms: int | None = None
 
     def on(self, s: dict, e: dict) -> list[tuple]:
@@ -39,11 +43,19 @@ class Live:
     def fire(self, s: dict) -> list[tuple]:
         return []
 
-    def run(self, s: dict, events: list[dict]) -> list[tuple]:
+    def over(self, s: dict, last: int) -> int | None:
+        """From when on the state, after an event at ``last``, doesn't matter; None: for ever."""
+        return None if self.rest_ms is None else last + self.rest_ms + 1
+
+    def run(self, s: dict, events: list[dict], last: int | None = None) -> list[tuple]:
+        """Rows of the events in order; ``last``: the time of the event before them."""
         out = []
         for e in events:
             out += self.until(s, e["ms"])
+            if last is not None and self.rest_ms is not None and e["ms"] - last > self.rest_ms:
+                s.clear()
             out += self.on(s, e)
+            last = e["ms"]
         return out
 
     def until(self, s: dict, ms: int) -> list[tuple]:
@@ -53,24 +65,72 @@ class Live:
         return out
 
 
+def speech(text: str) -> str:
+    """Lower-cased letters and digits, other characters as single blanks."""
+    return " ".join(re.sub(r"[^\w\s]|_", " ", text.lower()).split())
+
+
 def similarity(a: str, b: str) -> float:
-    x, y = set(a.lower().split()), set(b.lower().split())
+    x, y = set(speech(a).split()), set(speech(b).split())
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
+class Utterances(Live):
+    """Voice-activity buffers of each speaker: a voiced chunk opens or extends a buffer, an unvoiced one extends an open one and counts as dropped otherwise.
+
+    A buffer of ``min_n`` chunks or more becomes an utterance at the first check after ``silence_ms`` without voice; a smaller one waits for more chunks.
+    Rows: the check's time, the speaker, the first chunk's id, the chunks in order, and the chunks dropped since the utterance before.
+    """
+
+    states = {"buffers": ("map", "n long, first long, voice long, updated long, dropped long, audio string")}
+
+    def __init__(self, thresholds: dict[str, float], silence_ms: int = 540, min_n: int = 2, check_ms: int = 80, rest_ms: int = 1_800_000):
+        self.thresholds, self.silence_ms, self.min_n, self.check_ms, self.rest_ms = thresholds, silence_ms, min_n, check_ms, rest_ms
+
+    def at(self, b: dict) -> int | None:
+        return -(-max(b["voice"] + self.silence_ms, b["updated"]) // self.check_ms) * self.check_ms if b["n"] >= self.min_n else None
+
+    def next(self, s: dict) -> tuple[int, str] | None:
+        return min(((at, k) for k, b in s.get("buffers", {}).items() if (at := self.at(b)) is not None), default=None)
+
+    def due(self, s):
+        found = self.next(s)
+        return found and found[0]
+
+    def fire(self, s):
+        at, speaker = self.next(s)
+        b = s["buffers"].pop(speaker)
+        return [(at, speaker, b["first"], b["audio"], float(b["dropped"]))]
+
+    def on(self, s, e):
+        if e["kind"] not in self.thresholds:
+            return []
+        held = s.setdefault("buffers", {})
+        b = held.setdefault(e["kind"], {"n": 0, "first": 0, "voice": 0, "updated": 0, "dropped": 0, "audio": ""})
+        voiced = e["level"] >= self.thresholds[e["kind"]]
+        if voiced or b["n"]:
+            audio = str(e["event_id"]) if not b["n"] else f"{b['audio']} {e['event_id']}"
+            b.update(n=b["n"] + 1, first=b["first"] if b["n"] else e["event_id"], voice=e["ms"] if voiced else b["voice"], updated=e["ms"], audio=audio)
+        else:
+            b["dropped"] += 1
+        return []
+
+
 class EchoHold(Live):
     """Own utterances wait for ``hold_ms``: an echo of the remote side, before or after, is dropped, else they commit.
 
     A newer utterance takes the place of a waiting one, which is lost (``lossy``) or commits first.
     """
 
+    states = {"held": ("value", EVENT), "remote": ("value", EVENT), "diag": ("value", "ms long, self_rms double, remote_rms double")}
+
     def __init__(self, hold_ms: int = 650, window_ms: int = 1400, least: float = 0.9, lossy: bool = False):
         self.hold_ms, self.window_ms, self.least, self.lossy = hold_ms, window_ms, least, lossy
         self.rest_ms = max(hold_ms, window_ms, 2000)
 
     def echo(self, own: dict, s: dict) -> bool:
         remote, diag = s.get("remote"), s.get("diag")
-        if len(own["text"].strip()) < 3:
+        if len(speech(own["text"])) < 3:
             return True
         if not remote or not diag or abs(own["ms"] - remote["ms"]) > self.window_ms or similarity(own["text"], remote["text"]) < self.least:
             return False
@@ -84,8 +144,9 @@ class EchoHold(Live):
         return [(held["ms"], "self", held["event_id"], held["text"])]
 
     def on(self, s, e):
+        kept = {k: e[k] for k in ("ms", "event_id", "text")}
         if e["kind"] == "diag":
-            s["diag"] = e
+            s["diag"] = {k: e[k] for k in ("ms", "self_rms", "remote_rms")}
             return []
         if e["kind"] == "self":
             if self.echo(e, s):
@@ -93,11 +154,11 @@ class EchoHold(Live):
             out = []
             if s.get("held"):
                 out = [(s["held"]["ms"], "lost", s["held"]["event_id"], s["held"]["text"])] if self.lossy else self.fire(s)
-            s["held"] = e
+            s["held"] = kept
             return out
         if e["kind"] != "remote":
             return []
-        s["remote"], out = e, []
+        s["remote"], out = kept, []
         if s.get("held"):
             if self.echo(s["held"], s):
                 held = s.pop("held")
@@ -113,39 +174,42 @@ class Segments(Live):
     A segment's confidence, its score, is the mean of what it had and the event's, one event after another.
     """
 
+    states = {"open": ("value", "text string, started long, updated long, event_id long, confidence double")}
+
     def __init__(self, punctuation_ms: int = 320, pause_ms: int = 1200, hold_ms: int = 4200, gap_ms: int = 2200):
         self.punctuation_ms, self.pause_ms, self.hold_ms, self.gap_ms = punctuation_ms, pause_ms, hold_ms, gap_ms
         self.rest_ms = max(pause_ms, gap_ms, 120)
 
     def due(self, s):
-        if not s.get("text"):
+        x = s.get("open")
+        if not x:
             return None
-        left = self.hold_ms - (s["updated"] - s["started"])
+        left = self.hold_ms - (x["updated"] - x["started"])
         if left <= 0:
-            return s["updated"]
-        ends = s["text"].rstrip("\"')]")[-1:] in tuple(".!?")
-        return s["updated"] + max(120, min(self.punctuation_ms if ends else self.pause_ms, left))
+            return x["updated"]
+        ends = re.search(r"""[.!?]["')\]]?\Z""", x["text"])
+        return x["updated"] + max(120, min(self.punctuation_ms if ends else self.pause_ms, left))
 
     def fire(self, s):
-        out = [(s["updated"], "segment", s["event_id"], s["text"], s["confidence"])]
-        s.clear()
-        return out
+        x = s.pop("open")
+        return [(x["updated"], "segment", x["event_id"], x["text"], x["confidence"])]
 
     def on(self, s, e):
         text = e["text"].strip()
         if e["kind"] != "remote" or not text:
             return []
-        out = self.fire(s) if s.get("text") and e["ms"] - s["updated"] > self.gap_ms else []
+        out = self.fire(s) if s.get("open") and e["ms"] - s["open"]["updated"] > self.gap_ms else []
         confidence = e.get("confidence", 0.0)
-        if not s.get("text"):
-            s.update(text=text, started=e["ms"], confidence=confidence)
+        x = s.get("open")
+        if not x:
+            x = s["open"] = {"text": text, "started": e["ms"], "confidence": confidence}
         else:
-            s["confidence"] = max(0.0, min(1.0, (s["confidence"] + confidence) / 2))
-            if text.startswith(s["text"]):
-                s["text"] = text
-            elif not s["text"].startswith(text):
-                s["text"] = " ".join((s["text"][:-1] + text if s["text"].endswith("-") else s["text"] + " " + text).split())
-        s.update(updated=e["ms"], event_id=e["event_id"])
+            x["confidence"] = max(0.0, min(1.0, (x["confidence"] + confidence) / 2))
+            if text.startswith(x["text"]):
+                x["text"] = text
+            elif not x["text"].startswith(text):
+                x["text"] = " ".join((x["text"][:-1] + text if x["text"].endswith("-") else x["text"] + " " + text).split())
+        x.update(updated=e["ms"], event_id=e["event_id"])
         return out
 
 
@@ -155,60 +219,73 @@ class Queue(Live):
     While the session is muted or inactive nothing waits: such an event clears the line.
     """
 
+    states = {"server": ("value", "busy long"), "line": ("list", EVENT + ", work long")}
+
     def __init__(self, most: int = 2):
         self.most = most
 
     def due(self, s):
-        return s["busy"] if s.get("line") else None
+        return s["server"]["busy"] if s.get("line") else None
 
     def fire(self, s):
         e = s["line"].pop(0)
-        at, s["busy"] = s["busy"], s["busy"] + e["work"]
+        at = s["server"]["busy"]
+        s["server"] = {"busy": at + e["work"]}
         return [(at, "served", e["event_id"], e["text"])]
 
+    def over(self, s, last):
+        return None if s.get("line") else s["server"]["busy"] if s.get("server") else last + 1
+
     def on(self, s, e):
         if e["kind"] in ("muted", "inactive"):
             return [(e["ms"], "cleared", x["event_id"], x["text"]) for x in s.pop("line", [])]
-        if s.get("busy", 0) <= e["ms"]:
-            s["busy"] = e["ms"] + e["work"]
+        if not s.get("server") or s["server"]["busy"] <= e["ms"]:
+            s["server"] = {"busy": e["ms"] + e["work"]}
             return [(e["ms"], "served", e["event_id"], e["text"])]
         line = s.setdefault("line", [])
         out = [(e["ms"], "dropped", line[0]["event_id"], line.pop(0)["text"])] if len(line) >= self.most else []
-        line.append(e)
+        line.append({k: e[k] for k in ("ms", "event_id", "text", "work")})
         return out
 
 
 class Phases(Live):
-    """The phase of a session: running, degraded and recovered, or error; changes are emitted."""
+    """The phase of a session: running, degraded and recovered, or error; changes are emitted. A session ends after ``rest_ms`` of silence."""
+
+    states = {"phase": ("value", "name string")}
+
+    def __init__(self, rest_ms: int = 1_800_000):
+        self.rest_ms = rest_ms
 
     def on(self, s, e):
-        phase, now = s.get("phase", "running"), e["kind"]
+        phase, now = s.get("phase", {"name": "running"})["name"], e["kind"]
         if now == "degraded" or now == "error" and phase != "error":
             after = now
         elif now == "running" and phase == "degraded":
             after = "running"
         else:
             after = phase
-        s["phase"] = after
+        s["phase"] = {"name": after}
         return [(e["ms"], after, e["event_id"], "")] if after != phase else []
 
 
 class SourceHealth(Live):
-    """After ``silence_ms`` below the active level a better source is switched to, at most once in ``cooldown_ms``."""
+    """After ``silence_ms`` below the active level a better source is switched to, at most once in ``cooldown_ms``. A session ends after ``rest_ms`` without levels."""
+
+    states = {"source": ("value", "heard long, switched long, suspect boolean")}
 
-    def __init__(self, silence_ms: int = 4000, cooldown_ms: int = 8000, active: float = 70.0, least: float = 110.0, ratio: float = 1.35):
-        self.silence_ms, self.cooldown_ms, self.active, self.least, self.ratio = silence_ms, cooldown_ms, active, least, ratio
+    def __init__(self, silence_ms: int = 4000, cooldown_ms: int = 8000, active: float = 70.0, least: float = 110.0, ratio: float = 1.35, rest_ms: int = 1_800_000):
+        self.silence_ms, self.cooldown_ms, self.active, self.least, self.ratio, self.rest_ms = silence_ms, cooldown_ms, active, least, ratio, rest_ms
 
     def on(self, s, e):
-        s.setdefault("heard", e["ms"])
+        x = s.setdefault("source", {"heard": e["ms"], "switched": -10**15, "suspect": False})
         if e["level"] >= self.active:
-            s["heard"] = e["ms"]
-        silent = e["ms"] - s["heard"] >= self.silence_ms
-        if silent and e["ms"] - s.get("switched", -10**15) >= self.cooldown_ms and e["other"] >= max(self.least, e["level"] * self.ratio):
-            s.update(switched=e["ms"], heard=e["ms"])
+            x["heard"] = e["ms"]
+        silent = e["ms"] - x["heard"] >= self.silence_ms
+        if silent and e["ms"] - x["switched"] >= self.cooldown_ms and e["other"] >= max(self.least, e["level"] * self.ratio):
+            x.update(switched=e["ms"], heard=e["ms"])
             return [(e["ms"], "switch", e["event_id"], "")]
-        if silent != s.get("suspect", False):
-            s["suspect"] = silent
+        if silent != x["suspect"]:
+            x["suspect"] = silent
             return [(e["ms"], "suspect" if silent else "healthy", e["event_id"], "")]
         return []
 
@@ -216,36 +293,19 @@ class SourceHealth(Live):
 class Throttle(Live):
     """Of events closer than ``every_ms`` to the last one that was let through none is."""
 
+    states = {"passed": ("value", "ms long")}
+
     def __init__(self, every_ms: int = 250):
         self.every_ms = every_ms
         self.rest_ms = every_ms
 
     def on(self, s, e):
-        if "last" in s and e["ms"] - s["last"] < self.every_ms:
+        if s.get("passed") and e["ms"] - s["passed"]["ms"] < self.every_ms:
             return []
-        s["last"] = e["ms"]
+        s["passed"] = {"ms": e["ms"]}
         return [(e["ms"], "passed", e["event_id"], "")]
 
 
-def stream(events: DataFrame, fold: Live) -> DataFrame:
-    """events: user_id, ts, ms, event_id and the fold's fields, as a stream."""
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else {}
-        if state.hasTimedOut:
-            out = fold.until(s, state.getCurrentWatermarkMs())
-        else:
-            rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
-            out = fold.run(s, rows.drop(columns=["user_id", "ts"]).to_dict("records"))
-        state.update((json.dumps(s),))
-        if (at := fold.due(s)) is not None:
-            state.setTimeoutTimestamp(max(int(at), state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield framed([(key[0], *r) for r in out])
-
-    send_package(events.sparkSession)
-    return events.withWatermark("ts", LATE).groupBy("user_id").applyInPandasWithState(run, OUT, "s string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def framed(rows: list[tuple]) -> pd.DataFrame:
     """Rows (user_id, ms, what, event_id, text) and, where there is one, a score."""
     return pd.DataFrame([(*r, *[float("nan")] * (6 - len(r))) for r in rows], columns=COLUMNS).astype({"score": "float64"})
@@ -290,4 +350,4 @@ def session_events(rows: DataFrame) -> DataFrame:
     """The events table as a live session: user_id, ts, ms, event_id, kind, text, level, other, work and levels; days shrink to seconds."""
     kind = F.when(F.col("event_id") % 41 == 40, "muted").otherwise(F.element_at(F.array(*map(F.lit, ["remote", "self", "diag"])), (F.col("event_id") % 3 + 1).cast("int")))
     text = F.concat(F.lit("word"), F.floor(F.col("value") / 100).cast("string"), F.when(F.col("event_id") % 4 == 0, ".").otherwise(" and"))
-    return rows.select("user_id", "ts", F.floor(F.unix_millis("ts") / 20_000).alias("ms"), "event_id", kind.alias("kind"), text.alias("text"), F.col("value").alias("level"), (500 - F.col("value")).alias("other"), F.floor(F.col("value") * 2).alias("work"), F.col("value").alias("self_rms"), (500 - F.col("value")).alias("remote_rms"), (F.col("value") / 500).alias("confidence"))
+    return rows.select("user_id", "ts", F.floor(F.unix_millis("ts") / SCALE).alias("ms"), "event_id", kind.alias("kind"), text.alias("text"), F.col("value").alias("level"), (500 - F.col("value")).alias("other"), F.floor(F.col("value") * 2).alias("work"), F.col("value").alias("self_rms"), (500 - F.col("value")).alias("remote_rms"), (F.col("value") / 500).alias("confidence"))

@@ -1,38 +1,19 @@
-"""Streams against their batch replay."""
+"""Streams against their batch replay, and what they keep."""
 
-from collections import defaultdict
+import datetime
 
-from dialogmill.plans.base import events
-from dialogmill.plans.stream_queries import stream_utterances
-from dialogmill.streaming.events import fold
-
-
-def test_fold_counts_and_closes():
-    closed, held = fold(None, [0, 10, 20, 500, 510, 2000], [5, 200, 1, 200, 200, 1], 100, 300, 2)
-    assert closed == [(10, 10, 2, 1), (500, 510, 2, 0)] and held == (-1, -1, 0, 1)
+import pytest
+from pyspark.sql import functions as F
 
+from dialogmill.plans.base import events
+from dialogmill.streaming import joins, live, stateful
+from dialogmill.streaming.run import available_now, settings
 
-def test_utterances_equal_the_replay(spark, sf_dir):
-    by_user = defaultdict(list)
-    for r in events(spark, sf_dir).select("user_id", "ms", "event_id", "value").collect():
-        by_user[r["user_id"]].append((r["ms"], r["event_id"], r["value"]))
-    watermark = max(ms for rows in by_user.values() for ms, _, _ in rows) - 600_000
-    want = set()
-    for user, rows in by_user.items():
-        rows.sort()
-        closed, held = fold(None, [r[0] for r in rows], [r[2] for r in rows], 100.0, 7_200_000, 2)
-        want |= {(user, *c) for c in closed}
-        if held[2] >= 2 and held[1] + 7_200_000 < watermark:
-            want.add((user, *held))
-    got = {tuple(r) for r in stream_utterances(spark, sf_dir).select("user_id", "started_ms", "ended_ms", "n", "dropped").collect()}
-    assert got == want
+e = lambda i, ms, kind, text="hello there you", **k: {"event_id": i, "ms": ms, "kind": kind, "text": text, "self_rms": 120.0, "remote_rms": 640.0} | k
+what = lambda fold, rows: [(r[1], r[2]) for r in fold.run({}, rows)]
 
 
 def test_live_folds():
-    from dialogmill.streaming import live
-
-    e = lambda i, ms, kind, text="hello there you", **k: {"event_id": i, "ms": ms, "kind": kind, "text": text, "self_rms": 120.0, "remote_rms": 640.0} | k
-    what = lambda fold, rows: [(r[1], r[2]) for r in fold.run({}, rows)]
     hold = [e(0, 0, "diag"), e(1, 100, "remote"), e(2, 700, "self"), e(3, 2000, "self", "other words here"), e(4, 2900, "self", "more words now"), e(5, 3100, "remote", "more words now"), e(6, 9000, "diag")]
     assert what(live.EchoHold(), hold) == [("remote", 1), ("dropped", 2), ("self", 3), ("self", 4), ("remote", 5)]  # the level is too old for the last echo
     twice = [e(1, 0, "self", "first one now"), e(2, 100, "self", "second one now"), e(3, 5000, "diag")]
@@ -44,10 +25,85 @@ def test_live_folds():
     assert what(live.Phases(), [e(0, 0, "running"), e(1, 1, "degraded"), e(2, 2, "running"), e(3, 3, "error"), e(4, 4, "running")]) == [("degraded", 1), ("running", 2), ("error", 3)]
     level = [e(i, i * 1000, "", level=10.0, other=200.0) for i in range(15)]
     assert what(live.SourceHealth(), level) == [("switch", 4), ("suspect", 8), ("switch", 12), ("healthy", 13)]
+    assert what(live.SourceHealth(rest_ms=2000), [*level[:4], *[x | {"ms": x["ms"] + 2000} for x in level[4:6]]]) == []  # a new session has heard nothing yet
+
+
+def test_echoes_are_compared_without_punctuation():
+    rows = [e(0, 0, "diag"), e(1, 100, "remote", "let us ship it today"), e(2, 700, "self", "Let us ship it, today."), e(3, 800, "self", "?! -"), e(4, 900, "self", "a.b"), e(5, 5000, "diag")]
+    assert what(live.EchoHold(), rows) == [("remote", 1), ("dropped", 2), ("dropped", 3), ("self", 4)]
+    assert live.similarity("It's 5 o'clock_now", "IT S 5 O CLOCK NOW") == 1.0 and live.similarity("", "a") == 0.0
+
+
+def test_one_closer_may_follow_the_punctuation():
+    due = lambda text: live.Segments().due({"open": {"text": text, "started": 0, "updated": 0}})
+    assert [due(t) for t in ("done.", 'done."', "done.)", 'done.")', "done", "done.''")] == [320, 320, 320, 1200, 1200, 1200]
+
 
+def test_utterance_buffers():
+    fold = live.Utterances({"remote": 100.0, "self": 50.0}, silence_ms=540, min_n=2)
+    rows = [e(1, 0, "remote", level=5.0), e(2, 10, "remote", level=200.0), e(3, 20, "self", level=60.0), e(4, 300, "remote", level=1.0), e(5, 2000, "self", level=1.0), e(6, 2001, "muted", level=900.0), e(7, 5000, "self", level=1.0)]
+    # the small buffer of the own side waits for a second chunk and is then due at the next check
+    assert fold.run({}, rows) == [(560, "remote", 2, "2 4", 1.0), (2000, "self", 3, "3 5", 0.0)]
+
+
+def parts(spark, sf_dir, tmp_path, n=4, end=None):
+    """The events in n files, one a batch, each in the order of time; ``end``: an event far later, at the last file's end."""
+    rows = events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value", "props").toPandas().sort_values("ts")
+    if end:
+        rows.loc[len(rows)] = [10**9, rows.ts.max() + end, 10**6, "click", 1.0, "{}"]
+    size = -(-len(rows) // n)
+    for i in range(n):
+        spark.createDataFrame(rows.iloc[i * size : (i + 1) * size], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"file://{tmp_path}/p{i}")
+        for f in (tmp_path / f"p{i}").glob("*.parquet"):
+            f.rename(tmp_path / f"events.parquet.{i}.parquet")
+            import os
+
+            os.utime(tmp_path / f"events.parquet.{i}.parquet", (1000 + i, 1000 + i))
+    from dialogmill.streaming.events import SCHEMA
+
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/events.parquet.*.parquet")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+FOLDS = [live.Segments(), live.Queue(), live.Utterances({"remote": 100.0, "self": 50.0}, rest_ms=6000)]
+
+
+@pytest.mark.parametrize("fold", FOLDS, ids=lambda f: type(f).__name__)
+def test_a_stream_in_batches_equals_the_replay_and_its_state_goes(spark, sf_dir, tmp_path, fold):
+    seen = []
+    rows = parts(spark, sf_dir, tmp_path, end=datetime.timedelta(days=40))
+    got = available_now(rows, lambda s: stateful.stream(live.session_events(s), fold, live.SCALE), "append", stateful.ROCKSDB, seen)
+    plain = lambda df: sorted(tuple(None if x != x else x for x in r) for r in df.collect())
+    want = [r for r in plain(live.replay(live.session_events(events(spark, sf_dir)), fold, flush=True))]
+    assert [r for r in plain(got) if r[0] < 10**6] == want and len(want) > 50
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in seen if p["stateOperators"]]
+    assert len(seen) >= 4 and max(held) > 10 and held[-1] <= 3  # the far event's own: it waits, with its clock
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
+def test_a_stream_join_equals_the_batch_join_and_its_state_goes(spark, sf_dir, tmp_path):
+    seen, hold = [], 12 * 3_600_000
+    rows = parts(spark, sf_dir, tmp_path, end=datetime.timedelta(days=40))
+    own, remote = rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 OR event_id = 1000000000")
+    out = available_now(own, lambda s: joins.held_against(s, remote, "12 HOURS"), "append", stateful.ROCKSDB, seen)
+    by, own_ms = {}, {}
+    for r in events(spark, sf_dir).select("user_id", "ms", "event_id").collect():
+        by.setdefault(r["user_id"], []).append((r["ms"], r["event_id"]))
+    want = set()
+    for rows_ in by.values():
+        for ms, i in rows_:
+            if i % 2 == 0:
+                own_ms[i] = ms
+                met = {(i, j) for at, j in rows_ if j % 2 and ms <= at <= ms + hold}
+                want |= met or {(i, None)}
+    got = [(r["event_id"], r["right_id"]) for r in out.collect() if r["event_id"] != 10**9]
+    assert len(got) == len(set(got)) and set(got) == want and any(j is None for _, j in want) and any(j is not None for _, j in want)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in seen if p["stateOperators"]]
+    assert max(held) > 10 * max(1, held[-1])
 
-def test_segments_of_a_stream_equal_the_replay(spark, sf_dir):
-    from dialogmill.plans.live_queries import live_segments, stream_segments
 
-    done, all_of = ({tuple(r) for r in f(spark, sf_dir).collect()} for f in (stream_segments, live_segments))
-    assert all_of <= done  # timers of the stream also fire at the watermark
+def test_settings_are_put_back(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    with settings(spark, {"spark.sql.shuffle.partitions": "9", "dialogmill.none": "x"}):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9" and spark.conf.get("dialogmill.none") == "x"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("dialogmill.none", None) is None

@@ -18,18 +18,20 @@ from dialogmill.llm.simhash import near_components
 from dialogmill.llm.weak_label import classify
 
 
-#: In shorter lines one edit makes another line ("Item 1", "Item 2"), not a copy: there only equal ones go.
-LEAST_LINE = 20
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def packed(docs: DataFrame, *own: str) -> DataFrame:
     """``own`` and the other columns as one, so that no name clashes with what an operator adds."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
-    return docs.select(*own, F.struct(*rest, F.lit(0).alias("__none")).alias("__rest"))
+    rest, filler = [F.col(quoted(c)) for c in docs.columns if c not in own], "_"
+    while filler in docs.columns:
+        filler += "_"
+    return docs.select(*own, F.struct(*rest, F.lit(0).alias(filler)).alias("__rest"))
 
 
 def unpacked(rows: DataFrame, names: list[str], own: dict[str, Column]) -> DataFrame:
-    return rows.select(*[own[c].alias(c) if c in own else F.col(f"__rest.`{c}`") for c in names])
+    return rows.select(*[own[c].alias(c) if c in own else F.col(f"__rest.{quoted(c)}").alias(c) for c in names])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text, line number) has no ties; repeated rows keep the same lines; rows without an id come first; an empty table stays empty;
     extra columns stay, whatever their names.
     """
-    out = line_dedup(packed(docs, "doc_id", "text"), LEAST_LINE).where("n_kept > 0 OR n_lines = 0")
+    out = line_dedup(packed(docs, "doc_id", "text")).where("n_kept > 0 OR n_lines = 0")
     return unpacked(out, docs.columns, {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")})
 
 
@@ -61,7 +63,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty and blank texts are one component; texts are taken whole; an empty table stays empty; extra columns stay, whatever their names.
     """
     keep = near_components(docs.select("doc_id", "text"), similar=SIMILAR).where("keeper").select(F.col("doc_id").alias("__keep"), F.col("t").alias("__t")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
+    kept = packed(docs, "doc_id", "text").join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
+    return unpacked(kept, docs.columns, {"doc_id": F.col("doc_id"), "text": F.col("text")})
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

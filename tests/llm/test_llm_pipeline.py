@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_llm_operators import naive_components, naive_fingerprint, naive_lines
 
 import corpus_pipeline
@@ -25,7 +26,7 @@ def test_stages(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in common.table(spark, sf_dir, "labels").collect()}
     kept = {r["doc_id"] for r in good}
     assert np.mean([(r["doc_id"] in kept) == bool(labels[r["doc_id"]]) for r in start if r["doc_id"] in labels]) >= 0.95
-    want = naive_lines([(r["doc_id"], r["text"]) for r in good], 20)
+    want = naive_lines([(r["doc_id"], r["text"]) for r in good], 1)
     assert {r["doc_id"]: r["text"] for r in lines} == {i: t for i, t in want.items() if t.split()}
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
     prints = [(r["doc_id"], naive_fingerprint(r["text"])) for r in lines]
@@ -62,7 +63,7 @@ def test_run_against_plain_versions(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     docs = common.table(spark, sf_dir, "documents")
     good = [(r["doc_id"], r["text"]) for r in corpus_pipeline.quality_classifier(spark, docs, sf_dir).collect()]
-    lines = {i: t for i, t in naive_lines(good, 20).items() if t.split()}
+    lines = {i: t for i, t in naive_lines(good, 1).items() if t.split()}
     kept = naive_kept(list(lines.items()))
     assert {r["doc_id"] for r in got} == kept
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
@@ -94,8 +95,8 @@ def test_edges_of_stages(spark):
     from test_llm_operators import EDGES
 
     rows = spark.createDataFrame([(i, t, "en", s, len(t) if t else None, "x") for i, t, s in EDGES], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
-    for name in ("keeper", "n_lines", "quality_score", "kept", "block", "t"):  # names of columns that stages add
-        rows = rows.withColumn(name, rows.source)
+    for name in ("keeper", "n_lines", "quality_score", "kept", "block", "t", "__keep", "__t", "__rest", "_", "a`b", "c.d"):  # names of columns that stages add, and odd ones
+        rows = rows.withColumn(name, F.col("source"))
     for docs in (rows, rows.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, None)

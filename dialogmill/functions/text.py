@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dialogmill.functions import constants as K
 
+# fixed value: what a word is made of
 WORD = r"[\p{L}\p{N}_À-ɏ'-]+"
 #: Edges of a word in all regular-expression dialects alike.
 LEFT, RIGHT = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
@@ -62,6 +63,7 @@ def ai_disclaimer(c: Column) -> Column:
     return has_word(c, K.AI_DISCLAIMERS)
 
 
+# fixed values: the patterns of list items and of code
 BULLET = r"(?m)^\s*([-*•]|\d+\.)\s+"
 CODE = r"```|(^|[^\p{L}\p{N}_])(def\s+[\p{L}\p{N}_]+\(|class\s+[\p{L}\p{N}_]+\(|function\s+[\p{L}\p{N}_]+\()|\{\s*$"
 

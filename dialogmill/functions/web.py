@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from dialogmill.functions import text as t
 
 # fixed values: the patterns of cleaning, in order; what each becomes
-BLOCKS = ("script", "style", "noscript")
+BLOCKS = r"(?is)<(script|style|noscript).*?>.*?</\1>"
+BLOCK_TAGS = ("script", "style", "noscript")
 TAGS = ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>|</li>|</h\d>|</section>|</article>", "\n"), (r"(?s)<[^>]+>", " "))
 SPACES = r"(?U)[^\S\r\n]+"
 
@@ -75,13 +76,17 @@ def unescape(c: Column) -> Column:
 
 def html_text(c: Column) -> Column:
     """The visible text: no scripts, styles and tags; breaks and ends of blocks become line ends."""
-    steps = [*[(rf"(?is)<{tag}.*?>.*?</{tag}>", " ") for tag in BLOCKS], *TAGS]
-    bare = reduce(lambda a, step: F.regexp_replace(a, *step), steps, F.coalesce(c, F.lit("")))
+    bare = reduce(lambda a, step: F.regexp_replace(a, *step), [(BLOCKS, " "), *TAGS], F.coalesce(c, F.lit("")))
     return t.normalize(F.regexp_replace(unescape(bare), SPACES, " "))
 
 
+# fixed values: the patterns of a title and of a link's target
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+HREF = r"""(?i)href=["']([^"']+)["']"""
+
+
 def title(html: Column, url: Column) -> Column:
-    found = F.substring(html_text(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, 180)
+    found = F.substring(html_text(F.regexp_extract(F.coalesce(html, F.lit("")), TITLE, 1)), 1, 180)
     return F.when(found != "", found).when(authority(url) != "", authority(url)).otherwise("web")
 
 
@@ -141,7 +146,7 @@ def excluded(url: Column, patterns: list[str]) -> Column:
 
 def links(html: Column) -> Column:
     """The targets of the page's links, in order, as they stand."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(HREF), F.lit(1))
     return F.filter(F.transform(found, lambda x: t.strip(unescape(x))), lambda x: (x != "") & ~x.startswith("#"))
 
 

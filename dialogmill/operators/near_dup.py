@@ -24,12 +24,11 @@ def set_classes(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("tokens").alias("tokens"))
 
 
-def similar_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """a, b (first ids, a < b), similarity of all pairs of classes at ``threshold`` or more.
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """first, n (tokens), i (place), h (token) of the rarest tokens of each set (first, tokens): sets that are similar share one. Written once.
 
-    The classes are written once. Their tokens meet the frequencies by a broadcast where these are few, so that only prefixes are shuffled.
+    Tokens meet their frequencies by a broadcast where these are few, so that only prefixes are shuffled; a token that only one set has is left out.
     """
-    sets = kept(classes.select("first", "tokens"), "near-sets")
     freq = kept(sets.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")), "near-tokens")
     if small_enough(freq, BROADCAST_TOKENS):
         freq = F.broadcast(freq)
@@ -38,15 +37,26 @@ def similar_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     ranked = rows.join(freq, "tok").groupBy("first", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("by"))
     size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     prefix = ranked.select("first", "n", F.posexplode(F.slice("by", F.lit(1), size)).alias("i", "x")).where("x.df > 1").select("first", "n", "i", F.xxhash64("x.tok").alias("h"))
-    prefix = kept(prefix, "near-prefixes")
-    other = prefix.select(F.col("first").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("h").alias("k"))
-    near = (F.col("first") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)
+    return kept(prefix, "near-prefixes")
+
+
+def matched(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, once: bool = False) -> DataFrame:
+    """a, b, similarity of the similar sets of which a is in ``left`` and b in ``right``, both rows of prefixes(); ``once``: only a < b."""
+    other = right.select(F.col("first").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("h").alias("k"))
+    near = (F.col("first") < F.col("b") if once else F.col("first") != F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)
     reach = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-6
-    found = prefix.join(other, (F.col("h") == F.col("k")) & near & reach).select(F.col("first").alias("a"), "b").distinct()
+    found = left.join(other, (F.col("h") == F.col("k")) & near & reach).select(F.col("first").alias("a"), "b").distinct()
     found = found.join(sets.select(F.col("first").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("first").alias("b"), F.col("tokens").alias("tb")), "b")
     return found.withColumn("similarity", s.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def similar_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b (first ids, a < b), similarity of all pairs of classes at ``threshold`` or more."""
+    sets = kept(classes.select("first", "tokens"), "near-sets")
+    prefix = prefixes(sets, threshold)
+    return matched(prefix, prefix, sets, threshold, once=True)
+
+
 def resolve_any(pairs: DataFrame) -> DataFrame:
     """doc_id of each class with an earlier similar one."""
     return pairs.select(F.col("b").alias("doc_id")).distinct()

@@ -6,9 +6,14 @@ ranges tell which one holds a place, and only these ranges are sorted, by their
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogmill.operators import scan
+
 from dialogmill.operators.state import small_enough
 
 RANGES = 64
@@ -65,3 +70,31 @@ def floor_place(ratio: float) -> Column:
 def upper_place() -> Column:
     """The value at place n // 2, counted from 0."""
     return F.floor(F.col("__n") / 2)
+
+
+def rolling(rows: DataFrame, part: str, order: str, value: str, places: dict[str, float], most: int, per: int = scan.ROWS) -> DataFrame:
+    """order, n (values) and the nearest-rank quantiles ``places`` of the last ``most`` rows of the part, this one included.
+
+    A part is cut into pieces that carry the ``most`` - 1 rows before them; a piece keeps its frame's values in order: a row costs a search for what
+    comes and for what goes, not a sort. Nulls take a place in the frame and have no value.
+    """
+    import pandas as pd
+
+    names = list(places)
+    pieces = scan.with_halo(rows.select(part, order, F.col(value).cast("double").alias("__value")), [part], [order], most - 1, per)
+
+    def run(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values(order)
+        values, ordered, out = piece["__value"].tolist(), [], []
+        for i, (x, halo, at) in enumerate(zip(values, piece["__halo"], piece[order], strict=True)):
+            if i >= most and values[i - most] == values[i - most]:
+                del ordered[bisect_left(ordered, values[i - most])]
+            if x == x:
+                insort(ordered, x)
+            if not halo:
+                n = len(ordered)
+                out.append((at, n, *(ordered[max(0, math.ceil(n * p) - 1)] if n else None for p in places.values())))
+        return pd.DataFrame(out, columns=[order, "n", *names])
+
+    kind = rows.schema[order].dataType.simpleString()
+    return pieces.groupBy(part, "__piece").applyInPandas(run, f"{order} {kind}, n int, " + ", ".join(f"{n} double" for n in names))

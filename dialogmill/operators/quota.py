@@ -23,26 +23,35 @@ def category_quotas(specs: DataFrame, max_docs: int, cap: int) -> DataFrame:
     return rows.select("category", "quota")
 
 
+def even_quotas(specs: DataFrame, max_docs: int, cap: int) -> DataFrame:
+    """category, quota: the same for each category, at least one, under a cap; what is over or missing goes from or to the first ones, one each.
+
+    The table has a row for each category of a configuration, numbered from 0 in its order.
+    """
+    every = Window.partitionBy(F.lit(0))
+    n = F.count(F.lit(1)).over(every)
+    base = F.least(F.lit(cap), F.greatest(F.lit(1), F.floor(F.lit(max_docs) / n))).cast("long")
+    left = F.lit(max_docs) - base * n
+    place = F.row_number().over(every.orderBy("category"))
+    one = F.when((left > 0) & (place <= left) & (base < cap), 1).when((left < 0) & (place <= -left) & (base > 0), -1).otherwise(0)
+    return specs.select("category", (base + one).cast("long").alias("quota"))
+
+
 def take_counts(web: int, session: int, glossary: int, r_web: float, r_session: float, r_glossary: float) -> dict[str, int]:
-    """Rows to take of each pool so that the ratios hold: web and session at least, glossary at most."""
+    """Rows to take of each pool so that the ratios hold: web and session at least, glossary at most.
+
+    A share r of a total of T rows fits a pool of n rows if r * T <= n. The largest T that fits web, session and, with what is not
+    glossary, both is taken; then session takes what web's least share leaves, web what session leaves, glossary the rest under its share.
+    """
     r_web, r_session, r_glossary = (min(1.0, max(0.0, r)) for r in (r_web, r_session, r_glossary))
     everything = web + session + glossary
-    total = everything
-    if r_web > 0 and web:
-        total = min(total, int(web / r_web))
-    if r_session > 0 and session:
-        total = min(total, int(session / r_session))
-    if r_glossary < 1 and web + session:
-        total = min(total, int((web + session) / max(1e-9, 1 - r_glossary)))
-    total = max(0, min(total, everything)) or everything
-    need_web, need_session, most_glossary = math.ceil(r_web * total), math.ceil(r_session * total), math.floor(r_glossary * total)
-    take_web, take_session = min(need_web, web), min(need_session, session)
-    rest = max(0, total - take_web - take_session)
-    more = min(rest, max(0, session - need_session))
-    take_session, rest = take_session + more, rest - more
-    more = min(rest, max(0, web - need_web))
-    take_web, rest = take_web + more, rest - more
-    return {"web_corpus": take_web, "session": take_session, "glossary": min(rest, glossary, most_glossary)}
+    shares = [(web, r_web), (session, r_session), (web + session, 1 - r_glossary)]
+    total = min([everything, *(int(n / max(1e-9, r)) for n, r in shares if n and r > 0)]) or everything
+    least_web, least_session = min(web, math.ceil(r_web * total)), min(session, math.ceil(r_session * total))
+    take_session = min(session, max(least_session, total - least_web))
+    take_web = min(web, max(least_web, total - take_session))
+    take_glossary = min(glossary, math.floor(r_glossary * total), max(0, total - take_web - take_session))
+    return {"web_corpus": take_web, "session": take_session, "glossary": take_glossary}
 
 
 def shuffle_key(seed: str, key: Column) -> Column:

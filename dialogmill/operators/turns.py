@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogmill.operators import scan
 
-def as_of(rows: DataFrame, parts: list[str], ms: str, is_right: Column, fields: list[str], name: str) -> DataFrame:
-    """Adds struct ``name``: fields of the last row at or before this one that is ``is_right``; rows with equal times in id order."""
-    w = Window.partitionBy(*parts).orderBy(ms, "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.last(F.when(is_right, F.struct(*fields)), ignorenulls=True).over(w))
+
+def as_of(rows: DataFrame, parts: list[str], ms: str, rights: dict[str, tuple[Column, list[str]]], per: int = scan.ROWS) -> DataFrame:
+    """Adds a struct for each of ``rights`` (name -> (condition, fields)): the fields of the last row before this one that meets the condition; rows with equal times in id order.
+
+    A part's rows are dealt into blocks along the time, so a part of any size is the work of many tasks.
+    """
+    order = [ms, "event_id"]
+    blocks = scan.dealt(rows, parts, order, per)
+    return scan.last_before(blocks, parts, order, {name: F.when(when, F.struct(*fields)) for name, (when, fields) in rights.items()}).drop(scan.BLOCK)
 
 
 def echoes(similarity: Column, window_ms: int = 3000, least: float = 0.86, diag_ms: int = 2000) -> Column:
@@ -35,12 +41,14 @@ def within(left: DataFrame, right: DataFrame, key: str, ms: str, hold_ms: int) -
     return a.join(b, on).drop("__b", "__k", "__rb")
 
 
-def gap_sessions(rows: DataFrame, parts: list[str], ms: str, gap: Column | int) -> DataFrame:
-    """Adds ``session`` (from 1): a new one begins where the time since the row before is over the gap, which a row may set for its successor."""
-    w = Window.partitionBy(*parts).orderBy(ms, "event_id")
-    limit = F.lag(gap).over(w) if isinstance(gap, Column) else F.lit(gap)
-    opens = F.when(F.col(ms) - F.lag(ms).over(w) <= limit, 0).otherwise(1)
-    return rows.withColumn("__open", opens).withColumn("session", F.sum("__open").over(w)).drop("__open")
+def gap_sessions(rows: DataFrame, parts: list[str], ms: str, gap: Column | int, per: int = scan.ROWS) -> DataFrame:
+    """Adds ``session`` (from 1): a new one begins where the time since the row before is over the gap, which a row may set for its successor. Parts of any size are dealt into blocks."""
+    order = [ms, "event_id"]
+    blocks = scan.dealt(rows, parts, order, per)
+    limit = gap if isinstance(gap, Column) else F.lit(gap)
+    blocks = scan.last_before(blocks, parts, order, {"__before": F.struct(F.col(ms).alias("ms"), limit.alias("gap"))})
+    opens = F.when(F.col(ms) - F.col("__before.ms") <= F.col("__before.gap"), 0).otherwise(1)
+    return scan.sums_before(blocks, parts, order, {"session": opens}, running=True).drop("__before", scan.BLOCK)
 
 
 def last_rows(rows: DataFrame, parts: list[str], order: list[Column], k: int) -> DataFrame:

@@ -9,6 +9,7 @@ from dialogmill.functions import scoring as sc
 from dialogmill.functions import text as t
 from dialogmill.operators import pairs as op
 from dialogmill.operators import percentiles as pc
+from dialogmill.operators import scan
 from dialogmill.operators import turns as tn
 from dialogmill.plans import sql as q
 from dialogmill.plans.base import documents, events, query, table
@@ -46,17 +47,16 @@ WITH w AS (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORD
 SELECT event_id, v[ceil(len(v) * 0.5::DOUBLE)::BIGINT] AS p50, v[ceil(len(v) * 0.95::DOUBLE)::BIGINT] AS p95, len(v)::INT AS n FROM w
 """)
 def rolling_percentiles(spark, sf_dir):
-    """Over the last 300 values of a user; the frame, hence each array, is bounded."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-299, 0)
-    rows = table(spark, sf_dir, "events").select("event_id", F.sort_array(F.collect_list("value").over(w)).alias("v"))
-    at = lambda r: F.element_at("v", F.ceil(F.size("v") * F.lit(r)).cast("int"))
-    return rows.select("event_id", at(0.5).alias("p50"), at(0.95).alias("p95"), F.size("v").alias("n"))
+    """Over the last 300 values of a user."""
+    return pc.rolling(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", {"p50": 0.5, "p95": 0.95}, 300)
 
 
 @query(f"WITH {E} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 3500000 PRECEDING AND CURRENT ROW), 6) AS level FROM e")
 def rolling_level(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ms").rangeBetween(-3_500_000, 0)
-    return events(spark, sf_dir).select("event_id", F.round(F.avg("value").over(w), 6).alias("level"))
+    """The mean level of the last 3.5 s, as events are hours apart here, of 3500 s."""
+    w = Window.partitionBy("user_id", "__piece").orderBy("ms").rangeBetween(-3_500_000, 0)
+    rows = scan.in_time_pieces(events(spark, sf_dir).select("user_id", "event_id", "ms", "value"), ["user_id"], "ms", 3_500_000)
+    return rows.withColumn("level", F.round(F.avg("value").over(w), 6)).where("NOT __halo").select("event_id", "level")
 
 
 @query(f"""
@@ -82,8 +82,7 @@ def echo_asof(spark, sf_dir):
     """Clicks stand for remote speech, views for own speech, other events for levels; values for words. Events are hours apart here, so the windows are wide."""
     rows = events(spark, sf_dir).withColumn("side", F.expr(_SPEECH)).withColumn("word", F.floor(C("value") / 50))
     rows = rows.withColumn("self_rms", C("value")).withColumn("remote_rms", 500 - C("value"))
-    rows = tn.as_of(rows, ["user_id"], "ms", C("side") == "remote", ["ms", "word"], "remote")
-    rows = tn.as_of(rows, ["user_id"], "ms", C("side") == "diag", ["ms", "self_rms", "remote_rms"], "diag")
+    rows = tn.as_of(rows, ["user_id"], "ms", {"remote": (C("side") == "remote", ["ms", "word"]), "diag": (C("side") == "diag", ["ms", "self_rms", "remote_rms"])})
     same = F.when(C("word") == C("remote.word"), 1.0).otherwise(0.0)
     return rows.where("side = 'self'").select("event_id", tn.echoes(same, 90_000_000, 0.86, 200_000_000).alias("echo"))
 

@@ -217,10 +217,12 @@ def unescape(c: str) -> str:
 
 
 def html_text(c: str) -> str:
-    from dialogmill.functions.web import BLOCKS, TAGS
+    from dialogmill.functions.web import BLOCK_TAGS, TAGS
 
     c = f"coalesce({c}, '')"
-    for pattern, out in [*[(rf"(?is)<{tag}.*?>.*?</{tag}>", " ") for tag in BLOCKS], *TAGS]:
+    # that engine has no back-references; a block's first letters tell its name
+    blocks = "(?is)" + "|".join(rf"<{tag}.*?>.*?</{tag}>" for tag in BLOCK_TAGS)
+    for pattern, out in [(blocks, " "), *TAGS]:
         c = f"regexp_replace({c}, '{pattern}', {'chr(10)' if out == chr(10) else quoted(out)}, 'g')"
     return normalize(rf"regexp_replace({unescape(c)}, '[ \t\f\v\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')")
 

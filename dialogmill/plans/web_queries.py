@@ -9,8 +9,8 @@ from dialogmill.functions import constants as K
 from dialogmill.functions import scoring as sc
 from dialogmill.functions import text as t
 from dialogmill.functions import web
-from dialogmill.operators import near_dup
-from dialogmill.operators.quota import category_quotas
+from dialogmill.operators import acceptance, scan
+from dialogmill.operators.quota import category_quotas, even_quotas
 from dialogmill.operators.state import kept
 from dialogmill.plans import sql as q
 from dialogmill.plans.base import pages, query
@@ -20,7 +20,8 @@ C = F.col
 BLOCKED = ["spam-farm.example.org", "spam-farm.example.com", "casino-win.example.com", "ads-track.example.org"]
 TIER1, ALLOWED = ["example.com"], ["example.com", "example.org"]
 EXCLUDED = [r"\?utm_", r"/(login|signup)", r"/9\d\d$"]
-MIN_CHARS, MIN_QUALITY, MAX_PER_DOMAIN, NEAR = 400, 0.2, 6, 0.84
+#: Pages of the test tables are short, so the least length and quality are lower than a real corpus asks for.
+MIN_CHARS, MIN_QUALITY, MAX_PER_DOMAIN, NEAR, WINDOW = 400, 0.2, 20, 0.84, 240
 
 
 @query(f"WITH h AS (SELECT page_id, {q.html_text('html')} AS body FROM pages) SELECT page_id, md5(body) AS body_md5, length(body)::INT AS n_chars, 'simple' AS extract_method FROM h")
@@ -90,78 +91,75 @@ def redirect_decode(spark, sf_dir):
 
 #: Categories by the first part of a url's path, in their order, with weights; others have the cap itself.
 CATEGORIES = dict(zip(("en", "fr", "de", "es"), map(float, K.CATEGORY_WEIGHTS)))
-MAX_DOCS, MAX_PER_CATEGORY = 160, 60
+MAX_DOCS, MAX_PER_CATEGORY = 900, 90
 _CATEGORY = "^/([a-z]+)/"
 
 
-def _first(rows, key):
-    """page_id of the first row of each key; a partial aggregate."""
-    return rows.groupBy(key).agg(F.min("page_id").alias("page_id")).select("page_id")
-
-
-def _upto(rows, key, most):
-    """page_id of the first rows of each key, as many as ``most`` says; groups are cut before they are shuffled."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy("page_id"))
-    return rows.withColumn("rn", rn).where(C("rn") <= most).select("page_id")
-
-
-def rejected(spark, sf_dir, tier1_only=False):
+def rejected(spark, sf_dir, tier1_only=False, max_docs=MAX_DOCS, max_per_category=MAX_PER_CATEGORY, max_per_domain=MAX_PER_DOMAIN, window=WINDOW):
     """page_id, canonical, host, category, title, body, quality, reason (null: kept): the first rule that fails names the reason.
 
-    The rules on the page itself come first. Those that look at other pages follow, each on what the ones before accept, in the order of page_id:
-    duplicates of a url, equal token sets, near duplicates of kept pages, caps of domains and categories and of all.
+    Pages come category by category, those of the configuration first, then by page_id, and are kept or not in this order: rules look at what
+    was kept before. A page that comes when its category or the whole is full isn't looked at any further.
     """
+    index = F.coalesce(F.array_position(F.array(*map(F.lit, CATEGORIES)), C("category")), F.lit(0))
+    place = F.when(index == 0, len(CATEGORIES)).otherwise(index - 1).cast("long")
     rows = pages(spark, sf_dir).select("page_id", web.canonical(C("url")).alias("canonical"), web.host(C("url")).alias("host"), F.regexp_extract(web.path(C("url")), _CATEGORY, 1).alias("category"), web.title(C("html"), C("url")).alias("title"), web.html_text(C("html")).alias("body"), C("html").isNull().alias("missing"))
-    reason = (
-        F.when(C("canonical") == "", "invalid_scheme_or_url").when(C("host") == "", "missing_host").when(web.matches_domain(C("host"), BLOCKED, empty=False), "blocked_domain")
+    of_url = (
+        F.when(C("host") == "", "missing_host").when(web.matches_domain(C("host"), BLOCKED, empty=False), "blocked_domain")
         .when(F.lit(tier1_only) & ~web.matches_domain(C("host"), TIER1), "tier1_only_filtered").when(~web.matches_domain(C("host"), ALLOWED), "allow_domain_filtered").when(web.excluded(C("canonical"), EXCLUDED), "excluded_pattern")
-        .when(C("missing"), "fetch_failed").when(F.length("body") < MIN_CHARS, "min_text_chars").when(sc.noise(C("body")), "noise").when(C("quality") < MIN_QUALITY, "quality_threshold")
     )
-    rows = rows.withColumn("quality", sc.web_quality(C("body"), C("title"))).withColumn("reason", reason).drop("missing").withColumn("tokens", t.token_set(C("body")))
-    rows = kept(rows.withColumn("print", t.fingerprint(C("tokens"))), "web-pages")
-    left, late = rows.where("reason IS NULL").select("page_id", "canonical", "host", "category", "print", "tokens"), []
-
-    def keep(left, ids, name):
-        late.append(left.join(ids, "page_id", "left_anti").select("page_id", F.lit(name).alias("late")))
-        return left.join(ids, "page_id", "left_semi")
-
-    left = keep(left, _first(left, "canonical"), "duplicate_url")
-    left = kept(keep(left, _first(left, "print"), "fingerprint_duplicate"), "web-distinct")
-    gone = near_dup.resolve_greedy(near_dup.similar_pairs(near_dup.set_classes(left.select(C("page_id").alias("doc_id"), "tokens")), NEAR)).select(C("doc_id").alias("page_id"))
-    left = kept(keep(left, left.select("page_id").join(gone, "page_id", "left_anti"), "near_duplicate").drop("tokens"), "web-left")
-    left = keep(left, _upto(left, "host", MAX_PER_DOMAIN), "per_domain_cap")
+    of_text = F.when(C("missing"), "fetch_failed").when(F.length("body") < MIN_CHARS, "min_text_chars").when(sc.noise(C("body")), "noise")
+    rows = rows.withColumn("quality", sc.web_quality(C("body"), C("title"))).withColumns({"of_url": of_url, "of_text": of_text, "tokens": t.token_set(C("body")), "pos": F.shiftleft(place, 40) + C("page_id")})
+    rows = kept(rows.drop("missing").withColumn("print", t.fingerprint(C("tokens"))), "web-pages")
     specs = spark.createDataFrame([(i, w) for i, w in enumerate(CATEGORIES.values())], "category int, weight double")
-    quotas = {list(CATEGORIES)[r["category"]]: r["quota"] for r in category_quotas(specs, MAX_DOCS, MAX_PER_CATEGORY).collect()}  # a row for each category of the configuration
-    most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), C("category")), F.lit(MAX_PER_CATEGORY))
-    left = keep(left, _upto(left.withColumn("most", most), "category", F.least(C("most"), F.lit(MAX_PER_CATEGORY))), "category_quota")
-    left = keep(left, left.orderBy("page_id").limit(MAX_DOCS).select("page_id"), "max_docs")
-    found = late[0]
-    for x in late[1:]:
-        found = found.unionByName(x)
-    return rows.join(found, "page_id", "left").withColumn("reason", F.coalesce("reason", "late")).drop("late", "tokens", "print")
+    names = spark.createDataFrame(list(enumerate(CATEGORIES)), "category int, name string")
+    quotas = category_quotas(specs, max_docs, max_per_category).join(names, "category").select(C("name").alias("category"), "quota")
+    sound = (C("canonical") != "") & C("of_url").isNull() & C("of_text").isNull()
+    fit = rows.where(sound & (C("quality") >= MIN_QUALITY)).select("pos", C("canonical").alias("url"), "host", "category", "tokens")
+    found = kept(acceptance.accept(fit, quotas, NEAR, window, max_per_domain, max_docs, max_per_category), "web-kept")
+    # what each page finds when it comes
+    state = rows.select("pos", "page_id", "canonical", "host", "category", "print").join(found.select("pos", C("n").alias("own")), "pos", "left")
+    state = scan.dealt(state, [], ["pos"])
+    one = C("own").isNotNull().cast("long")
+    for name, parts in (("total", []), ("in_host", ["host"]), ("in_category", ["category"])):
+        state = scan.sums_before(state, parts, ["pos"], {name: one})
+    state = kept(state, "web-state")
+    taken = state.where("own IS NOT NULL")
+    urls, prints = taken.select("canonical", C("pos").alias("url_at")), taken.select("print", C("pos").alias("print_at"))
+    similar = acceptance.similar_accepted(rows.where(sound).join(state.where("own IS NULL").select("pos", C("total").alias("n")), "pos").select("pos", "n", "tokens"), rows.join(found, "pos").select("pos", "n", "tokens"), NEAR, window)
+    state = state.join(F.broadcast(quotas), "category", "left").join(urls, "canonical", "left").join(prints, "print", "left").join(similar.withColumn("similar", F.lit(True)), "pos", "left")
+    state = state.select("page_id", "own", "total", "in_host", "in_category", "quota", "url_at", "print_at", "similar")
+    reason = (
+        F.when(C("own").isNotNull(), F.lit(None).cast("string")).when(C("total") >= max_docs, "max_docs").when(C("in_category") >= F.coalesce("quota", F.lit(max_per_category)), "category_quota")
+        .when(C("canonical") == "", "invalid_scheme_or_url").when(C("url_at") < C("pos"), "duplicate_url").when(C("of_url").isNotNull(), C("of_url")).when(C("in_host") >= max_per_domain, "per_domain_cap")
+        .when(C("of_text").isNotNull(), C("of_text")).when(C("similar"), "near_duplicate").when(C("print_at") < C("pos"), "fingerprint_duplicate").otherwise("quality_threshold")
+    )
+    return rows.join(state, "page_id").select("page_id", "canonical", "host", "category", "title", "body", "quality", reason.alias("reason"))
 
 
-_SETS = "array_to_string(list_sort(toks), ' ')"
 _QUOTAS = f"""
 qc AS (SELECT unnest([{', '.join(str(w) for w in CATEGORIES.values())}]) AS w, unnest(range({len(CATEGORIES)})) AS i, unnest([{q.listed(CATEGORIES)}]) AS category),
 qr AS (SELECT category, i, w, {MAX_DOCS} * (w / (SELECT sum(w) FROM qc)::DOUBLE) AS raw FROM qc), qb AS (SELECT *, least({MAX_PER_CATEGORY}, floor(raw)::BIGINT) AS base FROM qr),
 qo AS (SELECT *, row_number() OVER (ORDER BY base >= {MAX_PER_CATEGORY}, raw - floor(raw) DESC, i) AS k, (SELECT {MAX_DOCS} - sum(base) FROM qb) AS left1 FROM qb), qp AS (SELECT *, base + (base < {MAX_PER_CATEGORY} AND k <= left1)::BIGINT AS one FROM qo),
 qs AS (SELECT *, row_number() OVER (ORDER BY one >= {MAX_PER_CATEGORY}, w DESC, i) AS k2, (SELECT {MAX_DOCS} - sum(one) FROM qp) AS left2 FROM qp), quotas AS (SELECT category, one + (one < {MAX_PER_CATEGORY} AND k2 <= left2)::BIGINT AS quota FROM qs)"""
+_NAMES = f"[{q.listed(CATEGORIES)}]"
 _REJECTED = f"""
 b AS MATERIALIZED (SELECT page_id, {q.canonical('url')} AS canonical, {q.host('url')} AS host, regexp_extract({q.path('url')}, '{_CATEGORY}', 1) AS category, {_TITLE} AS title, {q.html_text('html')} AS body, html IS NULL AS missing FROM pages),
-l AS MATERIALIZED (SELECT *, {_noise_sql('body')[0]} AS lines, {web_quality_sql('body', 'title')} AS quality, {q.token_set('body')} AS toks FROM b),
-p0 AS MATERIALIZED (SELECT *, CASE WHEN canonical = '' THEN 'invalid_scheme_or_url' WHEN host = '' THEN 'missing_host' WHEN {_matches('host', BLOCKED)} THEN 'blocked_domain' WHEN NOT {_matches('host', ALLOWED)} THEN 'allow_domain_filtered' WHEN {_excluded('canonical')} THEN 'excluded_pattern'
-  WHEN missing THEN 'fetch_failed' WHEN length(body) < {MIN_CHARS} THEN 'min_text_chars' WHEN {_noise_sql('body')[1]} THEN 'noise' WHEN quality < {MIN_QUALITY} THEN 'quality_threshold' END AS r0 FROM l),
-p1 AS (SELECT *, coalesce(r0, CASE WHEN row_number() OVER (PARTITION BY canonical, r0 IS NULL ORDER BY page_id) > 1 THEN 'duplicate_url' END) AS r1 FROM p0),
-p2 AS MATERIALIZED (SELECT *, coalesce(r1, CASE WHEN row_number() OVER (PARTITION BY {_SETS}, r1 IS NULL ORDER BY page_id) > 1 THEN 'fingerprint_duplicate' END) AS r2 FROM p1),
-o AS MATERIALIZED (SELECT page_id, toks, row_number() OVER (ORDER BY page_id) AS i FROM p2 WHERE r2 IS NULL),
-nn AS MATERIALIZED (SELECT a.i, list(b.i) AS near FROM o a JOIN o b ON b.i < a.i WHERE {q.jaccard('a.toks', 'b.toks')} >= {NEAR} GROUP BY a.i),
-gr AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS chosen UNION ALL SELECT gr.i + 1, CASE WHEN list_has_any(coalesce(nn.near, []::BIGINT[]), chosen) THEN chosen ELSE list_append(chosen, gr.i + 1) END FROM gr LEFT JOIN nn ON nn.i = gr.i + 1 WHERE gr.i < (SELECT count(*) FROM o)),
-ok AS MATERIALIZED (SELECT unnest(arg_max(chosen, i)) AS i FROM gr), fine AS (SELECT page_id FROM o JOIN ok USING (i)),
-p3 AS (SELECT *, coalesce(r2, CASE WHEN page_id NOT IN (SELECT page_id FROM fine) THEN 'near_duplicate' END) AS r3 FROM p2),
-p4 AS (SELECT *, coalesce(r3, CASE WHEN row_number() OVER (PARTITION BY host, r3 IS NULL ORDER BY page_id) > {MAX_PER_DOMAIN} THEN 'per_domain_cap' END) AS r4 FROM p3),{_QUOTAS},
-p5 AS (SELECT p4.*, coalesce(r4, CASE WHEN row_number() OVER (PARTITION BY p4.category, r4 IS NULL ORDER BY page_id) > coalesce(quota, {MAX_PER_CATEGORY}) THEN 'category_quota' END) AS r5 FROM p4 LEFT JOIN quotas USING (category)),
-rej AS MATERIALIZED (SELECT *, coalesce(r5, CASE WHEN row_number() OVER (PARTITION BY r5 IS NULL ORDER BY page_id) > {MAX_DOCS} THEN 'max_docs' END) AS reason FROM p5)"""
+l AS MATERIALIZED (SELECT *, {_noise_sql('body')[0]} AS lines, {web_quality_sql('body', 'title')} AS quality, {q.token_set('body')} AS toks, coalesce(nullif(list_position({_NAMES}, category), 0), {len(CATEGORIES) + 1}) AS place FROM b),
+p0 AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY place, page_id) AS pos, array_to_string(list_sort(toks), ' ') AS print,
+  CASE WHEN host = '' THEN 'missing_host' WHEN {_matches('host', BLOCKED)} THEN 'blocked_domain' WHEN NOT {_matches('host', ALLOWED)} THEN 'allow_domain_filtered' WHEN {_excluded('canonical')} THEN 'excluded_pattern' END AS r1,
+  CASE WHEN missing THEN 'fetch_failed' WHEN length(body) < {MIN_CHARS} THEN 'min_text_chars' WHEN {_noise_sql('body')[1]} THEN 'noise' END AS r2 FROM l),{_QUOTAS},
+s AS MATERIALIZED (SELECT p0.*, coalesce(quota, {MAX_PER_CATEGORY}) AS most FROM p0 LEFT JOIN quotas USING (category)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM s WHERE canonical <> '' AND r1 IS NULL AND r2 IS NULL AND quality >= {MIN_QUALITY}),
+nn AS MATERIALIZED (SELECT a.pos, list(b.i) AS near FROM s a JOIN o b ON b.pos < a.pos WHERE a.canonical <> '' AND a.r1 IS NULL AND a.r2 IS NULL AND {q.jaccard('a.toks', 'b.toks')} >= {NEAR} GROUP BY a.pos),
+gr AS (SELECT 0::BIGINT AS i, []::STRUCT(i BIGINT, pos BIGINT, url VARCHAR, host VARCHAR, category VARCHAR, print VARCHAR)[] AS chosen
+  UNION ALL SELECT o.i, CASE WHEN len(chosen) < {MAX_DOCS} AND len(list_filter(chosen, lambda x: x.category = o.category)) < o.most AND len(list_filter(chosen, lambda x: x.host = o.host)) < {MAX_PER_DOMAIN} AND len(list_filter(chosen, lambda x: x.url = o.canonical OR x.print = o.print)) = 0
+    AND NOT list_has_any(coalesce(nn.near, []::BIGINT[]), list_transform(chosen[greatest(1, len(chosen) - {WINDOW - 1}):], lambda x: x.i)) THEN list_append(chosen, {{'i': o.i, 'pos': o.pos, 'url': o.canonical, 'host': o.host, 'category': o.category, 'print': o.print}}) ELSE chosen END
+  FROM gr JOIN o ON o.i = gr.i + 1 LEFT JOIN nn ON nn.pos = o.pos),
+ok AS MATERIALIZED (SELECT arg_max(chosen, i) AS chosen FROM gr),
+f AS MATERIALIZED (SELECT s.*, list_filter(chosen, lambda x: x.pos < s.pos) AS past, len(list_filter(chosen, lambda x: x.pos = s.pos)) > 0 AS own, coalesce(near, []::BIGINT[]) AS near FROM s, ok LEFT JOIN nn ON nn.pos = s.pos),
+rej AS MATERIALIZED (SELECT *, CASE WHEN own THEN NULL WHEN len(past) >= {MAX_DOCS} THEN 'max_docs' WHEN len(list_filter(past, lambda x: x.category = f.category)) >= most THEN 'category_quota' WHEN canonical = '' THEN 'invalid_scheme_or_url' WHEN len(list_filter(past, lambda x: x.url = canonical)) > 0 THEN 'duplicate_url' WHEN r1 IS NOT NULL THEN r1
+  WHEN len(list_filter(past, lambda x: x.host = f.host)) >= {MAX_PER_DOMAIN} THEN 'per_domain_cap' WHEN r2 IS NOT NULL THEN r2 WHEN list_has_any(near, list_transform(past[greatest(1, len(past) - {WINDOW - 1}):], lambda x: x.i)) THEN 'near_duplicate' WHEN len(list_filter(past, lambda x: x.print = f.print)) > 0 THEN 'fingerprint_duplicate' ELSE 'quality_threshold' END AS reason FROM f)"""
 
 
 @query(f"WITH RECURSIVE {_REJECTED} SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM rej GROUP BY 1")
@@ -204,9 +202,18 @@ def top_domains(spark, sf_dir):
     return hosts.orderBy(C("n").desc(), "host").limit(120)
 
 
+_SHARES = "c AS (SELECT host, (row_number() OVER (ORDER BY n DESC, host) - 1)::INT AS i, n::DOUBLE AS w FROM (SELECT " + q.host("url") + " AS host, count(*) AS n FROM pages GROUP BY 1) ORDER BY n DESC, host LIMIT 12)"
+
+
+def _shares(spark, sf_dir):
+    """The twelve hosts with the most pages as categories, weighted by their pages."""
+    hosts = pages(spark, sf_dir, "page_id", "url").groupBy(web.host(C("url")).alias("host")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    hosts = hosts.orderBy(C("weight").desc(), "host").limit(12)
+    return hosts.withColumn("category", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(C("weight").desc(), "host")) - 1)
+
+
 @query(f"""
-WITH c AS (SELECT unnest([{', '.join(map(str, K.CATEGORY_WEIGHTS))}]) AS w, unnest(range({len(K.CATEGORY_WEIGHTS)})) AS i),
-r AS (SELECT i, w, 137 * (w / (SELECT sum(w) FROM c)::DOUBLE) AS raw FROM c),
+WITH {_SHARES}, r AS (SELECT i, w, 137 * (w / (SELECT sum(greatest(0.05, w)) FROM c)::DOUBLE) AS raw FROM c),
 b AS (SELECT i, w, raw, least(20, floor(raw)::BIGINT) AS base FROM r),
 o AS (SELECT *, row_number() OVER (ORDER BY base >= 20, raw - floor(raw) DESC, i) AS k, (SELECT 137 - sum(base) FROM b) AS left1 FROM b),
 p AS (SELECT *, base + (base < 20 AND k <= left1)::BIGINT AS one FROM o),
@@ -214,8 +221,15 @@ s AS (SELECT *, row_number() OVER (ORDER BY one >= 20, w DESC, i) AS k2, (SELECT
 SELECT i::INT AS category, (one + (one < 20 AND k2 <= left2)::BIGINT)::BIGINT AS quota FROM s
 """)
 def category_quota(spark, sf_dir):
-    specs = spark.createDataFrame([(i, float(w)) for i, w in enumerate(K.CATEGORY_WEIGHTS)], "category int, weight double")
-    return category_quotas(specs, max_docs=137, cap=20)
+    return category_quotas(_shares(spark, sf_dir).select("category", "weight"), max_docs=137, cap=20)
+
+
+@query(f"""
+WITH {_SHARES}, n AS (SELECT count(*) AS n FROM c), b AS (SELECT i, least(20, greatest(1, 137 // n))::BIGINT AS base, n FROM c, n), d AS (SELECT *, 137 - base * n AS rest FROM b)
+SELECT i::INT AS category, (base + CASE WHEN rest > 0 AND i < rest AND base < 20 THEN 1 WHEN rest < 0 AND i < -rest AND base > 0 THEN -1 ELSE 0 END)::BIGINT AS quota FROM d
+""")
+def even_quota(spark, sf_dir):
+    return even_quotas(_shares(spark, sf_dir).select("category"), max_docs=137, cap=20)
 
 
 @query("""

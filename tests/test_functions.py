@@ -151,3 +151,25 @@ def test_url_policies_at_their_edges(spark):
     assert flags(web.excluded(F.col("u"), [r"/\D\D$", "["])) == [False, True] and flags(web.excluded(F.col("u"), ["/x1$"])) == [True, False] and flags(web.excluded(F.col("u"), ["["])) == [False, False]
     assert web.usable_patterns(["a", "["])[0] == ["a"] and web.usable_patterns(["["])[1][0].startswith("invalid_pattern:[:")
     assert flags(web.matches_domain(web.host(F.col("u")), [])) == [True, True] and flags(web.matches_domain(web.host(F.col("u")), [], empty=False)) == [False, False]
+
+
+def test_html_blocks_end_at_their_own_tag(spark):
+    from dialogmill.functions import web
+
+    cases = {"<noscript><script>x</noscript> visible </script> end": "visible end", "a <SCRIPT src=1>b</script > c</Script> d": "a d", "<style>x</style>y<script>z": "y z"}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "html string, want string")
+    assert [r for r in rows.select(web.html_text(F.col("html")).alias("got"), "want").collect() if r["got"] != r["want"]] == []
+
+
+def test_take_counts_keep_the_ratios():
+    import itertools
+
+    from dialogmill.operators.quota import take_counts
+
+    for web, session, glossary in itertools.product((0, 1, 7, 100), repeat=3):
+        for r_web, r_session, r_glossary in itertools.product((0.0, 0.3, 0.7, 1.0), (0.0, 0.2, 0.5), (0.0, 0.25, 1.0)):
+            got = take_counts(web, session, glossary, r_web, r_session, r_glossary)
+            total = sum(got.values())
+            assert got["web_corpus"] <= web and got["session"] <= session and got["glossary"] <= glossary
+            if r_web + r_session <= 1 and web and session and total > 30:
+                assert got["web_corpus"] >= r_web * total - 1 and got["session"] >= r_session * total - 1 and got["glossary"] <= r_glossary * total + 1

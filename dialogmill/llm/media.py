@@ -2,13 +2,16 @@
 
 A document's payload, its UTF-8 bytes filled with zeros to a positive multiple of 64, becomes an 8-bit
 greyscale PNG, 64 samples wide, one for each byte: lossless and compressed. The members of a shard
-are named by the SHA-256 of the file, and equal files of a shard are stored once. Rows carry digest, shard,
+are named by the SHA-256 of the file. Rows carry digest, shard,
 offset and length; width, height and depth come from range reads of the header alone, and the payload is
 decoded from the stored bytes.
 
+Equal texts are stored once for all: only their digests are shuffled, the copy with the smallest id is stored where it is read, and every
+document gets its place by the digest. Only where that copy's row is itself repeated, or no copy has an id, one of its texts is picked by a
+shuffle. The digests of texts with copies are broadcast while they are at most ``COPIES``; beyond that the texts are joined with them by a shuffle.
+
 A task writes its own shards, to paths with its attempt's number, and emits rows only for closed ones, so
-a task that is lost and run again leaves at most unused files. Copies in different shards are stored
-once each: to join them would need the payloads to be shuffled. Shards go to the shared folder.
+a task that is lost and run again leaves at most unused files. Shards go to the shared folder.
 
 Nulls: a null text counts as the empty text, a payload of 64 zeros. Texts are stored whole, whatever their length. Repeated
 rows point to the same bytes or equal ones. An empty table writes nothing. Extra columns are ignored.
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dialogmill.llm.common import materialize, prepare_python, shared_dir, table
 
@@ -36,7 +40,9 @@ LEVEL = 6
 _SIGN = b"\x89PNG\r\n\x1a\n"
 #: Signature and header chunk: what a metadata read fetches.
 HEADER_BYTES = 33
-SCHEMA = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+#: So many digests of texts with copies are broadcast at most (64 bytes each).
+COPIES = 200_000
+SCHEMA = "doc_id long, key string, n_bytes long, digest string, shard string, offset long, length long"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -111,8 +117,17 @@ class _Shard:
 
 
 def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, digest, shard, offset, length for every row of ``docs`` (doc_id, text); its tasks write the shards, with each action on the plan (see manifest())."""
-    spark = docs.sparkSession
+    """doc_id, key (the text's SHA-256), n_bytes, digest, shard, offset, length for every row of ``docs`` (doc_id, text); its tasks write the shards, with each action on the plan (see manifest()). Equal texts of a shard are one member."""
+    return _stored(keyed(docs), folder, shard_bytes)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("key"))
+
+
+def _stored(rows: DataFrame, folder: str | None, shard_bytes: int) -> DataFrame:
+    spark = rows.sparkSession
     prepare_python(spark)
     folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
 
@@ -125,26 +140,42 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_B
         def closed() -> pa.RecordBatch:
             shard.close()
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array([shard.uri] * len(rows), pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array([shard.uri] * len(rows), pa.string()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], names=["doc_id", "key", "n_bytes", "digest", "shard", "offset", "length"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, key in zip(*batch.columns, strict=True):
                 if shard is None:
                     shard = _Shard(folder, f"{task.partitionId():06d}-{task.taskAttemptId()}-{n}.tar")
                 payload, size = payload_of(text.as_py())
-                rows.append((doc_id.as_py(), size, *shard.add(to_png(payload))))
+                rows.append((doc_id.as_py(), key.as_py(), size, *shard.add(to_png(payload))))
                 if shard.at >= shard_bytes:
                     yield closed()
                     shard, rows, n = None, [], n + 1
         if shard is not None:
             yield closed()
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", "key").mapInArrow(run, SCHEMA)
+
+
+def one_of_each(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, keys): doc_id, text, key of one row of each distinct text, and doc_id, key of all rows."""
+    rows = keyed(docs)
+    keys = materialize(rows.select("doc_id", "key"), "media-keys")
+    copies = keys.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same = keys.join(copies, "key").where("doc_id <=> owner").groupBy("key").agg(F.count(F.lit(1)).alias("n_same"))
+    copies = materialize(copies.join(same, "key").withColumnRenamed("key", "k"), "media-copies")
+    few = copies.limit(COPIES + 1).count() <= COPIES
+    rows = rows.join(F.broadcast(copies) if few else copies, F.col("key") == F.col("k"), "left")
+    texts = rows.where("k IS NULL OR (doc_id = owner AND n_same = 1)").select("doc_id", "text", "key")
+    if not copies.where("n_same > 1 OR owner IS NULL").isEmpty():
+        texts = texts.unionByName(rows.where("(n_same > 1 OR owner IS NULL) AND doc_id <=> owner").select("doc_id", "text", "key").dropDuplicates(["key"]))
+    return texts, keys
 
 
-def manifest(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """store()'s rows, written once: whatever is done with them reads the shards that are there and writes none."""
-    return materialize(store(docs, folder, shard_bytes), "media-manifest")
+def manifest(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(places, keys): store()'s rows, written once, one for each distinct text, and doc_id, key of all rows, which have their place by the key."""
+    texts, keys = one_of_each(docs)
+    return materialize(_stored(texts, folder, shard_bytes), "media-manifest"), keys
 
 
 def features(payload: bytes) -> str:
@@ -205,5 +236,6 @@ def read_back(rows: DataFrame) -> DataFrame:
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
-    out = read_back(with_headers(manifest(table(spark, sf_dir, "documents"))))
+    places, keys = manifest(table(spark, sf_dir, "documents"))
+    out = keys.join(read_back(with_headers(places)).drop("doc_id"), "key")
     return out.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "length AS media_bytes", "media_sha256", "feature", "width", "height")

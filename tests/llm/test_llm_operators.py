@@ -462,13 +462,22 @@ def test_media_query(spark, sf_dir):
         assert by_text.setdefault(texts[r["doc_id"]], tuple(r)[1:]) == tuple(r)[1:]
 
 
-def test_manifest_writes_once(spark, edges, tmp_path):
+@pytest.mark.parametrize("copies", [media.COPIES, 1])
+def test_manifest_writes_each_text_once(spark, edges, tmp_path, monkeypatch, copies):
     import os
 
-    rows = media.manifest(edges, f"file://{tmp_path}/m")
+    monkeypatch.setattr(media, "COPIES", copies)
+    docs = edges.unionByName(edges.where("doc_id = 4 OR doc_id IS NULL")).repartition(5)
+    places, keys = media.manifest(docs, f"file://{tmp_path}/m")
     first = sorted(os.listdir(tmp_path / "m"))
-    assert media.read_back(media.with_headers(rows)).count() == rows.count() == len(EDGES)
+    members = [m.name for f in first for m in tarfile.open(tmp_path / "m" / f).getmembers()]
+    texts = {t or "" for _, t, _ in EDGES}
+    assert len(members) == len(set(members)) == len(texts) == places.count()
+    got = keys.join(media.read_back(media.with_headers(places)).drop("doc_id"), "key").collect()
+    assert Counter((r["doc_id"], r["payload_sha256"]) for r in got) == Counter((r["doc_id"], hashlib.sha256(media.payload_of(r["text"])[0]).hexdigest()) for r in docs.collect())
     assert sorted(os.listdir(tmp_path / "m")) == first
+    none, keys = media.manifest(edges.limit(0), f"file://{tmp_path}/n")
+    assert none.count() == keys.count() == 0
 
 
 def test_damaged_media_is_noticed():

@@ -40,9 +40,9 @@ LEVEL = 6
 _SIGN = b"\x89PNG\r\n\x1a\n"
 #: Signature and header chunk: what a metadata read fetches.
 HEADER_BYTES = 33
-#: So many digests of texts with copies are broadcast at most (64 bytes each).
+#: So many digests of texts with copies are broadcast at most (32 bytes each).
 COPIES = 200_000
-SCHEMA = "doc_id long, key string, n_bytes long, digest string, shard string, offset long, length long"
+SCHEMA = "doc_id long, key binary, n_bytes long, digest string, shard string, offset long, length long"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -123,7 +123,7 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_B
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, key."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("key"))
 
 
 def _stored(rows: DataFrame, folder: str | None, shard_bytes: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _stored(rows: DataFrame, folder: str | None, shard_bytes: int) -> DataFrame:
         def closed() -> pa.RecordBatch:
             shard.close()
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array([shard.uri] * len(rows), pa.string()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], names=["doc_id", "key", "n_bytes", "digest", "shard", "offset", "length"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array([shard.uri] * len(rows), pa.string()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], names=["doc_id", "key", "n_bytes", "digest", "shard", "offset", "length"])
 
         for batch in batches:
             for doc_id, text, key in zip(*batch.columns, strict=True):
@@ -237,5 +237,7 @@ def read_back(rows: DataFrame) -> DataFrame:
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
     places, keys = manifest(table(spark, sf_dir, "documents"))
-    out = keys.join(read_back(with_headers(places)).drop("doc_id"), "key")
+    digests = {c: F.unhex(c) for c in ("payload_sha256", "media_sha256")}  # half as long while they are shuffled
+    told = read_back(with_headers(places)).drop("doc_id", "digest", "shard", "offset", "depth").withColumns(digests)
+    out = keys.join(told, "key").withColumns({c: F.lower(F.hex(c)) for c in digests})
     return out.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "length AS media_bytes", "media_sha256", "feature", "width", "height")

@@ -9,8 +9,10 @@ from dialogmill.functions import constants as K
 from dialogmill.functions import text as t
 from dialogmill.operators.state import kept, small_enough
 
-#: Up to so many query tokens the queries go to every task.
+#: Up to so many query tokens they go to every task.
 BROADCAST_TOKENS = 500_000
+#: About so many chunks make a block of postings; blocks hold chunks of one of so many levels of age.
+BLOCK_CHUNKS, AGE_LEVELS = 1024, 8
 #: The rarest tokens of a query whose chunks give the first bound.
 FIRST_TOKENS = 3
 
@@ -48,35 +50,55 @@ def base_weight(source_type: Column, intent: Column | None = None, manual: dict[
     return weight * F.coalesce(F.try_element_at(as_map(manual), source_type), F.lit(1.0)) if manual else weight
 
 
-def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: int = 0, source_types: list[str] | None = None, manual: dict[str, float] | None = None) -> DataFrame:
+def _kind(source_type: Column) -> Column:
+    return F.when(source_type.isin([*K.SOURCE_WEIGHT]), source_type).otherwise("")
+
+
+def _age(as_of_ms: int) -> Column:
+    """What a chunk's age adds to its scores."""
+    fresh = 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(as_of_ms) - F.col("updated_ms")) / F.lit(86_400_000.0 * K.FRESH_DAYS)))
+    return fresh * K.FRESHNESS_WEIGHT
+
+
+def postings(chunked: DataFrame, as_of_ms: int = 0) -> DataFrame:
+    """tok, kind, source_type, df, most_age, places: the chunks (source_id, chunk_no, age) with a token, in blocks of a source type and a level of age, each with the most that age adds there.
+
+    A common token has many blocks, so no task holds all of its chunks. Store the table: queries read it.
+    """
+    rows = chunked.select("source_id", "chunk_no", "source_type", _kind(F.col("source_type")).alias("kind"), _age(as_of_ms).alias("age"), F.explode("tokens").alias("tok"))
+    df = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    level = F.floor(F.col("age") * (AGE_LEVELS / K.FRESHNESS_WEIGHT))
+    part = F.pmod(F.xxhash64("source_id", "chunk_no"), F.ceil(F.col("df") / BLOCK_CHUNKS))
+    blocks = rows.join(df, "tok").groupBy("tok", "df", "kind", "source_type", level.alias("level"), part.alias("part"))
+    return blocks.agg(F.max("age").alias("most_age"), F.collect_list(F.struct("source_id", "chunk_no", "age")).alias("places")).drop("level", "part")
+
+
+def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: int = 0, source_types: list[str] | None = None, manual: dict[str, float] | None = None, index: DataFrame | None = None) -> DataFrame:
     """rank, source_id, source_type, chunk_no, score of the best chunks of each query, with the query's keys; ties by source and chunk.
 
     queries: query, intent, keys (query_id and others) and, where queries differ in them, types (array of allowed source types) and most (limit).
 
-    The best chunks by source and age alone, and those that share one of a query's rarest tokens, give a score that the result must reach. Few
-    queries go to every task, and one pass over the chunks lets through what reaches its query's score. With many, a chunk that
-    reaches it shares so many (m) of the query's n tokens that it has one of the n - m + 1 rarest, and only the chunks with one of these are
-    scored. Either way common words pair nothing in a shuffle. Pass a stored table of chunks: it is read several times.
+    The best chunks by source and age alone, and those that share one of a query's rarest tokens, give a score that the result must reach. A chunk of
+    a block that reaches it shares at least m of the query's n tokens, as the block's source and age add so much at most; so it has one of the n - m + 1 rarest, and
+    of the index only such blocks are read, and their chunks scored. So common words pair nothing. Pass stored tables of chunks and postings(): they are read several times.
     """
     from pyspark.sql import Window
 
     keys = [c for c in queries.columns if c not in ("query", "intent", "types", "most")]
     place = ["source_id", "chunk_no"]
     kinds = F.array(*map(F.lit, [*K.SOURCE_WEIGHT, ""]))
-    kind = F.when(F.col("source_type").isin([*K.SOURCE_WEIGHT]), F.col("source_type")).otherwise("")
-    fresh = 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(as_of_ms) - F.col("updated_ms")) / F.lit(86_400_000.0 * K.FRESH_DAYS)))
-    rows = chunked.select(*place, "source_type", kind.alias("kind"), (fresh * K.FRESHNESS_WEIGHT).alias("age"), "tokens")
+    if index is None:
+        index = kept(postings(chunked, as_of_ms), "postings")
+    rows = chunked.select(*place, "source_type", _kind(F.col("source_type")).alias("kind"), _age(as_of_ms).alias("age"), "tokens")
     known = F.when(F.col("intent").isin([*K.INTENT_MULTIPLIER]), F.col("intent")).otherwise("")
     types = F.col("types") if "types" in queries.columns else F.array(*map(F.lit, source_types)) if source_types is not None else F.lit(None).cast("array<string>")
     most = F.col("most") if "most" in queries.columns else F.lit(limit)
     asked = kept(queries.select(*keys, known.alias("intent"), types.alias("types"), most.alias("most"), query_tokens(F.col("query")).alias("qt")), "queries")
     largest = asked.agg(F.max("most")).first()[0] or 1
     hits = asked.select(*keys, F.explode("qt").alias("tok"))
-    few = small_enough(hits, BROADCAST_TOKENS)
-    small = F.broadcast if few else lambda x: x
-    # how many chunks have each token that is asked for
-    tokens = rows.select(F.explode("tokens").alias("tok")).join(small(hits.select("tok").distinct()), "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ordered = hits.join(tokens, "tok").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("by"))
+    small = F.broadcast if small_enough(hits, BROADCAST_TOKENS) else lambda x: x
+    df = index.join(small(hits.select("tok").distinct()), "tok", "left_semi").groupBy("tok").agg(F.max("df").alias("df"))
+    ordered = hits.join(df, "tok").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("by"))
     asked = kept(asked.join(ordered, keys, "left").withColumn("by", F.coalesce("by", F.array().cast("array<struct<df:bigint,tok:string>>"))), "queries")
     allowed = lambda t: F.col("types").isNull() | F.array_contains("types", t)
     own = asked.select(*keys, "intent", "types", "most", "qt")
@@ -86,37 +108,29 @@ def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: i
         base = base_weight(F.col("source_type"), F.col("intent"), manual)
         return met.where(allowed(F.col("source_type"))).select(*keys, "most", *place, "source_type", (base + lexical * K.LEXICAL_WEIGHT + F.col("age")).alias("score"))
 
-    def sharing(picked: DataFrame) -> DataFrame:
-        """The chunks with a token of picked (keys, tok)."""
-        met = rows.select(*place, "source_type", "age", "tokens", F.explode("tokens").alias("tok")).join(small(picked), "tok")
-        met = met.groupBy(*keys, *place).agg(F.first("source_type").alias("source_type"), F.first("age").alias("age"), F.first("tokens").alias("tokens"))
-        return scored(met.join(small(own), keys))
+    def exact(found: DataFrame) -> DataFrame:
+        """Scores of found (keys, place)."""
+        return scored(found.join(rows, place).join(small(own), keys))
 
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), *place)
     best = lambda found: found.dropDuplicates([*keys, *place]).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= F.col("most")) & (F.col("rank") <= largest))
     # whatever is not among the best of its kind by age needs tokens to be in a result
     by_kind = Window.partitionBy("kind").orderBy(F.col("age").desc(), *place)
     top = kept(rows.withColumn("rn", F.row_number().over(by_kind)).where(F.col("rn") <= largest).drop("rn"), "best-by-age")
-    plain = scored(own.withColumn("kind", F.explode(kinds)).join(F.broadcast(top), "kind"))
-    first = sharing(asked.select(*keys, F.explode(F.slice("by", 1, FIRST_TOKENS)).alias("x")).select(*keys, F.col("x.tok").alias("tok")))
+    plain = scored(own.withColumn("kind", F.explode(kinds)).join(top, "kind"))
+    rarest = asked.select(*keys, F.explode(F.slice("by", 1, FIRST_TOKENS)).alias("x")).select(*keys, F.col("x.tok").alias("tok"))
+    first = exact(index.join(small(rarest), "tok").select(*keys, F.explode("places").alias("p")).select(*keys, "p.source_id", "p.chunk_no").distinct())
     start = kept(best(first.unionByName(plain)), "first-best")
     bound = start.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    wanted = asked.join(bound, keys, "left")
-    if few:
-        # one pass over the chunks, in which those that can't reach the last of these scores leave before anything is shuffled; equal hashes only let more through
-        hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-        theirs = F.broadcast(wanted.select(*keys, "intent", "types", "most", "qt", "n", "least", hashes("qt").alias("qh")))
-        met = rows.withColumn("th", hashes("tokens")).join(theirs, allowed(F.col("source_type")))
-        reach = base_weight(F.col("source_type"), F.col("intent"), manual) + F.size(F.array_intersect("qh", "th")) / F.greatest(F.lit(1), F.size("qh")) * K.LEXICAL_WEIGHT + F.col("age")
-        rest = scored(met.where((F.coalesce("n", F.lit(0)) < F.col("most")) | (reach >= F.col("least") - 1e-9)))
-    else:
-        # m: tokens that a chunk has to share to reach the last of these scores, whatever its source and age
-        unknown = K.UNKNOWN_WEIGHT * max([1.0, *(manual or {}).values()])
-        base = F.greatest(F.lit(unknown), F.array_max(F.transform(F.filter(kinds, allowed), lambda t: base_weight(t, F.col("intent"), manual))))
-        need = F.when(F.col("n") >= F.col("most"), F.ceil((F.col("least") - base - K.FRESHNESS_WEIGHT - 1e-9) / K.LEXICAL_WEIGHT * F.size("qt"))).otherwise(1)
-        size = F.greatest(F.lit(0), F.size("by") - F.greatest(F.lit(1), need) + 1).cast("int")
-        rest = sharing(wanted.select(*keys, F.explode(F.slice("by", F.lit(1), size)).alias("x")).select(*keys, F.col("x.tok").alias("tok")))
-    ranked = best(rest.unionByName(start.drop("rank")))
+    wanted = asked.join(bound, keys, "left").select(*keys, "intent", "types", F.greatest(F.lit(1), F.size("qt")).alias("size"), F.size("by").alias("found"), F.when(F.col("n") >= F.col("most"), F.col("least")).alias("least"), F.posexplode("by").alias("i", "x"))
+    wanted = wanted.select(*keys, "intent", "types", "size", "found", "least", "i", F.col("x.tok").alias("tok"))
+    # tokens that a chunk with this much of its own has to share; one at least, as those without any are among the best by age
+    need = lambda own: F.greatest(F.lit(1), F.coalesce(F.ceil((F.col("least") - own - 1e-9) / K.LEXICAL_WEIGHT * F.col("size")), F.lit(1)))
+    base = base_weight(F.col("source_type"), F.col("intent"), manual)
+    read = index.select("tok", "source_type", "most_age", "places").join(small(wanted), "tok").where(allowed(F.col("source_type")))
+    read = read.where(F.col("i") <= F.col("found") - need(base + F.col("most_age")))
+    met = read.select(*keys, F.explode("places").alias("p")).select(*keys, "p.source_id", "p.chunk_no").distinct()
+    ranked = best(exact(met).unionByName(start.drop("rank")))
     return ranked.select(*keys, "rank", "source_id", "source_type", "chunk_no", F.round("score", 4).alias("score"))
 
 
@@ -129,7 +143,7 @@ MIXES = {
 }
 
 
-def context_mix(chunked: DataFrame, queries: DataFrame, as_of_ms: int = 0, most: int = 7, manual: dict[str, float] | None = None) -> DataFrame:
+def context_mix(chunked: DataFrame, queries: DataFrame, as_of_ms: int = 0, most: int = 7, manual: dict[str, float] | None = None, index: DataFrame | None = None) -> DataFrame:
     """query_id, context: the lines of both parts of the mix of each query (query_id, query, intent, policy), without repeats, ``most`` at most.
 
     The policy ``always`` has a mix of its own, scored as for mixed questions.
@@ -140,7 +154,7 @@ def context_mix(chunked: DataFrame, queries: DataFrame, as_of_ms: int = 0, most:
     parts = F.create_map(*[x for name, two in MIXES.items() for x in (F.lit(name), F.array(*[F.struct(F.lit(n).alias("most"), F.array(*map(F.lit, types)).alias("types")) for n, types in two]))])
     asked = queries.withColumn("intent", F.when(mix == "always", "mixed").otherwise(F.col("intent"))).withColumn("parts", F.element_at(parts, mix))
     asked = asked.select("query_id", "query", "intent", F.posexplode("parts").alias("part", "x")).select("query_id", "part", "query", "intent", "x.most", "x.types")
-    both = retrieve(chunked, asked, as_of_ms=as_of_ms, manual=manual).join(chunked.select("source_id", "chunk_no", "chunk"), ["source_id", "chunk_no"])
+    both = retrieve(chunked, asked, as_of_ms=as_of_ms, manual=manual, index=index).join(chunked.select("source_id", "chunk_no", "chunk"), ["source_id", "chunk_no"])
     line = F.concat(F.lit("[profile:"), F.col("source_type"), F.lit("] "), t.clip(F.col("chunk"), 220))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "rank", line.alias("line")))), lambda x: x["line"])
     return both.groupBy("query_id").agg(F.array_join(sim.combine_unique(lines, most), "\n").alias("context"))

@@ -20,7 +20,7 @@ from dialogmill.sources import sessions as ss
 
 C = F.col
 md5 = lambda c: F.md5(c.cast("binary"))
-LEAST, MOST, CAP = 12, 320, 60
+LEAST, MOST, CAP = 35, 320, 2500
 
 
 # --- importers: the conversations in the forms of three collections

@@ -54,3 +54,16 @@ def test_a_chain_of_similar_pages(spark):
         got = {r["pos"] for r in acceptance.accept(rows.where("pos < 8") if not tail else rows, none, 0.7, 240, 100, tail=tail).collect()}
         assert got == set(range(0, 8 if not tail else 30, 2))
     assert acceptance.accept(rows.limit(0), none).count() == 0
+
+
+def test_a_crawl_by_levels(spark):
+    """Categories don't share what they have seen; cycles end; a page's later links don't count."""
+    from dialogmill.operators.frontier import frontier
+
+    links = [("a", 1, "b"), ("a", 2, "c"), ("a", 3, "far"), ("b", 1, "a"), ("b", 2, "d"), ("c", 1, "d"), ("d", 1, "e"), ("z", 1, "a"), ("b", 1, "d")]
+    rows = spark.createDataFrame(links, "src string, rank int, link string")
+    seeds = spark.createDataFrame([("x", "a"), ("x", "a"), ("y", "z"), (None, "b")], "category string, url string")
+    got = {tuple(r) for r in frontier(seeds, rows, depth=2, per_page=2).collect()}
+    assert got == {("x", "a", 0, None), ("x", "b", 1, "a"), ("x", "c", 1, "a"), ("x", "d", 2, "b"), ("y", "z", 0, None), ("y", "a", 1, "z"), ("y", "b", 2, "a"), ("y", "c", 2, "a"), (None, "b", 0, None), (None, "a", 1, "b"), (None, "d", 1, "b"), (None, "c", 2, "a"), (None, "e", 2, "d")}
+    assert frontier(seeds, rows, depth=9, per_page=1).where("category = 'x'").count() == 4
+    assert frontier(seeds.limit(0), rows, depth=2).count() == 0

@@ -198,31 +198,37 @@ def got_without(spark, tmp_path):
     return chunks.retrieve(chunks.chunks(dq._sources(spark, str(tmp_path))), asked, limit=90, as_of_ms=dq.AS_OF).collect()
 
 
-def test_web_rules_that_look_at_other_pages(spark, sf_dir):
+@pytest.mark.parametrize(("max_docs", "max_per_category", "max_per_domain", "window"), [(900, 90, 20, 240), (14, 6, 3, 2)])
+def test_web_rules_that_look_at_other_pages(spark, sf_dir, max_docs, max_per_category, max_per_domain, window):
+    """Each reason that speaks of other pages holds, and none holds for a kept page, in the order of arrival."""
     from dialogmill.functions import text as t
     from dialogmill.plans import web_queries as wq
 
-    rows = sorted(wq.rejected(spark, sf_dir).withColumn("s", t.token_set(F.col("body"))).collect(), key=lambda r: r["page_id"])
-    late = ["duplicate_url", "fingerprint_duplicate", "near_duplicate", "per_domain_cap", "category_quota", "max_docs"]
-    want, left = {}, [r for r in rows if r["reason"] is None or r["reason"] in late]
-    urls, prints, kept, hosts = set(), set(), [], {}
-    for r in left:
+    specs = spark.createDataFrame(list(enumerate(wq.CATEGORIES.values())), "category int, weight double")
+    quotas = {list(wq.CATEGORIES)[r["category"]]: r["quota"] for r in wq.category_quotas(specs, max_docs, max_per_category).collect()}
+    rows = wq.rejected(spark, sf_dir, max_docs=max_docs, max_per_category=max_per_category, max_per_domain=max_per_domain, window=window).withColumn("s", t.token_set(F.col("body"))).collect()
+    places = {c: i for i, c in enumerate(wq.CATEGORIES)}
+    taken, seen = [], set()
+    for r in sorted(rows, key=lambda r: (places.get(r["category"], 99), r["page_id"])):
         s = frozenset(r["s"])
-        if r["canonical"] in urls:
-            want[r["page_id"]] = late[0]
-            continue
-        urls.add(r["canonical"])
-        if s in prints:
-            want[r["page_id"]] = late[1]
-            continue
-        prints.add(s)
-        if any(len(s & k) >= 0.84 * len(s | k) for k in kept if s):
-            want[r["page_id"]] = late[2]
-            continue
-        kept.append(s)
-        hosts[r["host"]] = hosts.get(r["host"], 0) + 1
-        want[r["page_id"]] = late[3] if hosts[r["host"]] > wq.MAX_PER_DOMAIN else None
-    got = {r["page_id"]: None if r["reason"] in late[4:] else r["reason"] for r in left}
-    assert got == want and set(want.values()) & {*late[1:4]}
+        full = len(taken) >= max_docs, sum(x["category"] == r["category"] for x in taken) >= quotas.get(r["category"], max_per_category)
+        holds = {
+            "max_docs": full[0], "category_quota": full[1], "duplicate_url": any(x["canonical"] == r["canonical"] for x in taken), "per_domain_cap": sum(x["host"] == r["host"] for x in taken) >= max_per_domain,
+            "near_duplicate": any(s and len(s & set(x["s"])) >= 0.84 * len(s | set(x["s"])) for x in taken[-window:]), "fingerprint_duplicate": any(s == set(x["s"]) for x in taken),
+        }
+        seen.add(r["reason"])
+        if r["reason"] is None:
+            assert not any(holds.values()), (r["page_id"], holds)
+            taken.append(r)
+        elif r["reason"] in holds:
+            assert next(k for k, v in holds.items() if v and (k != "fingerprint_duplicate" or not holds["near_duplicate"])) == r["reason"]
+        else:
+            assert not any(full)
+    assert taken and (max_docs == 900 or {"category_quota", "per_domain_cap"} & seen)
+
+
+def test_tier1_only(spark, sf_dir):
+    from dialogmill.plans import web_queries as wq
+
     only = {r["reason"] for r in wq.rejected(spark, sf_dir, tier1_only=True).collect()}
     assert "tier1_only_filtered" in only and "allow_domain_filtered" not in only

@@ -182,6 +182,15 @@ def stream_source_health(spark, sf_dir):
     return _streamed(spark, sf_dir, live.SourceHealth(rest_ms=REST_MS))
 
 
+@query(f"""
+WITH {_SESSION_ROWS}, w AS (SELECT user_id, ms, event_id, list_sort(list(level) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)) AS v FROM rows_, clock WHERE ms < t)
+SELECT user_id, ms, 'latency' AS what, event_id, (floor(v[ceil(len(v) * 0.95::DOUBLE)::BIGINT] * 100))::BIGINT::VARCHAR AS text, round(v[ceil(len(v) * 0.5::DOUBLE)::BIGINT], 6) AS score FROM w
+""")
+def stream_latency(spark, sf_dir):
+    """Rolling quantiles of the last 300 values, kept as a list in the state."""
+    return _streamed(spark, sf_dir, live.RollingLatency())
+
+
 @query(f"WITH j AS ({SQL['judge']}) SELECT passed, count(*)::BIGINT AS n, round(avg(average), 6) AS average FROM j GROUP BY 1")
 def judge_totals(spark, sf_dir):
     return tq.judge(spark, sf_dir).groupBy("passed").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("average"), 6).alias("average"))

@@ -7,6 +7,7 @@ stateful.py) and a replay as a dict. A stream and the replay of the same events
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -248,6 +249,23 @@ class Queue(Live):
         return out
 
 
+class RollingLatency(Live):
+    """After each event the nearest-rank median (the score) and 95 % quantile (the text, in whole hundredths) of the last ``most`` levels of the session."""
+
+    states = {"values": ("list", "value double")}
+
+    def __init__(self, most: int = 300, rest_ms: int = 1_800_000):
+        self.most, self.rest_ms = most, rest_ms
+
+    def on(self, s, e):
+        held = s.setdefault("values", [])
+        held.append({"value": e["level"]})
+        del held[: -self.most]
+        ordered = sorted(x["value"] for x in held)
+        at = lambda p: ordered[max(0, math.ceil(len(ordered) * p) - 1)]
+        return [(e["ms"], "latency", e["event_id"], str(math.floor(at(0.95) * 100)), at(0.5))]
+
+
 class Phases(Live):
     """The phase of a session: running, degraded and recovered, or error; changes are emitted. A session ends after ``rest_ms`` of silence."""
 

@@ -61,7 +61,11 @@ def dedup_near(spark, sf_dir):
     return near_dup.resolve_any(near_dup.similar_pairs(_classes(spark, sf_dir), NEAR))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_NEAR_SQL}, nb AS MATERIALIZED (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM near GROUP BY b),
+gr AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT nb.i, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, b) ELSE gone END FROM gr JOIN nb ON nb.i = gr.i + 1)
+SELECT unnest(arg_max(gone, i)) AS doc_id FROM gr
+""")
 def dedup_near_greedy(spark, sf_dir):
     """The rule that compares with accepted documents only."""
     return near_dup.resolve_greedy(near_dup.similar_pairs(_classes(spark, sf_dir), NEAR))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from dialogmill.operators.state import shared_folder
 from dialogmill.plans.base import query
 from dialogmill.streaming import events as ev
-from dialogmill.streaming import joins, stateful
+from dialogmill.streaming import joins, merge, stateful
 from dialogmill.streaming.run import available_now
 
 C = F.col
@@ -29,10 +32,13 @@ def stream_sessions(spark, sf_dir):
     return available_now(ev.read(spark, sf_dir), lambda s: ev.sessions(s), "append")
 
 
-@query("SELECT user_id, max(event_id)::BIGINT AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+@query("SELECT user_id, max(event_id)::BIGINT AS event_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) FILTER (event_type <> 'click') AS event_type FROM events GROUP BY 1")
 def stream_upsert(spark, sf_dir):
-    """The latest row of each user, merged batch by batch."""
-    return available_now(ev.read(spark, sf_dir), lambda s: ev.latest(s), "complete")
+    """The last value and the last event that isn't a click of each user, merged batch by batch."""
+    rows = ev.read(spark, sf_dir).select("user_id", "event_id", "value", F.when(C("event_type") != "click", C("event_type")).alias("event_type"))
+    base = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+    table = merge.MergedTable(spark, f"{base}/table", "user_id long, event_id long, value double, event_type string", ["user_id"], "event_id", ["value", "event_type"])
+    return merge.merge(rows, table, f"{base}/state")
 
 
 @query("SELECT event_id, user_id FROM events")

@@ -25,9 +25,5 @@ def sessions(stream: DataFrame, gap: str = "2 hours") -> DataFrame:
     return rows.agg(F.min(F.unix_millis("ts")).alias("first_ms"), F.max(F.unix_millis("ts")).alias("last_ms"), F.count(F.lit(1)).alias("n")).select("user_id", "first_ms", "last_ms", "n")
 
 
-def latest(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
-
-
 def dedup(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dialogmill.plans.base import events
 from dialogmill.streaming import joins, live, stateful
+from dialogmill.streaming.merge import MergedTable
 from dialogmill.streaming.run import available_now, settings
 
 e = lambda i, ms, kind, text="hello there you", **k: {"event_id": i, "ms": ms, "kind": kind, "text": text, "self_rms": 120.0, "remote_rms": 640.0} | k
@@ -102,6 +103,31 @@ def test_a_stream_join_equals_the_batch_join_and_its_state_goes(spark, sf_dir, t
     assert max(held) > 10 * max(1, held[-1])
 
 
+def test_merges_are_done_once_and_touch_changed_buckets_only(spark, tmp_path):
+    import random
+
+    schema, rng = "k long, at long, a string, b double", random.Random(3)
+    table = MergedTable(spark, f"file://{tmp_path}/t", schema, ["k"], "at", ["a", "b"], buckets=8)
+    assert table.rows().count() == 0 and table.versions() == {}
+    want, frames = {}, []
+    for i in range(3):
+        rows = [(rng.randrange(4 * (i + 1)), 100 * i + j, rng.choice([None, f"x{j}"]), rng.choice([None, j + 0.5])) for j in range(12)]
+        frames.append(spark.createDataFrame(rows, schema))
+        for k, at, a, b in rows:
+            old = want.get(k, (None, None, None))
+            want[k] = (at, a if a is not None else old[1], b if b is not None else old[2])
+        table.apply(frames[i], i)
+        assert {r["k"]: (r["at"], r["a"], r["b"]) for r in table.rows().collect()} == want
+    before, files = table.versions(), sorted(p for p in tmp_path.rglob("*.parquet"))
+    table.apply(frames[1], 1)  # again, after a failure
+    table.apply(frames[2], 2)
+    assert table.versions() == before and sorted(tmp_path.rglob("*.parquet")) == files
+    table.apply(spark.createDataFrame([(0, 1000, "new", None)], schema), 3)
+    after = table.versions()
+    assert sum(after[b] != before[b] for b in before) == 1
+    assert {r["k"]: r["a"] for r in table.rows().collect()}[0] == "new" and {r["k"]: r["b"] for r in table.rows().collect()}[0] == want[0][2]
+
+
 def test_settings_are_put_back(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     with settings(spark, {"spark.sql.shuffle.partitions": "9", "dialogmill.none": "x"}):

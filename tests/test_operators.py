@@ -42,6 +42,21 @@ def test_similar_pairs_and_resolutions(spark):
     assert {r[0] for r in near_dup.resolve_greedy(pairs).collect()} == gone
 
 
+def test_few_pairs_fetch_their_tokens(spark):
+    rng = random.Random(5)
+    # each set shares its rarest token with all of its group, and only copies with a word changed are similar
+    sets = {i: {f"rare{i % 3}"} | {f"w{rng.randrange(3000)}" for _ in range(60)} for i in range(90)}
+    sets |= {100 + i: (sets[i] - {min(sets[i])}) | {"other"} for i in range(0, 90, 9)} | {300: set(), 301: {"alone"}}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items() if s], "first long, tokens array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and jac(sets[a], sets[b]) >= 0.84}
+    assert len(want) == 10
+    for most in (0, 40, 500_000):
+        index = near_dup.prefixes(df, 0.84, most)
+        some = {(r["a"], r["b"]) for r in near_dup.likely(index, index, 0.84, once=True).collect()}
+        assert want <= some and len(some) < 20
+        assert {(r["a"], r["b"]) for r in near_dup.matched(index, index, df, 0.84, once=True).collect()} == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 20, 101])
 def test_percentiles(spark, n):
     import math

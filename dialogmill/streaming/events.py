@@ -20,8 +20,12 @@ def tumbling(stream: DataFrame, width: str = "1 day") -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("user_id", "event_type", F.col("w.start").alias("day"), "n", "total")
 
 
-def sessions(stream: DataFrame, gap: str = "2 hours") -> DataFrame:
-    rows = stream.withWatermark("ts", LATE).groupBy("user_id", F.session_window("ts", gap).alias("w"))
+def sessions(stream: DataFrame, gap_ms: int = 7_200_000) -> DataFrame:
+    """Sessions in whole milliseconds: a pause of ``gap_ms`` or more opens the next one.
+
+    Session windows that touch are one, so theirs are a microsecond shorter; both ends of a pause and the watermark are whole milliseconds.
+    """
+    rows = stream.withColumn("ts", F.timestamp_millis(F.unix_millis("ts"))).withWatermark("ts", LATE).groupBy("user_id", F.session_window("ts", f"{gap_ms * 1000 - 1} microseconds").alias("w"))
     return rows.agg(F.min(F.unix_millis("ts")).alias("first_ms"), F.max(F.unix_millis("ts")).alias("last_ms"), F.count(F.lit(1)).alias("n")).select("user_id", "first_ms", "last_ms", "n")
 
 

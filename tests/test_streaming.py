@@ -47,6 +47,22 @@ def test_utterance_buffers():
     assert fold.run({}, rows) == [(560, "remote", 2, "2 4", 1.0), (2000, "self", 3, "3 5", 0.0)]
 
 
+def test_sessions_are_in_whole_milliseconds(spark, tmp_path):
+    from compare import differences
+
+    import duckdb
+
+    from dialogmill.plans import registry
+
+    at = lambda s, us=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s, microseconds=us)
+    # the first user's pause is 2 hours in milliseconds and less in microseconds; the third's session ends at the watermark's very millisecond
+    rows = [(1, at(0, 900), 1), (2, at(7200, 100), 1), (3, at(0, 100), 2), (4, at(7200, 900), 2), (5, at(92_200, 700), 3), (6, at(100_000, 300), 4)]
+    spark.createDataFrame([(i, ts, u, "click", 1.0, "{}") for i, ts, u in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert differences(registry.QUERIES["stream_sessions"](spark, str(tmp_path)), registry.SQL["stream_sessions"], con) is None
+
+
 def parts(spark, sf_dir, tmp_path, n=4, end=None):
     """The events in n files, one a batch, each in the order of time; ``end``: an event far later, at the last file's end."""
     rows = events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value", "props").toPandas().sort_values("ts")

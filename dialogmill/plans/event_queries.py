@@ -263,7 +263,9 @@ def review_merge(spark, sf_dir):
 
 @query("SELECT event_id, (sqrt((a * a + b * b + c * c) / 3.0::DOUBLE)) AS rms FROM (SELECT event_id, floor(value * 60)::BIGINT AS a, -floor(value * 30)::BIGINT AS b, floor(value * 10)::BIGINT AS c FROM events)")
 def rms_level(spark, sf_dir):
-    from dialogmill.functions.audio import pack_pcm16, rms
+    """Levels of samples of 32 bits: sixty times a value may be beyond 16."""
+    from dialogmill.functions.audio import pack_pcm32, rms
 
     v = [F.floor(C("value") * 60), -F.floor(C("value") * 30), F.floor(C("value") * 10)]
-    return table(spark, sf_dir, "events").select("event_id", rms(pack_pcm16(F.array(*[x.cast("int") for x in v]))).alias("rms"))
+    samples = F.when(C("value").isNotNull(), F.array(*[x.cast("int") for x in v]))
+    return table(spark, sf_dir, "events").select("event_id", rms(pack_pcm32(samples), 32).alias("rms"))

@@ -123,6 +123,21 @@ def test_pcm(spark):
     assert spark.range(1).select(audio.rms(F.lit(b""))).first()[0] == 0.0
 
 
+def test_levels_beyond_16_bits(spark, tmp_path):
+    import duckdb
+    from compare import differences
+
+    from dialogmill.plans import registry
+
+    wide = [0, -1, 32768, 40000, -(1 << 31), (1 << 31) - 1]
+    assert spark.createDataFrame([(wide,)], "x array<int>").select(audio.pcm32(audio.pack_pcm32(F.col("x")))).first()[0] == wide
+    values = [0.0, 1.26, 546.1, 546.2, 700.5, 2400.0, -999.9, 1e6, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert differences(registry.QUERIES["rms_level"](spark, str(tmp_path)), registry.SQL["rms_level"], con) is None
+
+
 def test_character_references_are_those_of_the_standard(spark):
     import html
     import random

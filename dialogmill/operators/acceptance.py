@@ -88,7 +88,7 @@ def accept(pages: DataFrame, quotas: DataFrame, threshold: float = 0.84, window:
     pages: pos (the order, without ties), url, host, category, tokens. quotas: category, quota, of a configuration; ``other_quota`` is that of each other category.
     Pages with an empty token set are similar to none, but equal to each other.
     """
-    rows = pages.select("pos", "url", "host", "category", F.array_sort("tokens").alias("tokens"))
+    rows = pages.select("pos", "url", "host", "category", F.sort_array("tokens").alias("tokens"))
     rows = kept(rows.withColumn("fp", F.sha1(F.array_join("tokens", " ").cast("binary"))), "accept-pages")
     classes = kept(rows.groupBy("fp").agg(F.min("pos").alias("c"), F.first("tokens").alias("tokens")), "accept-classes")
     sets = classes.where(F.size("tokens") > 0).select(F.col("c").alias("first"), "tokens")
@@ -154,7 +154,7 @@ def accept(pages: DataFrame, quotas: DataFrame, threshold: float = 0.84, window:
 def similar_accepted(probes: DataFrame, accepted: DataFrame, threshold: float, window: int) -> DataFrame:
     """pos of the probes (pos, tokens, n: pages accepted before) of which one of the last ``window`` accepted pages (pos, n, tokens) is similar."""
     both = probes.select("pos", "n", "tokens", F.lit(False).alias("is_accepted")).unionByName(accepted.select("pos", "n", "tokens", F.lit(True).alias("is_accepted")))
-    both = both.where(F.size("tokens") > 0).withColumn("tokens", F.array_sort("tokens")).withColumn("fp", F.sha1(F.array_join("tokens", " ").cast("binary")))
+    both = both.where(F.size("tokens") > 0).withColumn("tokens", F.sort_array("tokens")).withColumn("fp", F.sha1(F.array_join("tokens", " ").cast("binary")))
     both = kept(both, "probe-pages")
     # probes with equal sets are one class; accepted pages have different sets and ids of their own
     ids = kept(both.groupBy("fp", "is_accepted").agg((2 * F.min("pos") + F.col("is_accepted").cast("long")).alias("first"), F.first("tokens").alias("tokens")), "probe-classes")

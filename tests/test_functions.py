@@ -123,6 +123,28 @@ def test_pcm(spark):
     assert spark.range(1).select(audio.rms(F.lit(b""))).first()[0] == 0.0
 
 
+def test_texts_without_patterns_for_blanks(spark):
+    white = [chr(i) for i in range(0x3001) if re.fullmatch(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", chr(i))]
+    odd = ["".join(white) + "a b" + "".join(reversed(white)), "\x1c\u200b x \u180e\ufeff", "a \t\tb\t c\r\r\n\n\n\nd  \n", " \n", "\u212a2z ABC-d/e+f a1 Abc-D/e+F", "x" * 2599 + " y", "é_" * 1400 + " z", " ".join(map(str, range(300))), None]
+    for i, x in enumerate(odd):
+        odd[i] = x and x * (1 + i % 2)
+    old = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    whole = lambda c: F.coalesce(c, F.lit(""))
+    assert many(spark, odd, lambda c: text.strip(whole(c))) == many(spark, odd, lambda c: old(whole(c)))
+    plain = lambda c: old(F.regexp_replace(F.regexp_replace(F.regexp_replace(whole(c), "\r\n", "\n"), "[ \t]+", " "), "\n{3,}", "\n\n"))
+    assert many(spark, odd, text.normalize) == many(spark, odd, plain)
+    assert many(spark, odd, text.tokens) == many(spark, odd, lambda c: F.array_distinct(F.transform(F.regexp_extract_all(plain(c), F.lit(r"[A-Za-z][A-Za-z0-9_+\-/]{2,}"), F.lit(0)), F.lower)))
+    assert many(spark, odd, text.token_set) == many(spark, odd, lambda c: F.array_distinct(F.slice(F.regexp_extract_all(F.lower(whole(c)), F.lit(r"[A-Za-z0-9_\-À-ɏ]+"), F.lit(0)), 1, 260)))
+
+
+def test_token_sets_are_computed_once(spark, sf_dir):
+    from dialogmill.plans import registry
+
+    plan = registry.QUERIES["token_sets"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # the technical tokens, and the token set of the head and of the whole text
+    assert plan.count("regexp_extract_all") == 3 and "array_sort" not in plan
+
+
 def test_levels_beyond_16_bits(spark, tmp_path):
     import duckdb
     from compare import differences

@@ -137,6 +137,13 @@ def test_texts_without_patterns_for_blanks(spark):
     assert many(spark, odd, text.token_set) == many(spark, odd, lambda c: F.array_distinct(F.slice(F.regexp_extract_all(F.lower(whole(c)), F.lit(r"[A-Za-z0-9_\-À-ɏ]+"), F.lit(0)), 1, 260)))
 
 
+def test_word_window_takes_whole_sentences(spark):
+    rows = ["One two three. Four five! Six seven eight nine. Ten.", "a b c d e f g h", "It's over-long here now. x", "... !!! a. b. c. d. e. f.", None, ""]
+    want = ["One two three. Four five!", "a b c d e.", "It's over-long here now. x.", None, "", ""]
+    got = many(spark, rows, lambda c: text.word_window(c, 5))
+    assert [g for g, w in zip(got, want) if w is not None] == [w for w in want if w is not None]
+
+
 def test_token_sets_are_computed_once(spark, sf_dir):
     from dialogmill.plans import registry
 

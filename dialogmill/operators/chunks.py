@@ -60,12 +60,14 @@ def _age(as_of_ms: int) -> Column:
     return fresh * K.FRESHNESS_WEIGHT
 
 
-def postings(chunked: DataFrame, as_of_ms: int = 0) -> DataFrame:
+def postings(chunked: DataFrame, as_of_ms: int = 0, tokens: DataFrame | None = None) -> DataFrame:
     """tok, kind, source_type, df, most_age, places: the chunks (source_id, chunk_no, age) with a token, in blocks of a source type and a level of age, each with the most that age adds there.
 
-    A common token has many blocks, so no task holds all of its chunks. Store the table: queries read it.
+    A common token has many blocks, so no task holds all of its chunks. Store the table: queries read it. ``tokens`` (tok): an index for queries that ask for no others; of every chunk only these are shuffled.
     """
     rows = chunked.select("source_id", "chunk_no", "source_type", _kind(F.col("source_type")).alias("kind"), _age(as_of_ms).alias("age"), F.explode("tokens").alias("tok"))
+    if tokens is not None:
+        rows = rows.join(tokens, "tok", "left_semi")
     df = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     level = F.floor(F.col("age") * (AGE_LEVELS / K.FRESHNESS_WEIGHT))
     part = F.pmod(F.xxhash64("source_id", "chunk_no"), F.ceil(F.col("df") / BLOCK_CHUNKS))
@@ -87,8 +89,6 @@ def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: i
     keys = [c for c in queries.columns if c not in ("query", "intent", "types", "most")]
     place = ["source_id", "chunk_no"]
     kinds = F.array(*map(F.lit, [*K.SOURCE_WEIGHT, ""]))
-    if index is None:
-        index = kept(postings(chunked, as_of_ms), "postings")
     rows = chunked.select(*place, "source_type", _kind(F.col("source_type")).alias("kind"), _age(as_of_ms).alias("age"), "tokens")
     known = F.when(F.col("intent").isin([*K.INTENT_MULTIPLIER]), F.col("intent")).otherwise("")
     types = F.col("types") if "types" in queries.columns else F.array(*map(F.lit, source_types)) if source_types is not None else F.lit(None).cast("array<string>")
@@ -97,6 +97,8 @@ def retrieve(chunked: DataFrame, queries: DataFrame, limit: int = 5, as_of_ms: i
     largest = asked.agg(F.max("most")).first()[0] or 1
     hits = asked.select(*keys, F.explode("qt").alias("tok"))
     small = F.broadcast if small_enough(hits, BROADCAST_TOKENS) else lambda x: x
+    if index is None:
+        index = kept(postings(chunked, as_of_ms, small(hits.select("tok").distinct())), "postings")
     df = index.join(small(hits.select("tok").distinct()), "tok", "left_semi").groupBy("tok").agg(F.max("df").alias("df"))
     ordered = hits.join(df, "tok").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("by"))
     asked = kept(asked.join(ordered, keys, "left").withColumn("by", F.coalesce("by", F.array().cast("array<struct<df:bigint,tok:string>>"))), "queries")

@@ -42,6 +42,15 @@ def test_similar_pairs_and_resolutions(spark):
     assert {r[0] for r in near_dup.resolve_greedy(pairs).collect()} == gone
 
 
+def test_an_index_for_some_tokens_has_these_alone(spark):
+    rows = [("s", i, "note", 0, [f"w{i % 3}", f"own{i}"]) for i in range(12)]
+    chunked = spark.createDataFrame(rows, "source_id string, chunk_no int, source_type string, updated_ms long, tokens array<string>")
+    places = lambda df: {(r["tok"], p["chunk_no"], r["df"]) for r in df.collect() for p in r["places"]}
+    whole = places(chunks.postings(chunked))
+    some = places(chunks.postings(chunked, tokens=spark.createDataFrame([("w1",), ("own4",), ("none",)], "tok string")))
+    assert len(whole) == 24 and some == {x for x in whole if x[0] in ("w1", "own4")} and len(some) == 5
+
+
 def test_few_pairs_fetch_their_tokens(spark):
     rng = random.Random(5)
     # each set shares its rarest token with all of its group, and only copies with a word changed are similar

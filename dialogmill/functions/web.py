@@ -14,6 +14,8 @@ from dialogmill.functions import text as t
 BLOCKS = r"(?is)<(script|style|noscript).*?>.*?</\1>"
 BLOCK_TAGS = ("script", "style", "noscript")
 TAGS = ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>|</li>|</h\d>|</section>|</article>", "\n"), (r"(?s)<[^>]+>", " "))
+#: The same in fewer passes: what becomes a line end, and other tags.
+LINE_ENDS, ANY_TAG = r"(?i)<(?:br\s*/?|/(?:p|li|h\d|section|article))>", TAGS[-1][0]
 SPACES = r"(?U)[^\S\r\n]+"
 
 #: Frequent entities, which need no table; the ampersand's is not among them, as it may begin another one.
@@ -76,8 +78,8 @@ def unescape(c: Column) -> Column:
 
 def html_text(c: Column) -> Column:
     """The visible text: no scripts, styles and tags; breaks and ends of blocks become line ends."""
-    bare = reduce(lambda a, step: F.regexp_replace(a, *step), [(BLOCKS, " "), *TAGS], F.coalesce(c, F.lit("")))
-    return t.normalize(F.regexp_replace(unescape(bare), SPACES, " "))
+    bare = reduce(lambda a, step: F.regexp_replace(a, *step), [(BLOCKS, " "), (LINE_ENDS, "\n"), (ANY_TAG, " ")], F.coalesce(c, F.lit("")))
+    return t.squeezed(F.regexp_replace(unescape(bare), SPACES, " "))
 
 
 # fixed values: the patterns of a title and of a link's target

@@ -56,6 +56,21 @@ def test_a_chain_of_similar_pages(spark):
     assert acceptance.accept(rows.limit(0), none).count() == 0
 
 
+def test_caps_that_bind_end_the_rounds(spark, monkeypatch):
+    """Categories take turns, of which two fill from their first pages, one never fills and one takes none."""
+    pages = [(pos, url, host, "abbbcd"[pos % 6], tokens) for pos, url, host, _, tokens in ((p[0] // 3, *p[1:]) for p in made(6, 240))]
+    rows = spark.createDataFrame(pages, "pos long, url string, host string, category string, tokens array<string>")
+    quotas = {"a": 3, "b": 4, "c": 0}
+    table = spark.createDataFrame(list(quotas.items()), "category string, quota long")
+    rounds, counted = [], acceptance._counted
+    monkeypatch.setattr(acceptance, "_counted", lambda *a: rounds.append(1) or counted(*a))
+    for tail, most in ((100, 2), (24, 12)):
+        rounds.clear()
+        got = sorted(acceptance.accept(rows, table, 0.6, 5, 100, 900, tail=tail).collect())
+        assert [tuple(r) for r in got] == [(pos, n) for n, pos in enumerate(sequential(pages, quotas, 0.6, 5, 100, 900))] and len(got) > 10
+        assert len(rounds) <= most
+
+
 def test_a_crawl_by_levels(spark):
     """Categories don't share what they have seen; cycles end; a page's later links don't count."""
     from dialogmill.operators.frontier import frontier

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from dialogmill.plans.base import events
@@ -98,6 +99,23 @@ def test_a_stream_in_batches_equals_the_replay_and_its_state_goes(spark, sf_dir,
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
 
 
+def test_a_batch_of_a_key_is_one_row_of_its_state():
+    from unittest.mock import MagicMock
+
+    states = {}
+    handle = MagicMock()
+    handle.getListState.side_effect = handle.getValueState.side_effect = lambda name, schema: states.setdefault(name, MagicMock())
+    p = stateful.FoldProcessor(live.EchoHold(), "ms bigint, event_id bigint, self_rms double")
+    p.init(handle)
+    states["clock"].get.return_value = None
+    p.handleInputRows((1,), iter([Row(user_id=1, ts=None, ms=9 - i, event=f'{{"ms":{9 - i},"event_id":{i},"self_rms":"NaN"}}') for i in range(5)]), None)
+    ((rows,), _) = states["waiting"].appendList.call_args
+    assert len(rows) == 1 and rows[0][0] == [9, 8, 7, 6, 5] and len(rows[0][1]) == 5
+    handle.registerTimer.assert_called_once_with(5)
+    e = p.read(rows[0][1][0])
+    assert (e["ms"], e["event_id"]) == (9, 0) and e["self_rms"] != e["self_rms"]
+
+
 def test_a_stream_join_equals_the_batch_join_and_its_state_goes(spark, sf_dir, tmp_path):
     seen, hold = [], 12 * 3_600_000
     rows = parts(spark, sf_dir, tmp_path, end=datetime.timedelta(days=40))

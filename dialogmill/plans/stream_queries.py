@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dialogmill.operators.state import shared_folder
 from dialogmill.plans.base import query
 from dialogmill.streaming import events as ev
-from dialogmill.streaming import joins, merge, stateful
+from dialogmill.streaming import joins, merge
 from dialogmill.streaming.run import available_now
 
 C = F.col
@@ -56,5 +56,5 @@ UNION ALL SELECT event_id, NULL FROM own a, w WHERE ms + 1800000 < w AND NOT EXI
 def stream_hold(spark, sf_dir):
     """Own utterances against remote ones within the hold, as two streams with their own watermarks; those that none meets come out alone."""
     own, remote = ev.read(spark, sf_dir).where("event_id % 2 = 0"), ev.read(spark, sf_dir).where("event_id % 2 = 1")
-    out = available_now(own, lambda s: joins.held_against(s, remote, "30 MINUTES", "10 minutes", "20 minutes"), "append", stateful.ROCKSDB)
+    out = available_now(own, lambda s: joins.held_against(s, remote, "30 MINUTES", "10 minutes", "20 minutes"), "append", joins.STATE)
     return out.select("event_id", "right_id")

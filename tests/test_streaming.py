@@ -137,6 +137,38 @@ def test_a_stream_join_equals_the_batch_join_and_its_state_goes(spark, sf_dir, t
     assert max(held) > 10 * max(1, held[-1])
 
 
+def timed(spark, path, seconds):
+    """One user's events, numbered, at these seconds after a cell's begin, as a stream; those of odd numbers are remote."""
+    rows = spark.createDataFrame([(i, 1_700_006_400 * 10**6 + round(s * 10**6), 1) for i, s in enumerate(seconds)], "event_id long, us long, user_id long").select("event_id", F.timestamp_micros("us").alias("ts"), "user_id")
+    rows.coalesce(1).write.parquet(f"file://{path}")
+    stream = spark.readStream.schema(rows.schema).parquet(f"file://{path}")
+    return stream.where("event_id % 2 = 0"), stream.where("event_id % 2 = 1")
+
+
+def test_a_row_of_a_stream_join_meets_its_cells_rows_only(spark, tmp_path):
+    own, remote = timed(spark, tmp_path / "in", [1800 * i for i in range(400)])
+    with settings(spark, joins.STATE | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        out = joins.held_against(own, remote, "30 MINUTES")
+        out.writeStream.option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).format("parquet").start(f"file://{tmp_path}/out").awaitTermination()
+    for side in ("left", "right"):
+        state = spark.read.format("statestore").option("joinSide", side).load(f"file://{tmp_path}/state")
+        n = [r["count"] for r in state.groupBy("key").count().collect()]
+        assert sum(n) >= 200 and max(n) <= 4
+
+
+@pytest.mark.parametrize("hold, hold_s", [("30 MINUTES", 1800), ("5 HOURS", 18000)])
+def test_a_stream_join_over_cells_gives_each_pair_once(spark, tmp_path, hold, hold_s):
+    edges = [-7200, -0.000001, 0, 1800, 7199.999999, 7200, 8999.999999, 9000, 14400, 25200, 25200.000001]
+    seconds = [s for edge in edges for s in (edge, edge)] + [10**8] * 2  # each as an own and as a remote row
+    own, remote = timed(spark, tmp_path / "in", seconds)
+    got = [tuple(r) for r in available_now(own, lambda s: joins.held_against(s, remote, hold), "append", joins.STATE).select("event_id", "right_id").collect()]
+    want = [(a, b) for a in range(0, len(seconds), 2) for b in range(1, len(seconds), 2) if 0 <= round((seconds[b] - seconds[a]) * 10**6) <= hold_s * 10**6]
+    assert sorted(got) == want
+    own, remote = timed(spark, tmp_path / "alone", [0, 9000.5, 7200, 10**6, 20000, 10**8, 10**8, 10**8])
+    got = {tuple(r) for r in available_now(own, lambda s: joins.held_against(s, remote, "30 MINUTES"), "append", joins.STATE).select("event_id", "right_id").collect()}
+    assert got == {(0, None), (2, None), (4, None), (6, 5), (6, 7)}
+
+
 def test_merges_are_done_once_and_touch_changed_buckets_only(spark, tmp_path):
     import random
 

@@ -217,3 +217,34 @@ def test_take_counts_keep_the_ratios():
             assert got["web_corpus"] <= web and got["session"] <= session and got["glossary"] <= glossary
             if r_web + r_session <= 1 and web and session and total > 30:
                 assert got["web_corpus"] >= r_web * total - 1 and got["session"] >= r_session * total - 1 and got["glossary"] <= r_glossary * total + 1
+
+
+def test_texts_are_taken_as_they_are_where_blanks_dont_matter(spark):
+    odd = ["I\t \tsaid:\r\r\n\n\n\nas  an\tAI  ", " \xa0we've ", "xi İ", "as\n an ai", "\r\r\n. . a. b\n\n\nc. d. e. f", "One. Two. Three. Four. Five", ". . . ", "x" * 900, "a.b", None, "", "- a\r\r\n- b\r\r\nmodel  language"]
+    whole = lambda c: text.normalize(c)
+    assert many(spark, odd, text.word_count) == many(spark, odd, lambda c: F.size(F.regexp_extract_all(whole(c), F.lit(text.WORD), F.lit(0))))
+    for terms in (text.K.FIRST_PERSON, text.K.AI_DISCLAIMERS):
+        assert many(spark, odd, lambda c: text.has_word(c, terms)) == many(spark, odd, lambda c: F.lower(whole(c)).rlike(f"{text.LEFT}({text.any_of(terms)}){text.RIGHT}"))  # noqa: B023
+    assert many(spark, odd, lambda c: text.again(whole(c))) == many(spark, odd, lambda c: whole(whole(c)))
+
+    def summary(c):
+        parts = F.filter(F.transform(F.split(F.replace(whole(c), F.lit("\n"), F.lit(" ")), r"\. ", -1), text.strip), lambda s: s != "")
+        base = text.strip(F.array_join(F.slice(parts, 1, 4), ". "))
+        return F.concat(F.lit("T. "), F.when(base == "", F.substring(whole(c), 1, 720)).otherwise(base))
+
+    assert many(spark, odd, lambda c: text.corpus_summary(c, F.lit("T"))) == many(spark, odd, summary)
+    terms = sorted({x for name in dir(text.K) if name.endswith("KEYWORDS") for x in getattr(text.K, name)})
+    assert not re.search(r"[][()+*?|^${}\\]", "".join(terms))
+    pairs = [f"x{x}y" for x in terms] + ["", "plain", None]
+    assert many(spark, pairs, lambda c: text.has_any(c, terms)) == many(spark, pairs, lambda c: c.rlike(text.any_of(terms)))
+
+
+def test_pairs_of_an_import_are_found_once(spark):
+    """A filter on a column puts its expression in for it, so each test of a pair ran the patterns over the whole text again."""
+    from dialogmill.operators import imports as im
+
+    rows = spark.createDataFrame([("\n\nHuman: a\n\nAssistant: b\n\nHuman: c\n\nHuman: d\n\nAssistant:\n\nHuman: e",), ("\n\nHuman: a",), (None,)], "text string")
+    last = rows.select(im.last_exchange(F.col("text")).alias("x"))
+    assert [r["x"] and tuple(r["x"]) for r in last.collect()] == [("c\n\nHuman: d", "Human: e"), None, None]
+    plan = im.import_rows(last.where("x IS NOT NULL").select("x.*"), "dialogues")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(im.EXCHANGE) <= 6  # the pattern and two groups, in the filter and in the column

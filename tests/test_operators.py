@@ -256,3 +256,25 @@ def test_tier1_only(spark, sf_dir):
 
     only = {r["reason"] for r in wq.rejected(spark, sf_dir, tier1_only=True).collect()}
     assert "tier1_only_filtered" in only and "allow_domain_filtered" not in only
+
+
+def test_equal_pairs_of_a_pool_are_said_once(spark, tmp_path):
+    from pathlib import Path
+
+    from dialogmill.operators import records
+
+    said = "I built the cache and measured it. " * 8
+    rows = [(f"g|{i}", 500 - i, "Why  a cache?", said, None, True, "glossary", "glossary") for i in range(400)]  # equal as they come
+    rows += [("g|s", 7, "Why a cache?", said.replace(". ", ".  "), 0.9, True, None, "other")]  # equal as it is said
+    rows += [("g|no", 1, "Why a cache?", said, 0.5, False, None, "x"), ("g|q", 2, " ", said, 0.5, None, None, "x"), ("g|null", 3, "Why not?", None, None, None, "", "y")]
+    df = spark.createDataFrame(rows, "id string, ord long, question string, answer string, hint double, fit boolean, category string, source string")
+    df = df.selectExpr("*", "'glossary' AS pool", "'glossary' AS bucket", "'glossary_filter' AS fault")
+    before = set(Path(shared_folder(spark).removeprefix("file://")).glob("build-spoken-*"))
+    left, dropped = records.pooled(df)
+    (written,) = set(Path(shared_folder(spark).removeprefix("file://")).glob("build-spoken-*")) - before
+    # 400 pairs are one, and so are the two that aren't fit
+    assert spark.read.parquet(f"file://{written}").count() == 4
+    assert [(r["id"], r["source"], r["quality"] >= 0.9) for r in left.collect()] == [("g|s", "other", True)]
+    assert {r["drop"]: r["n"] for r in dropped.collect()} == {"duplicate": 400, "glossary_filter": 3}
+    empty_left, empty = records.pooled(df.where("NOT fit"))
+    assert empty_left.count() == 0 and [tuple(r) for r in empty.collect()] == [("glossary_filter", 1)]

@@ -278,3 +278,16 @@ def test_equal_pairs_of_a_pool_are_said_once(spark, tmp_path):
     assert {r["drop"]: r["n"] for r in dropped.collect()} == {"duplicate": 400, "glossary_filter": 3}
     empty_left, empty = records.pooled(df.where("NOT fit"))
     assert empty_left.count() == 0 and [tuple(r) for r in empty.collect()] == [("glossary_filter", 1)]
+
+
+def test_counters_of_a_build_read_each_table_once(spark, tmp_path):
+    from dialogmill.operators import records
+
+    rows = [("1", "web_corpus", "web", "x"), ("2", "session", "web", "x"), ("3", "session", "made", None)]
+    spark.createDataFrame(rows, "id string, bucket string, source string, category string").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    out = records.build_counters(rows, spark.createDataFrame([("duplicate", 4)], "drop string, n long"), rows.where("id <> '1'"))
+    want = {("dropped", "duplicate", 4), ("raw_bucket", "web_corpus", 1), ("raw_bucket", "session", 2), ("raw_source", "web", 2), ("raw_source", "made", 1), ("raw_category", "x", 2), ("raw_category", None, 1)}
+    want |= {("final_bucket", "session", 2), ("final_source", "web", 1), ("final_source", "made", 1), ("final_category", "x", 1), ("final_category", None, 1)}
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
